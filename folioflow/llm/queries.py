@@ -79,7 +79,7 @@ GROUP BY l.doc_id
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (
-  SELECT rid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM d),
+  SELECT rid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 win AS (
   SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS t FROM (
     SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
@@ -90,8 +90,8 @@ c AS (
   SELECT d.rid, doc_id, source, len(ws)::BIGINT AS n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    (len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-     - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT
+    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+     - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT
       AS n_dup_lines,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (rid) LEFT JOIN covered USING (rid)),
