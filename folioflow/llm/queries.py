@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mpeg_audio, phrase_dedup, quality_rules
+from . import byte_bpe, line_dedup, mpeg_audio, near_dedup, phrase_dedup, quality_rules
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -46,6 +46,10 @@ def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality(table(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -61,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media_columns, op3_line_dedup, op6_phrase_dedup, op8_quality_rules, op10_byte_bpe)
+    f.__name__: f for f in (op2_media_columns, op3_line_dedup, op6_phrase_dedup, op7_near_dedup, op8_quality_rules, op10_byte_bpe)
 }
 
 ORACLE: dict[str, str] = {
