@@ -8,10 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mpeg_audio, near_dedup, phrase_dedup, quality_rules
+from . import (
+    byte_bpe,
+    html_text,
+    license_scan,
+    line_dedup,
+    mixing,
+    mpeg_audio,
+    near_dedup,
+    phrase_dedup,
+    quality_rules,
+    token_counts,
+)
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+#: The id that ends documents in flat files of these ranks, free in them.
+END_OF_DOCUMENT = 50256
+#: Target weights of the mix, in parts; other sources have one part.
+PARTS = {"src0": 4, "src1": 3, "src2": 2}
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +55,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed_lines", "text")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), PARTS)
+    return mixed.select("doc_id", "source", "block", "release", "deadline", "slot")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as flat files, found again without an index; the files' order gives back their ids."""
+    folder = token_counts.shared_folder(spark, "tokens")
+    written = token_counts.write_flat(table(spark, sf_dir, "documents"), folder, RANKS, PATTERN, END_OF_DOCUMENT)
+    counted = token_counts.count_tokens(spark, folder, END_OF_DOCUMENT)
+    return counted.join(written, ["file", "doc"], "left").select("doc_id", "n_tokens", "closed")
+
+
 def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_dedup.phrase_dedup(table(spark, sf_dir, "documents"))
     return found.select(
@@ -56,6 +89,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("licences").cast("long").alias("n_licences"),
+        F.size(F.filter("licences", lambda x: x["confirmed"])).cast("long").alias("n_confirmed"),
+        F.array_join("families", ",").alias("families"),
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
     decoded = byte_bpe.decode(encoded, RANKS, PATTERN)
@@ -65,7 +109,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media_columns, op3_line_dedup, op6_phrase_dedup, op7_near_dedup, op8_quality_rules, op10_byte_bpe)
+    f.__name__: f
+    for f in (
+        op1_html_text,
+        op2_media_columns,
+        op3_line_dedup,
+        op4_mix_sources,
+        op5_token_counts,
+        op6_phrase_dedup,
+        op7_near_dedup,
+        op8_quality_rules,
+        op9_license_scan,
+        op10_byte_bpe,
+    )
 }
 
 ORACLE: dict[str, str] = {
@@ -89,6 +145,31 @@ SELECT l.doc_id, count(*) FILTER (regexp_matches(l.s, '[^\x20\x09-\x0D]')) AS n_
        coalesce(string_agg(l.s, chr(10) ORDER BY l.p) FILTER (g.p IS NULL), '') AS text
 FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p
 GROUP BY l.doc_id
+""",
+    "op4_mix_sources": r"""
+WITH RECURSIVE n AS (
+  SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 16 AS block FROM documents),
+s AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS i,
+    CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END AS parts
+  FROM (SELECT DISTINCT source FROM documents)),
+t AS (SELECT sum(parts)::BIGINT AS total, list(parts ORDER BY i) AS parts FROM s),
+plan AS (
+  SELECT 0::BIGINT AS slot, list_transform(parts, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM t
+  UNION ALL
+  SELECT slot + 1, list_transform(done, lambda x, i: CASE WHEN i = best THEN x + 1 ELSE x END), best
+  FROM (
+    SELECT p.slot, p.done, list_min(list_filter(list_transform(t.parts, lambda w, i:
+        CASE WHEN p.done[i] * t.total // w <= p.slot
+          THEN {'due': ((p.done[i] + 1) * t.total + w - 1) // w, 'i': i::BIGINT} END), lambda x: x IS NOT NULL)).i AS best, t.total
+    FROM plan p, t)
+  WHERE slot < total),
+slots AS (
+  SELECT pick AS i, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS nth
+  FROM plan WHERE pick IS NOT NULL)
+SELECT n.doc_id, n.source, n.block, n.block * t.total // s.parts AS release,
+  ((n.block + 1) * t.total + s.parts - 1) // s.parts AS deadline, n.block // s.parts * t.total + slots.slot AS slot
+FROM n JOIN s ON n.source IS NOT DISTINCT FROM s.source JOIN slots ON slots.i = s.i AND slots.nth = n.block % s.parts, t
 """,
     "op8_quality_rules": r"""
 WITH d AS (
