@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path, as a URI, in the folder that all executors share; a temporary folder where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-")
+    base = base if "://" in base else f"file://{os.path.abspath(base.removeprefix('file:'))}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def text_of(column: str = "text") -> Column:
     """The column with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -13,16 +13,15 @@ components that share a bucket are then left, and all of these are verified.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import WHITE_CLASS, cut, text_of
 from .shingles import SPREAD_B, U, mix, shingles, strides
 
 REGISTERS, ROWS, BANDS = 256, 6, 42
@@ -83,11 +82,10 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             key, doc, count = _counted(texts, words)
             w = sketch(key, doc, 1 + np.log2(count), b - a)
             band, small = bands(w).view("<i8"), (w & U(255)).astype(np.uint8)
-            same = [hashlib.md5(t, usedforsecurity=False).digest() if t else None for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[a:b],
-                    pa.array(same, pa.binary()),
+                    batch.column(2)[a:b],
                     pa.array(list(band), pa.list_(pa.int64())),
                     pa.array([x.tobytes() for x in small], pa.binary()),
                 ],
@@ -95,6 +93,12 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             )
 
 
+def _words_digest(text_col: str) -> Column:
+    """Digest of a text's words and their order; null without words."""
+    text = F.array_join(F.filter(F.split(text_of(text_col), WHITE_CLASS + "+"), lambda w: w != ""), " ")
+    return F.md5(F.nullif(text, F.lit("")))
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the way."""
     pack = zstandard.ZstdCompressor(level=1)
@@ -150,24 +154,13 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = LEAST
-) -> DataFrame:
-    """(id, class_id, n_class): one row per input row; the class is named by the least id in it.
-
-    Classes are the connected components of texts of equal words and of texts whose sets of shingles have a Jaccard
-    similarity of ``least`` or more. A null text counts as empty; texts without a word, and rows with a null id, are
-    in no class with others: their class id is their own id, ``n_class`` 1. A text of fewer words than a shingle
-    is one shingle. Rows that share an id but not their words are separate members of their classes, though
-    one node in the search for links. An empty table gives an empty result. Other columns are not carried.
-
-    A pair of similarity 0.8 shares no band with a probability of 3e-6. Sketches are checkpointed; texts pass one
-    shuffle, compressed, and only those with a candidate go further.
-    """
+def _classed(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """(id, same, class_id) of each row: its id, its words' digest, the least id of its class."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.encode(text_of(text_col), "utf-8").alias("raw"))
+    digested = source.withColumn("same", _words_digest("raw"))
     sketched = cut(
-        source.mapInArrow(lambda b: _sketches(b, words), f"id {kind}, same binary, bands array<long>, sketch binary")
+        digested.mapInArrow(lambda b: _sketches(b, words), f"id {kind}, same string, bands array<long>, sketch binary")
     )
     first = sketched.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("node"))
     nodes = sketched.join(first, "same").where("id = node").select("id", "same", "bands", "sketch")
@@ -218,11 +211,39 @@ def near_classes(
     links = cut(links.union(verify(rest)))
     label = components(links)
     own = sketched.select("id", "same").join(first, "same", "left")
-    classed = own.join(label.withColumnRenamed("id", "node"), "node", "left").select(
-        "id", F.coalesce("label", "node", "id").alias("class_id")
+    return own.join(label.withColumnRenamed("id", "node"), "node", "left").select(
+        "id", "same", F.coalesce("label", "node", "id").alias("class_id")
     )
+
+
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = LEAST
+) -> DataFrame:
+    """(id, class_id, n_class): one row per input row; the class is named by the least id in it.
+
+    Classes are the connected components of texts of equal words and of texts whose sets of shingles have a Jaccard
+    similarity of ``least`` or more. A null text counts as empty; texts without a word, and rows with a null id, are
+    in no class with others: their class id is their own id, ``n_class`` 1. A text of fewer words than a shingle
+    is one shingle. Rows that share an id but not their words are separate members of their classes, though
+    one node in the search for links. An empty table gives an empty result. Other columns are not carried.
+
+    A pair of similarity 0.8 shares no band with a probability of 3e-6. Sketches are checkpointed; texts pass one
+    shuffle, compressed, and only those with a candidate go further.
+    """
+    classed = _classed(docs, id_col, text_col, words, least)
     sizes = classed.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("n_class"))
-    return (
-        classed.join(sizes, "class_id", "left")
-        .select(F.col("id").alias(id_col), "class_id", F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
+    return classed.join(sizes, "class_id", "left").select(
+        F.col("id").alias(id_col), "class_id", F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class")
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = LEAST) -> DataFrame:
+    """The input's rows and columns less those whose id is not the least of their class: one document of each stays.
+
+    Rows that share this id and the class all stay. Rows with a null id and texts without words stay. Only ids and
+    digests of the rows that go are joined to the texts; other cases are as in ``near_classes``.
+    """
+    classed = _classed(docs, id_col, text_col, words, least)
+    gone = classed.where("id > class_id").select(F.col("id").alias("__id"), F.col("same").alias("__same")).distinct()
+    row = (F.col(id_col) == F.col("__id")) & (_words_digest(text_col) == F.col("__same"))
+    return docs.join(gone, row, "left_anti")

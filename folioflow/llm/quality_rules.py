@@ -59,6 +59,11 @@ def repeated_words(words_: Column, width: int = WINDOW) -> Column:
     )
 
 
+def fails(n_words: Column, n_repeat_words: Column) -> Column:
+    """Whether the document rules reject a text of these counts."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words)
+
+
 def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed), one row per input row.
 
@@ -78,22 +83,20 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ).select("doc_id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
-    )
-    return counts.withColumn("base_failed", failed)
+    return counts.withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words")))
 
 
-def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE, n_col: str | None = None) -> DataFrame:
     """(host, n_docs, n_failed, host_rate, host_rejected): failure rates by host, shrunk by a beta prior.
 
     The prior comes from all hosts by the method of moments: mean m of the hosts' rates weighted by their
     documents, variance v between hosts less what binomial noise explains, strength m(1-m)/v - 1 kept within
     1 and 1000. A host's rate is (failed + strength * m) / (documents + strength). A null host is a host of
-    its own. The sums take two aggregations; only rows per host reach them.
+    its own. ``n_col`` has the number of documents that a row of ``counts`` stands for. The sums take two aggregations; only rows per host reach them.
     """
+    one = F.lit(1).cast("long") if n_col is None else F.col(n_col)
     hosts = counts.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")
+        F.sum(one).alias("n_docs"), F.sum(F.when(F.col("base_failed"), one).otherwise(0)).alias("n_failed")
     )
     n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     prior = hosts.agg(
@@ -139,3 +142,23 @@ def quality(
     hosts = host_verdicts(counts, max_rate)
     joined = counts.alias("d").join(hosts.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")), "left")
     return joined.select("d.*", "h.host_rate", (~F.col("d.base_failed") & ~F.col("h.host_rejected")).alias("kept"))
+
+
+def keep_good(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_rate: float = MAX_HOST_RATE,
+) -> DataFrame:
+    """The input's rows and columns that ``quality`` keeps, null ids and repeated rows included.
+
+    The document rules are applied again where the texts are read, and only rejected hosts are joined to them, so the
+    texts pass no shuffle unless very many hosts are rejected. The rest is as in ``quality``.
+    """
+    failed = let(words(text_of(text_col)), lambda x: fails(F.size(x), repeated_words(x)))
+    ruled = docs.select(F.col(host_col).cast("string").alias("host"), failed.alias("base_failed"))
+    passed = cut(ruled.groupBy("host", "base_failed").agg(F.count(F.lit(1)).alias("n")))
+    rejected = host_verdicts(passed, max_rate, "n").where("host_rejected").select(F.col("host").alias("__host"))
+    same = F.col(host_col).cast("string").eqNullSafe(F.col("__host"))
+    return docs.where(~failed).join(rejected, same, "left_anti")

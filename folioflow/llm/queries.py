@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import (
     byte_bpe,
     html_text,
@@ -20,7 +22,7 @@ from . import (
     quality_rules,
     token_counts,
 )
-from .common import table
+from .common import shared_folder, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The id that ends documents in flat files of these ranks, free in them.
@@ -62,7 +64,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as flat files, found again without an index; the files' order gives back their ids."""
-    folder = token_counts.shared_folder(spark, "tokens")
+    folder = shared_folder(spark, "tokens")
     written = token_counts.write_flat(table(spark, sf_dir, "documents"), folder, RANKS, PATTERN, END_OF_DOCUMENT)
     counted = token_counts.count_tokens(spark, folder, END_OF_DOCUMENT)
     return counted.join(written, ["file", "doc"], "left").select("doc_id", "n_tokens", "closed")
@@ -108,6 +110,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_license_scan,
         op10_byte_bpe,
+        pipeline,
     )
 }
 

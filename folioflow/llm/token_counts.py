@@ -8,7 +8,6 @@ ended before it and where the open one began.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -145,12 +144,3 @@ def count_tokens(
     return inner.union(rest).select(
         name.alias("file"), "d.doc", "d.start", (F.col("d.end") - F.col("d.start")).alias("n_tokens"), "d.closed"
     )
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path as a URI in the folder that all executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-")
-    base = base if "://" in base else f"file://{os.path.abspath(base)}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
