@@ -25,7 +25,7 @@ from .common import text_of
 #: Pieces of more bytes merge along a heap of pairs instead: a matrix row would need as many rounds as bytes.
 LONGEST_ROW = 256
 #: Pieces whose ids a worker remembers, and characters it cuts into pieces at a time.
-REMEMBERED, STRIDE = 400_000, 1 << 20
+REMEMBERED, STRIDE = 120_000, 1 << 20
 #: Fixed value: the pattern under which a piece never goes on from another character into a space, and takes one
 #: space before it along. Words between single spaces are then cut by themselves, and remembered whole.
 CUT_AT_SPACES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
