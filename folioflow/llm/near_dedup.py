@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,9 +77,8 @@ def bands(winners: np.ndarray, rows: int = ROWS, n: int = BANDS) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = [t.split() for t in batch.column(1).to_pylist()]
-        for a, b in strides([sum(map(len, r)) + len(r) for r in raw], STRIDE):
-            texts = [b" ".join(r) for r in raw[a:b]]
+        for a, b in strides(pc.binary_length(batch.column(1)).to_pylist(), STRIDE):
+            texts = batch.column(1)[a:b].to_pylist()
             key, doc, count = _counted(texts, words)
             w = sketch(key, doc, 1 + np.log2(count), b - a)
             band, small = bands(w).view("<i8"), (w & U(255)).astype(np.uint8)
