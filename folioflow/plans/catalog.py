@@ -6,9 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import listing_queries, merge_queries, search_queries, sequence_queries, text_queries, value_queries
+from . import (
+    listing_queries,
+    merge_queries,
+    model_queries,
+    search_queries,
+    sequence_queries,
+    source_queries,
+    stream_queries,
+    text_queries,
+    value_queries,
+)
 
-MODULES = (search_queries, text_queries, listing_queries, sequence_queries, value_queries, merge_queries)
+MODULES = (
+    search_queries,
+    text_queries,
+    listing_queries,
+    sequence_queries,
+    value_queries,
+    merge_queries,
+    stream_queries,
+    source_queries,
+    model_queries,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
