@@ -74,17 +74,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removes nor loses lines. Input columns of the two new names are replaced. Hot windows are counted before
     the shuffle and meet one row each in the join, whose large partitions Spark splits.
     """
-    gone = repeated_lines(docs, id_col, text_col, width).withColumnRenamed("doc_id", "__id")
+    gone = repeated_lines(docs, id_col, text_col, width).withColumnsRenamed({"doc_id": "__id", "gone": "__gone"})
     joined = docs.drop("n_lines", "n_removed_lines").join(gone, F.col(id_col) == F.col("__id"), "left")
     text = text_of(text_col)
 
     def rest(lines: Column) -> Column:
-        keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
         return F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
 
     return (
         joined.withColumn("n_lines", F.size(_numbered(text)).cast("long"))
-        .withColumn("n_removed_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("gone").isNull(), text).otherwise(let(_lines(text), rest)))
-        .drop("gone", "__id")
+        .withColumn("n_removed_lines", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(let(_lines(text), rest)))
+        .drop("__gone", "__id")
     )

@@ -83,10 +83,10 @@ def mix_sources(
     """
     if other_parts < 1 or any(n < 1 for n in parts.values()):
         raise ValueError("weights are whole parts of at least 1")
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("block", "release", "deadline", "slot")]
     key = F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
-    ranged = docs.drop("block", "release", "deadline", "slot").select(
-        "*",
+    ranged = docs.select(
+        *names,
         key.alias("__key"),
         F.coalesce(F.floor(F.col(id_col) / span), F.lit(-(1 << 62))).alias("__range"),
         F.xxhash64(*names).alias("__row"),
@@ -104,7 +104,7 @@ def mix_sources(
     placed = numbered.join(F.broadcast(table), "__key")  # one row a source, MOST_PARTS numbers in all
     round_ = F.floor(F.col("block") / F.col("__parts"))
     return placed.select(
-        *[c for c in names if c not in ("block", "release", "deadline", "slot")],
+        *names,
         "block",
         F.floor(F.col("block") * F.col("__total") / F.col("__parts")).alias("release"),
         F.ceil((F.col("block") + 1) * F.col("__total") / F.col("__parts")).alias("deadline"),
