@@ -217,7 +217,7 @@ def test_throttle(spark, tmp_path):
 
 
 def test_stuck_stream(spark, tmp_path):
-    for n, rows in enumerate([[(1, 0), (2, 0)], [(2, 100)], [(3, 900)], [(3, 2000)]]):
+    for n, rows in enumerate([[(1, 1000), (2, 1000)], [(2, 1100)], [(3, 1900)], [(3, 3000)]]):
         frame = spark.createDataFrame(rows, "job_id long, s int").select("job_id", F.timestamp_seconds("s").alias("ts"))
         frame.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
     stream = spark.readStream.schema("job_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
