@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    library_queries,
     listing_queries,
     merge_queries,
     model_queries,
@@ -28,6 +29,7 @@ MODULES = (
     stream_queries,
     source_queries,
     model_queries,
+    library_queries,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
