@@ -6,9 +6,10 @@ that arrives first. Shingles stop once their next arrival is later than every re
 register with their probability Jaccard similarity, so equal bands of six registers make them candidates.
 Candidates are verified on their whole texts: the Jaccard similarity of the sets of shingles must reach 0.8.
 
-Texts of equal words are one node from the start. A bucket never emits all of its pairs: first each text is held
-against one hub at a time, the best of its buckets, and verified links make components; only pairs of different
-components that share a bucket are then left, and all of these are verified.
+Texts of equal words are one node from the start. A bucket never emits its pairs: first each text is held against
+one hub at a time, the text of a bucket that meets most others, and verified links make components. Only buckets with
+several components are then left. These are compared whole, in blocks of bounded size, by counting shared
+shingles; a block gives one link for each two components that it connects.
 """
 
 from __future__ import annotations
@@ -29,7 +30,11 @@ REGISTERS, ROWS, BANDS = 256, 6, 42
 LEAST = 0.8
 #: Pairs whose sketches agree in less of their registers are not verified; 0.8 lies over nine deviations above.
 LEAST_ESTIMATE = 0.55
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Rows of links or of bucket members for each task of the steps over them.
+ROWS_A_TASK = 20_000
+#: Texts of one bucket that are compared at a time.
+BLOCK = 768
 STRIDE = 2 << 20
 
 
@@ -125,22 +130,50 @@ def _verified(batches: Iterator[pa.RecordBatch], words: int, least: float) -> It
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names)
 
 
+def _block_links(table: pa.Table, words: int, least: float) -> pa.Table:
+    """One link (a, b) for each two components that similar enough texts of a block connect.
+
+    Rows are (id, label, side, z): texts of one side are compared with each other, else those of the two sides.
+    """
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "label", "side", "z")), strict=True), key=lambda r: r[:3])
+    unpack = zstandard.ZstdDecompressor()
+    key, doc, _ = _counted([unpack.decompress(r[3]) for r in rows], words)
+    size = np.bincount(doc, minlength=len(rows))
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    end = np.append(begin[1:], len(key))
+    both = np.zeros((len(rows), len(rows)), np.int32)
+    for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
+        own = doc[a:b]
+        both[own[:, None], own] += 1
+    label, side = (np.array([r[k] for r in rows]) for k in (1, 2))
+    near = both >= least * (size[:, None] + size - both)
+    near &= (label[:, None] > label) & ((side[:, None] != side) | (side.min() == side.max()))
+    x, y = np.nonzero(near)
+    _, one = np.unique(np.stack([label[x], label[y]]), axis=1, return_index=True)
+    kind = table.schema.field("id").type
+    return pa.table({"a": pa.array([rows[i][0] for i in x[one]], kind), "b": pa.array([rows[i][0] for i in y[one]], kind)})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): for each id in the links (a, b), the least id of its component.
 
     Labels spread along links and then jump to their own label, until none changes. Each round is checkpointed.
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    parts = both.count() // ROWS_A_TASK + 1  # links are few beside documents, and each round has several shuffles
+    both = both.coalesce(parts)
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")).coalesce(parts))
     while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
+        met = both.join(labels, F.col("b") == F.col("id")).select("a", "label").coalesce(parts)
+        near = met.groupBy("a").agg(F.min("label").alias("m"))
         spread = labels.join(near, F.col("id") == F.col("a")).select(
             "id", F.col("label").alias("was"), F.least("label", "m").alias("label")
         )
         jump = labels.select(F.col("id").alias("at"), F.col("label").alias("to"))
-        new = cut(
-            spread.join(jump, F.col("label") == F.col("at")).select("id", "was", F.least("label", "to").alias("label"))
-        )
+        jumped = spread.coalesce(parts).join(jump, F.col("label") == F.col("at"))
+        new = cut(jumped.select("id", "was", F.least("label", "to").alias("label")).coalesce(parts))
         labels = new.select("id", "label")
         if new.where("label < was").isEmpty():
             return labels
@@ -165,8 +198,12 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     first = sketched.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("node"))
     nodes = sketched.join(first, "same").where("id = node").select("id", "same", "bands", "sketch")
     every = nodes.select("id", F.explode("bands").alias("band")).distinct()
-    full = every.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    members = cut(every.join(full.select("band"), "band"))
+    full = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = every.join(full, "band")
+    met = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    members = cut(shared.select("band", "id").join(met, "id"))
+    parts = members.count() // ROWS_A_TASK + 1
+    members = members.coalesce(parts)
     wanted = members.select("id").distinct()
     texts = source.mapInArrow(_packed, f"id {kind}, z binary").join(wanted, "id").distinct()
     held = cut(texts.join(nodes.select("id", "sketch"), "id"))
@@ -184,35 +221,39 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
         placed = members.withColumn("label", F.col("id")) if links is None else _labelled(members, links)
         hubs = (
             placed.groupBy("band")
-            .agg(F.min(F.struct("label", "id")).alias("hub"), F.max("label").alias("last"))
-            .where("hub.label < last")
+            .agg(F.max(F.struct("met", "id", "label")).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y"))
+            .where("x < y")
         )
         pairs = (
             placed.join(hubs, "band")
-            .where("label > hub.label")
+            .where("label <> hub.label")
             .groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         best = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-        best = cut(best)
-        found = verify(best)
+        best = cut(best.coalesce(parts))
+        found = verify(best).coalesce(parts)
         tried = best if tried is None else tried.union(best)
         links = cut(found if links is None else links.union(found))
-    placed = cut(_labelled(members, links))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    open_ = cut(placed.join(mixed.select("band"), "band").select("band", "id", "label"))
-    other = open_.select("band", F.col("id").alias("b"), F.col("label").alias("label_b"))
-    rest = (
-        open_.join(other, "band").where("label > label_b").select(F.col("id").alias("a"), "b").distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    placed = cut(_labelled(members, links).coalesce(parts))
+    mixed = placed.groupBy("band").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")
+    ).where("x < y")
+    open_ = placed.join(mixed.select("band", "n"), "band").join(held.select("id", "z"), "id")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("id"), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    placed_blocks = open_.select("band", "id", "label", "z", own.alias("own"), other.alias("other")).select(
+        "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "label", "own", "z"
     )
-    links = cut(links.union(verify(rest)))
+    found = placed_blocks.select("band", "x", "y", "id", "label", F.col("own").alias("side"), "z").groupBy("band", "x", "y")
+    links = cut(links.union(found.applyInArrow(lambda t: _block_links(t, words, least), f"a {kind}, b {kind}")))
     label = components(links)
     own = sketched.select("id", "same").join(first, "same", "left")
     return own.join(label.withColumnRenamed("id", "node"), "node", "left").select(
-        "id", "same", F.coalesce("label", "node", "id").alias("class_id")
+        "id", "same", F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id")).alias("class_id")
     )
 
 
