@@ -30,6 +30,7 @@ BLOCKS = frozenset(
     " form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary"
     " table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset("article main section div body td html".split())
 NEVER = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea input iframe svg canvas"
@@ -43,6 +44,7 @@ NOT_CONTENT = frozenset(
     " complementary search dialog alert alertdialog tags byline".split()
 )
 HEADERS = frozenset(("header", "banner", "masthead", "byline", "tags"))
+TEASERS = NOT_CONTENT - HEADERS | frozenset("teaser teasers reply".split())
 CONTENT = frozenset("article content main post entry story body text page wrapper container layout".split())
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)),
@@ -59,6 +61,8 @@ class Element:
     number: int
     excluded: bool
     article: bool
+    main: bool
+    teaser: bool
 
 
 @dataclass
@@ -67,6 +71,7 @@ class Line:
     tags: int = 0
     path: tuple[int, ...] = ()
     excluded: bool = True
+    teaser: bool = False
     tag: str = ""
 
 
@@ -86,7 +91,17 @@ class Collector(HTMLParser):
             self.lines.append(self.line)
             self.line = Line()
 
-    def excludes(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    def names(self, attrs: list[tuple[str, str | None]]) -> set[str]:
+        """Roles, and names in class and id unless one of them says that the element holds content."""
+        found = dict(attrs)
+        roles = set((found.get("role") or "").lower().split())
+        names = {n.lower() for k in ("class", "id") for n in NAME.findall(found.get(k) or "")}
+        if names & CONTENT and not names & {"comment", "comments", "ad", "ads", "sidebar"} or names & {"has", "with", "no"}:
+            names = set()
+        return names | roles
+
+    def excludes(self, tag: str, attrs: list[tuple[str, str | None]], up: Element) -> bool:
+        inside = up.article or up.main
         if tag in NEVER:
             return True
         if tag == "header":
@@ -96,16 +111,12 @@ class Collector(HTMLParser):
         found = dict(attrs)
         if "hidden" in found or found.get("aria-hidden") == "true" or HIDDEN.search(found.get("style") or ""):
             return True
-        if tag == "article" and inside:
-            return True  # a reader's comment or a teaser within the article
-        if not self.named or tag == "article" or not attrs:
+        if tag == "article":
+            return up.article and self.named  # a reader's comment or a teaser within the article
+        if not self.named or not attrs:
             return False
-        roles = set((found.get("role") or "").lower().split())
-        names = {n.lower() for k in ("class", "id") for n in NAME.findall(found.get(k) or "")}
-        if names & CONTENT and not names & {"comment", "comments", "ad", "ads", "sidebar"} or names & {"has", "with", "no"}:
-            names = set()
         known = NOT_CONTENT - HEADERS if inside else NOT_CONTENT | {"header"}
-        return bool((names | roles) & known)
+        return bool(self.names(attrs) & known)
 
     def close_to(self, at: int) -> None:
         del self.open[at:]
@@ -126,13 +137,14 @@ class Collector(HTMLParser):
             self.handle_data(" ")
         if tag in VOID:
             return
-        up = self.open[-1] if self.open else Element("", -1, False, False)
+        up = self.open[-1] if self.open else Element("", -1, False, False, False, False)
         number = up.number
         if tag in REGIONS:
             number = len(self.regions)
             self.regions.append(tag)
-        excluded = up.excluded or self.excludes(tag, attrs, up.article)
-        self.open.append(Element(tag, number, excluded, up.article or tag in ("article", "main")))
+        excluded = up.excluded or self.excludes(tag, attrs, up)
+        teaser = up.teaser or tag == "article" and self.named and bool(self.names(attrs) & TEASERS)
+        self.open.append(Element(tag, number, excluded, up.article or tag == "article", up.main or tag == "main", teaser))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -156,7 +168,7 @@ class Collector(HTMLParser):
         if not self.line.parts:
             if data.isspace():
                 return
-            self.line.excluded = up.excluded if up else False
+            self.line.excluded, self.line.teaser = (up.excluded, up.teaser) if up else (False, False)
             self.line.path = tuple(dict.fromkeys(e.number for e in self.open if e.number >= 0))
             self.line.tag = next((e.tag for e in reversed(self.open) if e.tag in BLOCKS), "")
         if up is None or up.excluded == self.line.excluded:
@@ -184,13 +196,28 @@ def _select(lines: list[Line], regions: list[str], share: float) -> list[str]:
     level = smooth(ratio)
     content = [i for i in np.flatnonzero(level >= share * level.std()).tolist() if usable[i]]
     content = content or [int(np.argmax(ratio))]
+    # comments and teasers in elements of their own go where an article or main holds content beside them
+    marked = lambda i: any(regions[r] in ("article", "main") for r in lines[i].path)
+    if any(x.teaser for x in lines) and (rest := [i for i in content if not lines[i].teaser and marked(i)]):
+        content = rest
+        usable = [u and not x.teaser for u, x in zip(usable, lines, strict=True)]
     inside: dict[int, int] = {}
     for i in content:
         for r in lines[i].path:
             inside[r] = inside.get(r, 0) + len(texts[i])
     best = max((r for r in inside if regions[r] in ("article", "main")), key=lambda r: (inside[r], r), default=None)
     if best is not None:
-        return [t for t, x, u in zip(texts, lines, usable, strict=True) if u and best in x.path]
+        path = next(lines[i].path for i in content if best in lines[i].path)
+        best = next((r for r in path[: path.index(best)] if regions[r] == "main"), best)
+        own = [i for i, x in enumerate(lines) if usable[i] and best in x.path]
+        held = {i for i in own if any(regions[r] == "article" for r in lines[i].path)}
+        if regions[best] == "article" or not held or any(best in lines[i].path and i not in held for i in content):
+            return [texts[i] for i in own]
+        # main's content is in its articles: all of them, each with the headings ahead of it
+        for at in range(len(own) - 1, 0, -1):
+            if own[at] in held and lines[own[at - 1]].tag in HEADINGS:
+                held.add(own[at - 1])
+        return [texts[i] for i in own if i in held]
     # no element says where the article is: the smallest region with most of the content, from its heading on
     total = sum(len(texts[i]) for i in content)
     deep = [r for r in inside if inside[r] >= 0.7 * total]

@@ -31,6 +31,25 @@ def test_main_text(html):
     assert html_text.main_text(html) == PAGES[html]
 
 
+OTHER = LONG.replace("article", "second piece")
+IN_MAIN = {
+    f"<body><nav>Home</nav><main><article><h1>T</h1><p>{LONG}</p><p>End.</p></article></main></body>": f"T\n{LONG}\nEnd.",
+    f"<main><section><h1>T</h1><article><p>{LONG}</p></article></section></main><p>{OTHER}</p>": f"T\n{LONG}",
+    f"<main><article><p>{LONG}</p></article><article><h2>S</h2><p>{OTHER}</p></article></main>": f"{LONG}\nS\n{OTHER}",
+    f"<main><article><p>{LONG * 9}</p></article><hr><hr><hr><hr><article><p>Short.</p></article></main>": f"{LONG * 9}\nShort.",
+    f"<main><article><p>{LONG}</p><article><p>{OTHER}</p></article></article></main>": LONG,
+    f"<main><article class=post><p>{LONG}</p></article><article class=teaser><p>{OTHER}</p></article></main>": LONG,
+    f"<main><article class=promo><p>{LONG}</p></article></main>": LONG,
+    f"<article><article><p>{LONG}</p></article></article>": LONG,
+    f"<main><p>Search here</p></main><article><p>{LONG}</p><p>{LONG}</p></article>": f"{LONG}\n{LONG}",
+}
+
+
+@pytest.mark.parametrize("html", IN_MAIN)
+def test_articles_in_main(html):
+    assert html_text.main_text(html) == IN_MAIN[html]
+
+
 def test_extract(spark):
     rows = spark.createDataFrame([(1, None, "old"), (1, "<p>x &eacute;</p>", None), (2, "<p>" + "w " * 40000, "c")], "page_id long, html string, text string")
     found = html_text.extract(rows).collect()
