@@ -3,7 +3,7 @@
 The standard library's parser feeds its events to a collector that cuts the page into lines at block elements and
 counts the tags of each. A line's ratio is its characters for each tag, nothing for lines inside elements that never
 hold an article's text (menus, forms, adverts, ...). The ratios are smoothed with a Gaussian, lines above one share of the
-smoothed ratios' standard deviation are content, and the region of the page that holds most of them is the article:
+smoothed ratios' standard deviation are content, and the region of the page that holds their clusters is the article:
 all its lines but the excluded ones, so its headings and short paragraphs stay.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SIGMA, RADIUS, SHARE = 1.0, 2, 0.5
+#: A cluster of content apart from the others is left out at the page's ends below this share of the largest one.
+OUTLIER = 0.1
 
 # Kinds of elements and names in classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +33,7 @@ BLOCKS = frozenset(
     " table tbody td tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT = frozenset("p li blockquote pre dd dt td th figcaption caption address summary".split())
 REGIONS = frozenset("article main section div body td html".split())
 NEVER = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea input iframe svg canvas"
@@ -209,27 +212,50 @@ def _select(lines: list[Line], regions: list[str], share: float) -> list[str]:
     if best is not None:
         path = next(lines[i].path for i in content if best in lines[i].path)
         best = next((r for r in path[: path.index(best)] if regions[r] == "main"), best)
+        if regions[best] == "article":  # every article of the page, so parts in sibling articles stay
+            own = [i for i, x in enumerate(lines) if usable[i] and any(regions[r] == "article" for r in x.path)]
+            return [texts[i] for i in own]
         own = [i for i, x in enumerate(lines) if usable[i] and best in x.path]
         held = {i for i in own if any(regions[r] == "article" for r in lines[i].path)}
-        if regions[best] == "article" or not held or any(best in lines[i].path and i not in held for i in content):
+        if not held or any(best in lines[i].path and i not in held for i in content):
             return [texts[i] for i in own]
         # main's content is in its articles: all of them, each with the headings ahead of it
         for at in range(len(own) - 1, 0, -1):
             if own[at] in held and lines[own[at - 1]].tag in HEADINGS:
                 held.add(own[at - 1])
         return [texts[i] for i in own if i in held]
-    # no element says where the article is: the smallest region with most of the content, from its heading on
-    total = sum(len(texts[i]) for i in content)
-    deep = [r for r in inside if inside[r] >= 0.7 * total]
-    best = max(deep, default=None)
+    # no element says where the article is: the smallest region with every cluster of content but outliers
+    seeds = _without_outliers(content, texts, usable)
+    shared = set(lines[seeds[0]].path).intersection(*(lines[i].path for i in seeds))
+    best = max(shared, default=None)
+    while best is not None and regions[best] == "section":  # a section is a part of what is around it
+        best = max((r for r in shared if r < best), default=None)
     here = [i for i, x in enumerate(lines) if usable[i] and (best is None or best in x.path)]
-    seeds = [i for i in here if i in set(content)]
-    first, last = min(seeds), max(seeds)
-    while (k := max((i for i in here if i < first), default=-1)) >= 0 and lines[k].tag in ("h1", "h2", "h3", "p"):
-        first = k
-    while (k := min((i for i in here if i > last), default=-1)) >= 0 and lines[k].tag in ("p", "li", "blockquote", "pre"):
-        last = k
-    return [texts[i] for i in here if first <= i <= last]
+    first, last = here.index(seeds[0]), here.index(seeds[-1])
+    while first > 0 and lines[here[first - 1]].tag in TEXT | HEADINGS:
+        first -= 1
+    for at in range(last + 1, len(here)):
+        if lines[here[at]].tag in TEXT:
+            last = at  # and the headings before it
+        elif lines[here[at]].tag not in HEADINGS:
+            break
+    return [texts[i] for i in here[first : last + 1]]
+
+
+def _without_outliers(content: list[int], texts: list[str], usable: list[bool]) -> list[int]:
+    """Content lines from the first to the last cluster that is not a clear outlier: a small one, apart from the others.
+
+    Clusters are runs of content with at most ``RADIUS`` usable lines and no excluded text between them.
+    """
+    clusters = [[content[0]]]
+    for i in content[1:]:
+        between = range(clusters[-1][-1] + 1, i)
+        if sum(usable[k] for k in between) > RADIUS or any(texts[k] and not usable[k] for k in between):
+            clusters.append([])
+        clusters[-1].append(i)
+    sizes = [sum(len(texts[i]) for i in c) for c in clusters]
+    kept = [n for n, size in enumerate(sizes) if size >= OUTLIER * max(sizes)]
+    return [i for c in clusters[kept[0] : kept[-1] + 1] for i in c]
 
 
 def main_text(html: str, share: float = SHARE) -> str:

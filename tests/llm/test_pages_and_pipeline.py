@@ -50,6 +50,21 @@ def test_articles_in_main(html):
     assert html_text.main_text(html) == IN_MAIN[html]
 
 
+IN_PARTS = {
+    f"<body><div class=post><section><h2>A</h2><p>{LONG * 3}</p></section><section><h2>B</h2><p>{OTHER}</p></section></div></body>": f"A\n{LONG * 3}\nB\n{OTHER}",
+    f"<body><div><h4>Head</h4><ul><li>one</ul><blockquote>said</blockquote><p>{LONG * 9}</p><p>{LONG * 9}</p><h2>End</h2><p>Short.</p><h2>None</h2></div></body>": f"Head\none\nsaid\n{LONG * 9}\n{LONG * 9}\nEnd\nShort.",
+    f"<article><p>{LONG * 3}</p></article><article><h2>B</h2><p>{OTHER}</p></article>": f"{LONG * 3}\nB\n{OTHER}",
+    f"<div><section><p>{LONG * 20}</p></section><section><h2>B</h2><p>{OTHER}</p></section></div>": f"{LONG * 20}\nB\n{OTHER}",
+    f"<div><p>{LONG * 3}</p></div><nav>menu</nav><div>{OTHER}</div>": f"{LONG * 3}\n{OTHER}",
+    f"<div><p>{LONG * 20}</p></div><nav>menu</nav><div>{OTHER}</div>": LONG * 20,
+}
+
+
+@pytest.mark.parametrize("html", IN_PARTS)
+def test_article_in_uneven_parts(html):
+    assert html_text.main_text(html) == IN_PARTS[html]
+
+
 def test_extract(spark):
     rows = spark.createDataFrame([(1, None, "old"), (1, "<p>x &eacute;</p>", None), (2, "<p>" + "w " * 40000, "c")], "page_id long, html string, text string")
     found = html_text.extract(rows).collect()
