@@ -1,9 +1,11 @@
-"""Near-duplicate classes by ProbMinHash sketches of weighted word shingles, banding and verification.
+"""Near-duplicate classes by ProbMinHash sketches of word shingles, banding and verification.
 
-Each distinct shingle of a text is a Poisson process whose rate is the shingle's weight, 1 + log2 of its count. Its
+Each distinct shingle of a text is a Poisson process whose rate is the shingle's weight. Its
 arrivals visit the registers in an order of its own, each register once, and a register keeps the shingle
 that arrives first. Shingles stop once their next arrival is later than every register's. Two texts agree in a
 register with their probability Jaccard similarity, so equal bands of six registers make them candidates.
+A text has two sketches: one with weights of 1, whose similarity is that of the sets of shingles, and one with weights
+of 1 + log2 of the counts; equal bands of either make candidates.
 Candidates are verified on their whole texts: the Jaccard similarity of the sets of shingles must reach 0.8.
 
 Texts of equal words are one node from the start. A bucket never emits its pairs: first each text is held against
@@ -28,7 +30,7 @@ from .shingles import SPREAD_B, U, mix, shingles, strides
 
 REGISTERS, ROWS, BANDS = 256, 6, 42
 LEAST = 0.8
-#: Pairs whose sketches agree in less of their registers are not verified; 0.8 lies over nine deviations above.
+#: Pairs whose sketches of weight 1 agree in less of their registers are not verified; 0.8 lies over nine deviations above.
 LEAST_ESTIMATE = 0.55
 HUB_ROUNDS = 2
 #: Rows of links or of bucket members for each task of the steps over them.
@@ -85,13 +87,19 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         for a, b in strides(pc.binary_length(batch.column(1)).to_pylist(), STRIDE):
             texts = batch.column(1)[a:b].to_pylist()
             key, doc, count = _counted(texts, words)
-            w = sketch(key, doc, 1 + np.log2(count), b - a)
-            band, small = bands(w).view("<i8"), (w & U(255)).astype(np.uint8)
+            w = sketch(key, doc, np.ones(len(key)), b - a)
+            band, small = list(bands(w).view("<i8")), (w & U(255)).astype(np.uint8)
+            # without repeated shingles the weighted sketch is the same; elsewhere its bands come beside the others
+            repeats = np.unique(doc[count > 1])
+            own = np.isin(doc, repeats)
+            weighted = sketch(key[own], np.searchsorted(repeats, doc[own]), 1 + np.log2(count[own]), len(repeats))
+            for i, more in zip(repeats.tolist(), bands(weighted).view("<i8"), strict=True):
+                band[i] = np.concatenate([band[i], more[more != band[i]]])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[a:b],
                     batch.column(2)[a:b],
-                    pa.array(list(band), pa.list_(pa.int64())),
+                    pa.array(band, pa.list_(pa.int64())),
                     pa.array([x.tobytes() for x in small], pa.binary()),
                 ],
                 ["id", "same", "bands", "sketch"],
@@ -268,7 +276,7 @@ def near_classes(
     is one shingle. Rows that share an id but not their words are separate members of their classes, though
     one node in the search for links. An empty table gives an empty result. Other columns are not carried.
 
-    A pair of similarity 0.8 shares no band with a probability of 3e-6. Sketches are checkpointed; texts pass one
+    A pair of similarity 0.8 shares no band with a probability of 3e-6, however each text repeats its shingles. Sketches are checkpointed; texts pass one
     shuffle, compressed, and only those with a candidate go further.
     """
     classed = _classed(docs, id_col, text_col, words, least)

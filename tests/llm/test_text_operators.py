@@ -109,6 +109,18 @@ def test_near_classes(docs, rows, monkeypatch):
     same([tuple(r) for r in near_dedup.near_classes(docs).collect()], expected)
 
 
+def test_near_classes_of_unequal_repetition(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(6):
+        words = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(200)]
+        rows += [(2 * i, " ".join(words), "en", "s0"), (2 * i + 1, " ".join(words + words[20:60] * 1000), "en", "s0")]
+    expected = near_classes(rows)
+    assert [n for *_, n in expected] == [2] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    same([tuple(r) for r in near_dedup.near_classes(docs).collect()], expected)
+
+
 def test_sketches_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     key = rng.integers(1, 2**63, 600).astype(np.uint64)
