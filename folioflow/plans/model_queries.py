@@ -31,13 +31,20 @@ def mod_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mod_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MOD05, STR08, STR12: blocks and made-up corrections of them through the guard."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.substring("text", 1, 400).alias("raw"))
+    """MOD05, STR08, STR12: every document's blocks of sentences and made-up corrections of them through the guard."""
+    paragraph = lambda x: F.struct(x.alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))
+    each = q.sentences_of(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), paragraph), 400)
+    cut = q.settled(table(spark, sf_dir, "documents").select("doc_id", "text"), "s", F.transform(each, lambda x: x["text"]))
+    cut = q.settled(cut, "g", q.pack(F.transform("s", F.length), 400, glue=1))
+    parts = cut.select("doc_id", F.posexplode_outer(F.arrays_zip("s", "g")).alias("i", "x"))
+    docs = parts.groupBy("doc_id", F.coalesce("x.g", F.lit(0)).alias("block")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "x.s"))), lambda x: x["s"]), " ").alias("raw")
+    )
     answer = F.when(F.col("doc_id") % 3 == 0, F.upper("raw")).when(F.col("doc_id") % 3 == 1, F.reverse("raw")).otherwise(F.concat(F.lit("Hier ist der Text:\n"), "raw"))
     rows = docs.withColumn("answer", t.clean_answer(answer))
     rows = rows.withColumn("alike", m.similarity(F.col("raw"), F.col("answer")))
     g = t.guard(F.col("raw"), F.col("answer"), F.col("alike"))
-    return rows.select("doc_id", F.round("alike", 6).alias("alike"), g["discarded"].alias("discarded"), g["reason"].alias("reason"))
+    return rows.select("doc_id", "block", F.round("alike", 6).alias("alike"), g["discarded"].alias("discarded"), g["reason"].alias("reason"))
 
 
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:

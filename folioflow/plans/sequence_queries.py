@@ -87,7 +87,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("source").orderBy("doc_id")
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("work_id"), F.row_number().over(w).alias("ordinal"), (F.col("doc_id") % 4).cast("int").alias("level"),
-        F.substring("text", 1, 12).alias("title"), F.substring("text", 13, 900).alias("text"),
+        F.substring("text", 1, 12).alias("title"), F.expr("substring(text, 13)").alias("text"),
         F.coalesce(F.sum(F.length("text") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("position_from"),
     )
 

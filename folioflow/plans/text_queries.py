@@ -133,7 +133,7 @@ def str_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def str_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR10-STR12 over documents and made-up answers to them; the similarity is that of lengths."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 600).alias("raw"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
     k = F.col("doc_id") % 6
     answer = (
         F.when(k == 0, F.concat(F.lit("<think>hm</think>Hier ist der korrigierte Text:\n"), F.col("raw")))
