@@ -6,9 +6,6 @@ result as a table. Spark never drops events under load, it reads fewer files a b
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,12 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary folder where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-")
-    base = base if "://" in base else f"file://{os.path.abspath(base.removeprefix('file:'))}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..shared import remove_folder, shared_folder
 
 
 def events(spark: SparkSession, folder: str, glob: str, schema: Any, files_per_batch: int = 100) -> DataFrame:
@@ -45,6 +37,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark.createDataFrame([], schema).write.parquet(f"{out}/start")  # so that a stream without events has a result
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+    remove_folder(spark, state)
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
 
 
