@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, remove_folder, shared_folder
+
+__all__ = ["WHITE", "WHITE_CLASS", "cut", "let", "remove_folder", "shared_folder", "table", "text_of"]
+
 #: ASCII white space, the separators between words.
 WHITE = " \t\n\x0b\f\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
@@ -19,22 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="folioflow-"))
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path, as a URI, in the folder that all executors share; a temporary folder where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-")
-    base = base if "://" in base else f"file://{os.path.abspath(base.removeprefix('file:'))}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def text_of(column: str = "text") -> Column:
     """The column with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
