@@ -4,14 +4,15 @@ Each distinct shingle of a text is a Poisson process whose rate is the shingle's
 arrivals visit the registers in an order of its own, each register once, and a register keeps the shingle
 that arrives first. Shingles stop once their next arrival is later than every register's. Two texts agree in a
 register with their probability Jaccard similarity, so equal bands of six registers make them candidates.
-A text has two sketches: one with weights of 1, whose similarity is that of the sets of shingles, and one with weights
-of 1 + log2 of the counts; equal bands of either make candidates.
-Candidates are verified on their whole texts: the Jaccard similarity of the sets of shingles must reach 0.8.
+A text has two sketches: one with weights of 1, for which that similarity is the Jaccard similarity of the sets of
+shingles, and, where it repeats shingles, one with weights of 1 + log2 of the counts; equal bands of either make candidates.
+Candidates are verified on their whole texts by the same two measures, computed exactly: either must reach 0.8.
 
 Texts of equal words are one node from the start. A bucket never emits its pairs: first each text is held against
 one hub at a time, the text of a bucket that meets most others, and verified links make components. Only buckets with
 several components are then left. These are compared whole, in blocks of bounded size, by counting shared
-shingles; a block gives one link for each two components that it connects.
+shingles; a block gives one link for each two components that it connects. The largest component of a bucket is not
+compared with itself, so its texts go to one block for each block of the others.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .shingles import SPREAD_B, U, mix, shingles, strides
 
 REGISTERS, ROWS, BANDS = 256, 6, 42
 LEAST = 0.8
-#: Pairs whose sketches of weight 1 agree in less of their registers are not verified; 0.8 lies over nine deviations above.
+#: Pairs whose sketches agree in less of their registers, by either measure, are not verified; 0.8 lies over nine deviations above.
 LEAST_ESTIMATE = 0.55
 HUB_ROUNDS = 2
 #: Rows of links or of bucket members for each task of the steps over them.
@@ -82,26 +83,46 @@ def bands(winners: np.ndarray, rows: int = ROWS, n: int = BANDS) -> np.ndarray:
     return key
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """A shingle's weight by its count in the text."""
+    return 1 + np.log2(count)
+
+
+def probability_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.ndarray) -> float:
+    """Sum over shared keys of 1 / sum over all keys of max(a_j / a_i, b_j / b_i); ``ka`` and ``kb`` are sorted and distinct.
+
+    For key i the maximum is a_j / a_i where a_j / b_j is at least a_i / b_i, and b_j / b_i elsewhere, so keys in order
+    of that quotient need two running sums.
+    """
+    key, place = np.unique(np.concatenate([ka, kb]), return_inverse=True)
+    a, b = np.zeros(len(key)), np.zeros(len(key))
+    a[place[: len(ka)]], b[place[len(ka) :]] = wa, wb
+    with np.errstate(divide="ignore"):
+        order = np.argsort(a / b, kind="stable")
+    a, b = a[order], b[order]
+    above, below = np.cumsum(a[::-1])[::-1], np.cumsum(b) - b
+    both = (a > 0) & (b > 0)
+    a, b, above, below = a[both], b[both], above[both], below[both]
+    return float((1 / (above / a + below / b)).sum())
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in strides(pc.binary_length(batch.column(1)).to_pylist(), STRIDE):
             texts = batch.column(1)[a:b].to_pylist()
             key, doc, count = _counted(texts, words)
             w = sketch(key, doc, np.ones(len(key)), b - a)
-            band, small = list(bands(w).view("<i8")), (w & U(255)).astype(np.uint8)
-            # without repeated shingles the weighted sketch is the same; elsewhere its bands come beside the others
+            band, small = list(bands(w).view("<i8")), [x.tobytes() for x in (w & U(255)).astype(np.uint8)]
+            # without repeated shingles the weighted sketch is the same; elsewhere its bands and registers come behind the others
             repeats = np.unique(doc[count > 1])
             own = np.isin(doc, repeats)
-            weighted = sketch(key[own], np.searchsorted(repeats, doc[own]), 1 + np.log2(count[own]), len(repeats))
-            for i, more in zip(repeats.tolist(), bands(weighted).view("<i8"), strict=True):
+            weighted = sketch(key[own], np.searchsorted(repeats, doc[own]), weights(count[own]), len(repeats))
+            low = (weighted & U(255)).astype(np.uint8)
+            for n, (i, more) in enumerate(zip(repeats.tolist(), bands(weighted).view("<i8"), strict=True)):
                 band[i] = np.concatenate([band[i], more[more != band[i]]])
+                small[i] += low[n].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0)[a:b],
-                    batch.column(2)[a:b],
-                    pa.array(band, pa.list_(pa.int64())),
-                    pa.array([x.tobytes() for x in small], pa.binary()),
-                ],
+                [batch.column(0)[a:b], batch.column(2)[a:b], pa.array(band, pa.list_(pa.int64())), pa.array(small, pa.binary())],
                 ["id", "same", "bands", "sketch"],
             )
 
@@ -120,21 +141,33 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), z], ["id", "z"])
 
 
+def _agree(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Shares of equal registers of pairs of sketches."""
+    same = np.frombuffer(b"".join(x), np.uint8) == np.frombuffer(b"".join(y), np.uint8)
+    return same.reshape(-1, REGISTERS).mean(axis=1)
+
+
 def _verified(batches: Iterator[pa.RecordBatch], words: int, least: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of (a, b, za, zb, sa, sb), ids, texts and sketches, whose shingle sets are similar enough."""
+    """The pairs of (a, b, za, zb, sa, sb), ids, texts and sketches, that are similar enough by either measure."""
     unpack, names = zstandard.ZstdDecompressor(), ["a", "b"]
     for batch in batches:
-        sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8) for k in (4, 5))
-        agree = (sa == sb).reshape(-1, REGISTERS).sum(axis=1)
-        batch = batch.filter(pa.array(agree >= LEAST_ESTIMATE * REGISTERS))
+        sa, sb = (batch.column(k).to_pylist() for k in (4, 5))
+        own, weighted = ([[x[at] for x in s] for s in (sa, sb)] for at in (slice(REGISTERS), slice(-REGISTERS, None)))
+        likely = np.maximum(_agree(*own), _agree(*weighted)) >= LEAST_ESTIMATE
+        batch = batch.filter(pa.array(likely))
         za, zb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         keep = np.zeros(len(za), bool)
         for i, j in strides([len(x) + len(y) for x, y in zip(za, zb, strict=True)], STRIDE // 4):
-            key, doc, _ = _counted([unpack.decompress(z) for pair in zip(za[i:j], zb[i:j], strict=True) for z in pair], words)
+            key, doc, count = _counted([unpack.decompress(z) for pair in zip(za[i:j], zb[i:j], strict=True) for z in pair], words)
             order = np.lexsort((key, doc // 2))
-            key, pair = key[order], (doc // 2)[order]
-            both = np.bincount(pair[1:][(key[1:] == key[:-1]) & (pair[1:] == pair[:-1])], minlength=j - i)
-            keep[i:j] = both >= least * (np.bincount(pair, minlength=j - i) - both)
+            k, pair = key[order], (doc // 2)[order]
+            both = np.bincount(pair[1:][(k[1:] == k[:-1]) & (pair[1:] == pair[:-1])], minlength=j - i)
+            near = both >= least * (np.bincount(pair, minlength=j - i) - both)
+            begin, w = np.searchsorted(doc, np.arange(2 * (j - i) + 1)), weights(count)
+            for n in np.flatnonzero(~near & (np.bincount(pair, count[order] > 1, minlength=j - i) > 0)).tolist():
+                x, y = slice(begin[2 * n], begin[2 * n + 1]), slice(begin[2 * n + 1], begin[2 * n + 2])
+                near[n] = probability_jaccard(key[x], w[x], key[y], w[y]) >= least
+            keep[i:j] = near
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names)
 
 
@@ -145,20 +178,35 @@ def _block_links(table: pa.Table, words: int, least: float) -> pa.Table:
     """
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "label", "side", "z")), strict=True), key=lambda r: r[:3])
     unpack = zstandard.ZstdDecompressor()
-    key, doc, _ = _counted([unpack.decompress(r[3]) for r in rows], words)
+    key, doc, count = _counted([unpack.decompress(r[3]) for r in rows], words)
     size = np.bincount(doc, minlength=len(rows))
+    place, at = np.searchsorted(doc, np.arange(len(rows) + 1)), key
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
+    key, owner = key[order], doc[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
     end = np.append(begin[1:], len(key))
     both = np.zeros((len(rows), len(rows)), np.int32)
     for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
-        own = doc[a:b]
+        own = owner[a:b]
         both[own[:, None], own] += 1
-    label, side = (np.array([r[k] for r in rows]) for k in (1, 2))
-    near = both >= least * (size[:, None] + size - both)
-    near &= (label[:, None] > label) & ((side[:, None] != side) | (side.min() == side.max()))
-    x, y = np.nonzero(near)
+    _, label = np.unique([r[1] for r in rows], return_inverse=True)
+    side = np.array([r[2] for r in rows])
+    other = (label[:, None] != label) & ((side[:, None] != side) | (side.min() == side.max()))
+    near = other & (both >= least * (size[:, None] + size - both))
+    # the second measure, for texts that repeat shingles; it is at most the sum of the lesser shares of the weights
+    w = weights(count)
+    share = w / np.bincount(doc, w, minlength=len(rows))[doc]
+    held = share[order]
+    for i in np.unique(doc[count > 1]).tolist():
+        mine = slice(place[i], place[i + 1])
+        runs = np.searchsorted(key[begin], at[mine])
+        n = (end - begin)[runs]
+        spots = np.repeat(begin[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        most = np.bincount(owner[spots], np.minimum(held[spots], np.repeat(share[mine], n)), minlength=len(rows))
+        for j in np.flatnonzero(other[i] & ~near[i] & (most >= least - 1e-9)).tolist():
+            yours = slice(place[j], place[j + 1])
+            near[i, j] = near[j, i] = probability_jaccard(at[mine], w[mine], at[yours], w[yours]) >= least
+    x, y = np.nonzero(near & (label[:, None] > label))
     _, one = np.unique(np.stack([label[x], label[y]]), axis=1, return_index=True)
     kind = table.schema.field("id").type
     return pa.table({"a": pa.array([rows[i][0] for i in x[one]], kind), "b": pa.array([rows[i][0] for i in y[one]], kind)})
@@ -240,23 +288,26 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
         )
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+        best = pairs.groupBy("a").agg(F.min_by("b", F.struct((-F.col("n")).alias("n"), "b")).alias("b"))
         best = cut(best.coalesce(parts))
         found = verify(best).coalesce(parts)
         tried = best if tried is None else tried.union(best)
         links = cut(found if links is None else links.union(found))
     placed = cut(_labelled(members, links).coalesce(parts))
-    mixed = placed.groupBy("band").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")
-    ).where("x < y")
-    open_ = placed.join(mixed.select("band", "n"), "band").join(held.select("id", "z"), "id")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    placed_blocks = open_.select("band", "id", "label", "z", own.alias("own"), other.alias("other")).select(
-        "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "label", "own", "z"
+    sizes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "label"))["label"].alias("most")
+    mixed = sizes.groupBy("band").agg(largest, F.sum("n").alias("all"), F.max("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    open_ = placed.join(mixed, "band").join(held.select("id", "z"), "id")
+    # blocks of the largest component come first, and only blocks of the others meet all blocks
+    main, rest = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("all") - F.col("n")) / BLOCK)
+    within, h = F.col("label") == F.col("most"), F.xxhash64("id")
+    own = F.when(within, F.pmod(h, main)).otherwise(main + F.pmod(h, rest))
+    other = F.explode(F.sequence(F.when(within, main).otherwise(F.lit(0).cast("long")), main + rest - 1))
+    found = (
+        open_.select("band", "id", "label", "z", own.alias("side"), other.alias("other"))
+        .select("band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "id", "label", "side", "z")
+        .groupBy("band", "x", "y")
     )
-    found = placed_blocks.select("band", "x", "y", "id", "label", F.col("own").alias("side"), "z").groupBy("band", "x", "y")
     links = cut(links.union(found.applyInArrow(lambda t: _block_links(t, words, least), f"a {kind}, b {kind}")))
     label = components(links)
     own = sketched.select("id", "same").join(first, "same", "left")
@@ -270,14 +321,15 @@ def near_classes(
 ) -> DataFrame:
     """(id, class_id, n_class): one row per input row; the class is named by the least id in it.
 
-    Classes are the connected components of texts of equal words and of texts whose sets of shingles have a Jaccard
-    similarity of ``least`` or more. A null text counts as empty; texts without a word, and rows with a null id, are
+    Classes are the connected components of texts of equal words and of texts with a similarity of ``least`` or more: the
+    Jaccard similarity of their sets of shingles, or the probability Jaccard similarity of their shingles with weights of
+    1 + log2 of the counts, whichever is greater. Ids are of any type that has an order. A null text counts as empty; texts without a word, and rows with a null id, are
     in no class with others: their class id is their own id, ``n_class`` 1. A text of fewer words than a shingle
-    is one shingle. Rows that share an id but not their words are separate members of their classes, though
-    one node in the search for links. An empty table gives an empty result. Other columns are not carried.
+    is one shingle. Rows that share an id but not their words are separate members of their
+    classes, though one node in the search for links. An empty table gives an empty result. Other columns are not carried.
 
-    A pair of similarity 0.8 shares no band with a probability of 3e-6, however each text repeats its shingles. Sketches are checkpointed; texts pass one
-    shuffle, compressed, and only those with a candidate go further.
+    A pair of similarity 0.8 shares no band of that measure's sketch with a probability of 3e-6, however each text repeats
+    its shingles. Sketches are checkpointed; texts pass one shuffle, compressed, and only those with a candidate go further.
     """
     classed = _classed(docs, id_col, text_col, words, least)
     sizes = classed.where("class_id is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("n_class"))

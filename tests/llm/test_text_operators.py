@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from folioflow.llm import byte_bpe, license_scan, line_dedup, mixing, mpeg_audio, near_dedup, phrase_dedup, quality_rules, queries
@@ -71,13 +74,26 @@ def test_phrase_dedup(docs, rows):
     assert phrase_dedup.phrase_dedup(docs.limit(0)).count() == 0
 
 
-def shingle_set(text):
+def shingle_counts(text):
     w = WORDS.findall(text or "")
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def probability_jaccard(x, y):
+    a, b = ({k: 1 + math.log2(n) for k, n in c.items()} for c in (x, y))
+    return sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a | b) for d in a.keys() & b.keys())
+
+
+def similar(x, y):
+    if not x or not y or not x.keys() & y.keys():
+        return False
+    if len(x.keys() & y.keys()) >= 0.8 * len(x.keys() | y.keys()):
+        return True
+    return max([*x.values(), *y.values()]) > 1 and probability_jaccard(x, y) >= 0.8
 
 
 def near_classes(rows):
-    sets = [(i, shingle_set(t)) for i, t, *_ in rows]
+    sets = [(i, shingle_counts(t)) for i, t, *_ in rows]
     parent = list(range(len(sets)))
 
     def find(x):
@@ -88,7 +104,7 @@ def near_classes(rows):
     for a in range(len(sets)):
         for b in range(a):
             (i, x), (j, y) = sets[a], sets[b]
-            if i is not None and j is not None and x and len(x & y) >= 0.8 * len(x | y):
+            if i is not None and j is not None and similar(x, y):
                 parent[find(a)] = find(b)
     groups = defaultdict(list)
     for k in range(len(sets)):
@@ -109,16 +125,47 @@ def test_near_classes(docs, rows, monkeypatch):
     same([tuple(r) for r in near_dedup.near_classes(docs).collect()], expected)
 
 
-def test_near_classes_of_unequal_repetition(spark):
+def test_near_classes_of_string_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [("b", " ".join(words)), ("a", " ".join([*words, "more"])), ("c", "other words here " * 9), ("10", " ".join(words)), ("9", None)]
+    found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    same([tuple(r) for r in found], near_classes(rows))
+
+
+def unequal_rows():
+    """Pairs near by their sets alone, by their weighted shingles alone, and by neither."""
     rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
     rows = []
     for i in range(6):
-        words = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(200)]
-        rows += [(2 * i, " ".join(words), "en", "s0"), (2 * i + 1, " ".join(words + words[20:60] * 1000), "en", "s0")]
+        words = [word() for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[20:60] * 1000))]
+    for i in range(6, 12):
+        same_, own, more = ([word() for _ in range(n)] for n in (60, 20, 20))
+        rows += [(2 * i, " ".join(same_ * 500 + own)), (2 * i + 1, " ".join(same_ * 500 + more))]
+    for i in range(12, 15):
+        same_, own, more = ([word() for _ in range(n)] for n in (60, 20, 20))
+        rows += [(2 * i, " ".join(same_ * 2 + own)), (2 * i + 1, " ".join(same_ * 2 + more))]
+    return rows
+
+
+def test_near_classes_of_unequal_repetition(spark, monkeypatch):
+    rows = unequal_rows()
     expected = near_classes(rows)
-    assert [n for *_, n in expected] == [2] * 12
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert [n for *_, n in sorted(expected)] == [2] * 24 + [1] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     same([tuple(r) for r in near_dedup.near_classes(docs).collect()], expected)
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 1)
+    same([tuple(r) for r in near_dedup.near_classes(docs).collect()], expected)
+
+
+def test_block_links():
+    texts = [t.encode() for _, t in unequal_rows()]
+    pack = zstandard.ZstdCompressor().compress
+    n = len(texts)
+    found = near_dedup._block_links(pa.table({"id": range(n), "label": range(n), "side": [0] * n, "z": [pack(t) for t in texts]}), 5, 0.8)
+    counts = [shingle_counts(t.decode()) for t in texts]
+    assert {frozenset(p) for p in zip(*found.to_pydict().values())} == {frozenset((i, j)) for i in range(n) for j in range(i) if similar(counts[i], counts[j])}
 
 
 def test_sketches_estimate_probability_jaccard():
@@ -217,22 +264,34 @@ def test_flat_files_that_end_open(spark, tmp_path):
 
 def test_mixing(spark):
     weights = {"a": 5, "b": 3, None: 2}
-    rows = [(n * 7 % 5003, s) for n, s in enumerate(["a"] * 2600 + ["b"] * 1500 + [None] * 1000 + ["c"] * 480)] + [(None, "c"), (3, "c"), (3, "c")]
+    spread = lambda n: (n * 0x9E3779B97F4A7C15 + 11) % 2**64 - 2**63  # ids as hashes give them
+    names = ["a"] * 2600 + ["b"] * 1500 + [None] * 1000 + ["c"] * 200 + ["d"] * 150 + ["e"] * 140
+    rows = [(spread(n), s) for n, s in enumerate(names)] + [(None, "c"), (3, "c"), (3, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, source string").withColumn("slot", F.lit("clash"))
-    found = mixing.mix_sources(docs, weights, block=4, span=512).collect()
-    same([(r.doc_id, r.source) for r in found], rows)
-    slot_of = {(r.source, r.block): r.slot for r in found}
-    assert len(set(slot_of.values())) == len(slot_of) and all(r.release <= r.slot < r.deadline for r in found)
-    for s, n in {**weights, "c": 1}.items():
-        slots = sorted(v for (x, _), v in slot_of.items() if x == s)
-        assert all(abs(done - (slot + 1) * n / 11) < 1 for done, slot in enumerate(slots, 1))
-        order = [r for r in sorted((r for r in found if r.source == s), key=lambda r: (r.block, r.doc_id is not None, r.doc_id or 0))]
-        assert [r.doc_id or -1 for r in order] == sorted(r.doc_id or -1 for r in order)
+    for large in (mixing.LARGE, 500):
+        found = mixing.mix_sources(docs, weights, block=4, large=large).collect()
+        same([(r.doc_id, r.source) for r in found], rows)
+        slot_of = {(r.source, r.block): r.slot for r in found}
+        assert len(set(slot_of.values())) == len(slot_of) and all(r.release <= r.slot < r.deadline for r in found)
+        ends = [max(v for (x, _), v in slot_of.items() if x == s) for s in "abcde"]
+        for s, share in {"a": 5 / 11, "b": 3 / 11, None: 2 / 11, "c": 1 / 33, "d": 1 / 33, "e": 1 / 33}.items():
+            slots = sorted(v for (x, _), v in slot_of.items() if x == s)
+            assert all(abs(sum(v < t for v in slots) - t * share) < 1 for t in range(min(ends)))
+            order = [r for r in sorted((r for r in found if r.source == s), key=lambda r: (r.block, r.doc_id is not None, r.doc_id or 0))]
+            assert [-(2**64) if r.doc_id is None else r.doc_id for r in order] == sorted(-(2**64) if r.doc_id is None else r.doc_id for r in order)
     assert mixing.mix_sources(docs.limit(0), weights).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(docs, {"a": 0})
 
 
+def test_mixing_of_very_many_sources(spark, monkeypatch):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id") % 25_000).alias("source"))
+    for most in (mixing.BROADCAST, 0):
+        monkeypatch.setattr(mixing, "BROADCAST", most)
+        found = mixing.mix_sources(docs, {"host7": 3}, 2, block=1).agg(F.count("slot"), F.count_distinct("slot"), F.count_distinct("source")).first()
+        assert tuple(found) == (60_000, 60_000, 25_000)
+
+
 def test_license_scan(spark):
     rng = np.random.default_rng(3)
     plain = lambda: " ".join("".join(rng.choice(list("aeiounrst"), rng.integers(2, 9))) for _ in range(40))
