@@ -27,8 +27,8 @@ from .common import shared_folder, table
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The id that ends documents in flat files of these ranks, free in them.
 END_OF_DOCUMENT = 50256
-#: Target weights of the mix, in parts; other sources have one part.
-PARTS = {"src0": 4, "src1": 3, "src2": 2}
+#: Target weights of the mix, in parts, and the parts that all other sources share.
+PARTS, OTHER_PARTS = {"src0": 4, "src1": 3, "src2": 2}, 11
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), PARTS)
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), PARTS, OTHER_PARTS)
     return mixed.select("doc_id", "source", "block", "release", "deadline", "slot")
 
 
@@ -103,9 +103,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
-    decoded = byte_bpe.decode(encoded, RANKS, PATTERN)
-    return decoded.select(
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN, decoded=True)
+    return encoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -157,10 +156,18 @@ GROUP BY l.doc_id
 WITH RECURSIVE n AS (
   SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 16 AS block FROM documents),
 s AS (
-  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS i,
-    CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END AS parts
+  SELECT source, CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 END AS own
   FROM (SELECT DISTINCT source FROM documents)),
-t AS (SELECT sum(parts)::BIGINT AS total, list(parts ORDER BY i) AS parts FROM s),
+k AS (
+  SELECT *, CASE WHEN own IS NULL THEN count(*) OVER (PARTITION BY own IS NULL) ELSE 1 END AS rivals,
+    CASE WHEN own IS NULL THEN row_number() OVER (PARTITION BY own IS NULL ORDER BY md5(CASE WHEN source IS NULL THEN '' ELSE '=' || source END)) - 1
+      ELSE 0 END AS turn,
+    CASE WHEN own IS NULL THEN 'others' ELSE source END AS entry
+  FROM s),
+e AS (
+  SELECT entry, coalesce(any_value(own), 11) AS parts, row_number() OVER (ORDER BY any_value(own) IS NULL, entry) AS i
+  FROM k GROUP BY entry),
+t AS (SELECT sum(parts)::BIGINT AS total, list(parts ORDER BY i) AS parts FROM e),
 plan AS (
   SELECT 0::BIGINT AS slot, list_transform(parts, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM t
   UNION ALL
@@ -173,10 +180,13 @@ plan AS (
   WHERE slot < total),
 slots AS (
   SELECT pick AS i, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS nth
-  FROM plan WHERE pick IS NOT NULL)
-SELECT n.doc_id, n.source, n.block, n.block * t.total // s.parts AS release,
-  ((n.block + 1) * t.total + s.parts - 1) // s.parts AS deadline, n.block // s.parts * t.total + slots.slot AS slot
-FROM n JOIN s ON n.source IS NOT DISTINCT FROM s.source JOIN slots ON slots.i = s.i AND slots.nth = n.block % s.parts, t
+  FROM plan WHERE pick IS NOT NULL),
+m AS (
+  SELECT n.doc_id, n.source, n.block, n.block * k.rivals + k.turn AS nth, e.i, e.parts
+  FROM n JOIN k ON n.source IS NOT DISTINCT FROM k.source JOIN e ON e.entry = k.entry)
+SELECT m.doc_id, m.source, m.block, m.nth * t.total // m.parts AS release,
+  ((m.nth + 1) * t.total + m.parts - 1) // m.parts AS deadline, m.nth // m.parts * t.total + slots.slot AS slot
+FROM m JOIN slots ON slots.i = m.i AND slots.nth = m.nth % m.parts, t
 """,
     "op8_quality_rules": r"""
 WITH d AS (
