@@ -20,10 +20,15 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _said(line: Column) -> Column:
+    """Whether a line holds more than white space."""
+    return F.translate(line, WHITE, "") != ""
+
+
 def _numbered(text: Column) -> Column:
     """Array of (p: position among all lines, s: the line) of the lines with more than white space."""
     every = F.transform(_lines(text), lambda s, i: F.struct(i.alias("p"), s.alias("s")))
-    return F.filter(every, lambda x: F.translate(x["s"], WHITE, "") != "")
+    return F.filter(every, lambda x: _said(x["s"]))
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -83,7 +88,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
 
     return (
-        joined.withColumn("n_lines", F.size(_numbered(text)).cast("long"))
+        joined.withColumn("n_lines", F.size(F.filter(_lines(text), _said)).cast("long"))
         .withColumn("n_removed_lines", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
         .withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(let(_lines(text), rest)))
         .drop("__gone", "__id")
