@@ -24,14 +24,33 @@ from .common import text_of
 
 #: Pieces of more bytes merge along a heap of pairs instead: a matrix row would need as many rounds as bytes.
 LONGEST_ROW = 256
-#: Pieces whose ids a worker remembers, and characters it cuts into pieces at a time.
-REMEMBERED, STRIDE = 120_000, 1 << 20
+#: Bytes of pieces and ids that a worker remembers in each of two tables, and characters it cuts into pieces at a time.
+REMEMBERED, STRIDE = 4 << 20, 1 << 20
 #: Fixed value: the pattern under which a piece never goes on from another character into a space, and takes one
 #: space before it along. Words between single spaces are then cut by themselves, and remembered whole.
 CUT_AT_SPACES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
 NONE = np.int32(2**31 - 1)
 
 
+class Memory(dict):
+    """Ids by piece, emptied before it holds more than about ``most`` bytes of pieces and ids."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """The pieces not known; all of them where the memory is full, which empties it."""
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        return [p for p in wanted if p not in self]
+
+    def learn(self, pieces: list[str], ids: list[bytes | None]) -> None:
+        self.update(zip(pieces, ids, strict=True))
+        self.held += sum(map(len, pieces)) + sum(len(x) for x in ids if x)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their ranks from a file of lines ``base64 rank``."""
     with open(path, "rb") as f:
@@ -48,8 +67,7 @@ class Tokenizer:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.seen: dict[str, bytes] = {}
-        self.words: dict[str, bytes | None] = {}
+        self.seen, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
         self.by_word = pattern in CUT_AT_SPACES
         self._hash_pairs()
 
@@ -164,24 +182,19 @@ class Tokenizer:
         for piece in pieces:
             raw = piece.encode("utf-8", "replace")
             if (rank := self.ranks.get(raw)) is not None:
-                self.seen[piece] = rank.to_bytes(4, "little")
+                self.seen.learn([piece], [rank.to_bytes(4, "little")])
             elif len(raw) > LONGEST_ROW:
-                self.seen[piece] = self._merge_long(raw).astype("<u4").tobytes()
+                self.seen.learn([piece], [self._merge_long(raw).astype("<u4").tobytes()])
             else:
                 buckets.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for rows in buckets.values():
             for start in range(0, len(rows), 8192):
                 part = rows[start : start + 8192]
-                self.seen.update(zip([p for p, _ in part], self._merge_rows([raw for _, raw in part]), strict=True))
+                self.seen.learn([p for p, _ in part], self._merge_rows([raw for _, raw in part]))
 
     def _encode_pieces(self, texts: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(text) for text in texts]
-        pieces = set(chain.from_iterable(cut))
-        new = {p for p in pieces if p not in self.seen}
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
-            new = pieces
-        self._learn(list(new))
+        self._learn(self.seen.missing(set(chain.from_iterable(cut))))
         return [b"".join(map(self.seen.__getitem__, pieces)) for pieces in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -190,14 +203,10 @@ class Tokenizer:
             return self._encode_pieces(texts)
         first, rest = zip(*(text.partition(" ")[::2] for text in texts), strict=True)
         cut = [x.split(" ") if " " in text else [] for x, text in zip(rest, texts, strict=True)]
-        words = set(chain.from_iterable(cut))
-        new = {w for w in words if w not in self.words}
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = words
+        new = self.words.missing(set(chain.from_iterable(cut)))
         inner = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        self.words.update(dict.fromkeys(new))  # None: what stands here is cut together with its neighbours
-        self.words.update(zip(inner, self._encode_pieces([" " + w for w in inner]), strict=True))
+        self.words.learn(new, [None] * len(new))  # None: what stands here is cut together with its neighbours
+        self.words.learn(inner, self._encode_pieces([" " + w for w in inner]))
         out: list[bytes | None] = []
         for lead, parts in zip(first, cut, strict=True):
             try:
@@ -231,25 +240,35 @@ def strides(texts: list[str], chars: int = STRIDE) -> Iterator[list[str]]:
         yield run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
     """(id, n_tokens, ids): the ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
-    One row per input row, repeated rows and null ids included; a null text counts as empty and has no ids.
-    No shuffle; a task holds one Arrow batch and the pieces of about a million characters. Other columns are
-    not carried. ``path`` and ``pattern`` are opened and compiled on the workers.
+    With ``decoded`` a column of that name has the bytes that the packed ids stand for, decoded in the same pass. One row
+    per input row, repeated rows and null ids included; a null text counts as empty and has no ids, an empty table gives
+    an empty result. No shuffle; a task holds one Arrow batch and the pieces of about a million characters, and remembers
+    a bounded number of bytes. Other columns are not carried, whatever their names. ``path`` and ``pattern`` are opened
+    and compiled on the workers.
     """
     source = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
+    kind = source.schema[id_col].dataType.simpleString()
+    names = [id_col, "n_tokens", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in batches:
-            ids = [x for run in strides(batch.column(1).to_pylist()) for x in own.encode(run)]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names)
-
-    kind = source.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_tokens", "ids"]
-    return source.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary")
+            at = 0
+            for texts in strides(batch.column(1).to_pylist()):
+                ids = own.encode(texts)
+                columns = [batch.column(0).slice(at, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(ids)
+
+    ddl = f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return source.mapInArrow(run, ddl)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
