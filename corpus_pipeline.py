@@ -15,8 +15,8 @@ from folioflow.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-#: Target weights of the mix, in parts; other sources have one part.
-PARTS = {"src0": 4, "src1": 3, "src2": 2}
+#: Target weights of the mix, in parts, and the parts that all other sources share.
+PARTS, OTHER_PARTS = {"src0": 4, "src1": 3, "src2": 2}, 11
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix."""
-    return mixing.mix_sources(docs.select(*COLUMNS), PARTS).orderBy("slot", "doc_id").select(*COLUMNS)
+    return mixing.mix_sources(docs.select(*COLUMNS), PARTS, OTHER_PARTS).orderBy("slot", "doc_id").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): packed ids of each text, and the digest of what they decode to."""
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    decoded = byte_bpe.encode(docs, RANKS, PATTERN, decoded=True)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
