@@ -18,7 +18,7 @@ from .common import cut
 
 BLOCK = 16
 #: Rows of one source above which its rows are numbered in ranges of ids; each such source is cut into so many ranges.
-LARGE, RANGES = 50_000, 1024
+LARGE, RANGES = 4_000, 1024
 #: A table with at most so many numbers in it is broadcast; a larger one is left to Spark's joins.
 BROADCAST = 1 << 18
 #: Leading digits of a hash by which the sources without a weight are numbered in many tasks.
