@@ -1,10 +1,12 @@
 """Main text of web pages: parser events, text-to-tag ratios by line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser feeds its events to a collector that cuts the page into lines at block elements and
-counts the tags of each. A line's ratio is its characters for each tag, nothing for lines inside elements that never
-hold an article's text (menus, forms, adverts, ...). The ratios are smoothed with a Gaussian, lines above one share of the
-smoothed ratios' standard deviation are content, and the region of the page that holds their clusters is the article:
-all its lines but the excluded ones, so its headings and short paragraphs stay.
+counts the tags of each. A line's ratio is its characters outside links for each tag, nothing for lines inside elements that
+never hold an article's text (menus, forms, adverts, ...). The ratios are smoothed with a Gaussian, lines above one share of
+the smoothed ratios' standard deviation are content, and runs of them clusters. The clusters say which region of the page is
+the article: of ``article`` and ``main`` elements those with most content, where the rest of the page has not far more, else the
+smallest region with all clusters but clear outliers. All its lines but excluded ones and menus of links are the
+text, so its headings and short paragraphs stay.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SIGMA, RADIUS, SHARE = 1.0, 2, 0.5
+#: ``article`` and ``main`` count for nothing where more than so many times their content stands outside them.
+TRUST = 2
+#: So many lines in a row that are links but for this share of their characters are a menu.
+MENU_LINES, MENU_SHARE = 3, 0.1
 #: A cluster of content apart from the others is left out at the page's ends below this share of the largest one.
 OUTLIER = 0.1
 
@@ -49,6 +55,9 @@ NOT_CONTENT = frozenset(
 HEADERS = frozenset(("header", "banner", "masthead", "byline", "tags"))
 TEASERS = NOT_CONTENT - HEADERS | frozenset("teaser teasers reply".split())
 CONTENT = frozenset("article content main post entry story body text page wrapper container layout".split())
+AROUND = frozenset("wrap wrapper container layout page body area row inner outer".split())
+ABOUT = frozenset("has with no without free open enabled closed".split())
+ALWAYS = frozenset("comment comments ad ads sidebar".split())
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)),
     "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
@@ -66,12 +75,14 @@ class Element:
     article: bool
     main: bool
     teaser: bool
+    link: bool = False
 
 
 @dataclass
 class Line:
     parts: list[str] = field(default_factory=list)
     tags: int = 0
+    linked: int = 0
     path: tuple[int, ...] = ()
     excluded: bool = True
     teaser: bool = False
@@ -94,14 +105,25 @@ class Collector(HTMLParser):
             self.lines.append(self.line)
             self.line = Line()
 
-    def names(self, attrs: list[tuple[str, str | None]]) -> set[str]:
-        """Roles, and names in class and id unless one of them says that the element holds content."""
+    def is_named(self, attrs: list[tuple[str, str | None]], kinds: frozenset[str]) -> bool:
+        """Whether a role, a class or the id says that the element is of such a kind.
+
+        A class of several words counts by any of them (``footer-content``), unless it tells of something elsewhere
+        (``has-sidebar``) or of what is around (``content-sidebar-wrap``). Beside a class that names content as such, only a
+        few kinds count, and only as a class of their own.
+        """
         found = dict(attrs)
-        roles = set((found.get("role") or "").lower().split())
-        names = {n.lower() for k in ("class", "id") for n in NAME.findall(found.get(k) or "")}
-        if names & CONTENT and not names & {"comment", "comments", "ad", "ads", "sidebar"} or names & {"has", "with", "no"}:
-            names = set()
-        return names | roles
+        if kinds & set((found.get("role") or "").lower().split()):
+            return True
+        classes = [{w.lower(): None for w in NAME.findall(c)} for k in ("class", "id") for c in (found.get(k) or "").split()]
+        if any(c and c.keys() <= CONTENT for c in classes):
+            return any(c and c.keys() <= kinds & ALWAYS for c in classes)
+        for c in map(list, classes):
+            if set(c) & ABOUT or c and c[0] in CONTENT and c[-1] in AROUND:
+                continue
+            if set(c) & kinds:
+                return True
+        return False
 
     def excludes(self, tag: str, attrs: list[tuple[str, str | None]], up: Element) -> bool:
         inside = up.article or up.main
@@ -119,7 +141,7 @@ class Collector(HTMLParser):
         if not self.named or not attrs:
             return False
         known = NOT_CONTENT - HEADERS if inside else NOT_CONTENT | {"header"}
-        return bool(self.names(attrs) & known)
+        return self.is_named(attrs, known)
 
     def close_to(self, at: int) -> None:
         del self.open[at:]
@@ -146,8 +168,9 @@ class Collector(HTMLParser):
             number = len(self.regions)
             self.regions.append(tag)
         excluded = up.excluded or self.excludes(tag, attrs, up)
-        teaser = up.teaser or tag == "article" and self.named and bool(self.names(attrs) & TEASERS)
-        self.open.append(Element(tag, number, excluded, up.article or tag == "article", up.main or tag == "main", teaser))
+        teaser = up.teaser or tag == "article" and self.named and self.is_named(attrs, TEASERS)
+        link = up.link or tag == "a"
+        self.open.append(Element(tag, number, excluded, up.article or tag == "article", up.main or tag == "main", teaser, link))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -176,6 +199,8 @@ class Collector(HTMLParser):
             self.line.tag = next((e.tag for e in reversed(self.open) if e.tag in BLOCKS), "")
         if up is None or up.excluded == self.line.excluded:
             self.line.parts.append(data)
+            if up is not None and up.link:
+                self.line.linked += len(WHITE.sub(" ", data).strip())
 
     def close(self) -> None:
         super().close()
@@ -189,16 +214,37 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np
     return same(ratios) / same(np.ones(len(ratios)))
 
 
+def content_lines(ratio: np.ndarray, share: float = SHARE) -> np.ndarray:
+    """Which lines are content: their smoothed ratio reaches ``share`` of the smoothed ratios' standard deviation."""
+    level = smooth(ratio)
+    return level >= share * level.std()
+
+
+def _menus(texts: list[str], lines: list[Line], usable: list[bool]) -> set[int]:
+    """Lines in runs that hold little but links, within one element's list of lines."""
+    found, run = set(), []
+    for i in [*(k for k, u in enumerate(usable) if u), None]:
+        if i is not None and len(texts[i]) - lines[i].linked <= MENU_SHARE * len(texts[i]):
+            run.append(i)
+            continue
+        found.update(run if len(run) >= MENU_LINES else ())
+        run = []
+    return found
+
+
 def _select(lines: list[Line], regions: list[str], share: float) -> list[str]:
     """Texts of the lines in the article's region."""
     texts = [WHITE.sub(" ", "".join(x.parts)).strip() for x in lines]
     usable = [bool(t) and not x.excluded for t, x in zip(texts, lines, strict=True)]
+    menus = _menus(texts, lines, usable)
+    if sum(usable) > len(menus):
+        usable = [u and i not in menus for i, u in enumerate(usable)]
     if not any(usable):
         return []
-    ratio = np.array([len(t) / max(1, x.tags) if u else 0.0 for t, x, u in zip(texts, lines, usable, strict=True)])
-    level = smooth(ratio)
-    content = [i for i in np.flatnonzero(level >= share * level.std()).tolist() if usable[i]]
-    content = content or [int(np.argmax(ratio))]
+    plain = [max(0, len(t) - x.linked) if u else 0 for t, x, u in zip(texts, lines, usable, strict=True)]
+    ratio = np.array([n / max(1, x.tags) for n, x in zip(plain, lines, strict=True)])
+    content = [i for i in np.flatnonzero(content_lines(ratio, share)).tolist() if usable[i]]
+    content = content or [int(np.argmax(np.where(usable, ratio, -1.0)))]
     # comments and teasers in elements of their own go where an article or main holds content beside them
     marked = lambda i: any(regions[r] in ("article", "main") for r in lines[i].path)
     if any(x.teaser for x in lines) and (rest := [i for i in content if not lines[i].teaser and marked(i)]):
@@ -207,16 +253,23 @@ def _select(lines: list[Line], regions: list[str], share: float) -> list[str]:
     inside: dict[int, int] = {}
     for i in content:
         for r in lines[i].path:
-            inside[r] = inside.get(r, 0) + len(texts[i])
+            inside[r] = inside.get(r, 0) + plain[i]
+    outside = sum(plain[i] for i in content if not marked(i))
     best = max((r for r in inside if regions[r] in ("article", "main")), key=lambda r: (inside[r], r), default=None)
-    if best is not None:
+    if best is not None and outside <= TRUST * sum(plain[i] for i in content if marked(i)):
         path = next(lines[i].path for i in content if best in lines[i].path)
         best = next((r for r in path[: path.index(best)] if regions[r] == "main"), best)
-        if regions[best] == "article":  # every article of the page, so parts in sibling articles stay
-            own = [i for i, x in enumerate(lines) if usable[i] and any(regions[r] == "article" for r in x.path)]
+        # every article of the page with text of its own, so parts in sibling articles stay and cards of links go
+        words: dict[int, int] = {}
+        for i, x in enumerate(lines):
+            for r in x.path if usable[i] else ():
+                words[r] = words.get(r, 0) + plain[i]
+        in_article = lambda x: any(regions[r] == "article" and words.get(r, 0) > 0 for r in x.path)
+        if regions[best] == "article":
+            own = [i for i, x in enumerate(lines) if usable[i] and in_article(x)]
             return [texts[i] for i in own]
         own = [i for i, x in enumerate(lines) if usable[i] and best in x.path]
-        held = {i for i in own if any(regions[r] == "article" for r in lines[i].path)}
+        held = {i for i in own if in_article(lines[i])}
         if not held or any(best in lines[i].path and i not in held for i in content):
             return [texts[i] for i in own]
         # main's content is in its articles: all of them, each with the headings ahead of it
@@ -273,7 +326,8 @@ def main_text(html: str, share: float = SHARE) -> str:
 def extract(pages: DataFrame, html_col: str = "html", share: float = SHARE) -> DataFrame:
     """The input's rows and columns without the html, with ``text``: each page's main text.
 
-    A null page counts as empty and gives an empty text, as does a page without text outside excluded elements. White space inside
+    One row per input row, repeated rows included; an empty table gives an empty result. A null page counts as empty and
+    gives an empty text, as does a page without text outside excluded elements. White space inside
     a block becomes one space, blocks are joined in page order by line feeds; nothing is capped. A column ``text`` of
     the input is replaced. No shuffle: pages are parsed where they are read, one Arrow batch at a time.
     """

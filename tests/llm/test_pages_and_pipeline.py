@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import compare
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from folioflow.llm import html_text, queries
@@ -65,6 +67,64 @@ def test_article_in_uneven_parts(html):
     assert html_text.main_text(html) == IN_PARTS[html]
 
 
+LINKS = "".join(f"<li><a href=/{i}>Another piece of ours, number {i}</a></li>" for i in range(5))
+NAMED = {
+    f"<body><div class=content><p>{LONG}</p><p>Short.</p></div><div class='footer-content'><p>{LONG}</p></div><div class='cookie-text'>{LONG}</div></body>": f"{LONG}\nShort.",
+    f"<body class='nav-open'><div id='content-sidebar-wrap'><div class='main nav-open'><p>{LONG}</p></div><div class='widget-area'>{LONG}</div></div></body>": LONG,
+    f"<main class=content><div><article><h1>T</h1><p>{LONG}</p></article></div><p>Read more here</p></main>": f"T\n{LONG}",
+    f"<main><article><p>{LONG}</p><ul>{LINKS}</ul><p>{OTHER} See <a href=/x>this</a>.</p></article></main>": f"{LONG}\n{OTHER} See this.",
+    f"<article><p>{LONG * 2}</p></article><article><a href=/y>{OTHER * 5}</a></article>": LONG * 2,
+    f"<div><p>{LONG * 3}</p><p>{OTHER * 3}</p></div><article><h3><a href=/z>Card</a></h3><p>Few words.</p></article>": f"{LONG * 3}\n{OTHER * 3}",
+    f"<article class='post comments-open'><p>{LONG}</p></article>": LONG,
+    "<div><ul><li><a>Only</a><li><a>links</a><li><a>here</a></ul></div>": "Only\nlinks\nhere",
+}
+
+
+@pytest.mark.parametrize("html", NAMED)
+def test_names_links_and_cards(html):
+    assert html_text.main_text(html) == NAMED[html]
+
+
+def unmarked_pages(n=60):
+    """Pages whose menus, teasers and small print say nothing of their kind, and their articles."""
+    rng = np.random.default_rng(5)
+    text = lambda k: " ".join("".join(rng.choice(list("aeinrst"), rng.integers(2, 9))) for _ in range(k))
+    short = lambda: "".join(f"<div><span>{text(3)}</span> <b>{text(1)}</b></div>" for _ in range(rng.integers(5, 9)))
+    for _ in range(n):
+        blocks = [text(int(rng.integers(40, 90))) for _ in range(rng.integers(3, 7))]
+        yield f"<body><div>{short()}</div><div>{''.join(f'<p>{b}</p>' for b in blocks)}</div><div>{short()}</div></body>", "\n".join(blocks)
+
+
+def test_ratios_decide(monkeypatch):
+    pages = list(unmarked_pages())
+    assert sum(html_text.main_text(h) == t for h, t in pages) == len(pages)
+    rng = np.random.default_rng(6)
+    for noise in (lambda r, *_: rng.random(len(r)), lambda r, *_: np.ones(len(r)), lambda r, *_: np.zeros(len(r))):
+        monkeypatch.setattr(html_text, "smooth", noise)
+        assert sum(html_text.main_text(h) == t for h, t in pages) < len(pages) / 2
+
+
+def test_smoothing_and_threshold_by_hand():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 7, 40):
+        ratio = rng.random(n) * 100 * (rng.random(n) > 0.5)
+        level = []
+        for i in range(n):
+            near = {j: math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 2), min(n, i + 3))}
+            level.append(sum(w * ratio[j] for j, w in near.items()) / sum(near.values()))
+        mean = sum(level) / n
+        least = 0.5 * math.sqrt(sum((x - mean) ** 2 for x in level) / n)
+        assert np.allclose(html_text.smooth(ratio), level)
+        assert html_text.content_lines(ratio).tolist() == [x >= least for x in level]
+
+
+def test_ratio_of_lines_by_hand():
+    page = html_text.Collector()
+    page.feed("<div><p>ab <b>cd</b> <a href=x>ef</a></p>gh<br>ij</div>")
+    page.close()
+    assert [("".join(x.parts).split(), x.tags, x.linked) for x in page.lines if x.parts] == [(["ab", "cd", "ef"], 5, 2), (["gh", "ij"], 2, 0)]
+
+
 def test_extract(spark):
     rows = spark.createDataFrame([(1, None, "old"), (1, "<p>x &eacute;</p>", None), (2, "<p>" + "w " * 40000, "c")], "page_id long, html string, text string")
     found = html_text.extract(rows).collect()
