@@ -3,14 +3,16 @@
 A rolling hash over 16 bytes sets triggers: of the hashes inside a string of 50 bytes, the smallest is that
 string's trigger, so equal strings have equal triggers wherever they stand. Neighbouring strings with one
 trigger form a phrase, which reaches 49 bytes into its successors in the parse; the suffixes of a phrase then
-order the corpus to a depth of 50 bytes without looking at the parse again. The dictionary holds each distinct
-phrase whose trigger occurs in two documents, with the first document that has it; its suffixes are sorted, and
-a run of equal ones gives the first document of a string.
-
-On Spark, documents are dealt into batches by a hash of their id. Batches send each distinct trigger once to the
-trigger's bucket, which answers which of them other documents share; then each distinct phrase of these goes to
-its bucket, whose sorted suffixes answer with one mask a phrase. A trigger or phrase that very many documents
-hold is thus one entry for each batch, never one for each document.
+order the corpus to a depth of 50 bytes without looking at the parse again, so the parse's own suffix array is not needed.
+The dictionary holds each distinct phrase whose trigger occurs in two documents, with the first document that has it; its
+suffixes are sorted, and a run of equal ones gives the first document of a string.
+
+On Spark, documents are dealt into batches by a hash of their id. Each distinct trigger of a batch is a row, and Spark
+counts the batches of a trigger; each distinct phrase of a shared trigger is a row of its trigger's bucket, whose
+sorted suffixes answer with one mask a phrase. A trigger or phrase that very many documents hold is thus one row for each
+batch, never one for each document, and rows grow in proportion to the bytes. A trigger may stand in very many different phrases, as
+at the edges of a passage that a large part of the documents quote; such a trigger's strings go to buckets of their own
+hash, one by one, so no bucket has to hold them all.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 LENGTH, TRIGGER = 50, 16
+#: Occurrences of a trigger above which its strings are dealt one by one.
+HOT = 20_000
 #: Bytes of text in a batch, and positions whose hashes are in memory at a time.
 BATCH_BYTES, STRETCH = 8 << 20, 1 << 18
 U = np.uint64
@@ -47,6 +52,23 @@ def _words(data: np.ndarray) -> np.ndarray:
     return a[:-4] | a[4:] << U(32)
 
 
+def _keys(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """64-bit hashes of phrases: of the first and the last string, which cover the phrase, and the number of strings."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key = _mix(count.astype(U))
+    for start in (first, first + count - 1):
+        for offset in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            key = _mix(key * SPREAD_C + padded[start[:, None] + np.arange(offset, offset + 8)].view("<u8")[:, 0])
+    return key
+
+
+def _strings(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each string of some phrases: the phrase's place among them, the string's offset in it, its start."""
+    phrase = np.repeat(np.arange(len(first)), count)
+    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return phrase, offset, first[phrase] + offset
+
+
 @dataclass
 class Parse:
     """A batch's bytes and its phrases: first string, number of strings, trigger hash, document number."""
@@ -58,16 +80,6 @@ class Parse:
     trigger: np.ndarray
     doc: np.ndarray
 
-    def keys(self, at: np.ndarray) -> np.ndarray:
-        """64-bit hashes of some phrases: of the first and the last string, which cover the phrase, and the length."""
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        key = _mix(self.count[at].astype(U))
-        for start in (self.first[at], self.first[at] + self.count[at] - 1):
-            for offset in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-                word = padded[start[:, None] + np.arange(offset, offset + 8)].view("<u8")[:, 0]
-                key = _mix(key * SPREAD_C + word)
-        return key
-
 
 def parse(texts: list[bytes], use: list[bool]) -> Parse:
     """Phrases of the texts marked for use; a text of under 50 bytes has none."""
@@ -101,10 +113,19 @@ def parse(texts: list[bytes], use: list[bool]) -> Parse:
     return Parse(data, ends, first, stop - first, trigger, np.searchsorted(ends, first, "right"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the way."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        z = pa.array([pack.compress(t) for t in batch.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], ["b", "id", "z"])
+
+
 def _batch(table: pa.Table) -> tuple[list, list[bytes], np.ndarray, Parse]:
     """Ids, texts, ids as integers and phrases of a batch's documents, in order of id and text."""
+    unpack = zstandard.ZstdDecompressor()
     rows = sorted(
-        zip(table.column("id").to_pylist(), table.column("raw").to_pylist(), strict=True),
+        zip(table.column("id").to_pylist(), map(unpack.decompress, table.column("z").to_pylist()), strict=True),
         key=lambda r: (r[0] is None, r[0] or 0, r[1]),
     )
     ids, texts = [r[0] for r in rows], [r[1] for r in rows]
@@ -120,99 +141,85 @@ def _firsts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key[at], doc[at], doc[ends[: len(at)]], order[at]
 
 
-def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket that occurs and the places that belong to it, in their order."""
-    order = np.argsort(bucket, kind="stable")
-    at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
-        yield int(bucket[order[a]]), order[a:b]
-
-
-def _bucket(trigger: np.ndarray, buckets: int) -> np.ndarray:
-    return (trigger >> U(33)).astype(np.int64) % buckets
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def _blobs(columns: list[list], schema: pa.Schema) -> pa.Table:
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes [start, start + size) of each entry, as an array of binaries."""
+    places = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[places])])
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-TRIGGERS = pa.schema([("b", pa.int32()), ("k", pa.int32()), ("h", pa.binary()), ("several", pa.binary())])
-SHARED = pa.schema([("b", pa.int32()), ("k", pa.int32()), ("bits", pa.binary())])
+TRIGGERS = pa.schema([("b", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("several", pa.bool_())])
 PHRASES = pa.schema(
-    [("b", pa.int32()), ("k", pa.int32()), *((c, pa.binary()) for c in ("key", "doc", "count", "raw"))]
+    [("b", pa.int32()), ("k", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("hot", pa.int64()), ("raw", pa.binary())]
 )
-MASKS = pa.schema([("b", pa.int32()), ("key", pa.binary()), ("mask", pa.binary())])
+MASKS = pa.schema([("b", pa.int32()), ("key", pa.int64()), ("mask", pa.int64()), ("hot", pa.int64())])
 
 
-def send_triggers(table: pa.Table, buckets: int) -> pa.Table:
-    """A batch's distinct triggers by bucket, and whether two of its documents have them."""
+def send_triggers(table: pa.Table) -> pa.Table:
+    """A batch's distinct triggers, how often they occur in it, and whether two of its documents have them."""
     _, _, number, p = _batch(table)
     h, least, most, _ = _firsts(p.trigger, number[p.doc])
-    parts = list(_dealt(_bucket(h, buckets)))
-    b = table.column("b")[0].as_py()
-    several = (most > least).astype(np.uint8)
-    return _blobs(
-        [[b] * len(parts), [k for k, _ in parts], [h[i].tobytes() for _, i in parts], [several[i].tobytes() for _, i in parts]],
-        TRIGGERS,
-    )
+    n = np.unique(p.trigger, return_counts=True)[1].astype(np.int32)
+    b = np.full(len(h), table.column("b")[0].as_py() if len(table) else 0, np.int32)
+    return pa.table([pa.array(b), pa.array(h.view(np.int64)), pa.array(n), pa.array(most > least)], schema=TRIGGERS)
 
 
-def answer_triggers(table: pa.Table) -> pa.Table:
-    """For each batch's list, the bits of the triggers that two documents of the corpus have."""
-    lists = [np.frombuffer(x, U) for x in table.column("h").to_pylist()]
-    several = _joined(table.column("several"), "u1")
-    _, place, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    shared = times > 1
-    shared[place[several > 0]] = True
-    bits = np.split(shared[place], np.cumsum([len(x) for x in lists])[:-1])
-    out = [
-        (b, k, np.packbits(x).tobytes())
-        for b, k, x in zip(table.column("b").to_pylist(), table.column("k").to_pylist(), bits, strict=True)
-        if x.any()
-    ]
-    return _blobs([list(c) for c in zip(*out, strict=True)] or [[], [], []], SHARED)
+def shared_triggers(triggers: DataFrame) -> DataFrame:
+    """(b, h, hot): the triggers that two documents of the corpus have, for each batch that has them.
+
+    A trigger has one row a batch, so no key of the window is large beside a partition.
+    """
+    w = Window.partitionBy("h")
+    counted = triggers.select(
+        "b", "h", F.count(F.lit(1)).over(w).alias("batches"), F.max("several").over(w).alias("several"), F.sum("n").over(w).alias("n")
+    )
+    return counted.where("batches > 1 or several").select("b", "h", (F.col("n") > HOT).alias("hot"))
 
 
 def send_phrases(table: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
-    """A batch's distinct phrases with a shared trigger, by bucket, each with its first document in the batch."""
+    """A batch's distinct phrases with a shared trigger, each with its first document in the batch.
+
+    Of a hot trigger each distinct string is sent by itself, as a phrase of one string in the bucket of its own hash.
+    """
     if not len(table) or not len(shared):
-        return _blobs([[]] * len(PHRASES), PHRASES)
+        return PHRASES.empty_table()
     _, _, number, p = _batch(table)
-    h = np.unique(p.trigger)
-    bits = dict(zip(shared.column("k").to_pylist(), shared.column("bits").to_pylist(), strict=True))
-    wanted = [
-        h[at][np.unpackbits(np.frombuffer(bits[k], np.uint8), count=len(at)) > 0]
-        for k, at in _dealt(_bucket(h, buckets))
-        if k in bits
-    ]
-    here = np.flatnonzero(np.isin(p.trigger, np.concatenate(wanted)))
-    key, doc, _, one = _firsts(p.keys(here), number[p.doc[here]])
+    h, hot = _numbers(shared.column("h")).view(U), _numbers(shared.column("hot")).astype(bool)
+    here = np.flatnonzero(np.isin(p.trigger, h[~hot]))
+    key, doc, _, one = _firsts(_keys(p.data, p.first[here], p.count[here]), number[p.doc[here]])
     one = here[one]
-    out, b = [], table.column("b")[0].as_py()
-    for k, at in _dealt(_bucket(p.trigger[one], buckets)):
-        first, count = p.first[one[at]], p.count[one[at]]
-        size = count + LENGTH - 1
-        places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        out.append(
-            (b, k, key[at].tobytes(), doc[at].tobytes(), count.astype(np.uint8).tobytes(), p.data[places].tobytes())
-        )
-    return _blobs([list(c) for c in zip(*out, strict=True)], PHRASES)
+    first, count, home, trigger = p.first[one], p.count[one], p.trigger[one], np.zeros(len(one), U)
+    if hot.any():
+        here = np.flatnonzero(np.isin(p.trigger, h[hot]))
+        phrase, _, start = _strings(p.first[here], p.count[here])
+        single = np.ones(len(start), np.int64)
+        own, least, _, one = _firsts(_keys(p.data, start, single), number[p.doc[here[phrase]]])
+        key, doc, first, count = (np.concatenate(x) for x in ((key, own), (doc, least), (first, start[one]), (count, single[one])))
+        home, trigger = np.concatenate([home, own]), np.concatenate([trigger, p.trigger[here[phrase[one]]]])
+    columns = [
+        np.full(len(key), table.column("b")[0].as_py(), np.int32),
+        ((home >> U(33)) % U(buckets)).astype(np.int32),
+        key.view(np.int64),
+        doc,
+        count.astype(np.int32),
+        trigger.view(np.int64),
+    ]
+    return pa.table([*map(pa.array, columns), _slices(p.data, first, count + LENGTH - 1)], schema=PHRASES)
 
 
 def answer_phrases(table: pa.Table) -> pa.Table:
     """For each batch's phrases, masks of the strings that occur in a document before the phrase's own."""
-    key, doc = _joined(table.column("key"), "<u8"), _joined(table.column("doc"), "<i8")
-    count, raw = _joined(table.column("count"), "u1").astype(np.int64), _joined(table.column("raw"), "u1")
+    key, doc, count = (_numbers(table.column(c)) for c in ("key", "doc", "n"))
+    key, count = key.view(U), count.astype(np.int64)
+    raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
     place = np.cumsum(count + LENGTH - 1) - count - LENGTH + 1
     uniq, least, _, one = _firsts(key, doc)
     n = count[one]
-    phrase = np.repeat(np.arange(len(one)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = place[one][phrase] + offset
+    phrase, offset, start = _strings(place[one], n)
     # the dictionary's suffix array, to the depth of the strings: big-endian words order as bytes do
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     words = [
@@ -233,29 +240,42 @@ def answer_phrases(table: pa.Table) -> pa.Table:
     at = np.searchsorted(uniq, key)
     full = (U(1) << count.astype(U)) - U(1)
     masks = np.where(doc > least[at], full, mask[at])
-    out, ends = [], np.cumsum([len(x) // 8 for x in table.column("key").to_pylist()]).tolist()
-    for b, i, j in zip(table.column("b").to_pylist(), [0, *ends[:-1]], ends, strict=True):
-        on = np.flatnonzero(masks[i:j]) + i
-        if len(on):
-            out.append((b, key[on].tobytes(), masks[on].tobytes()))
-    return _blobs([list(c) for c in zip(*out, strict=True)] or [[], [], []], MASKS)
+    # strings of hot triggers always answer, since their batch compares its own documents' strings as well
+    on = pa.array(np.flatnonzero((masks > 0) | (_numbers(table.column("hot")) != 0)))
+    columns = [table.column("b").take(on), table.column("key").take(on), pa.array(masks.view(np.int64)).take(on), table.column("hot").take(on)]
+    return pa.table(columns, schema=MASKS)
 
 
 SPANS = "array<struct<start:int,stop:int>>"
 SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
 
 
+def _looked_up(key: np.ndarray, known: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The bits of each key among sorted known ones, 0 for others."""
+    if not len(known):
+        return np.zeros(len(key), U)
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return np.where(known[at] == key, bits[at], U(0))
+
+
 def cut_batch(table: pa.Table, masks: pa.Table, id_type: pa.DataType) -> pa.Table:
     """Each document of a batch with its removed spans and the bytes that stay."""
     ids, texts, number, p = _batch(table)
-    key = p.keys(np.arange(len(p.first)))
-    order = np.argsort(_joined(masks.column("key"), "<u8"))
-    known, bits = _joined(masks.column("key"), "<u8")[order], _joined(masks.column("mask"), "<u8")[order]
+    key = _keys(p.data, p.first, p.count)
+    sent, bits, hot = (_numbers(masks.column(c)).view(U) for c in ("key", "mask", "hot"))
+    order = np.lexsort((sent, hot != 0))
+    sent, bits, hot = sent[order], bits[order], hot[order]
+    cold = len(hot) - np.count_nonzero(hot)
+    mask = _looked_up(key, sent[:cold], bits[:cold])
+    if cold < len(hot):  # strings of hot triggers have masks of their own
+        here = np.flatnonzero(np.isin(p.trigger, hot[cold:]))
+        phrase, offset, start = _strings(p.first[here], p.count[here])
+        own = _keys(p.data, start, np.ones(len(start), np.int64))
+        doc = number[p.doc[here[phrase]]]
+        uniq, least, _, _ = _firsts(own, doc)
+        gone = (_looked_up(own, sent[cold:], bits[cold:]) > 0) | (doc > least[np.searchsorted(uniq, own)])
+        np.bitwise_or.at(mask, here[phrase], gone.astype(U) << offset.astype(U))
     uniq, least, _, _ = _firsts(key, number[p.doc])
-    mask = np.zeros(len(key), U)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        mask = np.where(known[at] == key, bits[at], U(0))
     if len(key):
         later = number[p.doc] > least[np.searchsorted(uniq, key)]
         mask[later] = (U(1) << p.count[later].astype(U)) - U(1)
@@ -309,20 +329,21 @@ def phrase_dedup(
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(text_col))), F.lit(0))).first()[0]
     batches = max(1, -(-size // batch_bytes))
-    kind = docs.schema[id_col].dataType
-    dealt = docs.select(
+    kind = docs.schema[id_col].dataType.simpleString()
+    raw = docs.select(
         F.pmod(F.xxhash64(id_col), F.lit(batches)).cast("int").alias("b"),
         F.col(id_col).alias("id"),
         F.encode(text_of(text_col), "utf-8").alias("raw"),
     )
-    ddl = lambda schema: ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
-    triggers = dealt.groupBy("b").applyInArrow(lambda t: send_triggers(t, batches), ddl(TRIGGERS))
-    shared = triggers.groupBy("k").applyInArrow(answer_triggers, ddl(SHARED))
-    both = dealt.groupBy("b").cogroup(shared.groupBy("b"))
-    phrases = both.applyInArrow(lambda t, s: send_phrases(t, s, batches), ddl(PHRASES))
-    masks = phrases.groupBy("k").applyInArrow(answer_phrases, ddl(MASKS))
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind.simpleString(), pa.int64())
+    dealt = raw.mapInArrow(_packed, f"b int, id {kind}, z binary")
+    triggers = dealt.groupBy("b").applyInArrow(send_triggers, "b int, h long, n int, several boolean")
+    both = dealt.groupBy("b").cogroup(shared_triggers(triggers).groupBy("b"))
+    phrases = both.applyInArrow(
+        lambda t, s: send_phrases(t, s, batches), "b int, k int, key long, doc long, n int, hot long, raw binary"
+    )
+    masks = phrases.groupBy("k").applyInArrow(answer_phrases, "b int, key long, mask long, hot long")
+    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.int64())
     cut_docs = dealt.groupBy("b").cogroup(masks.groupBy("b")).applyInArrow(
-        lambda t, m: cut_batch(t, m, id_type), f"id {kind.simpleString()}, n_bytes long, removed {SPANS}, kept binary"
+        lambda t, m: cut_batch(t, m, id_type), f"id {kind}, n_bytes long, removed {SPANS}, kept binary"
     )
     return cut_docs.withColumnRenamed("id", id_col)

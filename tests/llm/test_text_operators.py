@@ -53,7 +53,7 @@ def same(got, expected):
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
-def test_phrase_dedup(docs, rows):
+def test_phrase_dedup(docs, rows, monkeypatch):
     first: dict[bytes, int] = {}
     for i, t, *_ in rows:
         b = (t or "").encode()
@@ -68,7 +68,8 @@ def test_phrase_dedup(docs, rows):
                 gone[s : s + 50] = b"\1" * 50
         spans = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
         expected.append((i, len(b), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
-    for size in (phrase_dedup.BATCH_BYTES, 20_000):
+    for size, hot in ((phrase_dedup.BATCH_BYTES, phrase_dedup.HOT), (20_000, phrase_dedup.HOT), (20_000, 2)):
+        monkeypatch.setattr(phrase_dedup, "HOT", hot)  # with 2, most shared triggers are hot
         found = phrase_dedup.phrase_dedup(docs, batch_bytes=size).collect()
         same([(r.doc_id, r.n_bytes, [tuple(s) for s in r.removed], bytes(r.kept)) for r in found], expected)
     assert phrase_dedup.phrase_dedup(docs.limit(0)).count() == 0
