@@ -8,8 +8,9 @@ The dictionary holds each distinct phrase whose trigger occurs in two documents,
 suffixes are sorted, and a run of equal ones gives the first document of a string.
 
 On Spark, documents are dealt into batches by a hash of their id. Each distinct trigger of a batch is a row, and Spark
-counts the batches of a trigger; each distinct phrase of a shared trigger is a row of its trigger's bucket, whose
-sorted suffixes answer with one mask a phrase. A trigger or phrase that very many documents hold is thus one row for each
+counts the batches of a trigger. Where all have the same one phrase, as inside a copied passage, its first document is known
+at once. Else each distinct phrase of a shared trigger is a row of its trigger's bucket, whose sorted suffixes answer with
+one mask a phrase. A trigger or phrase that very many documents hold is thus one row for each
 batch, never one for each document, and rows grow in proportion to the bytes. A trigger may stand in very many different phrases, as
 at the edges of a passage that a large part of the documents quote; such a trigger's strings go to buckets of their own
 hash, one by one, so no bucket has to hold them all.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +94,9 @@ def parse(texts: list[bytes], use: list[bool]) -> Parse:
     for at in range(0, len(data) - LENGTH + 1, STRETCH):
         n = min(STRETCH, len(data) - LENGTH + 1 - at)
         w = _words(np.concatenate([data[at : at + n + LENGTH - 1], np.zeros(7, np.uint8)]))
-        h = _mix(_mix(w[: n + window - 1]) + w[8 : n + window + 7] * SPREAD_C)
+        h = _mix(w[: n + window - 1])
+        for offset in (*range(8, TRIGGER - 8, 8), TRIGGER - 8):
+            h = _mix(h + w[offset : offset + n + window - 1] * SPREAD_C)
         low = (h >> U(24) << U(24)) | np.arange(len(h), dtype=U)  # the leftmost of equal ones
         reach = 1
         while reach < window:
@@ -121,15 +125,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], ["b", "id", "z"])
 
 
-def _batch(table: pa.Table) -> tuple[list, list[bytes], np.ndarray, Parse]:
-    """Ids, texts, ids as integers and phrases of a batch's documents, in order of id and text."""
+def _batch(table: pa.Table, bits: int) -> tuple[list, list[bytes], np.ndarray, Parse]:
+    """Ids, texts, ids as integers and phrases of a batch's documents, in order of id and text; triggers cut to ``bits``."""
     unpack = zstandard.ZstdDecompressor()
     rows = sorted(
         zip(table.column("id").to_pylist(), map(unpack.decompress, table.column("z").to_pylist()), strict=True),
         key=lambda r: (r[0] is None, r[0] or 0, r[1]),
     )
     ids, texts = [r[0] for r in rows], [r[1] for r in rows]
-    return ids, texts, np.array([i or 0 for i in ids], np.int64), parse(texts, [i is not None for i in ids])
+    p = parse(texts, [i is not None for i in ids])
+    p.trigger >>= U(64 - bits)
+    return ids, texts, np.array([i or 0 for i in ids], np.int64), p
 
 
 def _firsts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,61 +158,85 @@ def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[places])])
 
 
-TRIGGERS = pa.schema([("b", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("several", pa.bool_())])
+TRIGGERS = pa.schema(
+    [("b", pa.int32()), ("h", pa.int64()), ("one", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("several", pa.bool_())]
+)
 PHRASES = pa.schema(
     [("b", pa.int32()), ("k", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("hot", pa.int64()), ("raw", pa.binary())]
 )
 MASKS = pa.schema([("b", pa.int32()), ("key", pa.int64()), ("mask", pa.int64()), ("hot", pa.int64())])
+#: Bits of the trigger in a row beyond those that number the corpus's bytes, and of a phrase's hash.
+SPARE, ONE = 7, 48
+
 
+def send_triggers(table: pa.Table, bits: int) -> pa.Table:
+    """A batch's distinct triggers (b, h): how often they occur in it (n), their first document, whether another has them too.
 
-def send_triggers(table: pa.Table) -> pa.Table:
-    """A batch's distinct triggers, how often they occur in it, and whether two of its documents have them."""
-    _, _, number, p = _batch(table)
-    h, least, most, _ = _firsts(p.trigger, number[p.doc])
-    n = np.unique(p.trigger, return_counts=True)[1].astype(np.int32)
-    b = np.full(len(h), table.column("b")[0].as_py() if len(table) else 0, np.int32)
-    return pa.table([pa.array(b), pa.array(h.view(np.int64)), pa.array(n), pa.array(most > least)], schema=TRIGGERS)
+    ``one`` is a hash of the trigger's phrase, -1 if the batch has several phrases of it.
+    """
+    _, _, number, p = _batch(table, bits)
+    if not len(p.first):
+        return TRIGGERS.empty_table()
+    key, doc = _keys(p.data, p.first, p.count) >> U(64 - ONE), number[p.doc]
+    order = np.lexsort((key, p.trigger))
+    h, key, doc = p.trigger[order], key[order].view(np.int64), doc[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    ends = np.append(at[1:], len(h))
+    least = np.minimum.reduceat(doc, at)
+    columns = [
+        np.full(len(at), table.column("b")[0].as_py(), np.int32),
+        h[at].view(np.int64),
+        np.where(key[at] == key[ends - 1], key[at], -1),
+        least,
+        (ends - at).astype(np.int32),
+        np.maximum.reduceat(doc, at) > least,
+    ]
+    return pa.table([pa.array(c) for c in columns], schema=TRIGGERS)
 
 
-def shared_triggers(triggers: DataFrame) -> DataFrame:
-    """(b, h, hot): the triggers that two documents of the corpus have, for each batch that has them.
+def shared_triggers(triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The triggers that two documents of the corpus have, for the batches that need to know.
 
-    A trigger has one row a batch, so no key of the window is large beside a partition.
+    First (b, h, hot) of those in several phrases; then (b, h) of those whose one phrase an earlier document than all of
+    the batch has. A trigger has one row a batch, so no key of the window is large beside a partition.
     """
     w = Window.partitionBy("h")
     counted = triggers.select(
-        "b", "h", F.count(F.lit(1)).over(w).alias("batches"), F.max("several").over(w).alias("several"), F.sum("n").over(w).alias("n")
-    )
-    return counted.where("batches > 1 or several").select("b", "h", (F.col("n") > HOT).alias("hot"))
+        "b", "h", "one", "doc",
+        F.count(F.lit(1)).over(w).alias("batches"), F.max("several").over(w).alias("several"), F.sum("n").over(w).alias("n"),
+        F.min("one").over(w).alias("least"), F.max("one").over(w).alias("most"), F.min("doc").over(w).alias("first"),
+    ).where("batches > 1 or several")
+    same = (F.col("least") == F.col("most")) & (F.col("least") >= 0)
+    return counted.where(~same).select("b", "h", (F.col("n") > HOT).alias("hot")), counted.where(same & (F.col("doc") > F.col("first"))).select("b", "h")
 
 
-def send_phrases(table: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
-    """A batch's distinct phrases with a shared trigger, each with its first document in the batch.
+def send_phrases(table: pa.Table, shared: pa.Table, buckets: int, bits: int) -> pa.Table:
+    """A batch's distinct phrases with one of these triggers, each with its first document in the batch.
 
     Of a hot trigger each distinct string is sent by itself, as a phrase of one string in the bucket of its own hash.
     """
     if not len(table) or not len(shared):
         return PHRASES.empty_table()
-    _, _, number, p = _batch(table)
+    _, _, number, p = _batch(table, bits)
     h, hot = _numbers(shared.column("h")).view(U), _numbers(shared.column("hot")).astype(bool)
     here = np.flatnonzero(np.isin(p.trigger, h[~hot]))
     key, doc, _, one = _firsts(_keys(p.data, p.first[here], p.count[here]), number[p.doc[here]])
     one = here[one]
-    first, count, home, trigger = p.first[one], p.count[one], p.trigger[one], np.zeros(len(one), U)
+    first, count, home, trigger = p.first[one], p.count[one], p.trigger[one], np.full(len(one), -1)
     if hot.any():
         here = np.flatnonzero(np.isin(p.trigger, h[hot]))
         phrase, _, start = _strings(p.first[here], p.count[here])
         single = np.ones(len(start), np.int64)
         own, least, _, one = _firsts(_keys(p.data, start, single), number[p.doc[here[phrase]]])
         key, doc, first, count = (np.concatenate(x) for x in ((key, own), (doc, least), (first, start[one]), (count, single[one])))
-        home, trigger = np.concatenate([home, own]), np.concatenate([trigger, p.trigger[here[phrase[one]]]])
+        home, trigger = np.concatenate([home, own]), np.concatenate([trigger, p.trigger[here[phrase[one]]].view(np.int64)])
     columns = [
         np.full(len(key), table.column("b")[0].as_py(), np.int32),
-        ((home >> U(33)) % U(buckets)).astype(np.int32),
+        (_mix(home) % U(buckets)).astype(np.int32),
         key.view(np.int64),
         doc,
         count.astype(np.int32),
-        trigger.view(np.int64),
+        trigger,
     ]
     return pa.table([*map(pa.array, columns), _slices(p.data, first, count + LENGTH - 1)], schema=PHRASES)
 
@@ -241,7 +271,7 @@ def answer_phrases(table: pa.Table) -> pa.Table:
     full = (U(1) << count.astype(U)) - U(1)
     masks = np.where(doc > least[at], full, mask[at])
     # strings of hot triggers always answer, since their batch compares its own documents' strings as well
-    on = pa.array(np.flatnonzero((masks > 0) | (_numbers(table.column("hot")) != 0)))
+    on = pa.array(np.flatnonzero((masks > 0) | (_numbers(table.column("hot")) >= 0)))
     columns = [table.column("b").take(on), table.column("key").take(on), pa.array(masks.view(np.int64)).take(on), table.column("hot").take(on)]
     return pa.table(columns, schema=MASKS)
 
@@ -258,22 +288,29 @@ def _looked_up(key: np.ndarray, known: np.ndarray, bits: np.ndarray) -> np.ndarr
     return np.where(known[at] == key, bits[at], U(0))
 
 
-def cut_batch(table: pa.Table, masks: pa.Table, id_type: pa.DataType) -> pa.Table:
-    """Each document of a batch with its removed spans and the bytes that stay."""
-    ids, texts, number, p = _batch(table)
+def cut_batch(table: pa.Table, masks: pa.Table, id_type: pa.DataType, bits: int) -> pa.Table:
+    """Each document of a batch with its removed spans and the bytes that stay.
+
+    ``masks`` has (key, mask, hot) of phrases, and rows of whole triggers: no key, and the trigger as ``hot``.
+    """
+    ids, texts, number, p = _batch(table, bits)
     key = _keys(p.data, p.first, p.count)
-    sent, bits, hot = (_numbers(masks.column(c)).view(U) for c in ("key", "mask", "hot"))
-    order = np.lexsort((sent, hot != 0))
-    sent, bits, hot = sent[order], bits[order], hot[order]
-    cold = len(hot) - np.count_nonzero(hot)
-    mask = _looked_up(key, sent[:cold], bits[:cold])
+    whole = masks.column("key").is_null().combine_chunks()
+    earlier, masks = _numbers(masks.column("hot").filter(whole)).view(U), masks.filter(pc.invert(whole))
+    sent, bits_of, hot = (_numbers(masks.column(c)) for c in ("key", "mask", "hot"))
+    order = np.lexsort((sent.view(U), hot >= 0))
+    sent, bits_of, hot = sent[order].view(U), bits_of[order].view(U), hot[order]
+    cold = len(hot) - np.count_nonzero(hot >= 0)
+    mask = _looked_up(key, sent[:cold], bits_of[:cold])
+    every = np.isin(p.trigger, earlier)
+    mask[every] = (U(1) << p.count[every].astype(U)) - U(1)
     if cold < len(hot):  # strings of hot triggers have masks of their own
-        here = np.flatnonzero(np.isin(p.trigger, hot[cold:]))
+        here = np.flatnonzero(np.isin(p.trigger, hot[cold:].view(U)))
         phrase, offset, start = _strings(p.first[here], p.count[here])
         own = _keys(p.data, start, np.ones(len(start), np.int64))
         doc = number[p.doc[here[phrase]]]
         uniq, least, _, _ = _firsts(own, doc)
-        gone = (_looked_up(own, sent[cold:], bits[cold:]) > 0) | (doc > least[np.searchsorted(uniq, own)])
+        gone = (_looked_up(own, sent[cold:], bits_of[cold:]) > 0) | (doc > least[np.searchsorted(uniq, own)])
         np.bitwise_or.at(mask, here[phrase], gone.astype(U) << offset.astype(U))
     uniq, least, _, _ = _firsts(key, number[p.doc])
     if len(key):
@@ -324,8 +361,8 @@ def phrase_dedup(
     bytes of the UTF-8 text, ``kept`` the other bytes. Ids are integers. Other columns are not carried.
 
     The texts are shuffled once, into batches of about ``batch_bytes``; a batch's bytes, a few times over, are what
-    a task holds. Within a batch or bucket, phrases are told apart by 64-bit hashes of the whole phrase; strings
-    of different phrases are compared byte by byte.
+    a task holds. Within a batch or bucket, phrases are told apart by 64-bit hashes of the whole phrase, those of one trigger in
+    different batches by 48 bits of them; strings of different phrases are compared byte by byte.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(text_col))), F.lit(0))).first()[0]
     batches = max(1, -(-size // batch_bytes))
@@ -336,14 +373,19 @@ def phrase_dedup(
         F.encode(text_of(text_col), "utf-8").alias("raw"),
     )
     dealt = raw.mapInArrow(_packed, f"b int, id {kind}, z binary")
-    triggers = dealt.groupBy("b").applyInArrow(send_triggers, "b int, h long, n int, several boolean")
-    both = dealt.groupBy("b").cogroup(shared_triggers(triggers).groupBy("b"))
-    phrases = both.applyInArrow(
-        lambda t, s: send_phrases(t, s, batches), "b int, k int, key long, doc long, n int, hot long, raw binary"
+    bits = min(64, size.bit_length() + SPARE)
+    triggers = dealt.groupBy("b").applyInArrow(
+        lambda t: send_triggers(t, bits), "b int, h long, one long, doc long, n int, several boolean"
+    )
+    several, same = shared_triggers(triggers)
+    phrases = dealt.groupBy("b").cogroup(several.groupBy("b")).applyInArrow(
+        lambda t, s: send_phrases(t, s, batches, bits), "b int, k int, key long, doc long, n int, hot long, raw binary"
     )
     masks = phrases.groupBy("k").applyInArrow(answer_phrases, "b int, key long, mask long, hot long")
+    none = F.lit(None).cast("long")
+    masks = masks.union(same.select("b", none.alias("key"), none.alias("mask"), F.col("h").alias("hot")))
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.int64())
     cut_docs = dealt.groupBy("b").cogroup(masks.groupBy("b")).applyInArrow(
-        lambda t, m: cut_batch(t, m, id_type), f"id {kind}, n_bytes long, removed {SPANS}, kept binary"
+        lambda t, m: cut_batch(t, m, id_type, bits), f"id {kind}, n_bytes long, removed {SPANS}, kept binary"
     )
     return cut_docs.withColumnRenamed("id", id_col)
