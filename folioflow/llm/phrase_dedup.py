@@ -194,11 +194,14 @@ def send_triggers(table: pa.Table, bits: int) -> pa.Table:
     return pa.table([pa.array(c) for c in columns], schema=TRIGGERS)
 
 
-def shared_triggers(triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The triggers that two documents of the corpus have, for the batches that need to know.
+#: What is known of a shared trigger: it has several phrases, very many occurrences besides, or one phrase with an earlier document.
+SEVERAL, VERY_MANY, EARLIER = 0, 1, 2
 
-    First (b, h, hot) of those in several phrases; then (b, h) of those whose one phrase an earlier document than all of
-    the batch has. A trigger has one row a batch, so no key of the window is large beside a partition.
+
+def shared_triggers(triggers: DataFrame) -> DataFrame:
+    """(b, h, kind) of the triggers that two documents of the corpus have, for the batches that need to know.
+
+    A trigger has one row a batch, so no key of the window is large beside a partition.
     """
     w = Window.partitionBy("h")
     counted = triggers.select(
@@ -207,42 +210,61 @@ def shared_triggers(triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("one").over(w).alias("least"), F.max("one").over(w).alias("most"), F.min("doc").over(w).alias("first"),
     ).where("batches > 1 or several")
     same = (F.col("least") == F.col("most")) & (F.col("least") >= 0)
-    return counted.where(~same).select("b", "h", (F.col("n") > HOT).alias("hot")), counted.where(same & (F.col("doc") > F.col("first"))).select("b", "h")
+    kind = (
+        F.when(same & (F.col("doc") > F.col("first")), EARLIER)
+        .when(same, None)  # its first document is here, and the batch itself sees the others
+        .when(F.col("n") > HOT, VERY_MANY)
+        .otherwise(SEVERAL)
+    )
+    return counted.select("b", "h", kind.alias("kind")).where("kind is not null")
 
 
 def send_phrases(table: pa.Table, shared: pa.Table, buckets: int, bits: int) -> pa.Table:
     """A batch's distinct phrases with one of these triggers, each with its first document in the batch.
 
-    Of a hot trigger each distinct string is sent by itself, as a phrase of one string in the bucket of its own hash.
+    Of a hot trigger each distinct string is sent by itself, as a phrase of one string in the bucket of its own hash. A
+    trigger with an earlier document passes through as a row without a key, and the trigger as ``hot``.
     """
     if not len(table) or not len(shared):
         return PHRASES.empty_table()
     _, _, number, p = _batch(table, bits)
-    h, hot = _numbers(shared.column("h")).view(U), _numbers(shared.column("hot")).astype(bool)
-    here = np.flatnonzero(np.isin(p.trigger, h[~hot]))
+    h, kind = _numbers(shared.column("h")).view(U), _numbers(shared.column("kind"))
+    here = np.flatnonzero(np.isin(p.trigger, h[kind == SEVERAL]))
     key, doc, _, one = _firsts(_keys(p.data, p.first[here], p.count[here]), number[p.doc[here]])
     one = here[one]
     first, count, home, trigger = p.first[one], p.count[one], p.trigger[one], np.full(len(one), -1)
-    if hot.any():
-        here = np.flatnonzero(np.isin(p.trigger, h[hot]))
+    if (kind == VERY_MANY).any():
+        here = np.flatnonzero(np.isin(p.trigger, h[kind == VERY_MANY]))
         phrase, _, start = _strings(p.first[here], p.count[here])
         single = np.ones(len(start), np.int64)
         own, least, _, one = _firsts(_keys(p.data, start, single), number[p.doc[here[phrase]]])
         key, doc, first, count = (np.concatenate(x) for x in ((key, own), (doc, least), (first, start[one]), (count, single[one])))
         home, trigger = np.concatenate([home, own]), np.concatenate([trigger, p.trigger[here[phrase[one]]].view(np.int64)])
-    columns = [
-        np.full(len(key), table.column("b")[0].as_py(), np.int32),
+    b, known = table.column("b")[0].as_py(), h[kind == EARLIER]
+    sent = [
+        np.full(len(key), b, np.int32),
         (_mix(home) % U(buckets)).astype(np.int32),
         key.view(np.int64),
         doc,
         count.astype(np.int32),
         trigger,
     ]
-    return pa.table([*map(pa.array, columns), _slices(p.data, first, count + LENGTH - 1)], schema=PHRASES)
+    passed = [np.full(len(known), b, np.int32), (_mix(known) % U(buckets)).astype(np.int32), None, None, None, known.view(np.int64)]
+    none = [pa.nulls(len(known), f.type) if c is None else pa.array(c, f.type) for c, f in zip([*passed, None], PHRASES, strict=True)]
+    phrases = pa.table([*map(pa.array, sent), _slices(p.data, first, count + LENGTH - 1)], schema=PHRASES)
+    return pa.concat_tables([phrases, pa.table(none, schema=PHRASES)])
 
 
 def answer_phrases(table: pa.Table) -> pa.Table:
-    """For each batch's phrases, masks of the strings that occur in a document before the phrase's own."""
+    """For each batch's phrases, masks of the strings that occur in a document before the phrase's own.
+
+    Rows without a key come back as they are.
+    """
+    whole = table.column("key").is_null().combine_chunks()
+    passed, table = table.filter(whole).select(["b", "key", "hot"]), table.filter(pc.invert(whole))
+    passed = passed.add_column(2, "mask", pa.nulls(len(passed), pa.int64()))
+    if not len(table):
+        return passed.cast(MASKS)
     key, doc, count = (_numbers(table.column(c)) for c in ("key", "doc", "n"))
     key, count = key.view(U), count.astype(np.int64)
     raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
@@ -273,7 +295,7 @@ def answer_phrases(table: pa.Table) -> pa.Table:
     # strings of hot triggers always answer, since their batch compares its own documents' strings as well
     on = pa.array(np.flatnonzero((masks > 0) | (_numbers(table.column("hot")) >= 0)))
     columns = [table.column("b").take(on), table.column("key").take(on), pa.array(masks.view(np.int64)).take(on), table.column("hot").take(on)]
-    return pa.table(columns, schema=MASKS)
+    return pa.concat_tables([pa.table(columns, schema=MASKS), passed.cast(MASKS)])
 
 
 SPANS = "array<struct<start:int,stop:int>>"
@@ -377,13 +399,10 @@ def phrase_dedup(
     triggers = dealt.groupBy("b").applyInArrow(
         lambda t: send_triggers(t, bits), "b int, h long, one long, doc long, n int, several boolean"
     )
-    several, same = shared_triggers(triggers)
-    phrases = dealt.groupBy("b").cogroup(several.groupBy("b")).applyInArrow(
+    phrases = dealt.groupBy("b").cogroup(shared_triggers(triggers).groupBy("b")).applyInArrow(
         lambda t, s: send_phrases(t, s, batches, bits), "b int, k int, key long, doc long, n int, hot long, raw binary"
     )
     masks = phrases.groupBy("k").applyInArrow(answer_phrases, "b int, key long, mask long, hot long")
-    none = F.lit(None).cast("long")
-    masks = masks.union(same.select("b", none.alias("key"), none.alias("mask"), F.col("h").alias("hot")))
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.int64())
     cut_docs = dealt.groupBy("b").cogroup(masks.groupBy("b")).applyInArrow(
         lambda t, m: cut_batch(t, m, id_type, bits), f"id {kind}, n_bytes long, removed {SPANS}, kept binary"
