@@ -164,7 +164,7 @@ TRIGGERS = pa.schema(
 PHRASES = pa.schema(
     [("b", pa.int32()), ("k", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("hot", pa.int64()), ("raw", pa.binary())]
 )
-MASKS = pa.schema([("b", pa.int32()), ("key", pa.int64()), ("mask", pa.int64()), ("hot", pa.int64())])
+MASKS = pa.schema([("b", pa.int32()), ("key", pa.int64()), ("mask", pa.int64()), ("hot", pa.int64()), ("raw", pa.binary())])
 #: Bits of the trigger in a row beyond those that number the corpus's bytes, and of a phrase's hash.
 SPARE, ONE = 7, 48
 
@@ -222,8 +222,8 @@ def shared_triggers(triggers: DataFrame) -> DataFrame:
 def send_phrases(table: pa.Table, shared: pa.Table, buckets: int, bits: int) -> pa.Table:
     """A batch's distinct phrases with one of these triggers, each with its first document in the batch.
 
-    Of a hot trigger each distinct string is sent by itself, as a phrase of one string in the bucket of its own hash. A
-    trigger with an earlier document passes through as a row without a key, and the trigger as ``hot``.
+    Of a hot trigger each distinct string is sent by itself, as a phrase of one string in the bucket of its own hash. The
+    batch's triggers with an earlier document pass through as one row without a key.
     """
     if not len(table) or not len(shared):
         return PHRASES.empty_table()
@@ -249,10 +249,19 @@ def send_phrases(table: pa.Table, shared: pa.Table, buckets: int, bits: int) ->
         count.astype(np.int32),
         trigger,
     ]
-    passed = [np.full(len(known), b, np.int32), (_mix(known) % U(buckets)).astype(np.int32), None, None, None, known.view(np.int64)]
-    none = [pa.nulls(len(known), f.type) if c is None else pa.array(c, f.type) for c, f in zip([*passed, None], PHRASES, strict=True)]
     phrases = pa.table([*map(pa.array, sent), _slices(p.data, first, count + LENGTH - 1)], schema=PHRASES)
-    return pa.concat_tables([phrases, pa.table(none, schema=PHRASES)])
+    passed = {"b": [b], "k": [b % buckets], "raw": [_packed_list(known)]} if len(known) else {}
+    return pa.concat_tables([phrases, pa.table({f.name: pa.array(passed.get(f.name, [None] * len(passed.get("b", []))), f.type) for f in PHRASES})])
+
+
+def _packed_list(numbers: np.ndarray) -> bytes:
+    """A set of numbers as compressed differences."""
+    return zstandard.ZstdCompressor(level=3).compress(np.diff(np.unique(numbers), prepend=U(0)).tobytes())
+
+
+def _unpacked_lists(column: pa.ChunkedArray) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor()
+    return np.concatenate([np.zeros(0, U), *(np.cumsum(np.frombuffer(unpack.decompress(x), U), dtype=U) for x in column.to_pylist())])
 
 
 def answer_phrases(table: pa.Table) -> pa.Table:
@@ -261,10 +270,10 @@ def answer_phrases(table: pa.Table) -> pa.Table:
     Rows without a key come back as they are.
     """
     whole = table.column("key").is_null().combine_chunks()
-    passed, table = table.filter(whole).select(["b", "key", "hot"]), table.filter(pc.invert(whole))
-    passed = passed.add_column(2, "mask", pa.nulls(len(passed), pa.int64()))
+    passed, table = table.filter(whole), table.filter(pc.invert(whole))
+    passed = passed.append_column("mask", pa.nulls(len(passed), pa.int64())).select(MASKS.names).cast(MASKS)
     if not len(table):
-        return passed.cast(MASKS)
+        return passed
     key, doc, count = (_numbers(table.column(c)) for c in ("key", "doc", "n"))
     key, count = key.view(U), count.astype(np.int64)
     raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
@@ -295,7 +304,7 @@ def answer_phrases(table: pa.Table) -> pa.Table:
     # strings of hot triggers always answer, since their batch compares its own documents' strings as well
     on = pa.array(np.flatnonzero((masks > 0) | (_numbers(table.column("hot")) >= 0)))
     columns = [table.column("b").take(on), table.column("key").take(on), pa.array(masks.view(np.int64)).take(on), table.column("hot").take(on)]
-    return pa.concat_tables([pa.table(columns, schema=MASKS), passed.cast(MASKS)])
+    return pa.concat_tables([pa.table([*columns, pa.nulls(len(on), pa.binary())], schema=MASKS), passed])
 
 
 SPANS = "array<struct<start:int,stop:int>>"
@@ -313,12 +322,12 @@ def _looked_up(key: np.ndarray, known: np.ndarray, bits: np.ndarray) -> np.ndarr
 def cut_batch(table: pa.Table, masks: pa.Table, id_type: pa.DataType, bits: int) -> pa.Table:
     """Each document of a batch with its removed spans and the bytes that stay.
 
-    ``masks`` has (key, mask, hot) of phrases, and rows of whole triggers: no key, and the trigger as ``hot``.
+    ``masks`` has (key, mask, hot) of phrases, and lists of triggers whose phrases go as a whole, without a key.
     """
     ids, texts, number, p = _batch(table, bits)
     key = _keys(p.data, p.first, p.count)
     whole = masks.column("key").is_null().combine_chunks()
-    earlier, masks = _numbers(masks.column("hot").filter(whole)).view(U), masks.filter(pc.invert(whole))
+    earlier, masks = _unpacked_lists(masks.column("raw").filter(whole)), masks.filter(pc.invert(whole))
     sent, bits_of, hot = (_numbers(masks.column(c)) for c in ("key", "mask", "hot"))
     order = np.lexsort((sent.view(U), hot >= 0))
     sent, bits_of, hot = sent[order].view(U), bits_of[order].view(U), hot[order]
@@ -402,7 +411,7 @@ def phrase_dedup(
     phrases = dealt.groupBy("b").cogroup(shared_triggers(triggers).groupBy("b")).applyInArrow(
         lambda t, s: send_phrases(t, s, batches, bits), "b int, k int, key long, doc long, n int, hot long, raw binary"
     )
-    masks = phrases.groupBy("k").applyInArrow(answer_phrases, "b int, key long, mask long, hot long")
+    masks = phrases.groupBy("k").applyInArrow(answer_phrases, "b int, key long, mask long, hot long, raw binary")
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.int64())
     cut_docs = dealt.groupBy("b").cogroup(masks.groupBy("b")).applyInArrow(
         lambda t, m: cut_batch(t, m, id_type, bits), f"id {kind}, n_bytes long, removed {SPANS}, kept binary"
