@@ -30,11 +30,19 @@ KBITS = {
     (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+#: Layer II: bits of an allocation by subband, for each table of ISO/IEC 11172-3 (B.2a to B.2d) and of 13818-3 (B.1).
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
 SIDE = {(1, False): 32, (1, True): 17, (2, False): 17, (2, True): 9}
 
 BLOCK = 64
 WRITER_RATE, WRITER_SAMPLES, WRITER_SIDE = 32000, 1152, 17
-PAYLOAD_TAG = "payload_bytes"
+PAYLOAD_TAG = "folioflow payload bytes"
 
 
 def crc16(data: bytes, crc: int = 0xFFFF) -> int:
@@ -68,16 +76,48 @@ def header(raw: bytes) -> tuple | None:
     return size, samples, hz, generation, layer, mode == 3, not word >> 16 & 1, (version, layer, hz), bound
 
 
+def _layer2_bits(frame: bytes, h: tuple) -> str:
+    """The bits of a Layer II frame that its checksum covers: the header's last half, allocations and scale factor selectors."""
+    _, _, hz, generation, _, mono, _, _, bound = h
+    channels = 1 if mono else 2
+    each = KBITS[generation, 2][(frame[2] >> 4) - 1] // channels
+    if generation == 2:
+        widths = ALLOCATION["low"]
+    elif each < 56:
+        widths = ALLOCATION["d" if hz == 32000 else "c"]
+    else:
+        widths = ALLOCATION["a" if hz == 48000 or each < 96 else "b"]
+    bits, at, used = f"{int.from_bytes(frame[6:], 'big'):0{8 * max(len(frame) - 6, 1)}b}", 0, 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            on = "1" in bits[at : at + width]
+            at += width
+            used += on * (1 if band < bound else channels)  # above the bound both channels share an allocation
+    return f"{int.from_bytes(frame[2:4], 'big'):016b}" + bits[: at + 2 * used]
+
+
+def _crc16_bits(bits: str) -> int:
+    whole = len(bits) // 8 * 8
+    crc = crc16(int(bits[:whole], 2).to_bytes(whole // 8, "big"))
+    for bit in bits[whole:]:
+        top = crc >> 15 ^ int(bit)
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if top else crc << 1 & 0xFFFF
+    return crc
+
+
 def _checked(frame: bytes, h: tuple) -> bool | None:
-    """Whether the frame's checksum holds; None without one, and for Layer II, whose span depends on its tables."""
+    """Whether the frame's checksum holds; None without one."""
     _, _, _, generation, layer, mono, has, _, bound = h
-    if not has or layer == 2:
+    if not has:
         return None
+    stored = int.from_bytes(frame[4:6], "big")
+    if layer == 2:
+        return _crc16_bits(_layer2_bits(frame, h)) == stored
     if layer == 3:
         span = SIDE[generation, mono]
     else:
         span = (32 if mono else bound * 2 + (32 - bound)) * 4 // 8
-    return _crc16_of(frame[2:4] + frame[6 : 6 + span]) == int.from_bytes(frame[4:6], "big")
+    return _crc16_of(frame[2:4] + frame[6 : 6 + span]) == stored
 
 
 def _id3v2(data: bytes) -> tuple[int, dict[str, str]]:
@@ -163,7 +203,8 @@ def scan(data: bytes) -> dict:
     out["resync_bytes"] += max(0, end - max(at, start)) if at < end else 0
     payload = b"".join(parts)
     length = tags.get(PAYLOAD_TAG, "")
-    out["payload"] = payload[: int(length)] if length.isdigit() else payload
+    known = length.isascii() and length.isdigit() and len(length) < 19
+    out["payload"] = payload[: int(length)] if known else payload
     return out | {"tags": tags, "offsets": offsets}
 
 
@@ -201,7 +242,8 @@ def carry(text: bytes) -> bytes:
 def carry_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, media): each whole text's UTF-8 bytes as a stream; a null text counts as empty.
 
-    One row per input row; equal texts give equal streams. No shuffle, and a task holds one Arrow batch.
+    One row per input row, repeated rows and null ids included; equal texts give equal streams. An empty table gives an
+    empty result; other columns are not carried. No shuffle, and a task holds one Arrow batch.
     """
     source = docs.select(F.col(id_col), F.encode(text_of(text_col), "utf-8").alias("__raw"))
 
@@ -227,7 +269,8 @@ def scan_media(media: DataFrame, media_col: str = "media", id_col: str = "doc_id
 
     ``duration_us`` is samples / rate in whole microseconds, rounded down; ``n_samples`` and ``sample_rate`` have
     it exactly. ``seek_offsets`` has the byte offset of each audio frame, so sample s is in frame s div samples a
-    frame. Media without a frame have 0 frames and rate 0. No shuffle.
+    frame. Media without a frame have 0 frames and rate 0. ``payload`` has the ancillary data of silent frames, of a
+    stream that ``carry_bytes`` wrote just the bytes it was given. Other columns are not carried. No shuffle.
     """
     source = media.select(F.col(id_col), F.coalesce(F.col(media_col), F.lit(b"")).alias("media"))
     kind = source.schema[id_col].dataType.simpleString()

@@ -235,7 +235,9 @@ def test_hosts(spark):
 
 def test_byte_bpe(docs, rows):
     own = tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks=byte_bpe.read_ranks(queries.RANKS), special_tokens={})
-    found = byte_bpe.decode(byte_bpe.encode(docs, queries.RANKS, queries.PATTERN), queries.RANKS, queries.PATTERN).collect()
+    found = byte_bpe.encode(docs, queries.RANKS, queries.PATTERN, decoded=True).collect()
+    encoded = byte_bpe.encode(docs, queries.RANKS, queries.PATTERN)
+    same([tuple(r) for r in byte_bpe.decode(encoded, queries.RANKS, queries.PATTERN).collect()], [tuple(r) for r in found])
     expected = []
     for i, t, *_ in rows:
         ids = own.encode_ordinary(t or "")
@@ -321,3 +323,104 @@ def test_media_columns(spark, docs, rows):
     assert broken["resync_bytes"] > 0 and len(broken["offsets"]) >= len(whole["offsets"]) - 3
     for junk in (b"", b"\xff" * 500, b"ID3", b"TAG" + bytes(125), hashlib.sha512(b"x").digest() * 9):
         assert mpeg_audio.scan(junk)["n_samples"] >= 0
+
+
+def walked(data, at, end):
+    """(offset, samples, checksum holds) of each frame of a Layer I, II or III stream, read bit by bit from the standard's fields."""
+    bits = lambda a, n: int("".join(f"{b:08b}" for b in data[a // 8 : (a + n + 7) // 8 + 1])[a % 8 : a % 8 + n] or "0", 2)
+    out = []
+    while at < end:
+        p = at * 8
+        assert bits(p, 11) == 2047
+        version, layer, unprotected = bits(p + 11, 2), 4 - bits(p + 13, 2), bits(p + 15, 1)
+        kbits = mpeg_audio.KBITS[1 if version == 3 else 2, layer][bits(p + 16, 4) - 1]
+        hz = mpeg_audio.RATES[version][bits(p + 20, 2)]
+        pad, mode, extension = bits(p + 22, 1), bits(p + 24, 2), bits(p + 26, 2)
+        samples = {1: 384, 2: 1152, 3: 1152 if version == 3 else 576}[layer]
+        size = (12000 * kbits // hz + pad) * 4 if layer == 1 else samples * 125 * kbits // hz + pad
+        good = None
+        if not unprotected:
+            channels, bound = 1 if mode == 3 else 2, 4 * (extension + 1) if mode == 1 else 32
+            q = p + 48
+            if layer == 1:
+                covered = 4 * sum(channels if band < bound else 1 for band in range(32))
+            elif layer == 3:
+                covered = 8 * {(3, 3): 17, (3, 0): 32, (2, 3): 9, (2, 0): 17}[version, 3 if mode == 3 else 0]
+            else:  # the frames made here are of 44.1 kHz with 96 kbit/s and more a channel
+                covered, chosen = 0, 0
+                for band in range(30):
+                    n = 4 if band < 11 else 3 if band < 23 else 2
+                    for _ in range(channels if band < bound else 1):
+                        chosen += (bits(q + covered, n) > 0) * (1 if band < bound else channels)
+                        covered += n
+                covered += 2 * chosen
+            crc = 0xFFFF
+            for i in [*range(p + 16, p + 32), *range(q, q + covered)]:
+                crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ bits(i, 1) else 0)
+            good = crc == bits(p + 32, 16)
+        out.append((at, samples, good))
+        at += size
+    return out
+
+
+def made_frame(rng, layer, version=3, kbits=9, mode=0, extension=0, protected=True, pad=0):
+    word = 0x7FF << 21 | version << 19 | (4 - layer) << 17 | (not protected) << 16 | kbits << 12 | pad << 9 | mode << 6 | extension << 4
+    head = word.to_bytes(4, "big")
+    size, h = mpeg_audio.header(head)[0], mpeg_audio.header(head)
+    body = bytearray(rng.integers(0, 256, size - 4).astype(np.uint8).tobytes().replace(b"\xff", b"\x7f"))
+    if protected and layer == 2:
+        body[:2] = mpeg_audio._crc16_bits(mpeg_audio._layer2_bits(head + bytes(body), h)).to_bytes(2, "big")
+    elif protected:
+        channels, bound = 1 if mode == 3 else 2, 4 * (extension + 1) if mode == 1 else 32
+        span = mpeg_audio.SIDE[h[3], mode == 3] if layer == 3 else sum(channels if b < bound else 1 for b in range(32)) // 2
+        body[:2] = mpeg_audio.crc16(head[2:] + bytes(body[2 : 2 + span])).to_bytes(2, "big")
+    return head + bytes(body)
+
+
+def test_streams_of_all_layers_by_a_walker():
+    rng = np.random.default_rng(9)
+    for layer, modes in ((1, (0, 1, 3)), (2, (0, 1, 3)), (3, (0, 3))):
+        for mode in modes:
+            frames = [made_frame(rng, layer, kbits=12, mode=mode, extension=i % 4, pad=i % 2) for i in range(9)]
+            frames[4] = frames[4][:4] + bytes([frames[4][4] ^ 1]) + frames[4][5:]
+            tag = b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
+            lead = b"ID3\x03\0\0\0\0\0\x11TIT2\0\0\0\x07\0\0\0Piece\0"
+            data = lead + b"".join(frames) + tag
+            expected = walked(data, len(lead), len(data) - 128)
+            found = mpeg_audio.scan(data)
+            assert [x[0] for x in expected] == found["offsets"] and sum(x[1] for x in expected) == found["n_samples"]
+            assert (found["crc_good"], found["crc_bad"]) == (8, 1) == (sum(x[2] for x in expected), sum(not x[2] for x in expected))
+            assert found["tags"] == {"TIT2": "Piece", "title": "Title"} and found["resync_bytes"] == 0
+            damaged = data[: expected[2][0]] + b"\0" * 33 + data[expected[2][0] :]
+            again = mpeg_audio.scan(damaged)
+            assert again["resync_bytes"] == 33 and len(again["offsets"]) == 9
+
+
+def test_vbri_table():
+    rng = np.random.default_rng(10)
+    first = bytearray(made_frame(rng, 3, mode=3, protected=False))
+    first[36:62] = b"VBRI" + bytes(6) + (1000).to_bytes(4, "big") + (7).to_bytes(4, "big") + bytes([0, 3, 0, 2, 0, 2, 0, 1])
+    first[62:68] = bytes([0, 10, 0, 20, 0, 30])
+    found = mpeg_audio.scan(bytes(first) + made_frame(rng, 3, mode=3, protected=False) * 3)
+    assert found["vbr"] == {"kind": "VBRI", "frames": 7, "bytes": 1000, "toc": [20, 40, 60]} and len(found["offsets"]) == 3
+
+
+def test_payload_tags_of_all_kinds():
+    stream = mpeg_audio.carry(b"abc")
+    own = mpeg_audio.PAYLOAD_TAG.encode()
+    for value in ("²²", "-1", "", "9" * 40, "x"):
+        text = b"\3" + own + b"\0" + value.encode()
+        tag = b"ID3\x04\0\0\0\0" + bytes([(len(text) + 10) >> 7, (len(text) + 10) & 127]) + b"TXXX\0\0\0" + bytes([len(text), 0, 0]) + text
+        at = stream.index(b"\xff\xfa")
+        assert mpeg_audio.scan(tag + stream[at:])["payload"].startswith(b"abc")
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert mpeg_audio.scan_media(mpeg_audio.carry_bytes(none)).count() == 0
+    assert byte_bpe.encode(none, queries.RANKS, queries.PATTERN, decoded=True).count() == 0
+    folder = shared_folder(spark, "tokens")
+    assert token_counts.write_flat(none, folder, queries.RANKS, queries.PATTERN, queries.END_OF_DOCUMENT).count() == 0
+    assert token_counts.count_tokens(spark, folder, queries.END_OF_DOCUMENT).count() == 0
+    with pytest.raises(ValueError):
+        token_counts.write_flat(none, folder, queries.RANKS, queries.PATTERN, 70_000)
