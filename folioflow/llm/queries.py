@@ -22,7 +22,7 @@ from . import (
     quality_rules,
     token_counts,
 )
-from .common import shared_folder, table
+from .common import remove_folder, shared_folder, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: The id that ends documents in flat files of these ranks, free in them.
@@ -67,6 +67,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     written = token_counts.write_flat(table(spark, sf_dir, "documents"), folder, RANKS, PATTERN, END_OF_DOCUMENT)
     counted = token_counts.count_tokens(spark, folder, END_OF_DOCUMENT)
+    remove_folder(spark, folder)  # the blocks' ends are in a checkpoint by now
     return counted.join(written, ["file", "doc"], "left").select("doc_id", "n_tokens", "closed")
 
 

@@ -8,6 +8,7 @@ ended before it and where the open one began.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,13 +19,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import strides, tokenizer
+from .byte_bpe import read_ranks, strides, tokenizer
 from .common import cut, text_of
 
 KINDS = {2: "<u2", 4: "<u4"}
 BLOCK_TOKENS, FILE_BYTES = 1 << 21, 64 << 20
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI as Spark's readers name it."""
+    return fs.FileSystem.from_uri(re.sub(r"^(s3)[an]://|^file:/+", lambda m: "s3://" if m[1] else "file:///", uri))
+
+
 def write_flat(
     docs: DataFrame, folder: str, ranks: str, pattern: str, eod: int, width: int = 2, id_col: str = "doc_id",
     text_col: str = "text",
@@ -34,13 +40,16 @@ def write_flat(
     ``folder`` is one that all executors reach. Each task writes its rows, in their order, to files of about
     ``FILE_BYTES`` under names of its partition; a repeated task writes the same files again, and a file appears
     under its name only when it is whole. The result is checkpointed, so the files are written once it is returned.
-    A null text counts as empty; an empty document is its end id alone.
+    A null text counts as empty; an empty document is its end id alone. One row per input row, repeated rows and null ids
+    included; an empty table writes nothing. Other columns are not carried. Ids that ``width`` bytes can't hold are an error.
     """
+    if max(eod, max(read_ranks(ranks).values())) >= 1 << 8 * width:
+        raise ValueError(f"ids of this tokenizer do not fit into {width} bytes")
     source = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
     kind = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         own, part, number = tokenizer(ranks, pattern), TaskContext.get().partitionId(), 0
         out, size, docs_in, temporary = None, 0, 0, ""
 
@@ -73,7 +82,7 @@ def write_flat(
         if out is not None:
             close()
 
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = _store(folder)
     store.create_dir(base)
     return cut(source.mapInArrow(run, f"`{id_col}` {kind}, file string, doc long"))
 
@@ -82,7 +91,7 @@ def _scan(batches: Iterator[pa.RecordBatch], eod: int, width: int, block_tokens:
     for batch in batches:
         ends = []
         for path, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            store, place = fs.FileSystem.from_uri(path)
+            store, place = _store(path)
             with store.open_input_file(place) as f:
                 raw = f.read_at(block_tokens * width, block * block_tokens * width)
             ids = np.frombuffer(raw, KINDS[width], len(raw) // width)
