@@ -1,8 +1,10 @@
 """Licence scan: sparse word n-gram logistic regression over paragraphs (DataFrame functions and pyspark.ml only).
 
-A paragraph is a line. The classifier learns licence families from templates and their parts, and the class ``unknown`` from a
-bounded sample of the corpus's own paragraphs. The probability under which a paragraph is unknown is calibrated on
-held-out sample paragraphs. A prediction is confirmed by comparing the paragraph with the family's templates.
+A paragraph is a line, and a run of neighbouring lines that may all belong to a licence is read as one paragraph besides, since
+notices are often wrapped. The classifier learns licence families from templates, their parts and common wordings around the
+licences' names; the class ``unknown`` from the same wordings around the names of other licences and from a bounded sample
+of the corpus's own paragraphs. Probabilities are calibrated on wordings and sample paragraphs that training does not
+see. A prediction is confirmed by comparing all of the paragraph with the family's templates.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,8 @@ UNKNOWN = "unknown"
 SAMPLE, VOCABULARY = 4000, 4096
 #: A word in so large a share of the sample's paragraphs is no feature by itself.
 COMMON_SHARE = 0.02
-#: Share of held-out unknown paragraphs that may pass for a licence.
-FALSE_SHARE = 0.0005
-#: Least share of a paragraph's licence n-grams that the predicted family's templates hold.
-LEAST_SHARED = 0.5
+#: Least calibrated probability of a licence, and least share of all of a paragraph's n-grams that the family's templates hold.
+LEAST, LEAST_SHARED = 0.5, 0.25
 
 # Notices and key sentences of public licences, by family.
 TEMPLATES = {
@@ -97,12 +97,37 @@ TEMPLATES = {
         "SPDX-License-Identifier: CC0-1.0",
     ),
 }
+# Names of licences, by family; those of no family here are examples of the class unknown.
+NAMES = {
+    "apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license"),
+    "bsd": ("BSD License", "3-Clause BSD License", "BSD 2-Clause License", "New BSD License"),
+    "cc-by": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0 license", "CC BY 3.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0 license", "CC BY-NC 3.0"),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0 license", "CC BY-SA 3.0"),
+    "gpl": ("GNU General Public License, version 3", "GNU General Public License v2", "GNU GPL", "GPL v3"),
+    "lgpl": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v3", "LGPL v2.1"),
+    "mit": ("MIT License", "MIT/Expat license"),
+    "mpl": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "public-domain": ("CC0 1.0 Universal", "CC0 1.0 public domain dedication", "Unlicense"),
+    UNKNOWN: (
+        "Eclipse Public License v 2.0", "Common Development and Distribution License, Version 1.1", "ISC License", "zlib License",
+        "GNU Affero General Public License, version 3", "Artistic License 2.0", "Boost Software License 1.0", "SIL Open Font License 1.1",
+        "Microsoft Public License", "European Union Public Licence v. 1.2", "PostgreSQL License", "Python Software Foundation License, version 2",
+        "Creative Commons Attribution-NoDerivatives 4.0 International License", "commercial license", "driving license", "license of the city",
+    ),
+}
+# Wordings around a name; the second part is kept for the calibration.
+WORDINGS = (
+    "{}", "licensed under the {}", "This software is released under the {}.", "distributed under the terms of the {}, see COPYING",
+    "Use of this source code is governed by the {}.", "License: {}",
+)
+KEPT_WORDINGS = ("This project is covered by the {}", "made available under the {}; see LICENSE for details", "It is subject to the {}")
 FAMILIES = [UNKNOWN, *sorted(TEMPLATES)]
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased runs of letters and digits, ``licence`` in its other spelling."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "licence", "license"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def grams(ws: Column) -> Column:
@@ -121,46 +146,53 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
     return one.select(F.explode("rows").alias("r")).select("r.*")
 
 
+def worded(spark: SparkSession, wordings: tuple[str, ...]) -> DataFrame:
+    """(family, ws): names of licences in each of the wordings."""
+    rows = [{"family": f, "text": w.format(n)} for f, names in NAMES.items() for n in names for w in wordings]
+    return literal_table(spark, rows, "family string, text string").select("family", words(F.col("text")).alias("ws"))
+
+
 def training_templates(spark: SparkSession) -> DataFrame:
-    """(family, text, ws): the templates, and their parts of 5 and 9 words around each word pair in fives."""
+    """(family, ws): the templates, their parts of 5 and 9 words around each word pair in fives, and worded names."""
     rows = [{"family": f, "text": t} for f, ts in TEMPLATES.items() for t in ts]
-    whole = literal_table(spark, rows, "family string, text string").withColumn("ws", words(F.col("text")))
+    whole = literal_table(spark, rows, "family string, text string").select("family", words(F.col("text")).alias("ws"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ws") - 5), F.lit(5))
     parts = whole.withColumn("a", F.explode(starts)).withColumn("n", F.explode(F.array(F.lit(5), F.lit(9))))
-    parts = parts.select("family", "text", F.slice("ws", F.col("a") + 1, F.col("n")).alias("ws"))
-    return whole.union(parts).where(F.size("ws") >= 3).distinct()
+    parts = parts.select("family", F.slice("ws", F.col("a") + 1, F.col("n")).alias("ws")).where(F.size("ws") >= 3)
+    return whole.union(parts).union(worded(spark, WORDINGS)).distinct()
 
 
 @dataclass
 class Classifier:
-    """Weights of each n-gram by family, intercepts, the least probability of a licence, the words that any feature needs."""
+    """Weights of each n-gram by family, intercepts, slope and offset of the calibration, the words that any licence needs."""
 
     weights: dict[str, list[float]]
     intercepts: list[float]
-    least: float
+    slope: float
+    offset: float
     keys: list[str]
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Classifier:
-    """Fit on the templates and on about ``sample`` paragraphs of ``docs``, chosen by hash, of which a quarter is held out.
+    """Fit on templates, worded names and about ``sample`` paragraphs of ``docs``, chosen by hash, of which a quarter is held out.
 
     The sample's paragraphs count as unknown but for those that share three words in a row with a template. ``docs``
-    without any paragraph leave the templates and one made-up unknown paragraph to train on.
+    without any paragraph leave the rest to train on.
     """
     spark = docs.sparkSession
-    templates = training_templates(spark)
+    templates = cut(training_templates(spark))
     split = F.split(text_of(text_col), "\n")
     n_lines = docs.agg(F.coalesce(F.sum(F.size(split)), F.lit(0))).first()[0]
     lines = docs.select(F.explode(split).alias("text")).where("trim(text) <> ''")
     one_in = F.lit(max(1, n_lines // sample))
     picked = lines.withColumn("h", F.xxhash64("text")).where(F.pmod("h", one_in) == 0).distinct()
     ranked = picked.orderBy(F.xxhash64("h"), "text").limit(2 * sample)  # few more than ``sample`` by chance
-    triples = [
-        " ".join(r.ws[i : i + 3]).lower()
-        for r in templates.select("ws").distinct().collect()  # the templates are this module's own
+    triples = {
+        " ".join(r.ws[i : i + 3])
+        for r in templates.where(F.col("family") != UNKNOWN).select("ws").distinct().collect()  # this module's own
         for i in range(len(r.ws) - 2)
-    ]
-    known = F.array([F.lit(t) for t in sorted(set(triples))])
+    }
+    known = F.array([F.lit(t) for t in sorted(triples)])
     background = ranked.select("text", "h", words(F.col("text")).alias("ws")).where(
         (F.size("ws") > 0) & ~F.arrays_overlap(grams(F.col("ws")), known)
     )
@@ -174,107 +206,117 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Clas
     shares = {r.w: r.share for r in common.where(F.col("share") >= COMMON_SHARE / 10).collect()}  # words of a bounded sample
     often = F.array([F.lit(w) for w, s in sorted(shares.items()) if s >= COMMON_SHARE] or [F.lit("")])
     rare = F.filter(grams(F.col("ws")), lambda g: F.size(F.array_except(F.split(g, " "), often)) > 0)
-    made_up = literal_table(spark, [{"family": UNKNOWN, "t": "no words of any licence"}], "family string, t string")
-    trained = (
-        templates.select("family", "ws")
-        .union(background.where("not held").select(F.lit(UNKNOWN), "ws"))
-        .union(made_up.select("family", words(F.col("t"))))
-    )
     label = F.array_position(F.array([F.lit(f) for f in FAMILIES]), F.col("family")) - 1
+    trained = templates.select("family", "ws").union(background.where("not held").select(F.lit(UNKNOWN), "ws"))
     labelled = trained.select(label.cast("double").alias("label"), rare.alias("grams"))
     balance = labelled.groupBy("label").agg((1000 / F.count(F.lit(1))).alias("weight"))  # families count alike
     rows = cut(labelled.join(balance, "label").coalesce(1))
-    licence = rows.where("label > 0").select("grams", "label")
-    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=1, binary=True).fit(licence)
+    named = cut(templates.select(rare.alias("grams")).coalesce(1))
+    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=1, binary=True).fit(named)
     model = LogisticRegression(
         regParam=0.0005, maxIter=60, family="multinomial", standardization=False, weightCol="weight"
     ).fit(vectorizer.transform(rows).select("label", "features", "weight"))
     coefficients = model.coefficientMatrix.toArray()
-    classes = coefficients.shape[0]
-    pad = [0.0] * (len(FAMILIES) - classes)
-    weights = {g: [*map(float, coefficients[:, i]), *pad] for i, g in enumerate(vectorizer.vocabulary)}
-    intercepts = [*map(float, model.interceptVector.toArray()), *pad]
-    keys = sorted({min((w for w in g.split(" ")), key=lambda w: (shares.get(w, 0.0), w)) for g in weights})
-    found = Classifier(weights, intercepts, 0.5, keys)
-    held = background.where("held").select("text").distinct()
-    worst = classify(held, found).agg(F.expr(f"percentile(p, {1 - FALSE_SHARE})")).first()[0]
-    found.least = min(0.99, max(0.5, worst or 0.0))
+    weights = {g: [*map(float, coefficients[:, i])] for i, g in enumerate(vectorizer.vocabulary)}
+    rarest = lambda g: min(g.split(" "), key=lambda w: (shares.get(w, 0.0), w))
+    keys = sorted({rarest(g) for g, w in weights.items() if max(w[1:]) > w[0]})
+    found = Classifier(weights, [*map(float, model.interceptVector.toArray())], 1.0, 0.0, keys)
+    # Platt's calibration: one slope and one offset for the margin between the best licence and unknown
+    kept = worded(spark, KEPT_WORDINGS).select(F.array_join("ws", " ").alias("text"), (F.col("family") != UNKNOWN).cast("double").alias("label"))
+    kept = kept.union(background.where("held").select("text", F.lit(0.0))).dropDuplicates(["text"])
+    margins = classify(kept.select("text"), found).join(kept, "text").select("margin", "label")
+    fitted = LogisticRegression(regParam=0.001, maxIter=60).fit(
+        VectorAssembler(inputCols=["margin"], outputCol="features").transform(cut(margins.coalesce(1)))
+    )
+    found.slope, found.offset = float(fitted.coefficients[0]), float(fitted.intercept)
     return found
 
 
 def classify(paragraphs: DataFrame, by: Classifier) -> DataFrame:
-    """(text, family, p, shared) for distinct paragraphs (text): the best licence family, its probability, template overlap.
+    """(text, family, margin, p, shared, named) for distinct paragraphs (text).
 
-    ``shared`` is the share of the paragraph's known n-grams of two and three words that the family's templates
-    hold. Paragraphs without a known n-gram have the probability that the intercepts give.
+    ``family`` is the best licence family, ``margin`` its logit over that of unknown, ``p`` the calibrated probability.
+    ``shared`` is the share of all of the paragraph's n-grams of two and three words that the family's templates hold, and
+    ``named`` says whether one of them is that of no other family and of no other licence's name.
     """
     spark = paragraphs.sparkSession
-    own = {f: set() for f in FAMILIES}
+    own: dict[str, set[str]] = {f: set() for f in FAMILIES}
     for r in training_templates(spark).select("family", grams(F.col("ws")).alias("g")).collect():  # this module's own
         own[r.family].update(r.g)
+    among = {g: [f for f in FAMILIES if g in own[f]] for g in set().union(*own.values())}
+    none = [0.0] * len(FAMILIES)
     table = [
-        {"g": g, "w": w, "k": len(g.split(" ")) > 1, "f": [g in own[f] for f in FAMILIES]} for g, w in by.weights.items()
+        {"g": g, "w": by.weights.get(g, none), "f": [f in fs for f in FAMILIES], "o": len(fs) == 1 and fs[0] != UNKNOWN}
+        for g, fs in among.items()
     ]
-    weights = literal_table(spark, table, "g string, w array<double>, k boolean, f array<boolean>")
+    weights = literal_table(spark, table, "g string, w array<double>, f array<boolean>, o boolean")
     exploded = paragraphs.select("text", F.explode_outer(grams(words(F.col("text")))).alias("g"))
-    met = exploded.join(F.broadcast(weights), "g", "left")  # VOCABULARY rows at most
+    met = exploded.join(F.broadcast(weights), "g", "left").withColumn("k", F.contains("g", F.lit(" ")))  # this module's own n-grams
     n = len(FAMILIES)
     sums = met.groupBy("text").agg(
         F.array([F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) for i in range(n)]).alias("sums"),
         F.array([F.count_if(F.col("k") & F.col("f")[i]) for i in range(n)]).alias("shared"),
-        F.count_if(F.col("k")).alias("known"),
+        F.array([F.count_if(F.col("k") & F.col("o") & F.col("f")[i]) > 0 for i in range(n)]).alias("named"),
+        F.count_if("k").alias("grams"),
     )
     start = F.array([F.lit(x) for x in by.intercepts])
-    logits = sums.select("text", F.zip_with("sums", start, lambda a, b: a + b).alias("z"), "shared", "known")
-    power = logits.select(
-        "text", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"), "shared", "known"
-    )
-    total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
-    best = F.array_max(F.transform(F.slice("e", 2, n - 1), lambda x, i: F.struct((x / total).alias("p"), (i + 1).alias("i"))))
-    return power.withColumn("best", best).select(
+    logits = sums.withColumn("z", F.zip_with("sums", start, lambda a, b: a + b))
+    best = F.array_max(F.transform(F.slice("z", 2, n - 1), lambda x, i: F.struct(x.alias("z"), (i + 1).alias("i"))))
+    margin = F.col("best.z") - F.col("z")[0]
+    return logits.withColumn("best", best).select(
         "text",
         F.array([F.lit(f) for f in FAMILIES])[F.col("best.i")].alias("family"),
-        F.col("best.p").alias("p"),
-        F.coalesce(F.col("shared")[F.col("best.i")] / F.nullif("known", F.lit(0)), F.lit(0.0)).alias("shared"),
+        margin.alias("margin"),
+        (1 / (1 + F.exp(-(by.slope * margin + by.offset)))).alias("p"),
+        F.coalesce(F.col("shared")[F.col("best.i")] / F.nullif("grams", F.lit(0)), F.lit(0.0)).alias("shared"),
+        F.col("named")[F.col("best.i")].alias("named"),
     )
 
 
 def license_scan(
     docs: DataFrame, by: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text",
-    least_shared: float = LEAST_SHARED,
+    least: float = LEAST, least_shared: float = LEAST_SHARED,
 ) -> DataFrame:
-    """(id, n_paragraphs, licences, families): one row per input row, over whole texts.
+    """(id, n_paragraphs, licences, families): one row per input row, repeated rows and null ids included, over whole texts.
 
-    ``licences`` lists the paragraphs of a licence in page order with family, probability, template overlap and whether
-    the comparison confirms it; ``families`` has the confirmed families, sorted. A null text counts as empty and
-    has no paragraph; an empty table gives an empty result. ``by`` None trains on ``docs``. Other columns are not carried.
+    ``n_paragraphs`` counts the lines that are not blank. ``licences`` lists the paragraphs of a licence in page order: first line
+    (i), number of lines (n), text, family, probability, template overlap and whether the comparison confirms it; a line
+    is left out where a confirmed run has it. ``families`` has the confirmed families, sorted. A null text counts as empty and
+    has no paragraph; an empty table gives an empty result. ``by`` None trains on ``docs``. Other columns are not carried,
+    whatever their names.
 
-    Only a paragraph with a word that some feature needs can leave the class unknown by the classifier, so others
+    Only a paragraph with a word that some licence's feature needs can leave the class unknown by the classifier, so others
     are not scored. Equal paragraphs are scored once and joined back by their text; Spark splits a
     paragraph that very many documents have.
     """
     by = by or train(docs, text_col)
-    spark = docs.sparkSession
     key = F.array([F.lit(k) for k in by.keys])
-    every = F.filter(F.split(text_of(text_col), "\n"), lambda x: F.trim(x) != "")
+    said = lambda x: F.trim(x) != ""
+    every = F.split(text_of(text_col), "\n")
     candidates = F.filter(
-        F.transform(F.col("ps"), lambda x, i: F.struct(i.alias("i"), x.alias("text"))),
-        lambda x: F.arrays_overlap(F.split(F.lower(x["text"]), r"[^\p{L}\p{N}]+"), key),
+        F.transform(F.col("ls"), lambda x, i: F.struct(i.alias("i"), x.alias("text"))),
+        lambda x: said(x["text"]) & F.arrays_overlap(F.split(F.regexp_replace(F.lower(x["text"]), "licence", "license"), r"[^\p{L}\p{N}]+"), key),
     )
     rows = cut(
-        docs.select(F.col(id_col).alias("id"), every.alias("ps")).select(
-            F.monotonically_increasing_id().alias("row"), "id", F.size("ps").cast("long").alias("n_paragraphs"), candidates.alias("cs")
+        docs.select(F.col(id_col).alias("id"), every.alias("ls")).select(
+            F.monotonically_increasing_id().alias("row"), "id", F.size(F.filter("ls", said)).cast("long").alias("n_paragraphs"), candidates.alias("cs")
         )
     )
-    lines = rows.select("row", F.explode("cs").alias("c")).select("row", "c.i", "c.text")
-    scored = classify(lines.select("text").distinct(), by).where(F.col("p") > by.least)
-    hits = lines.join(scored, "text")
-    confirmed = F.col("shared") >= least_shared
-    found = hits.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("i", "text", "family", "p", "shared", confirmed.alias("confirmed")))).alias("licences"),
+    lines = rows.select("row", F.posexplode("cs").alias("at", "c")).select("row", (F.col("c.i") - F.col("at")).alias("run"), "c.i", "c.text")
+    runs = lines.groupBy("row", "run").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("ps")).where(F.size("ps") > 1)
+    runs = runs.select("row", F.col("ps")[0]["i"].alias("i"), F.size("ps").alias("n"), F.array_join(F.transform("ps", lambda p: p["text"]), "\n").alias("text"))
+    paragraphs = lines.select("row", "i", F.lit(1).alias("n"), "text").union(runs)
+    scored = classify(paragraphs.select("text").distinct(), by).where(F.col("p") > least)
+    confirmed = (F.col("shared") >= least_shared) & F.col("named")
+    hits = paragraphs.join(scored, "text").groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("i", "n", "text", "family", "p", "shared", confirmed.alias("confirmed")))).alias("licences"),
         F.array_sort(F.collect_set(F.when(confirmed, F.col("family")))).alias("families"),
     )
-    kind = "array<struct<i:int,text:string,family:string,p:double,shared:double,confirmed:boolean>>"
+    within = lambda x: F.exists(
+        "licences", lambda y: y["confirmed"] & (y["n"] > x["n"]) & (y["i"] <= x["i"]) & (x["i"] < y["i"] + y["n"])
+    )
+    found = hits.withColumn("licences", F.filter("licences", lambda x: ~within(x)))
+    kind = "array<struct<i:int,n:int,text:string,family:string,p:double,shared:double,confirmed:boolean>>"
     return rows.join(found, "row", "left").select(
         F.col("id").alias(id_col),
         "n_paragraphs",

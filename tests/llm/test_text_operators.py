@@ -309,6 +309,38 @@ def test_license_scan(spark):
     assert license_scan.license_scan(docs.limit(0)).count() == 0
 
 
+# wordings and licences that neither the templates nor the names in training have
+HELD_OUT = {
+    "apache": ["We publish all of this under Apache License 2.0", "Code in this folder is Apache-2.0 licensed; the Apache License applies.", "Portions Copyright 2019, available under the Apache License, Version 2.0"],
+    "bsd": ["The library comes with a BSD 3-Clause License", "Covered by the terms of the BSD License found in the root folder"],
+    "cc-by": ["Text and pictures: Creative Commons Attribution 4.0 International (CC BY 4.0)"],
+    "cc-by-nc": ["Pictures: Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-sa": ["Articles are shared under the Creative Commons Attribution-ShareAlike 4.0 License"],
+    "gpl": ["You can use it under GNU General Public License version 3 or later", "The kernel module is under the GNU General Public License v2"],
+    "lgpl": ["Linking is allowed by the GNU Lesser General Public License, version 2.1"],
+    "mit": ["distributed under terms of the MIT licence, see COPYING", "Everything here has the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"],
+    "mpl": ["Source files carry the Mozilla Public License, v. 2.0"],
+    "public-domain": ["The author waives all rights, CC0 1.0 Universal applies"],
+}
+FOREIGN = [
+    "Sleepycat License", "Licensed under the Academic Free License version 3.0", "Common Public Attribution License Version 1.0", "Open Software License v. 3.0",
+    "This file is covered by the Eclipse Public License v 2.0", "IBM Public License Version 1.0", "The licence plate of the car was dirty", "He lost his driving licence in the city",
+    "A public hearing about the version of the law", "GNU Affero General Public License version 3", "Server Side Public License, version 1",
+]
+
+
+def test_licences_in_held_out_wordings(spark):
+    rng = np.random.default_rng(4)
+    plain = lambda: " ".join("".join(rng.choice(list("aeiounrst"), rng.integers(2, 9))) for _ in range(40))
+    truth = [(f, t) for f, ts in HELD_OUT.items() for t in ts] + [("", t) for t in FOREIGN]
+    rows = [(i, f"{plain()}\n\n{t}\n\n{plain()}", f) for i, (_, t) in enumerate(truth) for f in ["clash"]] + [(1000 + i, plain(), "x") for i in range(150)] + [(2000, "mit " * 200_000, "x")]
+    found = {r.doc_id: r.families for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string, families string")).collect()}
+    hit = sum(f in found[i] for i, (f, _) in enumerate(truth) if f)
+    wrong = [(truth[i] if i < 1000 else i, x) for i, fs in found.items() for x in fs if i >= len(truth) or truth[i][0] != x]
+    print(f"recall {hit / sum(bool(f) for f, _ in truth):.2f}, precision {hit / (hit + len(wrong)):.2f}, wrong {wrong}", [(t, found[i]) for i, (f, t) in enumerate(truth) if f and f not in found[i]])
+    assert hit >= 0.8 * sum(bool(f) for f, _ in truth) and hit >= 0.9 * (hit + len(wrong))
+
+
 def test_media_columns(spark, docs, rows):
     media = mpeg_audio.carry_bytes(docs)
     found = mpeg_audio.scan_media(media.select(F.struct("doc_id", "n_bytes").alias("k"), "media"), id_col="k").select("k.*", "payload", "media", "n_frames", "crc_bad", "resync_bytes").collect()
