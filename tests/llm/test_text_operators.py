@@ -184,7 +184,8 @@ def test_sketches_estimate_probability_jaccard():
     assert abs((w[0] == w[1]).mean() - exact) < 0.04
 
 
-def test_line_dedup(docs, rows):
+def line_deduped(rows):
+    """(id, lines, removed lines, text) of each row."""
     by_id = defaultdict(list)
     for i, t, *_ in rows:
         by_id[i].append(t or "")
@@ -196,12 +197,16 @@ def test_line_dedup(docs, rows):
             if window in seen:
                 gone[i] |= {p for p, _ in lines[i][k : k + 3]}
             seen.add(window)
-    expected = []
+    out = []
     for i, t, *_ in rows:
         every = (t or "").split("\n")
-        expected.append((i, len([s for s in every if WORDS.search(s)]), len(gone[i]) if i is not None else 0, "\n".join(s for p, s in enumerate(every) if i is None or p not in gone[i])))
+        out.append((i, len([s for s in every if WORDS.search(s)]), len(gone[i]) if i is not None else 0, "\n".join(s for p, s in enumerate(every) if i is None or p not in gone[i])))
+    return out
+
+
+def test_line_dedup(docs, rows):
     found = line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed_lines", "text").collect()
-    same([tuple(r) for r in found], expected)
+    same([tuple(r) for r in found], line_deduped(rows))
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
