@@ -115,25 +115,45 @@ def first_number(*values: Column) -> Column:
 def json_values(x: Column, path: str) -> Column:
     """JSN01: the texts at a path such as ``a[].b`` or ``a[1].b``; missing parts give none, the empty path the document.
 
-    Each step works on an array of JSON values, so one match and many are alike.
+    Each step works on an array of variants, so one match and many are alike, and the text is parsed once.
     """
-    found = F.filter(F.array(x), lambda v: F.get_json_object(v, "$").isNotNull())
+    found = F.filter(F.array(F.try_parse_json(x)), lambda v: v.isNotNull())
+    items = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
     for part in [p for p in path.replace("[", ".[").split(".") if p]:
-        items = lambda v: F.coalesce(F.from_json(v, "array<variant>"), F.array().cast("array<variant>"))
         if part == "[]":
-            found = F.flatten(F.transform(F.filter(found, lambda v: v.startswith("[")), lambda v: F.transform(items(v), lambda y: F.to_json(y))))
-        elif part.startswith("["):
-            i = int(part[1:-1])
-            found = F.transform(
-                F.filter(found, lambda v: v.startswith("[")),
-                lambda v: F.to_json(F.get(items(v), F.lit(i) if i >= 0 else F.size(items(v)) + i)),
-            )
+            found = F.flatten(F.transform(found, items))
+        elif part.startswith("[-"):
+            back = int(part[1:-1])
+            found = F.transform(found, lambda v: F.try_element_at(items(v), F.lit(back)))
         else:
-            found = F.transform(
-                F.filter(found, lambda v: v.startswith("{")), lambda v: F.to_json(F.variant_get(F.parse_json(v), f"$.{part}", "variant"))
-            )
-        found = F.filter(found, lambda v: v.isNotNull() & (v != "null"))
-    return F.transform(found, lambda v: F.when(v.startswith('"'), F.variant_get(F.parse_json(v), "$", "string")).otherwise(v))
+            at = f"$.{part}" if not part.startswith("[") else f"${part}"
+            found = F.transform(found, lambda v: F.try_variant_get(v, at, "variant"))
+        found = F.filter(found, lambda v: v.isNotNull() & ~F.is_variant_null(v))
+    plain = lambda v: F.schema_of_variant(v) == "STRING"
+    return F.transform(found, lambda v: F.when(plain(v), F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v)))
+
+
+def segments_of_json(x: Column) -> Column:
+    """SRC26: the segments (start, end, text, words) of a transcription service's answer, a list under ``segments`` or by itself.
+
+    Entries that are no objects are skipped, numbers that are none are 0, missing texts empty.
+    """
+    whole = F.try_parse_json(x)
+    listed = F.coalesce(
+        F.try_variant_get(whole, "$.segments", "array<variant>"), F.try_variant_get(whole, "$", "array<variant>"), F.array().cast("array<variant>")
+    )
+    number = lambda v, at: F.coalesce(F.try_variant_get(v, at, "string").try_cast("double"), F.lit(0.0))
+    text = lambda v, at: F.coalesce(F.try_variant_get(v, at, "string"), F.lit(""))
+    word = lambda w: F.struct(text(w, "$.word").alias("word"), number(w, "$.start").alias("start"), number(w, "$.end").alias("end"))
+    words = lambda v: F.coalesce(F.try_variant_get(v, "$.words", "array<variant>"), F.array().cast("array<variant>"))
+    objects = F.filter(listed, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    return F.transform(
+        objects,
+        lambda v: F.struct(
+            number(v, "$.start").alias("start"), number(v, "$.end").alias("end"), text(v, "$.text").alias("text"),
+            F.transform(words(v), word).alias("words"),
+        ),
+    )
 
 
 def zip_results(texts: Column, titles: Column, urls: Column) -> Column:

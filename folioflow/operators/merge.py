@@ -95,7 +95,7 @@ def check_manifest(manifest: DataFrame, form: str, version: int, dimension: int)
     """MRG10: one row with ``error``, null if the package can be read."""
     return manifest.withColumn(
         "error",
-        F.when(F.col("form") != form, "not such a package").when(F.col("version") > version, "made by a newer version")
+        F.when(F.col("format") != form, "not such a package").when(F.col("version") > version, "made by a newer version")
         .when(F.col("dimension") != dimension, "vectors of another dimension"),
     )
 
@@ -145,3 +145,32 @@ def recover(jobs: DataFrame) -> DataFrame:
     """STM05: jobs that ran when the service stopped, or were aborted by its end, wait again."""
     lost = (F.col("status") == "running") | ((F.col("status") == "aborted") & (F.col("reason") == "restart"))
     return jobs.withColumn("status", F.when(F.coalesce(lost, F.lit(False)), "waiting").otherwise(F.col("status")))
+
+
+def source_of_chunks(works: DataFrame, corrections: DataFrame, transcripts: DataFrame, work_col: str = "work_id") -> DataFrame:
+    """SEQ15: what each work is cut into chunks from: (work, kind, source_id, paragraphs).
+
+    The latest current correction (id, current, created, paragraphs) that has paragraphs, else the latest current transcript
+    with its segments as paragraphs; kind and the rest are null where there is neither. Equal times go to the greater id.
+    """
+
+    def latest(rows: DataFrame, kind: str) -> DataFrame:
+        last = F.max(F.struct("created", "id", "paragraphs"))
+        return rows.where("current").groupBy(work_col).agg(last.alias(kind))
+
+    both = works.select(work_col).join(latest(corrections, "correction"), work_col, "left").join(latest(transcripts, "transcript"), work_col, "left")
+    corrected = F.coalesce(F.size("correction.paragraphs") > 0, F.lit(False))
+    found = F.when(corrected, F.col("correction")).otherwise(F.col("transcript"))
+    kind = F.when(corrected, "correction").when(F.col("transcript").isNotNull(), "transcript")
+    return both.select(work_col, kind.alias("kind"), found["id"].alias("source_id"), found["paragraphs"].alias("paragraphs"))
+
+
+def answers(messages: DataFrame, hits: DataFrame, limit: int = 100) -> DataFrame:
+    """SNK09: answers (message_id, text, ...) with their hits (message_id, rank, chunk_id, score) nested in order, and their parameters as JSON.
+
+    An answer shows ``limit`` hits at most, the bound of what a question asks for; one without hits has an empty list.
+    """
+    top = hits.where(F.col("rank") <= limit).groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("hits"))
+    joined = messages.join(top, "message_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<rank:int,chunk_id:bigint,score:double>>")))
+    ids = F.transform("hits", lambda h: h["chunk_id"])
+    return joined.withColumn("parameters", F.to_json(F.struct(ids.alias("chunk_ids"), F.size("hits").alias("n"))))

@@ -1,7 +1,8 @@
 """Folds over the ordered parts of one work: segments, blocks, sentences, overlapping chunks, runs of neighbours.
 
 A work's parts are an ordered array in its row, so folds run in the row without a shuffle; only operators over
-tables of chunks use windows by work. Everything is built from Spark's functions.
+tables of chunks use windows by work. Texts are handled by Spark's functions; where a step depends on all steps before it,
+the numbers alone go through one of ``folds``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, let, strip
+from . import folds
 
 # Phrases that a transcription makes up in silence.
 STOCK_PHRASES = (
@@ -27,7 +29,6 @@ ABBREVIATIONS = (
 )
 CLOSERS, OPENERS = r"\"'»«“”’)\]", r"\"'„»«“‘(\["
 SENTENCE_END = rf"([.!?…]+[{CLOSERS}]*) (?=[{OPENERS}]?[A-ZÄÖÜ0-9])"
-EMPTY = "array<string>"
 
 
 def settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -35,40 +36,50 @@ def settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.withColumn(name, F.explode(F.array(value)))
 
 
+RUNS = "array<struct<first:int,last:int>>"
+
+
 def is_made_up(text: Column, previous: Column) -> Column:
     """SEQ01: empty, equal to the segment kept before, much the same few words, or a stock phrase."""
+    return made_up_by_itself(text) | F.coalesce(text == previous, F.lit(False))
+
+
+def made_up_by_itself(text: Column) -> Column:
+    """SEQ01 without a look at other segments."""
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
     few = (F.size(words) > 3) & (F.size(F.array_distinct(F.transform(words, F.lower))) / F.size(words) < LEAST_DISTINCT)
     stock = (F.length(text) < STOCK_LENGTH) & F.exists(F.array([F.lit(p) for p in STOCK_PHRASES]), lambda p: F.contains(text, p))
-    return (text == "") | F.coalesce(text == previous, F.lit(False)) | few | stock
+    return (text == "") | few | stock
 
 
 def drop_made_up(segments: Column) -> Column:
-    """SEQ01: segments (start, end, text) without those made up; each is held against the last one kept."""
-    kind = "array<struct<start:double,end:double,text:string>>"
+    """SEQ01: segments (start, end, text, ...) without those made up; each is held against the last one kept.
 
-    def step(kept: Column, s: Column) -> Column:
-        text = strip(s["text"])
-        new = F.array(F.struct(s["start"].cast("double").alias("start"), s["end"].cast("double").alias("end"), text.alias("text")))
-        return F.when(is_made_up(text, F.get(kept, F.size(kept) - 1)["text"]), kept).otherwise(F.concat(kept, new))
+    Of those not made up by themselves the last one kept always has the text of the one before, kept or not.
+    """
+    own = F.filter(F.transform(segments, lambda s: s.withField("text", strip(s["text"]))), lambda s: ~made_up_by_itself(s["text"]))
+    return let(own, lambda k: F.filter(k, lambda s, i: (i == 0) | (s["text"] != F.get(k, i - 1)["text"])))
 
-    return F.aggregate(segments, F.array().cast(kind), step)
 
+def merge_segments(segments: Column, least_s: float = 6.0, most_s: float = 15.0, pause_s: float = 0.3, words: bool = False) -> Column:
+    """SEQ02: segments merged to blocks; one closes at ``most_s``, or at ``least_s`` before a pause.
 
-def merge_segments(segments: Column, least_s: float = 6.0, most_s: float = 15.0, pause_s: float = 0.3) -> Column:
-    """SEQ02: segments merged to blocks; one closes at ``most_s``, or at ``least_s`` before a pause."""
+    With ``words``, the segments' arrays of that name are joined too.
+    """
+    at = lambda name: F.transform(segments, lambda s: s[name].cast("double"))
+    runs = folds.fold(folds.blocks(least_s, most_s, pause_s), RUNS, at("start"), at("end"))
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        length, pause = last["end"] - last["start"], s["start"] - last["end"]
-        closed = (F.size(done) == 0) | (length >= most_s) | ((length >= least_s) & (pause >= pause_s))
-        more = F.struct(last["start"].alias("start"), s["end"].alias("end"), F.trim(F.concat_ws(" ", last["text"], s["text"])).alias("text"))
-        new = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
-        return F.when(closed, F.concat(done, F.array(new))).otherwise(
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(more))
-        )
+    def block(r: Column) -> Column:
+        inside = F.slice(segments, r["first"] + 1, r["last"] - r["first"] + 1)
+        more = F.trim(F.array_join(F.transform(inside, lambda s: s["text"]), " "))
+        fields = [
+            F.get(segments, r["first"])["start"].alias("start"),
+            F.get(segments, r["last"])["end"].alias("end"),
+            F.when(r["first"] == r["last"], F.get(segments, r["first"])["text"]).otherwise(more).alias("text"),
+        ]
+        return F.struct(*fields, *([F.flatten(F.transform(inside, lambda s: s["words"])).alias("words")] if words else []))
 
-    return F.aggregate(segments, F.array().cast("array<struct<start:double,end:double,text:string>>"), step)
+    return F.transform(runs, block)
 
 
 def pack(sizes: Column, most: int, glue: int = 0) -> Column:
@@ -76,37 +87,21 @@ def pack(sizes: Column, most: int, glue: int = 0) -> Column:
 
     ``glue`` is added for each item but a group's first.
     """
-    start = F.struct(
-        F.array().cast("array<int>").alias("groups"), F.lit(-1).alias("group"), F.lit(0).cast("long").alias("held")
-    )
-
-    def step(a: Column, size: Column) -> Column:
-        full = (a["group"] < 0) | (a["held"] + size + glue > most)
-        group = a["group"] + full.cast("int")
-        held = F.when(full, size.cast("long")).otherwise(a["held"] + size + glue)
-        return F.struct(F.concat(a["groups"], F.array(group)).alias("groups"), group.alias("group"), held.alias("held"))
-
-    return F.aggregate(sizes, start, step, lambda a: a["groups"])
+    return folds.fold(folds.group_numbers(most, glue), "array<int>", sizes)
 
 
 def paragraphs_of_segments(texts: Column, most: int) -> Column:
     """SEQ04: the paragraph number of each segment; one ends with a sentence, or at ``most`` characters."""
-    start = F.struct(F.array().cast("array<int>").alias("numbers"), F.lit(0).alias("number"), F.lit(0).cast("long").alias("held"))
-
-    def step(a: Column, text: Column) -> Column:
-        held = a["held"] + F.length(text) + 1
-        ends = F.rlike(text, F.lit(rf"[.!?…][{CLOSERS}]*$")) | (held >= most)
-        return F.struct(
-            F.concat(a["numbers"], F.array(a["number"])).alias("numbers"),
-            (a["number"] + ends.cast("int")).alias("number"),
-            F.when(ends, F.lit(0)).otherwise(held).cast("long").alias("held"),
-        )
-
-    return F.aggregate(texts, start, step, lambda a: a["numbers"])
+    ends = F.transform(texts, lambda t: F.rlike(t, F.lit(rf"[.!?…][{CLOSERS}]*$")))
+    return folds.fold(folds.paragraph_numbers(most), "array<int>", F.transform(texts, F.length), ends)
 
 
 def sentences(text: Column) -> Column:
-    """SEQ05: whole sentences of a German text; abbreviations, initials and ordinals of two digits end none."""
+    """SEQ05: whole sentences of a German text; abbreviations, initials and ordinals of two digits end none.
+
+    A piece is judged by its own end and the end of the piece before, which belongs to it wherever that matters: all
+    abbreviations of two words begin with a single letter, after which no sentence ends.
+    """
     pieces = F.filter(F.split(F.regexp_replace(collapse(text), SENTENCE_END, "$1\x00"), "\x00"), lambda p: p != "")
 
     def unfinished(open_: Column) -> Column:
@@ -120,33 +115,33 @@ def sentences(text: Column) -> Column:
             | F.array_contains(known, F.lower(F.concat(two, F.lit("."))))
         )
 
-    def step(done: Column, piece: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        whole = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, piece)))
-        return F.when((F.size(done) > 0) & unfinished(last), whole).otherwise(F.concat(done, F.array(piece)))
+    def glued(p: Column) -> Column:
+        before = lambda i: F.coalesce(F.concat(F.substring(F.get(p, i - 1), -60, 60), F.lit(" ")), F.lit(""))
+        return F.transform(
+            p,
+            lambda x, i: F.when(i == F.size(p) - 1, x).otherwise(
+                F.concat(x, F.when(unfinished(F.concat(before(i), F.substring(x, -60, 60))), " ").otherwise("\x00"))
+            ),
+        )
 
-    return F.aggregate(pieces, F.array().cast(EMPTY), step)
+    return F.filter(F.split(F.array_join(let(pieces, glued), ""), "\x00"), lambda s: s != "")
 
 
 def break_at_blanks(text: Column, most: int) -> Column:
     """SEQ06: parts of at most ``most`` characters, cut at blanks; a longer word stays whole."""
     if most < 1:
         raise ValueError("parts have at least one character")
-
-    def step(done: Column, word: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        fits = (F.size(done) > 0) & (F.length(last) + 1 + F.length(word) <= most)
-        more = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, word)))
-        return F.when(fits, more).otherwise(F.concat(done, F.array(word)))
-
-    words = F.filter(F.split(strip(text), " "), lambda w: w != "")
-    return F.when(F.length(strip(text)) <= most, F.filter(F.array(strip(text)), lambda t: t != "")).otherwise(
-        F.aggregate(words, F.array().cast(EMPTY), step)
-    )
+    own = strip(text)
+    longest = rf"(?s)[^ ].{{0,{most - 1}}}(?= |\z)|[^ ]+"  # as many words as fit, else one word
+    cut = F.regexp_extract_all(F.regexp_replace(own, " +", " "), F.lit(longest), 0)
+    return F.when(F.length(own) <= most, F.filter(F.array(own), lambda t: t != "")).otherwise(cut)
 
 
 def sentences_of(paragraphs: Column, most: int) -> Column:
-    """SEQ07: the sentences of paragraphs (text, start, end), each with its paragraph's number, start and end."""
+    """SEQ07: the sentences of paragraphs (text, start, end), each with its paragraph's number, start and end.
+
+    Sentences of over ``most`` characters are broken at blanks.
+    """
     every = F.transform(
         paragraphs,
         lambda p, n: F.transform(
@@ -172,83 +167,38 @@ def chunks(parts: DataFrame, sentence_col: str, target: int = 3000, overlap: int
     glue = F.transform(
         s, lambda x, i: F.when(i == 0, "").when(x["paragraph"] == F.get(s, i - 1)["paragraph"], " ").otherwise("\n\n")
     )
-    placed = F.aggregate(
-        F.zip_with(s, glue, lambda x, g: F.struct(F.length(g).alias("g"), F.length(x["text"]).alias("n"))),
-        F.array().cast("array<struct<a:int,b:int>>"),
-        lambda done, x: F.concat(
-            done,
-            let(
-                F.coalesce(F.get(done, F.size(done) - 1)["b"], F.lit(0)) + x["g"],
-                lambda a: F.array(F.struct(a.alias("a"), (a + x["n"]).alias("b"))),
-            ),
-        ),
-    )
-    whole = F.array_join(F.zip_with(s, glue, lambda x, g: F.concat(g, x["text"])), "")
-    rows = settled(settled(parts, "__whole", whole), "__at", placed)
-    at = F.col("__at")
-    begin = lambda i: F.get(at, i)["a"]
-    end = lambda i: F.get(at, i)["b"]
-
-    def closed(state: Column, i: Column) -> Column:
-        """The state with its open chunk closed before sentence i."""
-        new = F.when(i - state["new"] >= 2, F.sequence(state["new"] + 1, i - 1))
-        carried = F.array_min(F.filter(new, lambda k: begin(k) >= end(i - 1) - overlap)) if overlap > 0 else F.lit(None).cast("int")
-        before = F.when(state["first"] < state["new"], end(state["new"] - 1) - begin(state["first"])).otherwise(0)
-        return let(
-            F.struct(carried.alias("c")),
-            lambda x: F.struct(
-                F.concat(
-                    state["done"],
-                    F.array(
-                        F.struct(
-                            state["first"].alias("first"),
-                            (i - 1).alias("last"),
-                            before.alias("overlap_before"),
-                            F.when(x["c"].isNotNull(), end(i - 1) - begin(x["c"])).otherwise(0).alias("overlap_after"),
-                        )
-                    ),
-                ).alias("done"),
-                F.coalesce(x["c"], i).alias("first"),
-                i.alias("new"),
-            ),
-        )
-
-    start = F.struct(
-        F.array().cast("array<struct<first:int,last:int,overlap_before:int,overlap_after:int>>").alias("done"),
-        F.lit(0).alias("first"),
-        F.lit(0).alias("new"),
-    )
-    n = F.size(s)
-    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    full = lambda a, i: (a["new"] < i) & (end(i) - begin(a["first"]) > target)
-    runs = F.aggregate(numbers, start, lambda a, i: F.when(full(a, i), closed(a, i)).otherwise(a), lambda a: F.when(n > 0, closed(a, n)["done"]))
+    kind = "array<struct<first:int,last:int,overlap_before:int,overlap_after:int,chars:int>>"
+    rows = settled(parts, "__glue", glue)
+    runs = folds.fold(folds.overlapping(target, overlap), kind, F.transform(s, lambda x: F.length(x["text"])), F.transform("__glue", F.length))
+    rows = settled(rows, "__runs", runs)
 
     def chunk(r: Column, i: Column) -> Column:
-        inside = F.slice(s, r["first"] + 1, r["last"] - r["first"] + 1)
-        size = end(r["last"]) - begin(r["first"])
+        n = r["last"] - r["first"] + 1
+        inside = F.slice(s, r["first"] + 1, n)
+        text = F.zip_with(F.slice("__glue", r["first"] + 2, n - 1), F.slice(inside, 2, n), lambda g, x: F.concat(g, x["text"]))
         return F.struct(
             (i + 1).alias("ordinal"),
-            F.substring(F.col("__whole"), begin(r["first"]) + 1, size).alias("text"),
+            F.concat(F.get(inside, F.lit(0))["text"], F.array_join(text, "")).alias("text"),
             F.array_min(F.transform(inside, lambda x: x["start"])).alias("start"),
             F.array_max(F.transform(inside, lambda x: x["end"])).alias("end"),
-            size.alias("chars"),
+            r["chars"].alias("chars"),
             r["overlap_before"].alias("overlap_before"),
-            F.when(i == F.size("__runs") - 1, F.lit(0)).otherwise(r["overlap_after"]).alias("overlap_after"),
+            r["overlap_after"].alias("overlap_after"),
         )
 
-    rows = settled(rows, "__runs", F.coalesce(runs, F.array().cast("array<struct<first:int,last:int,overlap_before:int,overlap_after:int>>")))
-    return rows.withColumn("chunks", F.transform("__runs", chunk)).drop("__whole", "__at", "__runs")
+    return rows.withColumn("chunks", F.transform("__runs", chunk)).drop("__glue", "__runs")
 
 
 def placed_paragraphs(text: Column, title: Column, start: Column) -> Column:
     """SEQ13: a section's title and paragraphs (text, start, end) with character places, two between paragraphs."""
-    parts = F.filter(F.concat(F.array(title), F.split(text, "\n\n")), lambda p: strip(p) != "")
+    parts = F.transform(F.filter(F.concat(F.array(title), F.split(text, "\n\n")), lambda p: strip(p) != ""), strip)
+    ends = folds.fold(folds.running_ends(2), "array<long>", F.transform(parts, F.length))
 
-    def step(done: Column, p: Column) -> Column:
-        at = F.coalesce(F.get(done, F.size(done) - 1)["end"] + 2, start.cast("double"))
-        return F.concat(done, let(at, lambda a: F.array(F.struct(strip(p).alias("text"), a.alias("start"), (a + F.length(strip(p))).alias("end")))))
+    def placed(p: Column, end: Column) -> Column:
+        upto = start.cast("double") + end
+        return F.struct(p.alias("text"), (upto - F.length(p)).alias("start"), upto.alias("end"))
 
-    return F.aggregate(parts, F.array().cast("array<struct<text:string,start:double,end:double>>"), step)
+    return F.zip_with(parts, ends, placed)
 
 
 def chapters(sections: DataFrame, doc_col: str = "doc_id", ordinal_col: str = "ordinal", level_col: str = "level") -> DataFrame:
@@ -259,18 +209,17 @@ def chapters(sections: DataFrame, doc_col: str = "doc_id", ordinal_col: str = "o
 
 
 def clean_sections(sections: Column, least: int = 20) -> Column:
-    """SEQ25: sections (level, title, text) without short ones, but for a title that a deeper section follows.
+    """SEQ25: sections (level, title, text), a column that is settled, without short ones, but for a title that a deeper one follows.
 
-    Read from the end, a section's successor is settled before it is looked at, so one pass gives what repeated passes would.
+    Short ones are dropped in rounds until a round drops none, since a title may lose what followed it.
     """
-
-    def step(kept: Column, s: Column) -> Column:
-        follows = F.get(kept, 0)["level"] > s["level"]
-        stays = (F.length(s["text"]) >= least) | ((s["title"] != "") & F.coalesce(follows, F.lit(False)))
-        one = F.array(F.struct(s["level"].alias("level"), s["title"].alias("title"), s["text"].alias("text")))
-        return F.when(stays, F.concat(one, kept)).otherwise(kept)
-
-    return F.aggregate(F.reverse(sections), F.array().cast("array<struct<level:int,title:string,text:string>>"), step)
+    part = lambda of: F.transform(sections, of)
+    kept = folds.fold(
+        folds.kept_sections, "array<boolean>", part(lambda s: s["level"]),
+        part(lambda s: F.coalesce(s["title"], F.lit("")) != ""), part(lambda s: F.coalesce(F.length(s["text"]), F.lit(0)) >= least),
+    )
+    rest = F.filter(F.zip_with(sections, kept, lambda s, k: F.struct(s.alias("s"), k.alias("k"))), lambda x: x["k"])
+    return F.transform(rest, lambda x: F.struct(x["s"]["level"].alias("level"), x["s"]["title"].alias("title"), x["s"]["text"].alias("text")))
 
 
 def neighbour_keys(anchors: DataFrame, n: int, work_col: str = "work_id", ordinal_col: str = "ordinal") -> DataFrame:

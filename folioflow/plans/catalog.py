@@ -17,6 +17,7 @@ from . import (
     stream_queries,
     text_queries,
     value_queries,
+    work_queries,
 )
 
 MODULES = (
@@ -30,6 +31,7 @@ MODULES = (
     source_queries,
     model_queries,
     library_queries,
+    work_queries,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as r
 from ..operators import sequences as q
+from ..operators.folds import fold, running_ends
 from .tables import table
 
 
 def docs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, ls): the lines of each document as segments (start, end, text), twelve characters a second."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n").alias("l"))
-    at = lambda n: F.aggregate(F.slice("l", 1, n), F.lit(0), lambda a, x: a + F.length(x) + 6) / 12
-    segments = F.transform(
-        "l", lambda x, i: F.struct(at(i).alias("start"), (at(i) + F.length(x) / 12).alias("end"), x.alias("text"))
-    )
+    docs = q.settled(docs, "at", fold(running_ends(6), "array<long>", F.transform("l", F.length)))
+    segments = F.zip_with("l", "at", lambda x, e: F.struct(((e - F.length(x)) / 12).alias("start"), ((e - F.length(x)) / 12 + F.length(x) / 12).alias("end"), x.alias("text")))
     return q.settled(docs, "ls", segments).select("doc_id", "source", "ls")
 
 
@@ -28,13 +27,19 @@ s AS (SELECT *, coalesce(sum(length(t) + 6) OVER (PARTITION BY doc_id ORDER BY i
 seg AS (SELECT *, a + length(t) / 12 AS b FROM s)"""
 
 
+SECTIONS = """l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS ordinal, unnest(string_split(text, chr(10))) AS t FROM documents),
+sec AS (SELECT doc_id, ordinal, (((ordinal - 1) * 5 + length(t)) % 4)::INT AS level, CASE WHEN (ordinal - 1) % 3 = 2 THEN '' ELSE substr(t, 1, 12) END AS title,
+  substr(t, 13) AS text FROM l)"""
+
+
 def seq_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ01, SEQ02, SEQ04: lines without made-up ones, merged to blocks, and their paragraphs."""
     kept = q.settled(docs_lines(spark, sf_dir), "kept", q.drop_made_up(F.col("ls")))
     kept, blocks = q.settled(kept, "blocks", q.merge_segments(F.col("kept"))), F.col("blocks")
     numbers = q.paragraphs_of_segments(F.transform("kept", lambda s: s["text"]), 900)
+    times = F.transform(blocks, lambda b: F.concat_ws("-", F.round(b["start"] * 12).cast("long"), F.round(b["end"] * 12).cast("long")))
     return kept.select(
-        "doc_id", F.size("kept").alias("n_kept"), F.size(blocks).alias("n_blocks"),
+        "doc_id", F.size("kept").alias("n_kept"), F.size(blocks).alias("n_blocks"), F.md5(F.array_join(times, ",")).alias("times"),
         F.md5(F.array_join(F.transform(blocks, lambda b: b["text"]), "|")).alias("blocks"),
         F.array_join(numbers.cast("array<string>"), ",").alias("paragraphs"),
     )
@@ -48,13 +53,10 @@ def seq_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK06: files of a source dealt to parts of 40,000 bytes in order."""
-    files = table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.sort_array(F.collect_list(F.struct("doc_id", F.length("text").alias("n")))).alias("files")
-    )
-    groups = files.select("source", "files", q.pack(F.transform("files", lambda f: f["n"]), 40_000).alias("g"))
-    each = groups.select("source", F.explode(F.arrays_zip("files", "g")).alias("x"))
-    return each.groupBy("source", F.col("x.g").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.files.n").cast("long").alias("bytes"))
+    """SNK06: lines of a document, as its files, dealt to parts of 4,000 bytes in order."""
+    files = q.settled(table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l")), "n", F.transform("l", F.length))
+    each = files.select("doc_id", F.explode(F.arrays_zip(q.pack(F.col("n"), 4000).alias("g"), F.col("n").alias("n"))).alias("x"))
+    return each.groupBy("doc_id", F.col("x.g").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.n").cast("long").alias("bytes"))
 
 
 PACK = """
@@ -83,46 +85,55 @@ def seq_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source as sections of it: level from the id, title the first words."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("work_id"), F.row_number().over(w).alias("ordinal"), (F.col("doc_id") % 4).cast("int").alias("level"),
-        F.substring("text", 1, 12).alias("title"), F.expr("substring(text, 13)").alias("text"),
-        F.coalesce(F.sum(F.length("text") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("position_from"),
-    )
+    """(doc_id, s): each document's lines as its sections (ordinal, level, title, text, position_from).
+
+    The level follows from the line's number and length, the title is its first words; every third has no title.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    docs = q.settled(docs, "at", fold(running_ends(2), "array<long>", F.transform("l", F.length)))
+    numbered = F.transform(F.arrays_zip(F.col("l").alias("x"), F.col("at").alias("e")), lambda x, i: F.struct(
+        (i + 1).alias("ordinal"), ((i * 5 + F.length(x["x"])) % 4).cast("int").alias("level"),
+        F.when(i % 3 == 2, "").otherwise(F.substring(x["x"], 1, 12)).alias("title"), F.substring(x["x"], F.lit(13), F.length(x["x"])).alias("text"),
+        (x["e"] - F.length(x["x"])).alias("position_from")))
+    return q.settled(docs, "s", numbered).select("doc_id", "s")
+
+
+def section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections(spark, sf_dir).select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.*")
 
 
 def seq_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ12-SEQ14, RNG03: chunks chapter by chapter, numbered through the document, each with its section."""
-    parted = q.chapters(sections(spark, sf_dir), "work_id")
-    placed = parted.withColumn("ps", q.placed_paragraphs(F.col("text"), F.col("title"), F.col("position_from")))
-    of_chapter = placed.groupBy("work_id", "chapter").agg(
+    parted = q.chapters(section_rows(spark, sf_dir))
+    placed = q.settled(parted, "ps", q.placed_paragraphs(F.col("text"), F.col("title"), F.col("position_from")))
+    of_chapter = placed.groupBy("doc_id", "chapter").agg(
         F.sort_array(F.collect_list(F.struct("ordinal", "ps", "position_from"))).alias("sections")
     )
     rows = of_chapter.select(
-        "work_id", "chapter",
+        "doc_id", "chapter",
         q.sentences_of(F.flatten(F.transform("sections", lambda s: s["ps"])), 2000).alias("s"),
         F.transform("sections", lambda s: F.struct(
             s["ordinal"].alias("id"), s["position_from"].cast("double").alias("start"),
             F.greatest(F.element_at(F.transform(s["ps"], lambda p: p["end"] + 2), -1), s["position_from"] + 1.0).alias("end"))).alias("ranges"),
     )
-    found = q.chunks(rows, "s", 2000, 300).select("work_id", "chapter", "ranges", F.explode("chunks").alias("c"))
+    found = q.chunks(rows, "s", 2000, 300).select("doc_id", "chapter", "ranges", F.explode("chunks").alias("c"))
     middle = (F.col("c.start") + F.col("c.end")) / 2
-    number = F.row_number().over(Window.partitionBy("work_id").orderBy("chapter", "c.ordinal"))
-    return found.select("work_id", number.alias("ordinal"), "chapter", r.section_at(F.col("ranges"), middle).alias("section"), "c.chars", F.md5("c.text").alias("text"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter", "c.ordinal"))
+    return found.select("doc_id", number.alias("ordinal"), "chapter", r.section_at(F.col("ranges"), middle).alias("section"), "c.chars", F.md5("c.text").alias("text"))
 
 
 def seq_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ12."""
-    return q.chapters(sections(spark, sf_dir), "work_id").select("work_id", "ordinal", "level", "chapter")
+    return q.chapters(section_rows(spark, sf_dir)).select("doc_id", "ordinal", "level", "chapter")
 
 
 def seq_clean_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEQ25: sections of a source without short ones."""
-    rows = sections(spark, sf_dir).withColumn("text", F.when(F.col("ordinal") % 3 > 0, F.substring("text", 1, 10)).otherwise(F.col("text")))
-    whole = rows.groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "level", "title", "text"))).alias("s"))
-    kept = q.clean_sections(F.transform("s", lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["text"].alias("text"))))
-    return whole.select("work_id", F.size("s").alias("n"), F.size(kept).alias("n_kept"), F.md5(F.to_json(kept)).alias("kept"))
+    """SEQ25: sections of a document without short ones; most texts are cut, so that rounds follow each other."""
+    cut = lambda x: F.when(x["ordinal"] % 4 > 0, F.substring(x["text"], 1, 10)).otherwise(x["text"])
+    rows = q.settled(sections(spark, sf_dir), "s", F.transform("s", lambda x: x.withField("text", cut(x))))
+    kept = q.settled(rows, "kept", q.clean_sections(F.col("s")))
+    texts = F.transform("kept", lambda x: F.concat_ws("/", x["level"].cast("string"), x["title"], x["text"]))
+    return kept.select("doc_id", F.size("s").alias("n"), F.size("kept").alias("n_kept"), F.md5(F.array_join(texts, "|")).alias("kept"))
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,16 +242,45 @@ QUERIES = {
     )
 }
 
+STOCK = ", ".join("'" + p.replace("'", "''") + "'" for p in q.STOCK_PHRASES)
+
 ORACLE = {
     "seq_pack": f"""
 WITH RECURSIVE {LINES}, f AS (SELECT doc_id AS k, i, length(t) AS n FROM seg), {PACK.format(glue=1, most=600)}
 SELECT k AS doc_id, max(g) AS last, string_agg(g::VARCHAR, ',' ORDER BY i) AS groups FROM r GROUP BY k""",
     "snk_parts": f"""
-WITH RECURSIVE f AS (SELECT source AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, length(text) AS n FROM documents), {PACK.format(glue=0, most=40000)}
-SELECT r.k AS source, g AS part, count(*) AS n, sum(n)::BIGINT AS bytes FROM r JOIN f ON f.k = r.k AND f.i = r.i GROUP BY ALL""",
-    "seq_chapters": """
-WITH s AS (SELECT source AS work_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal, (doc_id % 4)::INT AS level FROM documents)
-SELECT work_id, ordinal, level, sum((level <= 1 OR ordinal = 1)::INT) OVER (PARTITION BY work_id ORDER BY ordinal)::BIGINT AS chapter FROM s""",
+WITH RECURSIVE {LINES}, f AS (SELECT doc_id AS k, i, length(t) AS n FROM seg), {PACK.format(glue=0, most=4000)}
+SELECT r.k AS doc_id, g AS part, count(*) AS n, sum(n)::BIGINT AS bytes FROM r JOIN f ON f.k = r.k AND f.i = r.i GROUP BY ALL""",
+    "seq_segments": f"""
+WITH RECURSIVE {LINES}, x AS (SELECT doc_id, i, a, b, trim(t) AS t, list_filter(string_split_regex(trim(t), '\\s+'), lambda w: w <> '') AS ws FROM seg),
+o AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM x
+  WHERE t <> '' AND NOT (len(ws) > 3 AND len(list_distinct(list_transform(ws, lambda w: lower(w)))) / len(ws) < 0.3)
+    AND NOT (length(t) < 50 AND len(list_filter([{STOCK}], lambda p: contains(t, p))) > 0)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM o WHERE before IS DISTINCT FROM t),
+m AS (SELECT doc_id, n, 0 AS block, a AS since, b AS upto, 0 AS par, CASE WHEN p OR length(t) + 1 >= 900 THEN 0 ELSE length(t) + 1 END AS held, p OR length(t) + 1 >= 900 AS ended
+  FROM (SELECT *, regexp_matches(t, '[.!?…]["''»«“”’)\\]]*$') AS p FROM k) WHERE n = 1
+  UNION ALL SELECT doc_id, n, CASE WHEN closed THEN block + 1 ELSE block END, CASE WHEN closed THEN a ELSE since END, b, par + ended::INT,
+    CASE WHEN p OR held + len1 >= 900 THEN 0 ELSE held + len1 END, p OR held + len1 >= 900
+  FROM (SELECT m.doc_id, k.n, m.block, m.since, k.a, k.b, m.par, m.held, m.ended, length(k.t) + 1 AS len1, regexp_matches(k.t, '[.!?…]["''»«“”’)\\]]*$') AS p,
+    m.upto - m.since >= 15 OR (m.upto - m.since >= 6 AND k.a - m.upto >= 0.3) AS closed FROM m JOIN k ON k.doc_id = m.doc_id AND k.n = m.n + 1)),
+g AS (SELECT m.doc_id, block, string_agg(t, ' ' ORDER BY k.n) AS t, round(min(k.a) * 12)::BIGINT || '-' || round(max(k.b) * 12)::BIGINT AS times FROM m JOIN k ON k.doc_id = m.doc_id AND k.n = m.n GROUP BY ALL),
+p AS (SELECT doc_id, count(*)::INT AS n_kept, string_agg(par::VARCHAR, ',' ORDER BY n) AS paragraphs FROM m GROUP BY doc_id),
+b AS (SELECT doc_id, count(*)::INT AS n_blocks, md5(string_agg(t, '|' ORDER BY block)) AS blocks, md5(string_agg(times, ',' ORDER BY block)) AS times FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_kept, 0) AS n_kept, coalesce(n_blocks, 0) AS n_blocks, coalesce(times, md5('')) AS times, coalesce(blocks, md5('')) AS blocks, coalesce(paragraphs, '') AS paragraphs
+FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id""",
+    "seq_chapters": f"""
+WITH {SECTIONS} SELECT doc_id, ordinal, level, sum((level <= 1 OR ordinal = 1)::INT) OVER (PARTITION BY doc_id ORDER BY ordinal)::BIGINT AS chapter FROM sec""",
+    "seq_clean_sections": f"""
+WITH RECURSIVE {SECTIONS}, c AS (SELECT doc_id, ordinal, level, title, CASE WHEN ordinal % 4 > 0 THEN substr(text, 1, 10) ELSE text END AS text FROM sec),
+w AS (SELECT doc_id, 0 AS round, ordinal, level, title <> '' AS titled, length(text) >= 20 AS long, true AS alive FROM c
+  UNION ALL SELECT doc_id, round + 1, ordinal, level, titled, long, keep FROM (
+    SELECT *, count_if(alive) OVER (PARTITION BY doc_id) > count_if(keep) OVER (PARTITION BY doc_id) AS changed FROM (
+      SELECT *, alive AND (long OR (titled AND coalesce(lead(level) OVER (PARTITION BY doc_id, alive ORDER BY ordinal) > level, false))) AS keep FROM w))
+  WHERE changed),
+z AS (SELECT w.* FROM w JOIN (SELECT doc_id, max(round) AS round FROM w GROUP BY doc_id) l ON l.doc_id = w.doc_id AND l.round = w.round)
+SELECT z.doc_id, count(*)::INT AS n, count_if(alive)::INT AS n_kept,
+  md5(coalesce(string_agg(c.level || '/' || title || '/' || text, '|' ORDER BY c.ordinal) FILTER (alive), '')) AS kept
+FROM z JOIN c ON c.doc_id = z.doc_id AND c.ordinal = z.ordinal GROUP BY z.doc_id""",
     "seq_stitch": f"""
 WITH {CHUNKS}, a AS (SELECT *, (chunk_id * 37 % 101) / 101 AS score FROM c WHERE chunk_id % 7 = 0),
 u AS (SELECT DISTINCT c.* FROM c JOIN a ON a.work_id = c.work_id AND c.ordinal BETWEEN a.ordinal - 2 AND a.ordinal + 2),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import documents as d
 from ..sources import files as f
 from ..sources import package as p
-from ..streaming.streams import shared_folder
+from ..shared import shared_folder
 from .tables import table
 
 
@@ -41,8 +41,8 @@ def src_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC07, SRC29: a page of the files and totals of each source."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("long").alias("chars")).orderBy("source").limit(10)
+    """SRC29: files and totals of each source."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("long").alias("chars"))
 
 
 def snk_package(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ def snk_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 8)).alias("vector"))
     p.write_package({"documents": docs, "embeddings": vectors}, folder, 64)
     counted = p.manifest(spark, folder).select(F.explode("tables").alias("t")).select("t.name", "t.rows")
-    again = p.read_table(spark, folder, "documents", docs.schema).agg(F.sum(F.length("text")).cast("long").alias("chars"))
+    read = p.read_table(spark, folder, "documents", docs.schema)
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "source", "text")), 1, 12), 16, 10).cast("long")
+    again = read.agg(F.sum(F.length("text")).cast("long").alias("chars"), F.sum(hashed.cast("decimal(30,0)")).cast("string").alias("hashes"))
     return counted.join(again)  # one row
 
 
@@ -65,7 +67,9 @@ ORACLE = {
 WITH n AS (SELECT p_partkey, p_type, replace(p_name, ' ', '__') || '_' || p_partkey AS s, ['epub', 'MD', 'txt'][p_partkey % 3 + 1] AS e FROM part)
 SELECT p_partkey, 'datei-' || substr(sha1(p_type || '/' || s || '.' || e), 1, 20) AS id, regexp_replace(replace(s, '_', ' '), ' +', ' ', 'g') AS title,
   CASE e WHEN 'epub' THEN 'epub' WHEN 'MD' THEN 'markdown' ELSE 'text' END AS kind FROM n""",
-    "src_channel": "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1 ORDER BY 1 LIMIT 10",
-    "snk_package": """SELECT 'documents' AS name, (SELECT count(*) FROM documents) AS rows, (SELECT sum(length(text))::BIGINT FROM documents) AS chars
-UNION ALL SELECT 'embeddings', (SELECT count(*) FROM embeddings), (SELECT sum(length(text))::BIGINT FROM documents)""",
+    "src_channel": "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1",
+    "snk_package": """
+WITH s AS (SELECT sum(length(text))::BIGINT AS chars, sum(('0x' || substr(md5(doc_id || '|' || source || '|' || text), 1, 12))::BIGINT)::VARCHAR AS hashes FROM documents)
+SELECT 'documents' AS name, (SELECT count(*) FROM documents) AS rows, chars, hashes FROM s
+UNION ALL SELECT 'embeddings', (SELECT count(*) FROM embeddings), chars, hashes FROM s""",
 }

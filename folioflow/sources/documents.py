@@ -108,12 +108,13 @@ def read_markdown(docs: DataFrame, text_col: str = "text", default: str = "Docum
 
     found = settled(rows, "__s", F.aggregate(F.split(body, "\n"), zero, step, closed))
     plain = F.transform("__s", lambda s: F.struct(s["level"].alias("level"), s["title"].alias("title"), join_paragraphs(s["parts"]).alias("text")))
+    found, plain = settled(found, "__plain", plain), F.col("__plain")
     first = F.get(F.filter("__s", lambda s: s["level"] == 1), F.lit(0))["title"]
     return (
         found.withColumn("sections", clean_sections(plain))
         .withColumn("title", F.coalesce(own_title, first, F.lit(default)))
         .withColumn("published", lenient_time(F.coalesce(F.element_at("meta", "datum"), F.element_at("meta", "date"))))
-        .drop("__s")
+        .drop("__s", "__plain")
     )
 
 
@@ -288,7 +289,8 @@ def read_epub(files: DataFrame, path_col: str = "path", content_col: str = "cont
 
     read = source.mapInArrow(run, f"path string, meta map<string,string>, files array<struct<title:string,level:int,blocks:{BLOCK_DDL}>>, error string")
     every = F.flatten(F.transform("files", lambda f: sections_of_blocks(f["blocks"], f["title"], f["level"])))
-    return read.select("path", "meta", F.element_at("meta", "title").alias("title"), clean_sections(every).alias("sections"), "error")
+    read = settled(read, "__every", every)
+    return read.select("path", "meta", F.element_at("meta", "title").alias("title"), clean_sections(F.col("__every")).alias("sections"), "error")
 
 
 def own_text(docs: DataFrame, title_col: str, text_col: str) -> DataFrame:

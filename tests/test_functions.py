@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import difflib
 import io
 import zipfile
@@ -223,3 +225,37 @@ def test_stuck_stream(spark, tmp_path):
     stream = spark.readStream.schema("job_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = streams.drain(streams.stuck_stream(stream, 300)).collect()
     assert {1, 2} <= {r.job_id for r in got} <= {1, 2, 3}
+
+
+def test_sections_are_dropped_in_rounds(spark):
+    import random
+
+    def rounds(parts):
+        while True:
+            rest = [p for i, p in enumerate(parts) if len(p[2]) >= 20 or p[1] and i + 1 < len(parts) and parts[i + 1][0] > p[0]]
+            if len(rest) == len(parts):
+                return rest
+            parts = rest
+
+    random.seed(3)
+    cases = [[(1, "A", ""), (1, "", ""), (2, "C", "x" * 40)], [], [(1, "A", ""), (2, "B", "")]]
+    cases += [[(random.randint(1, 4), random.choice(["", "T"]), random.choice(["", "x" * 30, ""])) for _ in range(random.randint(1, 12))] for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(cases)), "n int, s array<struct<level:int,title:string,text:string>>")
+    found = {r.n: [tuple(x) for x in r.k] for r in rows.select("n", q.clean_sections(F.col("s")).alias("k")).collect()}
+    assert all(found[n] == rounds(c) for n, c in enumerate(cases))
+
+
+def test_words_of_merged_segments(spark):
+    rows = [(0.0, 3.0, "A", [("A", 0.0, 1.0)]), (3.0, 6.5, "B", [("B", 3.0, 4.0)]), (7.0, 9.0, "C", []), (9.0, 25.0, "D", []), (25.0, 26.0, "E", [])]
+    frame = spark.createDataFrame([(rows,)], "s array<struct<start:double,end:double,text:string,words:array<struct<word:string,start:double,end:double>>>>")
+    found = frame.select(q.merge_segments(F.col("s"), words=True).alias("b")).first().b
+    assert [(x.text, x.start, x.end) for x in found] == [("A B", 0.0, 6.5), ("C D", 7.0, 25.0), ("E", 25.0, 26.0)]
+    assert [w.word for w in found[0].words] == ["A", "B"]
+
+
+def test_very_long_texts_in_linear_time(spark):
+    text = "Ein Satz mit z. B. drei Punkten geht hier weiter. " * 100_000 + "wort " * 1_000_000
+    frame = spark.createDataFrame([(1, [(text, 0.0, 1.0)])], "id int, p array<struct<text:string,start:double,end:double>>")
+    began = time.time()
+    found = q.chunks(frame.select("id", q.sentences_of(F.col("p"), 3000).alias("s")), "s").select(F.explode("chunks").alias("c")).select("c.*").collect()
+    assert time.time() - began < 120 and sum(r.chars - r.overlap_before for r in found) >= len(text.strip()) - len(found)

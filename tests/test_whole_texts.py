@@ -34,4 +34,6 @@ def test_guard_of_whole_texts(spark, folder):
 
 
 def test_sections_hold_whole_texts(spark, folder):
-    assert sorted(r.text for r in sections(spark, folder).collect()) == sorted(t[12:] for t in TEXTS.values())
+    found = {r.doc_id: "\n".join(x.title + x.text if n % 3 < 2 else x.text for n, x in enumerate(r.s)) for r in sections(spark, folder).collect()}
+    expected = {i: "\n".join(x if n % 3 < 2 else x[12:] for n, x in enumerate(t.split("\n"))) for i, t in TEXTS.items()}
+    assert found == expected
