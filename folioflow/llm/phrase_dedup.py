@@ -177,7 +177,7 @@ def send_triggers(table: pa.Table, bits: int) -> pa.Table:
     _, _, number, p = _batch(table, bits)
     if not len(p.first):
         return TRIGGERS.empty_table()
-    key, doc = _keys(p.data, p.first, p.count) >> U(64 - ONE), number[p.doc]
+    key, doc = _keys(p.data, p.first, p.count) >> U(64 - ONE) << U(64 - ONE), number[p.doc]  # zeros beside h's own pack well
     order = np.lexsort((key, p.trigger))
     h, key, doc = p.trigger[order], key[order].view(np.int64), doc[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -209,7 +209,7 @@ def shared_triggers(triggers: DataFrame) -> DataFrame:
         F.count(F.lit(1)).over(w).alias("batches"), F.max("several").over(w).alias("several"), F.sum("n").over(w).alias("n"),
         F.min("one").over(w).alias("least"), F.max("one").over(w).alias("most"), F.min("doc").over(w).alias("first"),
     ).where("batches > 1 or several")
-    same = (F.col("least") == F.col("most")) & (F.col("least") >= 0)
+    same = (F.col("least") == F.col("most")) & (F.col("least") != -1)
     kind = (
         F.when(same & (F.col("doc") > F.col("first")), EARLIER)
         .when(same, None)  # its first document is here, and the batch itself sees the others
