@@ -51,7 +51,7 @@ def title_from_name(name: Column) -> Column:
 
 
 def with_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """SRC05, SRC31: media rows with ``sidecar``, the JSON beside them: ``<stem>.info.json`` before ``<stem>.json``.
+    """SRC05: media rows with ``sidecar``, the JSON beside them: ``<stem>.info.json`` before ``<stem>.json``.
 
     sidecars: (rel, json). A broken or missing one is an empty object.
     """
