@@ -114,7 +114,7 @@ def seq_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.sentences_of(F.flatten(F.transform("sections", lambda s: s["ps"])), 2000).alias("s"),
         F.transform("sections", lambda s: F.struct(
             s["ordinal"].alias("id"), s["position_from"].cast("double").alias("start"),
-            F.greatest(F.element_at(F.transform(s["ps"], lambda p: p["end"] + 2), -1), s["position_from"] + 1.0).alias("end"))).alias("ranges"),
+            F.greatest(F.try_element_at(F.transform(s["ps"], lambda p: p["end"] + 2), F.lit(-1)), s["position_from"] + 1.0).alias("end"))).alias("ranges"),
     )
     found = q.chunks(rows, "s", 2000, 300).select("doc_id", "chapter", "ranges", F.explode("chunks").alias("c"))
     middle = (F.col("c.start") + F.col("c.end")) / 2
@@ -242,9 +242,55 @@ QUERIES = {
     )
 }
 
+_WHITE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+"
+_CLOSERS, _OPENERS = r"""["''»«“”’)\]]""", r"""["''„»«“‘(\[]"""
+_KNOWN = "[" + ", ".join(f"'{a}'" for a in q.ABBREVIATIONS) + "]"
+# Over par (k, i, t, a, b): the paragraphs i of work k with their start and end. The fold puts a mark behind each piece that ends a sentence.
+SENTENCES = rf"""
+flat AS (SELECT k, i, a, b, trim(regexp_replace(t, '{_WHITE}', ' ', 'g')) AS t FROM par),
+whole AS (SELECT k, i, a, b, unnest(s) AS t, generate_subscripts(s, 1) AS j FROM (SELECT k, i, a, b, string_split(list_reduce(
+  string_split(regexp_replace(t, '([.!?…]+{_CLOSERS}*) ({_OPENERS}?[A-ZÄÖÜ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+  lambda done, x: done || CASE WHEN regexp_matches(right(done, 60), '(^|[\s\x01])(\p{{L}}|\d{{1,2}})\.[.!?…]*{_CLOSERS}*$')
+    OR list_contains({_KNOWN}, lower(regexp_extract(right(done, 60), '([^\s\x01]+?)\.[.!?…]*{_CLOSERS}*$', 1)) || '.')
+    OR list_contains({_KNOWN}, lower(regexp_extract(right(done, 60), '([^\s\x01]+ [^\s\x01]+?)\.[.!?…]*{_CLOSERS}*$', 1)) || '.')
+    THEN ' ' ELSE chr(1) END || x), chr(1)) AS s FROM flat WHERE t <> '')),
+cut AS (SELECT k, i, a, b, j, CASE WHEN length(t) <= MOST THEN [t] ELSE string_split(list_reduce(string_split(t, ' '),
+  lambda done, w: done || CASE WHEN length(regexp_extract(done, '[^\x02]*$')) + 1 + length(w) > MOST THEN chr(2) ELSE ' ' END || w), chr(2)) END AS s FROM whole),
+sent AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i, j, m) AS n FROM (SELECT k, i, a, b, j, unnest(s) AS t, generate_subscripts(s, 1) AS m FROM cut))"""
+CHUNK = """
+glued AS (SELECT *, CASE WHEN n = 1 THEN '' WHEN i = lag(i) OVER (PARTITION BY k ORDER BY n) THEN ' ' ELSE chr(10) || chr(10) END AS g FROM sent),
+upto AS (SELECT *, sum(length(g) + length(t)) OVER (PARTITION BY k ORDER BY n)::BIGINT AS e FROM glued),
+work AS (SELECT k, list(e - length(t) ORDER BY n) AS bs, list(e ORDER BY n) AS es, list(a ORDER BY n) AS froms, list(b ORDER BY n) AS tos, string_agg(g || t, '' ORDER BY n) AS t FROM upto GROUP BY k),
+run AS (SELECT k, 1 AS ordinal, 1 AS first, 1 AS new, greatest(1, len(list_filter(es, lambda x: x <= TARGET))) AS last FROM work
+  UNION ALL SELECT k, ordinal + 1, carried, last + 1, greatest(last + 1, len(list_filter(es, lambda x: x - bs[carried] <= TARGET)))
+  FROM (SELECT run.*, bs, es, least(last + 1, greatest(new + 1, len(list_filter(bs, lambda x: x < es[last] - OVERLAP)) + 1)) AS carried FROM run JOIN work ON work.k = run.k WHERE last < len(es))),
+held AS (SELECT run.k, ordinal, es[last] - bs[first] AS chars, CASE WHEN first < new THEN es[new - 1] - bs[first] ELSE 0 END AS overlap_before,
+  list_min(froms[first:last]) AS start, list_max(tos[first:last]) AS end, substr(t, bs[first] + 1, es[last] - bs[first]) AS text FROM run JOIN work ON work.k = run.k)"""
+
 STOCK = ", ".join("'" + p.replace("'", "''") + "'" for p in q.STOCK_PHRASES)
 
 ORACLE = {
+    "seq_sentences": f"""
+WITH {LINES}, par AS (SELECT doc_id AS k, i, t, a, b FROM seg), {SENTENCES.replace("MOST", "300")}
+SELECT d.doc_id, count(n)::INT AS n, md5(coalesce(string_agg(t, '|' ORDER BY n), '')) AS sentences FROM documents d LEFT JOIN sent ON k = d.doc_id GROUP BY d.doc_id""",
+    "seq_chunks": f"""
+WITH RECURSIVE {LINES}, par AS (SELECT doc_id AS k, i, t, a, b FROM seg), {SENTENCES.replace("MOST", "3000")}, {CHUNK.replace("TARGET", "3000").replace("OVERLAP", "400")}
+SELECT k AS doc_id, ordinal, chars::INT AS chars, overlap_before::INT AS overlap_before, coalesce(lead(overlap_before) OVER (PARTITION BY k ORDER BY ordinal), 0)::INT AS overlap_after,
+  round(start, 6) AS start, round("end", 6) AS end, md5(text) AS text, 'topic ' || least(floor((start + "end") / 200), 9)::INT AS topic FROM held""",
+    "seq_document_chunks": f"""
+WITH RECURSIVE {SECTIONS},
+lines AS (SELECT s.*, coalesce(sum(length(t) + 2) OVER (PARTITION BY s.doc_id ORDER BY s.ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS since,
+  doc_id * 1000000 + sum((level <= 1 OR ordinal = 1)::INT) OVER (PARTITION BY s.doc_id ORDER BY s.ordinal) AS k FROM (SELECT sec.*, l.t FROM sec JOIN l ON l.doc_id = sec.doc_id AND l.ordinal = sec.ordinal) s),
+named AS (SELECT k, ordinal, since, regexp_replace(title, '^{_WHITE}|{_WHITE}$', '', 'g') AS title, regexp_replace(text, '^{_WHITE}|{_WHITE}$', '', 'g') AS text FROM lines),
+placed AS (SELECT *, since + length(title) AS upto, since + CASE WHEN title = '' THEN 0 ELSE length(title) + 2 END AS next FROM named),
+par AS (SELECT k, ordinal * 2 AS i, title AS t, since::DOUBLE AS a, upto::DOUBLE AS b FROM placed WHERE title <> ''
+  UNION ALL SELECT k, ordinal * 2 + 1, text, next, next + length(text) FROM placed WHERE text <> ''),
+{SENTENCES.replace("MOST", "2000")}, {CHUNK.replace("TARGET", "2000").replace("OVERLAP", "300")},
+span AS (SELECT k, ordinal AS section, since, greatest(since + 1, CASE WHEN text <> '' THEN next + length(text) + 2 WHEN title <> '' THEN upto + 2 ELSE 0 END) AS upto FROM placed),
+found AS (SELECT held.k, held.ordinal, chars, text, coalesce(min(section) FILTER (span.since <= (start + "end") / 2 AND (start + "end") / 2 < span.upto), min(section)) AS section
+  FROM held JOIN span ON span.k = held.k GROUP BY held.k, held.ordinal, chars, text)
+SELECT (k // 1000000)::BIGINT AS doc_id, row_number() OVER (PARTITION BY k // 1000000 ORDER BY k, ordinal)::INT AS ordinal, (k % 1000000)::BIGINT AS chapter, section::INT AS section,
+  chars::INT AS chars, md5(text) AS text FROM found""",
     "seq_pack": f"""
 WITH RECURSIVE {LINES}, f AS (SELECT doc_id AS k, i, length(t) AS n FROM seg), {PACK.format(glue=1, most=600)}
 SELECT k AS doc_id, max(g) AS last, string_agg(g::VARCHAR, ',' ORDER BY i) AS groups FROM r GROUP BY k""",

@@ -62,7 +62,14 @@ QUERIES = {q.__name__: q for q in (src_text, src_markdown, src_xhtml, src_names,
 
 _WHITE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+"
 
+_STRIP = rf"regexp_replace(regexp_replace(X, '^{_WHITE}', ''), '{_WHITE}$', '')"
+
 ORACLE = {
+    "src_text": rf"""
+WITH d AS (SELECT doc_id, {_STRIP.replace("X", "replace(text, chr(13) || chr(10), chr(10))")} AS t FROM documents),
+p AS (SELECT doc_id, coalesce(rtrim(substr(list_filter(list_transform(string_split(t, chr(10)), lambda l: {_STRIP.replace("X", "l")}), lambda l: l <> '')[1], 1, 80), ' '), 'Text') AS title,
+  array_to_string(list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda x: {_STRIP.replace("X", f"regexp_replace(x, '{_WHITE}', ' ', 'g')")}), lambda x: x <> ''), chr(10) || chr(10)) AS body FROM d)
+SELECT doc_id, title, (length(body) >= 20)::INT AS n, CASE WHEN length(body) >= 20 THEN md5(body) END AS text FROM p""",
     "src_names": """
 WITH n AS (SELECT p_partkey, p_type, replace(p_name, ' ', '__') || '_' || p_partkey AS s, ['epub', 'MD', 'txt'][p_partkey % 3 + 1] AS e FROM part)
 SELECT p_partkey, 'datei-' || substr(sha1(p_type || '/' || s || '.' || e), 1, 20) AS id, regexp_replace(replace(s, '_', ' '), ' +', ' ', 'g') AS title,

@@ -62,5 +62,11 @@ ORACLE = {
 FROM events, range(0, 4) r(k) GROUP BY ALL""",
     "stm_stuck": f"""SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'done' WHEN floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(max(ts))) > 14400 THEN 'error' ELSE 'running' END AS status
 FROM events GROUP BY user_id""",
+    "stm_throttle": """
+WITH RECURSIVE e AS (SELECT user_id AS job_id, epoch_us(ts) AS us, value AS progress, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS n FROM events),
+r AS (SELECT job_id, us, progress, n, us AS since, progress AS done, true AS passed FROM e WHERE n = 1
+  UNION ALL SELECT job_id, us, progress, n, CASE WHEN p THEN us ELSE since END, CASE WHEN p THEN progress ELSE done END, p
+  FROM (SELECT e.*, since, done, abs(e.progress - done) >= 25 OR e.us - since >= 21600000000 AS p FROM r JOIN e ON e.job_id = r.job_id AND e.n = r.n + 1))
+SELECT job_id, us, progress FROM r WHERE passed""",
     "stm_replay": "SELECT event_id, event_type FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id DESC LIMIT 200",
 }
