@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NEVER = 1 << 60
+#: Kinds of a Markdown file's lines; 1 to 3 are headings that open a section, DEEP ones do not.
+BLANK, DEEP, TEXT, FENCE = 0, 4, 5, 6
 
 
 def fold(step: Callable[..., Any], kind: str, *columns: Column) -> Column:
@@ -134,3 +136,31 @@ def kept_sections(levels: list[int], titled: list[bool], long: list[bool]) -> li
         near.append((level, goes))
         out.append(goes == NEVER)
     return out[::-1]
+
+
+def outline(kinds: list[int]) -> list[dict]:
+    """Sections of a Markdown file's lines of these kinds: the line they begin ``at`` and the line numbers of each paragraph.
+
+    Paragraphs ahead of the first line of text or heading belong to the section that text opens; a heading drops them. A deep
+    heading is a paragraph by itself, and its number n is given as -n - 1. Lines of fences are text of any kind.
+    """
+    opened: list[dict] = [{"at": -1, "parts": []}]
+    inside, going = False, False  # a fence; a paragraph that the next line goes on with
+    for i, kind in enumerate(kinds):
+        last = opened[-1]
+        if kind == FENCE:
+            inside = not inside
+        elif inside or kind == TEXT:
+            if not inside and last["at"] < 0:
+                last["at"] = i
+            if not going:
+                last["parts"].append([])
+            last["parts"][-1].append(i)
+            going = True
+        else:
+            going = False
+            if kind == DEEP:
+                last["parts"].append([-i - 1])
+            elif kind != BLANK:
+                opened.append({"at": i, "parts": []})
+    return [s for s in opened if s["at"] >= 0]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, join_paragraphs, let, plain_markdown, strip
 from ..functions.values import lenient_time
+from ..operators import folds
 from ..operators.sequences import clean_sections, settled
 
 SECTIONS = "array<struct<level:int,title:string,text:string>>"
@@ -75,46 +76,38 @@ def read_markdown(docs: DataFrame, text_col: str = "text", default: str = "Docum
     rows = settled(docs, "meta", front_matter(whole))
     body = F.regexp_replace(whole, r"\A---\n[\s\S]*?\n---(?:\n|\z)", "")
     own_title = F.coalesce(F.element_at("meta", "titel"), F.element_at("meta", "title"))
-    state = "struct<fence:boolean,open:array<string>,done:array<struct<level:int,title:string,parts:array<string>>>>"
-    zero = F.from_json(F.lit('{"fence": false, "open": [], "done": []}'), state)
-    none = F.array().cast("array<string>")
-
-    def closed(a: Column) -> Column:
-        """The sections with the open paragraph put behind the last one."""
-        n = F.size(a["done"])
-        last = F.get(a["done"], n - 1)
-        joined = plain_markdown(F.array_join(F.transform(a["open"], strip), " "))
-        more = F.struct(last["level"].alias("level"), last["title"].alias("title"), F.concat(last["parts"], F.array(joined)).alias("parts"))
-        return F.when((F.size(a["open"]) > 0) & (n > 0), F.concat(F.slice(a["done"], 1, F.greatest(n - 1, F.lit(0))), F.array(more))).otherwise(a["done"])
-
-    def section(level: Column, title: Column) -> Column:
-        return F.array(F.struct(level.cast("int").alias("level"), title.alias("title"), none.alias("parts")))
-
-    def next_state(fence: Column, open_: Column, done: Column) -> Column:
-        return F.struct(fence.alias("fence"), open_.alias("open"), done.alias("done"))
-
-    def step(a: Column, line: Column) -> Column:
-        marks = F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
-        heading = strip(plain_markdown(F.regexp_extract(line, r"^#{1,6}\s+(.*?)\s*#*\s*$", 1)))
-        lead = F.when(F.size(a["done"]) == 0, section(F.lit(1), F.coalesce(own_title, title_of(line, default)))).otherwise(a["done"])
-        return (
-            F.when(F.rlike(line, F.lit(r"^(```|~~~)")), next_state(~a["fence"], a["open"], a["done"]))
-            .when(a["fence"], next_state(a["fence"], F.concat(a["open"], F.array(line)), a["done"]))
-            .when(marks.between(1, 3), next_state(a["fence"], none, F.concat(closed(a), section(marks, heading))))
-            .when(marks > 3, next_state(a["fence"], F.array(heading), closed(a)))
-            .when(strip(line) == "", next_state(a["fence"], none, closed(a)))
-            .otherwise(next_state(a["fence"], F.concat(a["open"], F.array(line)), lead))
-        )
-
-    found = settled(rows, "__s", F.aggregate(F.split(body, "\n"), zero, step, closed))
-    plain = F.transform("__s", lambda s: F.struct(s["level"].alias("level"), s["title"].alias("title"), join_paragraphs(s["parts"]).alias("text")))
+
+    def marks(line: Column) -> Column:
+        return F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
+
+    def heading(line: Column) -> Column:
+        return strip(plain_markdown(F.regexp_extract(line, r"^#{1,6}\s+(.*?)\s*#*\s*$", 1)))
+
+    def kind(line: Column) -> Column:
+        other = F.when(F.rlike(line, F.lit(r"(?U)\S")), folds.TEXT).otherwise(folds.BLANK)
+        deep = F.when(marks(line) > 0, F.least(marks(line), F.lit(folds.DEEP))).otherwise(other)
+        return F.when(line.startswith("#"), deep).when(line.startswith("```") | line.startswith("~~~"), folds.FENCE).otherwise(other)
+
+    rows = settled(rows, "__l", F.split(body, "\n"))
+    found = settled(rows, "__o", folds.fold(folds.outline, "array<struct<at:int,parts:array<array<int>>>>", F.transform("__l", kind)))
+
+    def part(numbers: Column) -> Column:
+        of = lambda i: F.when(i < 0, heading(F.get("__l", -i - 1))).otherwise(strip(F.get("__l", i)))
+        return plain_markdown(F.array_join(F.transform(numbers, of), " "))
+
+    def section(o: Column) -> Column:
+        line = F.get("__l", o["at"])
+        title = F.when(marks(line) > 0, heading(line)).otherwise(F.coalesce(own_title, title_of(line, default)))
+        return F.struct(F.greatest(marks(line), F.lit(1)).alias("level"), title.alias("title"), join_paragraphs(F.transform(o["parts"], part)).alias("text"))
+
+    plain = F.transform("__o", section)
     found, plain = settled(found, "__plain", plain), F.col("__plain")
-    first = F.get(F.filter("__s", lambda s: s["level"] == 1), F.lit(0))["title"]
+    first = F.get(F.filter("__o", lambda o: marks(F.get("__l", o["at"])) == 1), F.lit(0))["at"]
     return (
         found.withColumn("sections", clean_sections(plain))
-        .withColumn("title", F.coalesce(own_title, first, F.lit(default)))
+        .withColumn("title", F.coalesce(own_title, F.nullif(heading(F.get("__l", first)), F.lit("")), F.lit(default)))
         .withColumn("published", lenient_time(F.coalesce(F.element_at("meta", "datum"), F.element_at("meta", "date"))))
-        .drop("__s", "__plain")
+        .drop("__l", "__o", "__plain")
     )
 
 
@@ -184,30 +177,30 @@ def xhtml_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 def sections_of_blocks(blocks: Column, lead_title: Column, lead_level: Column | None = None) -> Column:
     """SRC15: headings open sections; text before the first is under ``lead_title``, else its own first words."""
-    none = F.array().cast("array<struct<level:int,title:string,parts:array<string>>>")
+    opening = F.filter(F.transform(blocks, lambda b, i: F.when((b["level"] > 0) | (i == 0), i)), F.isnotnull)
+
+    def sections(at: Column) -> Column:
+        def section(first: Column, n: Column) -> Column:
+            inside = F.slice(blocks, first + 1, F.coalesce(F.get(at, n + 1), F.size(blocks)) - first)
+            head, parts = F.get(blocks, first), F.transform(F.filter(inside, lambda b: b["level"] <= 0), lambda b: b["text"])
+            lead = F.coalesce(F.nullif(lead_title, F.lit("")), F.rtrim(F.substring(head["text"], 1, TITLE_LENGTH)))
+            return F.struct(
+                F.when(head["level"] > 0, head["level"]).otherwise(lead_level if lead_level is not None else F.lit(1)).alias("level"),
+                F.when(head["level"] > 0, F.substring(head["text"], 1, HEADING_LENGTH)).otherwise(lead).alias("title"),
+                join_paragraphs(parts).alias("text"),
+            )
 
-    def step(done: Column, b: Column) -> Column:
-        n = F.size(done)
-        last = F.get(done, n - 1)
-        title = F.when(b["level"] > 0, F.substring(b["text"], 1, HEADING_LENGTH)).otherwise(
-            F.coalesce(F.nullif(lead_title, F.lit("")), F.rtrim(F.substring(b["text"], 1, TITLE_LENGTH)))
-        )
-        level = F.when(b["level"] > 0, b["level"]).otherwise(lead_level if lead_level is not None else F.lit(1))
-        parts = F.when(b["level"] > 0, F.array().cast("array<string>")).otherwise(F.array(b["text"]))
-        new = F.array(F.struct(level.alias("level"), title.alias("title"), parts.alias("parts")))
-        more = F.struct(last["level"].alias("level"), last["title"].alias("title"), F.concat(last["parts"], F.array(b["text"])).alias("parts"))
-        return F.when((b["level"] > 0) | (n == 0), F.concat(done, new)).otherwise(F.concat(F.slice(done, 1, F.greatest(n - 1, F.lit(0))), F.array(more)))
+        return F.transform(at, section)
 
-    found = F.aggregate(blocks, none, step)
-    return F.transform(found, lambda s: F.struct(s["level"].alias("level"), s["title"].alias("title"), join_paragraphs(s["parts"]).alias("text")))
+    return let(opening, sections)
 
 
 def placed_sections(docs: DataFrame, id_col: str, sections_col: str = "sections") -> DataFrame:
     """SRC19: (id, ordinal from 1, level, title, text, position_from), two characters between sections."""
-    s = F.col(sections_col)
-    ends = F.aggregate(s, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x["text"]) + 2)))
-    rows = docs.withColumn("__p", ends).select(id_col, "__p", F.posexplode(sections_col).alias("i", "s"))
-    return rows.select(id_col, (F.col("i") + 1).alias("ordinal"), "s.level", "s.title", "s.text", F.get("__p", F.col("i")).alias("position_from"))
+    ends = folds.fold(folds.running_ends(2), "array<long>", F.transform(sections_col, lambda s: F.length(s["text"])))
+    rows = settled(docs, "__p", ends).select(id_col, "__p", F.posexplode(sections_col).alias("i", "s"))
+    start = (F.get("__p", F.col("i")) - F.length("s.text")).cast("int")
+    return rows.select(id_col, (F.col("i") + 1).alias("ordinal"), "s.level", "s.title", "s.text", start.alias("position_from"))
 
 
 def _local(tag: str) -> str:

@@ -182,6 +182,27 @@ def test_markdown_and_text(spark):
     assert text.title == "Erste Zeile" and text.sections[0].text == "Erste Zeile\n\nZweiter Absatz\n\nDritter Absatz"
 
 
+def test_markdown_outline(spark):
+    long = "some words that are enough"
+    source = f"```\ncode {long}\n# no heading\n```\n\n#### Deep ####\ntext {long}\nmore\n~~~\nkept\n\n~~~\nend\n## Two\n\n{long} a\n\n{long} b\n# One\n{long}"
+    rows = spark.createDataFrame([(source,), (f"```\nlost {long}\n```\n# H\n{long}",)], "text string")
+    a, b = (r.sections for r in d.read_markdown(rows).collect())
+    assert [(s.level, s.title, s.text) for s in a] == [
+        (1, f"text {long}", f"code {long} # no heading\n\nDeep\n\ntext {long} more kept  end"),
+        (2, "Two", f"{long} a\n\n{long} b"), (1, "One", long),
+    ]
+    assert [(s.level, s.title, s.text) for s in b] == [(1, "H", long)]
+
+
+def test_blocks_and_places(spark):
+    blocks = [("lead text of the page", 0, ""), ("Head", 2, ""), ("one paragraph of it", 0, ""), ("another one", 0, ""), ("Last", 1, "")]
+    rows = spark.createDataFrame([(1, blocks), (2, [])], f"id long, blocks {d.BLOCK_DDL}").select("id", d.sections_of_blocks(F.col("blocks"), F.lit("")).alias("sections"))
+    found = {r.id: [tuple(s) for s in r.sections] for r in rows.collect()}
+    assert found == {1: [(1, "lead text of the page", "lead text of the page"), (2, "Head", "one paragraph of it\n\nanother one"), (1, "Last", "")], 2: []}
+    placed = d.placed_sections(rows, "id").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.title, r.position_from) for r in placed] == [(1, "lead text of the page", 0), (2, "Head", 23), (3, "Last", 57)]
+
+
 def test_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / ".hidden").mkdir()
