@@ -39,8 +39,8 @@ def select_by_rule(selected: Column, manual: Column, rule: Column) -> Column:
     return F.when(manual, selected).otherwise(rule)
 
 
-def replace_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """MRG05, MRG07: the children of every parent that ``new`` has are replaced by its rows."""
+def replace_children(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
+    """MRG05, MRG07: the children of every parent that ``new`` has are replaced by its rows; of vectors the parent is (chunk, family)."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 

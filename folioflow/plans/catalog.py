@@ -11,6 +11,7 @@ from . import (
     listing_queries,
     merge_queries,
     model_queries,
+    reader_queries,
     search_queries,
     sequence_queries,
     source_queries,
@@ -30,6 +31,7 @@ MODULES = (
     stream_queries,
     source_queries,
     model_queries,
+    reader_queries,
     library_queries,
     work_queries,
 )
