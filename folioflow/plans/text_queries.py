@@ -188,14 +188,14 @@ ORACLE = {
     "str_guard": rf"""
 WITH a AS (SELECT doc_id, text AS raw, CASE doc_id % 6 WHEN 0 THEN '<think>hm</think>Hier ist der korrigierte Text:' || chr(10) || text WHEN 1 THEN '' WHEN 2 THEN 'Gerne!'
   WHEN 3 THEN '```text' || chr(10) || text || chr(10) || '```' WHEN 4 THEN substr(text, 1, length(text) // 2) ELSE text END AS x FROM documents),
-b AS (SELECT doc_id, raw, {_strip("replace(regexp_replace(x, '(?is)<think>.*?</think>', '', 'g'), chr(13) || chr(10), chr(10))")} AS x FROM a),
-c AS (SELECT doc_id, raw, {_strip("regexp_replace(regexp_replace(x, '\A```[a-zA-Z]*[ \t]*\n', ''), '\n```[ \t]*\z', '')")} AS x FROM b),
-e AS (SELECT doc_id, raw, list_transform(string_split(x, chr(10)), lambda l: {_strip("regexp_replace(l, '[ \t]+', ' ', 'g')")}) AS ls FROM c),
-f AS (SELECT doc_id, raw, string_split({_strip("regexp_replace(array_to_string(ls, chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")}, chr(10)) AS ls FROM e),
+b AS (SELECT doc_id, raw, {_strip(r"replace(regexp_replace(x, '(?is)<think>.*?</think>', '', 'g'), chr(13) || chr(10), chr(10))")} AS x FROM a),
+c AS (SELECT doc_id, raw, {_strip(r"regexp_replace(regexp_replace(x, '\A```[a-zA-Z]*[ \t]*\n', ''), '\n```[ \t]*\z', '')")} AS x FROM b),
+e AS (SELECT doc_id, raw, list_transform(string_split(x, chr(10)), lambda l: {_strip(r"regexp_replace(l, '[ \t]+', ' ', 'g')")}) AS ls FROM c),
+f AS (SELECT doc_id, raw, string_split({_strip(r"regexp_replace(array_to_string(ls, chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")}, chr(10)) AS ls FROM e),
 g AS (SELECT doc_id, raw, ls[{_ahead("ls")} + 1:] AS ls FROM f),
 h AS (SELECT doc_id, raw, list_reverse(ls) AS ls FROM g),
 i AS (SELECT doc_id, raw, array_to_string(list_reverse(ls[{_ahead("ls")} + 1:]), chr(10)) AS x FROM h),
-k AS (SELECT doc_id, {_strip("raw")} AS raw, length(raw) AS n, {_strip("x")} AS x FROM i),
+k AS (SELECT doc_id, {_strip(r"raw")} AS raw, length(raw) AS n, {_strip(r"x")} AS x FROM i),
 r AS (SELECT *, CASE WHEN x = '' THEN 'empty' WHEN {_remark("string_split(x, chr(10))[1]")} THEN 'remark'
   WHEN CASE WHEN raw = '' THEN x <> '' ELSE abs(length(x) - length(raw)) / length(raw) > 0.35 END THEN 'length'
   WHEN least(length(x), n) / greatest(length(x), n, 1) < 0.8 THEN 'similarity' ELSE '' END AS reason FROM k)
