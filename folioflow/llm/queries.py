@@ -15,11 +15,14 @@ from . import (
     html_text,
     license_scan,
     line_dedup,
+    line_quality,
     mixing,
     mpeg_audio,
     near_dedup,
+    periodic_runs,
     phrase_dedup,
     quality_rules,
+    spelling,
     token_counts,
 )
 from .common import remove_folder, shared_folder, table
@@ -110,6 +113,33 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.planted_periods(table(spark, sf_dir, "documents")))
+    # The longest run, the first of equals; runs are in the order of their starts and periods.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    rows = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.array_join(rows, "").alias("rows"), "collapsed_sha256")
+    return found.select(
+        "doc_id", "n_runs",
+        (-F.col("m.s")).alias("start"), F.col("m.l").alias("length"), (-F.col("m.p")).alias("period"),
+        F.floor(1000 * F.col("m.l") / -F.col("m.p")).alias("exponent_milli"),
+        F.sha2("rows", 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose CRC leaves 2 are held out: their labels are not learned."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    weights = line_quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = line_quality.score_documents(docs, weights)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -127,6 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_license_scan,
         op10_byte_bpe,
+        op11_spelling_groups,
+        op12_periodic_runs,
+        op13_line_quality,
         pipeline,
     )
 }
@@ -221,5 +254,78 @@ r AS (SELECT source, (k + strength * m) / (n + strength) > 0.6 AS rejected FROM
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT rejected AS kept
 FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source
+""",
+    "op11_spelling_groups": r"""
+WITH RECURSIVE crcs AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+each AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL),
+bytes AS (  -- letters from 192 on have two bytes in UTF-8
+  SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda s:
+    CASE WHEN ord(s) < 128 THEN [ord(s)::BIGINT] ELSE [192 + ord(s) // 64, 128 + ord(s) % 64] END)) AS b
+  FROM each),
+coded AS (
+  SELECT run, times, doc_id IS NOT NULL AS known,
+    xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h
+  FROM bytes, crcs),
+v AS (
+  SELECT CASE WHEN known AND h % 199 = 0
+      THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+    sum(times)::BIGINT AS n
+  FROM coded GROUP BY 1 HAVING length(word) >= 6 AND sum(times) >= 5),
+less AS (  -- each word without its letter i
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM v)
+  UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM v)),
+best AS (
+  SELECT p.word, count(*) AS n_near, max(v.n) AS most, arg_min(near, (-v.n, near)) AS near
+  FROM pairs p JOIN v ON v.word = p.near GROUP BY p.word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN near END AS form, CASE WHEN most >= 5 * v.n THEN most END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM f JOIN chain c ON c.word = f.word JOIN f AS e ON e.word = c.root AND e.form IS NULL
+""",
+    "op12_periodic_runs": r"""
+WITH crcs AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+      lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h
+  FROM documents, crcs),
+p AS (
+  SELECT *, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM d),
+words AS (
+  SELECT rid, i, w[CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END + 1] AS word, n
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+same AS (
+  SELECT x.rid, x.i, y.i - x.i AS q FROM words x JOIN words y ON y.rid = x.rid AND y.word = x.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+found AS (
+  SELECT rid, min(i) AS start, count(*) + q AS length, q AS period
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM same)
+  GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT rid, start, length, min(period) AS period FROM found GROUP BY ALL),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT rid, sha256(string_agg(word, ' ' ORDER BY i)) AS digest
+  FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid),
+best AS (
+  SELECT rid, count(*) AS n_runs, arg_min({'start': start, 'length': length, 'period': period}, (-length, start, period)) AS m,
+    sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS digest
+  FROM runs GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, m.start AS start, m.length AS length, m.period AS period, 1000 * m.length // m.period AS exponent_milli,
+  coalesce(best.digest, sha256('')) AS runs_sha256, coalesce(kept.digest, sha256('')) AS collapsed_sha256
+FROM p LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
 """,
 }

@@ -25,7 +25,7 @@ OF_BYTE = mix(np.arange(1, 257, dtype=U) * SPREAD_C)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n - 1 of BASE and of its inverse."""
     while len(_powers["up"]) < n:
         for name, base in (("up", BASE), ("down", BASE_INVERSE)):
@@ -38,7 +38,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """One hash for each word, from sums of a polynomial over all of them."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     data = np.frombuffer(b"".join(words), np.uint8)
-    up, down = _powers_to(len(data) + 1)
+    up, down = powers_to(len(data) + 1)
     sums = np.concatenate([np.zeros(1, U), np.cumsum(OF_BYTE[data] * up[: len(data)], dtype=U)])
     ends = np.cumsum(sizes)
     return mix((sums[ends] - sums[ends - sizes]) * down[ends - sizes] + sizes.astype(U))
