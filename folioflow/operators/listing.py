@@ -24,6 +24,26 @@ def where_all(rows: DataFrame, *predicates: Column | None) -> DataFrame:
     return rows.where(reduce(lambda a, b: a & b, given)) if given else rows
 
 
+def across_satellites(
+    rows: DataFrame,
+    satellites: list[tuple[DataFrame, str, list[Column | None]]],
+    own: list[Column | None],
+    any_of: list[Column | None],
+) -> DataFrame:
+    """FLT02: rows outer-joined to satellites (table, key, predicates), filtered on whichever side each predicate is about.
+
+    Predicates of the rows (``own``) go below all joins. One of a satellite can hold only where it has a row, so it filters
+    the satellite and makes its join an inner one. ``any_of`` are those over several sides, after the joins, where a missing
+    satellite's columns are null. None is a predicate that the user did not give. A satellite has a row a key at most, and
+    where the user asks about none of its columns it may be left out of the list: it neither adds nor drops rows.
+    """
+    found = where_all(rows, *own)
+    for table, key, predicates in satellites:
+        given = [p for p in predicates if p is not None]
+        found = found.join(where_all(table, *given), key, "inner" if given else "left")
+    return where_all(found, *any_of)
+
+
 def in_period(since: str, *dates: Column) -> Column:
     """FLT04: any of the dates is at or after ``since``; nulls in all of them fail."""
     return reduce(lambda a, b: a | b, [F.coalesce(d >= F.lit(since).cast("timestamp"), F.lit(False)) for d in dates])
@@ -123,6 +143,33 @@ def blocking(jobs: DataFrame, works: DataFrame, kind: str, stage: str) -> DataFr
     return first_per(stopped, ["work_id"], [F.desc_nulls_last("finished"), F.desc("created"), F.asc("job_id")])
 
 
+def blocking_all(jobs: DataFrame, works: DataFrame, lifts: dict[str, str], kind: str | None = None) -> DataFrame:
+    """JON06 for all kinds: the latest aborted job of each work that stands at the stage this job lifts it from.
+
+    ``lifts`` names the stage that each kind of job starts at; works with an open job of any kind are not held up.
+    jobs: (job_id, work_id, kind, status, finished, created), works: (work_id, stage).
+    """
+    starts = F.coalesce(*[F.when(F.col("kind") == k, F.lit(s)) for k, s in lifts.items()])
+    aborted = where_all(jobs, F.col("status") == "aborted", None if kind is None else F.col("kind") == kind)
+    held = aborted.withColumn("stage", starts).join(works.select("work_id", "stage"), ["work_id", "stage"], "left_semi").drop("stage")
+    opened = jobs.where(F.col("status").isin(*OPEN_STATES)).select("work_id")
+    order = [F.desc_nulls_last("finished"), F.desc("created"), F.asc("job_id")]
+    return first_per(held.join(opened, "work_id", "left_anti"), ["work_id"], order)
+
+
+def job_listing(jobs: DataFrame, works: DataFrame, lifts: dict[str, str], status: str | None = None, kind: str | None = None, work: int | None = None) -> DataFrame:
+    """FLT10: jobs by status, kind and work; what is None does not filter.
+
+    Of aborted jobs only those show that still hold a work up, so that status is no predicate but a semi join; the work's
+    own predicate then goes below it.
+    """
+    own = None if work is None else F.col("work_id") == work
+    if status == "aborted":
+        held = blocking_all(where_all(jobs, own), works, lifts, kind).select("job_id")
+        return where_all(jobs, own).join(held, "job_id", "left_semi")
+    return where_all(jobs, own, None if status is None else F.col("status") == status, None if kind is None else F.col("kind") == kind)
+
+
 def next_jobs(jobs: DataFrame, works: DataFrame, kind: str, n: int, preferred: str) -> DataFrame:
     """TOP07: the next ``n`` jobs of a kind, one a work, none of works that run.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .listing import OPEN_STATES, VIDEO_STAGES, first_per, stage_index
@@ -39,6 +39,52 @@ def select_by_rule(selected: Column, manual: Column, rule: Column) -> Column:
     return F.when(manual, selected).otherwise(rule)
 
 
+def apply_rule(works: DataFrame, rule: Column, observed: Observation) -> DataFrame:
+    """MRG03: works (work_id, selected, manual, ...) after the rule, with ``action`` manual, unchanged, added or removed.
+
+    ``observed`` gets the counters checked, added, removed and unchanged of the same pass, once the rows have been computed.
+    """
+    new = select_by_rule(F.col("selected"), F.col("manual"), rule)
+    action = F.when(F.col("manual"), "manual").when(F.col("selected") == new, "unchanged").when(new, "added").otherwise("removed")
+    marked = works.withColumns({"action": action, "selected": new})
+    counters = [F.count_if(F.col("action") == a).alias(a) for a in ("added", "removed", "unchanged")]
+    return marked.observe(observed, F.count_if(~F.col("manual")).alias("checked"), *counters)
+
+
+def select_batch(works: DataFrame, asked: DataFrame, selected: bool, observed: Observation) -> DataFrame:
+    """MRG04: works after the user has selected or dropped those ``asked`` for (work_id), which are manual from then on.
+
+    ``observed`` gets asked, changed, unchanged and not_found of the same pass. Ids that are asked for twice count once.
+    """
+    both = works.withColumn("__w", F.lit(True)).join(asked.select("work_id").distinct().withColumn("__a", F.lit(True)), "work_id", "full")
+    wanted, known = F.col("__a").isNotNull(), F.col("__w").isNotNull()
+    action = F.when(~wanted, "kept").when(~known, "not_found").when(F.col("selected") == selected, "unchanged").when(F.lit(selected), "added").otherwise("removed")
+    counters = [F.count_if(wanted).alias("asked"), F.count_if(F.col("action").isin("added", "removed")).alias("changed")]
+    counters += [F.count_if(F.col("action") == a).alias(a) for a in ("unchanged", "not_found")]
+    counted = both.withColumn("action", action).observe(observed, *counters)
+    taken = wanted & known
+    chosen = {"selected": F.when(taken, F.lit(selected)).otherwise(F.col("selected")), "manual": F.col("manual") | taken}
+    return counted.where(known).withColumns(chosen).drop("__w", "__a")
+
+
+def jobs_after_selection(jobs: DataFrame, works: DataFrame, automatic: bool, observed: Observation) -> DataFrame:
+    """MRG03, MRG04: jobs (work_id, kind, status, error) after works (work_id, stage, action) were added or removed.
+
+    Waiting jobs of removed works are aborted; works added get the job that follows their stage, if jobs are made
+    ``automatic``-ally and they have none open of that kind. ``observed`` gets created and aborted.
+    """
+    changed = works.where(F.col("action").isin("added", "removed")).select("work_id", "stage", "action")
+    removed = changed.where("action = 'removed'").select("work_id", F.lit(True).alias("__r"))
+    stopped = F.coalesce("__r", F.lit(False)) & (F.col("status") == "waiting")
+    old = jobs.join(removed, "work_id", "left").withColumn("__s", stopped)
+    after = {"status": F.when(F.col("__s"), "aborted").otherwise(F.col("status")), "error": F.when(F.col("__s"), "no longer selected").otherwise(F.col("error"))}
+    old = old.withColumns(after).withColumn("__new", F.lit(False)).drop("__r")
+    wanted = changed.where("action = 'added'").select("work_id", next_job(F.col("stage")).alias("kind")).where(F.col("kind").isNotNull() & F.lit(automatic))
+    new = missing_jobs(wanted, jobs).withColumns({"status": F.lit("waiting"), "error": F.lit(None).cast("string"), "__s": F.lit(False), "__new": F.lit(True)})
+    every = old.unionByName(new, allowMissingColumns=True)
+    return every.observe(observed, F.count_if("__new").alias("created"), F.count_if("__s").alias("aborted")).drop("__s", "__new")
+
+
 def replace_children(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     """MRG05, MRG07: the children of every parent that ``new`` has are replaced by its rows; of vectors the parent is (chunk, family)."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

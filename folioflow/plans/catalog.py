@@ -14,6 +14,7 @@ from . import (
     reader_queries,
     search_queries,
     sequence_queries,
+    service_queries,
     source_queries,
     stream_queries,
     text_queries,
@@ -34,6 +35,7 @@ MODULES = (
     reader_queries,
     library_queries,
     work_queries,
+    service_queries,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -83,6 +83,43 @@ def flt_unembedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(vectors, "doc_id", "left_anti")
 
 
+def flt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT02: line items as chunks of a video (order), a document (part) and a section (supplier): two listings of predicates."""
+    chunks = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_linestatus").alias("topic"), F.col("l_returnflag").alias("text"), "l_extendedprice",
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey")).alias("video_id"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_partkey")).alias("document_id"),
+        F.when(F.col("l_linenumber") % 4 == 1, F.col("l_suppkey")).alias("section_id"),
+    )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_id"), F.col("o_orderpriority").alias("series"), F.col("o_orderstatus").alias("title"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.col("p_name").alias("name"))
+    sections = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("section_id"), F.col("s_name").alias("section"))
+
+    def listing(kind: str | None, series: str | None, topic: str | None, q: str | None) -> DataFrame:
+        own = [F.col(f"{kind}_id").isNotNull() if kind else None, o.contains(F.col("topic"), topic) if topic else None]
+        words = o.contains(F.col("text"), q) | o.contains(F.col("title"), q) | o.contains(F.col("name"), q) if q else None
+        sides = [(orders, "video_id", [F.col("series") == series if series else None]), (parts, "document_id", []), (sections, "section_id", [])]
+        return o.across_satellites(chunks, sides, own, [words])
+
+    shown = ("l_orderkey", "l_linenumber", "title", "name", "section", F.round(F.col("l_extendedprice").cast("double"), 2).alias("price"))
+    by_series, by_words = listing("video", "1-URGENT", None, "o"), listing(None, None, "f", "ring")
+    return by_series.select(F.lit("series").alias("listing"), *shown).unionByName(by_words.select(F.lit("words").alias("listing"), *shown))
+
+
+#: The stage that each kind of made-up job lifts a work from.
+LIFTS = {"click": "audio", "error": "chunked", "view": "audio", "signup": "chunked"}
+
+
+def flt_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT10: aborted jobs that still hold a work up, of all kinds and of one; waiting ones by kind."""
+    rows = jobs(spark, sf_dir).where("job_id % 41 < 4 or status = 'aborted'")
+    works = rows.select("work_id", F.when(F.col("work_id") % 3 > 0, "audio").otherwise("chunked").alias("stage")).distinct()
+    found = [
+        o.job_listing(rows, works, LIFTS, status, kind).select(F.lit(name).alias("listing"), "job_id", "work_id", "kind", "status")
+        for name, status, kind in (("aborted", "aborted", None), ("views", "aborted", "view"), ("waiting", "waiting", "click"))
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def jon_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON01, JON05: chunks with their work, its nation and its open orders in one pass."""
     orders = table(spark, sf_dir, "orders")
@@ -262,6 +299,7 @@ def agg_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+    flt_chunks, flt_jobs,
         flt_videos, flt_period, flt_scope, flt_settings, flt_words, flt_unembedded, jon_satellites, jon_family, jon_blocking, jon_given,
         jon_neighbours, jon_adopted, top_page, top_stage_page, top_open_job, top_latest, top_next_jobs, top_messages, top_log,
         top_conversations, agg_series, agg_overview, agg_stages, agg_distinct, agg_models, agg_similarity, agg_occurrences, agg_sources,
@@ -269,6 +307,22 @@ QUERIES = {
 }
 
 ORACLE = {
+    "flt_chunks": """
+WITH c AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey END AS v, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey END AS d, CASE WHEN l_linenumber % 4 = 1 THEN l_suppkey END AS s FROM lineitem),
+j AS (SELECT c.*, o_orderpriority, o_orderstatus AS title, p_name AS name, s_name AS section FROM c LEFT JOIN orders ON o_orderkey = v LEFT JOIN part ON p_partkey = d LEFT JOIN supplier ON s_suppkey = s)
+SELECT 'series' AS listing, l_orderkey, l_linenumber, title, name, section, round(l_extendedprice::DOUBLE, 2) AS price FROM j
+WHERE v IS NOT NULL AND o_orderpriority = '1-URGENT' AND (l_returnflag ILIKE '%o%' OR title ILIKE '%o%' OR name ILIKE '%o%')
+UNION ALL SELECT 'words', l_orderkey, l_linenumber, title, name, section, round(l_extendedprice::DOUBLE, 2) FROM j
+WHERE l_linestatus ILIKE '%f%' AND (l_returnflag ILIKE '%ring%' OR title ILIKE '%ring%' OR name ILIKE '%ring%')""",
+    "flt_jobs": f"""
+WITH {JOBS}, r AS (SELECT * FROM j WHERE job_id % 41 < 4 OR status = 'aborted'),
+h AS (SELECT * FROM r WHERE status = 'aborted' AND work_id NOT IN (SELECT work_id FROM r WHERE status IN ('running', 'waiting'))
+  AND CASE WHEN work_id % 3 > 0 THEN kind IN ('click', 'view') ELSE kind IN ('error', 'signup') END),
+a AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY finished DESC NULLS LAST, created DESC, job_id) AS n FROM h),
+b AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY finished DESC NULLS LAST, created DESC, job_id) AS n FROM h WHERE kind = 'view')
+SELECT 'aborted' AS listing, job_id, work_id, kind, status FROM a WHERE n = 1
+UNION ALL SELECT 'views', job_id, work_id, kind, status FROM b WHERE n = 1
+UNION ALL SELECT 'waiting', job_id, work_id, kind, status FROM r WHERE status = 'waiting' AND kind = 'click'""",
     "flt_videos": """SELECT o_orderkey AS video_id, o_orderpriority AS series, o_orderstatus AS status FROM orders
 WHERE (o_orderpriority ILIKE '%r_ent%' OR o_orderkey = 7) AND o_orderstatus = 'F'""",
     "flt_period": """SELECT o_orderkey AS video_id FROM orders WHERE o_orderpriority = '1-URGENT'

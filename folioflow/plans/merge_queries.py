@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge as m
+from ..shared import cut
 from .listing_queries import JOBS, jobs
 from .tables import table
 
@@ -23,6 +24,44 @@ def mrg_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("p_partkey", "title", "duration", F.array_join("tags", "#").alias("tags"), "action", chosen.alias("selected"))
 
 
+def selectable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as works of which some are selected, some by hand, and every third one's job."""
+    key = F.col("o_orderkey")
+    stage = F.element_at(F.array(*map(F.lit, ("discovered", "audio", "corrected", "embedded"))), (key % 4 + 1).cast("int"))
+    works = table(spark, sf_dir, "orders").select(key.alias("work_id"), (key % 2 == 0).alias("selected"), (key % 10 == 1).alias("manual"), stage.alias("stage"), F.col("o_totalprice").alias("price"))
+    status = F.element_at(F.array(*map(F.lit, ("waiting", "running", "done"))), (key % 5 % 3 + 1).cast("int"))
+    made = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(key.alias("work_id"), m.next_job(stage).alias("kind"), status.alias("status"), F.lit(None).cast("string").alias("error"))
+    return works, made.where("kind is not null")
+
+
+def shown(rows: DataFrame, jobs_after: DataFrame, counters: dict[str, int]) -> DataFrame:
+    """Works that were looked at, their jobs and the counters as rows (part, id, a, b)."""
+    works = rows.where("action <> 'kept' and action <> 'manual'").select(F.lit("work").alias("part"), F.col("work_id").cast("string").alias("id"), F.col("action").alias("a"), F.concat_ws("/", F.col("selected").cast("string"), F.col("manual").cast("string")).alias("b"))
+    made = jobs_after.select(F.lit("job"), F.col("work_id").cast("string"), F.concat_ws("/", "kind", "status"), F.coalesce("error", F.lit("")))
+    one = F.map_from_arrays(F.array(*map(F.lit, counters)), F.array(*[F.lit(v).cast("string") for v in counters.values()]))
+    counts = rows.sparkSession.range(1).select(F.explode(one).alias("id", "a")).select(F.lit("counter"), "id", "a", F.lit(""))
+    return works.union(made).union(counts)
+
+
+def mrg_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG03: a rule on prices over all works that nobody has decided by hand, with its jobs and counters."""
+    works, old = selectable(spark, sf_dir)
+    seen, made = Observation("rule"), Observation("jobs")
+    rows = cut(m.apply_rule(works, F.col("price") > 150_000, seen))
+    after = cut(m.jobs_after_selection(old, rows, True, made))
+    return shown(rows, after, seen.get | made.get)
+
+
+def mrg_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRG04: every fifth order and some unknown ids dropped by hand, with the jobs and counters."""
+    works, old = selectable(spark, sf_dir)
+    asked = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.when(F.col("o_orderkey") % 35 == 0, -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey")).alias("work_id"))
+    seen, made = Observation("batch"), Observation("jobs")
+    rows = cut(m.select_batch(works, asked, False, seen))
+    after = cut(m.jobs_after_selection(old, rows, True, made))
+    return shown(rows, after, seen.get | made.get)
+
+
 def mrg_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MRG05: the items of every tenth order replaced by one."""
     old = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
@@ -108,15 +147,43 @@ def snk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.round(F.aggregate(rounded, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size(rounded).alias("dimension"))
 
 
+SELECTABLE = """w AS (SELECT o_orderkey AS work_id, o_orderkey % 2 = 0 AS selected, o_orderkey % 10 = 1 AS manual, ['discovered', 'audio', 'corrected', 'embedded'][o_orderkey % 4 + 1] AS stage, o_totalprice AS price,
+  ['audio', 'transcription', 'chunking', NULL][o_orderkey % 4 + 1] AS following FROM orders),
+old AS (SELECT work_id, following AS kind, ['waiting', 'running', 'done'][work_id % 5 % 3 + 1] AS status FROM w WHERE work_id % 3 = 0 AND following IS NOT NULL)"""
+
+AFTER = """k AS (SELECT old.*, action = 'removed' AND status = 'waiting' AS stopped FROM old JOIN c USING (work_id)),
+n AS (SELECT work_id, following AS kind FROM c WHERE action = 'added' AND following IS NOT NULL AND NOT EXISTS (SELECT 1 FROM old WHERE old.work_id = c.work_id AND kind = following AND status IN ('waiting', 'running')))
+SELECT 'work' AS part, work_id::VARCHAR AS id, action AS a, now::VARCHAR || '/' || hand::VARCHAR AS b FROM c WHERE action NOT IN ('kept', 'manual')
+UNION ALL SELECT 'job', work_id::VARCHAR, kind || '/' || CASE WHEN stopped THEN 'aborted' ELSE status END, CASE WHEN stopped THEN 'no longer selected' ELSE '' END FROM k
+UNION ALL SELECT 'job', work_id::VARCHAR, kind || '/waiting', '' FROM n
+UNION ALL SELECT 'counter', 'created', count(*)::VARCHAR, '' FROM n
+UNION ALL SELECT 'counter', 'aborted', count(*)::VARCHAR, '' FROM k WHERE stopped"""
+
 QUERIES = {
     f.__name__: f
     for f in (
+    mrg_rule, mrg_batch,
         mrg_upsert, mrg_children, mrg_versions, mrg_import, mrg_dangling, mrg_stages, mrg_jobs, mrg_settings, mrg_reset, mrg_recover,
         snk_counters, snk_vectors,
     )
 }
 
 ORACLE = {
+    "mrg_rule": f"""
+WITH {SELECTABLE},
+c AS (SELECT *, CASE WHEN manual THEN 'manual' WHEN selected = (price > 150000) THEN 'unchanged' WHEN price > 150000 THEN 'added' ELSE 'removed' END AS action, CASE WHEN manual THEN selected ELSE price > 150000 END AS now, manual AS hand FROM w),
+{AFTER}
+UNION ALL SELECT 'counter', 'checked', count(*)::VARCHAR, '' FROM c WHERE NOT manual
+UNION ALL SELECT 'counter', action, count(*)::VARCHAR, '' FROM c WHERE action <> 'manual' GROUP BY action""",
+    "mrg_batch": f"""
+WITH {SELECTABLE}, a AS (SELECT CASE WHEN o_orderkey % 35 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS id FROM orders WHERE o_orderkey % 5 = 0),
+c AS (SELECT w.*, CASE WHEN a.id IS NULL THEN 'kept' WHEN selected THEN 'removed' ELSE 'unchanged' END AS action, CASE WHEN a.id IS NULL THEN selected ELSE false END AS now, manual OR a.id IS NOT NULL AS hand
+  FROM w LEFT JOIN a ON a.id = work_id),
+{AFTER}
+UNION ALL SELECT 'counter', 'asked', count(DISTINCT id)::VARCHAR, '' FROM a
+UNION ALL SELECT 'counter', 'not_found', count(DISTINCT id)::VARCHAR, '' FROM a WHERE id < 0
+UNION ALL SELECT 'counter', 'changed', count(*)::VARCHAR, '' FROM c WHERE action = 'removed'
+UNION ALL SELECT 'counter', 'unchanged', count(*)::VARCHAR, '' FROM c WHERE action = 'unchanged'""",
     "mrg_upsert": """
 WITH p AS (SELECT p_partkey AS k, p_name AS t, p_size AS d, string_split(p_brand, '#') AS g FROM part),
 j AS (SELECT k, t, d, g, k % 5 <> 0 AS o, k % 7 <> 0 AS n, k % 4 = 0 AS pin, CASE WHEN k % 2 = 0 THEN upper(t) ELSE t END AS nt FROM p),

@@ -42,3 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def store_of(uri: str):
+    """(file system, path in it) of a URI, for tasks that seek in files; schemes as Spark names them."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://|^file:/+", lambda m: "s3://" if m[0].startswith("s3") else "file:///", uri))

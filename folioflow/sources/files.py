@@ -97,3 +97,25 @@ def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
     own = files.select("path", F.length("content").alias("__n"), F.sha2("content", 256).alias("__s"))
     error = F.when(F.col("__n").isNull(), "missing").when(F.col("__n") != F.col("bytes"), "size").when(F.col("__s") != F.col("sha256"), "checksum")
     return manifest.join(own, "path", "left").withColumn("error", error).drop("__n", "__s")
+
+
+# Parts of paths in a model store that no receiver needs.
+STORE_ONLY = ("blobs", ".locks", ".DS_Store", "CACHEDIR.TAG")
+
+
+def model_files(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """SNK08: the files (rel, modified) of a model store that a receiver needs.
+
+    Of a folder ``models--<owner>--<name>`` only the snapshot of the revision counts that ``refs`` (folder, revision) names for
+    it, or else its latest one; stores and locks are left out everywhere, and all else is taken.
+    """
+    path = F.split("rel", "/")
+    needed = files.where(~F.exists(path, lambda p: p.isin(*STORE_ONLY)))
+    folder = F.regexp_extract("rel", r"^((?:[^/]+/)*?models--[^/]+)/", 1)
+    snapshot = F.regexp_extract("rel", r"^(?:[^/]+/)*?models--[^/]+/snapshots/([^/]+)/", 1)
+    placed = needed.withColumns({"__f": folder, "__s": snapshot})
+    own = F.col("__s") != ""
+    newest = placed.where(own).groupBy("__f").agg(F.max(F.struct("modified", "__s"))["__s"].alias("__n"))
+    named = refs.select(F.col("folder").alias("__f"), F.nullif(F.trim("revision", F.lit(" \t\r\n")), F.lit("")).alias("__r"))
+    current = newest.join(named, "__f", "left").select("__f", F.coalesce("__r", "__n").alias("__s"))
+    return placed.where(~own).unionByName(placed.where(own).join(current, ["__f", "__s"], "left_semi")).drop("__f", "__s")

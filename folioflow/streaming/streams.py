@@ -9,13 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..shared import remove_folder, shared_folder
+from ..shared import cut, remove_folder, shared_folder
+
+# Spark's setting of where streams keep their state, and its store on disk.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def events(spark: SparkSession, folder: str, glob: str, schema: Any, files_per_batch: int = 100) -> DataFrame:
@@ -28,6 +33,8 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what has arrived; its output rows with the number of the batch that wrote them as ``batch``."""
     spark = stream.sparkSession
     out, state = shared_folder(spark, "stream"), shared_folder(spark, "state")
+    provider = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)  # the state API's lists, maps and timers need it
 
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
 
@@ -36,9 +43,14 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     spark.createDataFrame([], schema).write.parquet(f"{out}/start")  # so that a stream without events has a result
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, provider) if provider else spark.conf.unset(PROVIDER)
     remove_folder(spark, state)
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    rows = cut(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out))
+    remove_folder(spark, out)
+    return rows
 
 
 def final(updates: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,20 +104,34 @@ def stuck_stream(stream: DataFrame, limit_s: int) -> DataFrame:
 def throttled(stream: DataFrame, step: float = 0.01, seconds: float = 1.0) -> DataFrame:
     """STM09: of (job_id, ts, progress), those with ``step`` more than the last one passed on, or so many seconds later.
 
-    The state of a job is the last event passed on; within a batch its events are taken in order of time.
+    The state of a job is the last event passed on; within a batch its events are taken in order of time, of which a
+    task holds two numbers an event of one job.
     """
 
     def pass_on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["us", "progress"], kind="stable")
-        at, done = state.get if state.exists else (None, None)
-        keep = []
-        for us, progress in zip(rows["us"], rows["progress"], strict=True):
-            on = at is None or abs(progress - done) >= step or us - at >= seconds * 1e6
-            keep.append(on)
-            if on:
-                at, done = int(us), float(progress)
+        parts = [(b["us"].to_numpy(), b["progress"].to_numpy()) for b in batches]
+        times, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((values, times))
+        times, values = times[order], values[order]
+        at, done = state.get if state.exists else (int(times[0]), None)
+        keep, i = [], 0
+        if done is None:
+            keep, done, i = [0], float(values[0]), 1
+        while i < len(times):
+            # The next event passed on is the first with enough progress or late enough; look in growing strides.
+            late = int(np.searchsorted(times, at + seconds * 1e6, side="left"))
+            width, found = 64, None
+            while found is None and i < min(late, len(times)):
+                far = np.flatnonzero(np.abs(values[i : min(i + width, late)] - done) >= step)
+                found = i + int(far[0]) if len(far) else None
+                i, width = min(i + width, late), 2 * width
+            found = max(late, i) if found is None else found
+            if found >= len(times):
+                break
+            keep.append(found)
+            at, done, i = int(times[found]), float(values[found]), found + 1
         state.update((at, done))
-        yield rows.loc[keep, ["job_id", "us", "progress"]]
+        yield pd.DataFrame({"job_id": np.full(len(keep), key[0]), "us": times[keep], "progress": values[keep]})
 
     return stream.withColumn("us", F.unix_micros("ts")).select("job_id", "us", "progress").groupBy("job_id").applyInPandasWithState(
         pass_on, "job_id long, us long, progress double", "us long, progress double", "append", GroupStateTimeout.NoTimeout
