@@ -41,17 +41,22 @@ def section_at(sections: Column, middle: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0))["id"], F.get(sections, F.lit(0))["id"])
 
 
-def compare_blocks(paragraphs: DataFrame, segments: DataFrame, work_col: str = "work_id") -> DataFrame:
+def compare_blocks(paragraphs: DataFrame, segments: DataFrame, work_col: str = "work_id", bucket_s: float = 60.0) -> DataFrame:
     """RNG04: each block's window, corrected text, and the raw text of the segments whose middle lies in it.
 
-    paragraphs: (work, block, start, end, text), segments: (work, start, end, text). Joined by work and window.
+    paragraphs: (work, block, start, end, text), segments: (work, start, end, text). Blocks and segments meet in buckets
+    of ``bucket_s`` seconds: a segment is in the bucket of its middle, a block in all that its window touches.
     """
     blocks = paragraphs.groupBy(work_col, "block").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda p: p["text"]), "\n\n").alias("corrected"),
     )
-    s = segments.select(F.col(work_col).alias("__w"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("text").alias("__t"))
-    middle = (F.col("__s") + F.col("__e")) / 2
-    inside = (F.col(work_col) == F.col("__w")) & middle.between(F.col("start") - TOLERANCE_S, F.col("end") + TOLERANCE_S)
-    raw = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__s", "__t"))), lambda x: x["__t"]), " ")
-    return blocks.join(s, inside, "left").groupBy(work_col, "block", "start", "end", "corrected").agg(raw.alias("raw"))
+    bucket = lambda t: F.floor(t / bucket_s)
+    low, high = F.col("start") - TOLERANCE_S, F.col("end") + TOLERANCE_S
+    windows = blocks.select(work_col, "block", low.alias("__low"), high.alias("__high"), F.explode(F.sequence(bucket(low), bucket(high))).alias("__b"))
+    middle = (F.col("start") + F.col("end")) / 2
+    placed = segments.select(work_col, bucket(middle).alias("__b"), middle.alias("__m"), F.struct("start", F.col("text").alias("t")).alias("s"))
+    met = windows.join(placed, [work_col, "__b"]).where(F.col("__m").between(F.col("__low"), F.col("__high")))
+    texts = F.transform(F.sort_array(F.collect_list("s")), lambda x: x["t"])
+    raw = met.groupBy(work_col, "block").agg(F.array_join(texts, " ").alias("raw"))
+    return blocks.join(raw, [work_col, "block"], "left").withColumn("raw", F.coalesce("raw", F.lit("")))

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, let, strip
+from ..functions.text import let, strip
+from ..shared import cut
 from . import folds
+from .splitter import ABBREVIATIONS, CLOSERS, split_texts
 
 # Phrases that a transcription makes up in silence.
 STOCK_PHRASES = (
@@ -19,16 +21,6 @@ STOCK_PHRASES = (
     "Copyright", "www.", "http", "Abonniere", "♪",
 )
 STOCK_LENGTH, LEAST_DISTINCT = 50, 0.3
-# German abbreviations after whose full stop no sentence ends.
-ABBREVIATIONS = (
-    "z. b.", "z.b.", "bzw.", "nr.", "dr.", "prof.", "usw.", "etc.", "ca.", "vgl.", "u. a.", "u.a.", "d. h.", "d.h.", "evtl.", "ggf.",
-    "inkl.", "exkl.", "max.", "min.", "sog.", "st.", "str.", "tel.", "abs.", "art.", "bd.", "jh.", "mio.", "mrd.", "o. ä.", "o.ä.",
-    "u. u.", "u.u.", "s. o.", "s.o.", "s. u.", "s.u.", "v. a.", "v.a.", "kap.", "abb.", "bsp.", "geb.", "gest.", "hr.", "fr.", "bzgl.",
-    "zzgl.", "allg.", "ev.", "ehem.", "engl.", "dt.", "frz.", "lat.", "ugs.", "urspr.", "vs.", "no.", "jr.", "sen.", "mr.", "mrs.",
-    "ms.", "co.", "ltd.", "inc.", "std.", "sek.", "mind.", "hrsg.", "verf.", "jhd.", "n. chr.", "v. chr.", "n.chr.", "v.chr.",
-)
-CLOSERS, OPENERS = r"\"'»«“”’)\]", r"\"'„»«“‘(\["
-SENTENCE_END = rf"([.!?…]+[{CLOSERS}]*) (?=[{OPENERS}]?[A-ZÄÖÜ0-9])"
 
 
 def settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -97,34 +89,8 @@ def paragraphs_of_segments(texts: Column, most: int) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """SEQ05: whole sentences of a German text; abbreviations, initials and ordinals of two digits end none.
-
-    A piece is judged by its own end and the end of the piece before, which belongs to it wherever that matters: all
-    abbreviations of two words begin with a single letter, after which no sentence ends.
-    """
-    pieces = F.filter(F.split(F.regexp_replace(collapse(text), SENTENCE_END, "$1\x00"), "\x00"), lambda p: p != "")
-
-    def unfinished(open_: Column) -> Column:
-        open_ = F.substring(open_, -60, 60)  # no abbreviation, initial or ordinal is longer
-        word = F.regexp_extract(open_, rf"(\S+?)\.[.!?…]*[{CLOSERS}]*$", 1)
-        two = F.regexp_extract(open_, rf"(\S+ \S+?)\.[.!?…]*[{CLOSERS}]*$", 1)
-        known = F.array([F.lit(a) for a in ABBREVIATIONS])
-        return (
-            F.rlike(word, F.lit(r"^(\p{L}|\d{1,2})$"))
-            | F.array_contains(known, F.lower(F.concat(word, F.lit("."))))
-            | F.array_contains(known, F.lower(F.concat(two, F.lit("."))))
-        )
-
-    def glued(p: Column) -> Column:
-        before = lambda i: F.coalesce(F.concat(F.substring(F.get(p, i - 1), -60, 60), F.lit(" ")), F.lit(""))
-        return F.transform(
-            p,
-            lambda x, i: F.when(i == F.size(p) - 1, x).otherwise(
-                F.concat(x, F.when(unfinished(F.concat(before(i), F.substring(x, -60, 60))), " ").otherwise("\x00"))
-            ),
-        )
-
-    return F.filter(F.split(F.array_join(let(pieces, glued), ""), "\x00"), lambda s: s != "")
+    """SEQ05: whole sentences of a German text; abbreviations, initials and ordinals of two digits end none."""
+    return F.flatten(split_texts(F.array(text)))
 
 
 def break_at_blanks(text: Column, most: int) -> Column:
@@ -142,14 +108,13 @@ def sentences_of(paragraphs: Column, most: int) -> Column:
 
     Sentences of over ``most`` characters are broken at blanks.
     """
-    every = F.transform(
-        paragraphs,
-        lambda p, n: F.transform(
-            F.flatten(F.transform(sentences(p["text"]), lambda s: break_at_blanks(s, most))),
-            lambda s: F.struct(s.alias("text"), n.alias("paragraph"), p["start"].alias("start"), p["end"].alias("end")),
-        ),
-    )
-    return F.flatten(every)
+    split = split_texts(F.transform(paragraphs, lambda p: p["text"]), most)
+
+    def placed(own: Column, n: Column) -> Column:
+        p = F.get(paragraphs, n)
+        return F.transform(own, lambda t: F.struct(t.alias("text"), n.alias("paragraph"), p["start"].alias("start"), p["end"].alias("end")))
+
+    return F.flatten(F.transform(split, placed))
 
 
 def chunks(parts: DataFrame, sentence_col: str, target: int = 3000, overlap: int = 400) -> DataFrame:
@@ -261,13 +226,20 @@ def stitch(anchors: DataFrame, near: DataFrame) -> DataFrame:
 
 def share_out(paragraphs: Column, start: Column, end: Column) -> Column:
     """SEQ20: paragraphs with the block's window shared out by characters; the last ends with the block."""
-    total = F.greatest(F.aggregate(paragraphs, F.lit(0), lambda n, p: n + F.length(p)), F.lit(1))
-    upto = lambda i: F.aggregate(F.slice(paragraphs, 1, i), F.lit(0), lambda n, p: n + F.length(p))
-    at = lambda i: F.when(i == F.size(paragraphs), end).otherwise(start + (end - start) * (upto(i) / total))
-    return F.transform(
-        paragraphs,
-        lambda p, i: F.struct(p.alias("text"), F.when(i == 0, start).otherwise(at(i)).alias("start"), at(i + 1).alias("end")),
-    )
+    ends = folds.fold(folds.running_ends(0), "array<long>", F.transform(paragraphs, F.length))
+
+    def shared(e: Column) -> Column:
+        total = F.greatest(F.try_element_at(e, F.lit(-1)), F.lit(1))
+        at = lambda i: start + (end - start) * (F.get(e, i) / total)
+        return F.transform(
+            paragraphs,
+            lambda p, i: F.struct(
+                p.alias("text"), F.when(i == 0, start).otherwise(at(i - 1)).alias("start"),
+                F.when(i == F.size(e) - 1, end).otherwise(at(i)).alias("end"),
+            ),
+        )
+
+    return let(ends, shared)
 
 
 def repair_topics(topics: Column, start: Column, end: Column) -> Column:
@@ -306,6 +278,25 @@ def join_chunks(text: Column, following: Column, overlap: Column) -> Column:
     return strip(F.concat(F.rtrim(text), F.lit(" "), rest))
 
 
+def numbered(rows: DataFrame, work_col: str, id_col: str, to: str = "ordinal") -> DataFrame:
+    """(work_col, id_col, to): each id's number in its work, from 1, in the order of ids, however large a work is.
+
+    Ids alone are dealt to ranges of (work, id) and numbered within them; the counts of a work's ranges before are added.
+    Both windows are over a range's rows or over ranges, so no task sees a whole work, and texts are joined afterwards.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.select(work_col, id_col).repartitionByRange(n, work_col, id_col)
+    placed = cut(ranged.withColumn("__r", F.spark_partition_id()))  # ranges come from a sample, so they are settled once
+    before = Window.partitionBy(work_col).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(work_col, "__r").agg(F.count(F.lit(1)).alias("__c"))
+    offsets = counts.select(F.col(work_col).alias("__w"), F.col("__r").alias("__q"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
+    own = F.row_number().over(Window.partitionBy(work_col, "__r").orderBy(id_col))
+    local = placed.withColumn("__n", own)
+    joined = local.join(offsets, F.col(work_col).eqNullSafe(F.col("__w")) & (F.col("__r") == F.col("__q")))
+    return joined.select(work_col, id_col, (F.col("__n") + F.col("__o")).alias(to))
+
+
 def renumber(rows: DataFrame, work_col: str, order: list[str], to: str = "ordinal") -> DataFrame:
     """SEQ24: 1 to n within each work."""
     return rows.withColumn(to, F.row_number().over(Window.partitionBy(work_col).orderBy(*order)))

@@ -49,14 +49,13 @@ def mod_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search from candidates to passages: floor, cap, neighbours, stitching; a source's documents are its chunks."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("chunk_id"), F.col("source").alias("work_id"), F.row_number().over(w).alias("ordinal"), "text", F.lit(0).alias("overlap_before")
-    )
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("work_id"), "text", F.lit(0).alias("overlap_before"))
+    numbers = q.numbered(docs, "work_id", "chunk_id")
     hits = s.search(vectors(spark, sf_dir), question(spark, sf_dir), least=0.05).select("chunk_id", "score")
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # 8 rows
-    anchors = docs.join(ranked, "chunk_id")
-    near = docs.join(q.neighbour_keys(anchors, 1), ["work_id", "ordinal"], "left_semi")
+    placed = numbers.join(ranked, "chunk_id")
+    beside = numbers.join(q.neighbour_keys(placed, 1), ["work_id", "ordinal"], "left_semi").select("chunk_id", "ordinal")
+    anchors, near = docs.join(placed.select("chunk_id", "ordinal", "score", "rank"), "chunk_id"), docs.join(beside, "chunk_id")
     return q.stitch(anchors, near).select("chunk_id", "work_id", "rank", "first", "last", F.md5("text").alias("text"))
 
 

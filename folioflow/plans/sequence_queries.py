@@ -128,20 +128,19 @@ def seq_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq_clean_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEQ25: sections of a document without short ones; most texts are cut, so that rounds follow each other."""
-    cut = lambda x: F.when(x["ordinal"] % 4 > 0, F.substring(x["text"], 1, 10)).otherwise(x["text"])
-    rows = q.settled(sections(spark, sf_dir), "s", F.transform("s", lambda x: x.withField("text", cut(x))))
-    kept = q.settled(rows, "kept", q.clean_sections(F.col("s")))
+    """SEQ25: sections of a document without those of under 200 characters."""
+    rows = sections(spark, sf_dir)
+    kept = q.settled(rows, "kept", q.clean_sections(F.col("s"), 200))
     texts = F.transform("kept", lambda x: F.concat_ws("/", x["level"].cast("string"), x["title"], x["text"]))
     return kept.select("doc_id", F.size("s").alias("n"), F.size("kept").alias("n_kept"), F.md5(F.array_join(texts, "|")).alias("kept"))
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks of their source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("chunk_id"), F.col("source").alias("work_id"), F.row_number().over(w).alias("ordinal"), "text",
-        F.least(F.lit(15), F.length("text")).alias("overlap_before"),
+    """Documents as chunks of their source; they are numbered without their texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    numbers = q.numbered(docs, "source", "doc_id").select("doc_id", "ordinal")
+    return docs.join(numbers, "doc_id").select(
+        F.col("doc_id").alias("chunk_id"), F.col("source").alias("work_id"), "ordinal", "text", F.least(F.lit(15), F.length("text")).alias("overlap_before"),
     )
 
 
@@ -176,8 +175,9 @@ def seq_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ22, SEQ23: texts cut near their middle, and joined with their successor."""
-    w = Window.partitionBy("work_id").orderBy("ordinal")
-    rows = chunk_rows(spark, sf_dir).withColumn("following", F.lead("text").over(w))
+    own = chunk_rows(spark, sf_dir)
+    after = own.select("work_id", (F.col("ordinal") - 1).alias("ordinal"), F.col("text").alias("following"))
+    rows = own.join(after, ["work_id", "ordinal"], "left")
     s = q.split_chunk(F.col("text"), F.expr("length(text) div 2"), F.lit(0.0), F.lit(60.0))
     return rows.select(
         "chunk_id", F.md5(s["left"]).alias("left"), F.md5(s["right"]).alias("right"), F.round(s["boundary"], 6).alias("boundary"),
@@ -317,8 +317,8 @@ FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.
     "seq_chapters": f"""
 WITH {SECTIONS} SELECT doc_id, ordinal, level, sum((level <= 1 OR ordinal = 1)::INT) OVER (PARTITION BY doc_id ORDER BY ordinal)::BIGINT AS chapter FROM sec""",
     "seq_clean_sections": f"""
-WITH RECURSIVE {SECTIONS}, c AS (SELECT doc_id, ordinal, level, title, CASE WHEN ordinal % 4 > 0 THEN substr(text, 1, 10) ELSE text END AS text FROM sec),
-w AS (SELECT doc_id, 0 AS round, ordinal, level, title <> '' AS titled, length(text) >= 20 AS long, true AS alive FROM c
+WITH RECURSIVE {SECTIONS}, c AS (SELECT * FROM sec),
+w AS (SELECT doc_id, 0 AS round, ordinal, level, title <> '' AS titled, length(text) >= 200 AS long, true AS alive FROM c
   UNION ALL SELECT doc_id, round + 1, ordinal, level, titled, long, keep FROM (
     SELECT *, count_if(alive) OVER (PARTITION BY doc_id) > count_if(keep) OVER (PARTITION BY doc_id) AS changed FROM (
       SELECT *, alive AND (long OR (titled AND coalesce(lead(level) OVER (PARTITION BY doc_id, alive ORDER BY ordinal) > level, false))) AS keep FROM w))

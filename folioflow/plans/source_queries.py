@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import documents as d
 from ..sources import files as f
 from ..sources import package as p
-from ..shared import shared_folder
+from ..shared import cut, remove_folder, shared_folder
 from .tables import table
 
 
@@ -55,7 +55,9 @@ def snk_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = p.read_table(spark, folder, "documents", docs.schema)
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "source", "text")), 1, 12), 16, 10).cast("long")
     again = read.agg(F.sum(F.length("text")).cast("long").alias("chars"), F.sum(hashed.cast("decimal(30,0)")).cast("string").alias("hashes"))
-    return counted.join(again)  # one row
+    found = cut(counted.join(again))  # one row
+    remove_folder(spark, folder)
+    return found
 
 
 QUERIES = {q.__name__: q for q in (src_text, src_markdown, src_xhtml, src_names, src_channel, snk_package)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import sequences as q
 from .tables import table
 
 
@@ -69,10 +70,9 @@ def str_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def str_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR18-STR20 over documents of each source, numbered by id."""
-    from pyspark.sql import Window
-
     docs = table(spark, sf_dir, "documents")
-    numbered = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    numbers = q.numbered(docs, "source", "doc_id", to="n").select("doc_id", "n")
+    numbered = docs.join(numbers, "doc_id")
     kind = F.when(F.col("n") % 3 == 0, "document").when(F.col("n") % 3 == 1, "tool").otherwise("video")
     short = t.shorten(F.col("text"), 40)
     head = t.citation_head(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import values as v
 from ..operators import merge as m
-from ..shared import remove_folder, shared_folder
 from ..sources import package as p
 from .tables import table
 
@@ -48,18 +47,13 @@ def src_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mrg_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MRG10, SNK07: a package's own manifest held against what the reader expects."""
-    folder = shared_folder(spark, "package")
-    p.write_package({"region": table(spark, sf_dir, "region")}, folder, 64)
-    manifest = p.manifest(spark, folder)
-    checked = [
-        m.check_manifest(manifest, form, version, dimension).select(F.lit(n).alias("n"), "error")
-        for n, (form, version, dimension) in enumerate(((p.FORMAT, p.VERSION, 64), ("other", p.VERSION, 64), (p.FORMAT, 0, 64), (p.FORMAT, p.VERSION, 8)))
-    ]
-    found = checked[0].union(checked[1]).union(checked[2]).union(checked[3])
-    kept = spark.createDataFrame([tuple(r) for r in found.collect()], found.schema)  # four rows
-    remove_folder(spark, folder)
-    return kept
+    """MRG10: a manifest for each label of vectors and source of documents, held against what the reader expects."""
+    vectors = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("string").alias("package")).agg(F.max(F.size("embedding")).alias("dimension"), F.count(F.lit(1)).alias("rows"))
+    docs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("package")).agg(F.max(F.length("lang") * 32).alias("dimension"), F.count(F.lit(1)).alias("rows"))
+    every = vectors.unionByName(docs)
+    form = F.when(F.col("rows") % 7 == 0, "other").otherwise(p.FORMAT)
+    manifests = every.select("package", form.alias("format"), (F.col("rows") % 3).cast("int").alias("version"), (F.col("dimension") - F.when(F.col("rows") % 5 == 0, 1).otherwise(0)).alias("dimension"))
+    return m.check_manifest(manifests, p.FORMAT, p.VERSION, 64).select("package", "format", "version", "dimension", "error")
 
 
 QUERIES = {f.__name__: f for f in (seq_source, snk_answers, src_segments, mrg_manifest)}
@@ -80,5 +74,8 @@ SELECT a.message_id, text, coalesce(hits, '') AS hits, '{"chunk_ids":[' || coale
     "src_segments": """
 SELECT p_partkey, 0 AS i, p_partkey::DOUBLE AS start, p_partkey + 0.5::DOUBLE AS end, p_name AS text, p_brand AS words FROM part WHERE p_partkey % 3 < 2
 UNION ALL SELECT p_partkey, 1, 0, 0, p_brand, '' FROM part WHERE p_partkey % 3 < 2""",
-    "mrg_manifest": """SELECT * FROM (VALUES (0, NULL), (1, 'not such a package'), (2, 'made by a newer version'), (3, 'vectors of another dimension')) t(n, error)""",
+    "mrg_manifest": """
+WITH e AS (SELECT label::VARCHAR AS package, max(len(embedding)) AS d, count(*) AS n FROM embeddings GROUP BY 1 UNION ALL SELECT source, max(length(lang) * 32), count(*) FROM documents GROUP BY 1),
+k AS (SELECT package, CASE WHEN n % 7 = 0 THEN 'other' ELSE 'folioflow-library' END AS format, (n % 3)::INT AS version, (d - (n % 5 = 0)::INT)::INT AS dimension FROM e)
+SELECT *, CASE WHEN format = 'other' THEN 'not such a package' WHEN version > 1 THEN 'made by a newer version' WHEN dimension <> 64 THEN 'vectors of another dimension' END AS error FROM k""",
 }
