@@ -6,7 +6,8 @@ never hold an article's text (menus, forms, adverts, ...). The ratios are smooth
 the smoothed ratios' standard deviation are content, and runs of them clusters. The clusters say which region of the page is
 the article: of ``article`` and ``main`` elements those with most content, where the rest of the page has not far more, else the
 smallest region with all clusters but clear outliers. All its lines but excluded ones and menus of links are the
-text, so its headings and short paragraphs stay.
+text, so its headings and short paragraphs stay. Inside an article a name that may mean something else there (``related-work``,
+``notice-of-death``) excludes nothing by itself: the element goes only if its own smoothed ratio is below the lines' threshold.
 """
 
 from __future__ import annotations
@@ -52,8 +53,18 @@ NOT_CONTENT = frozenset(
     " respond disqus replies widget widgets pagination pager toolbar masthead skip login paywall contentinfo"
     " complementary search dialog alert alertdialog tags byline".split()
 )
+#: Of these, names that also stand for parts of an article; the others do only beside words of their own.
+LOOSE = frozenset(
+    "related recommended recommendations social widget widgets search dialog alert alertdialog masthead tags byline share sharing login".split()
+)
+NEUTRAL = frozenset(
+    "left right top bottom box bar list links link block item items content main inner outer section area wrap wrapper container row"
+    " col column grid module site page global primary secondary mobile desktop sticky fixed form title header heading button"
+    " buttons icon icons text body post entry article story layout level unit slot zone group parent child children author meta".split()
+)
 HEADERS = frozenset(("header", "banner", "masthead", "byline", "tags"))
 TEASERS = NOT_CONTENT - HEADERS | frozenset("teaser teasers reply".split())
+MORE = frozenset("more teaser teasers".split())  # outside of an article, what leads to others
 CONTENT = frozenset("article content main post entry story body text page wrapper container layout".split())
 AROUND = frozenset("wrap wrapper container layout page body area row inner outer".split())
 ABOUT = frozenset("has with no without free open enabled closed".split())
@@ -76,6 +87,7 @@ class Element:
     main: bool
     teaser: bool
     link: bool = False
+    doubtful: int = 0
 
 
 @dataclass
@@ -87,6 +99,8 @@ class Line:
     excluded: bool = True
     teaser: bool = False
     tag: str = ""
+    doubtful: int = 0
+    article: bool = False
 
 
 class Collector(HTMLParser):
@@ -99,18 +113,20 @@ class Collector(HTMLParser):
         self.regions: list[str] = []
         self.lines: list[Line] = []
         self.line = Line()
+        self.n_doubtful = 0
 
     def cut(self) -> None:
         if self.line.parts or self.line.tags:
             self.lines.append(self.line)
             self.line = Line()
 
-    def is_named(self, attrs: list[tuple[str, str | None]], kinds: frozenset[str]) -> bool:
-        """Whether a role, a class or the id says that the element is of such a kind.
+    def is_named(self, attrs: list[tuple[str, str | None]], kinds: frozenset[str], sure: bool = False) -> bool:
+        """Whether a role, a class or the id says that the element is of such a kind, if ``sure`` beyond doubt.
 
         A class of several words counts by any of them (``footer-content``), unless it tells of something elsewhere
         (``has-sidebar``) or of what is around (``content-sidebar-wrap``). Beside a class that names content as such, only a
-        few kinds count, and only as a class of their own.
+        few kinds count, and only as a class of their own. Beyond doubt is a class that has no word but such kinds and
+        neutral ones (``ad-box``, ``comment-list``), and not of kinds that articles have parts of.
         """
         found = dict(attrs)
         if kinds & set((found.get("role") or "").lower().split()):
@@ -121,10 +137,14 @@ class Collector(HTMLParser):
         for c in map(list, classes):
             if set(c) & ABOUT or c and c[0] in CONTENT and c[-1] in AROUND:
                 continue
-            if set(c) & kinds:
+            if set(c) & kinds and not (sure and not (set(c) & kinds - LOOSE and all(w in kinds | NEUTRAL or w.isdigit() for w in c))):
                 return True
         return False
 
+    def is_doubtful(self, tag: str, attrs: list[tuple[str, str | None]], up: Element) -> bool:
+        """Whether names exclude a block inside an article, but not beyond doubt."""
+        return self.named and bool(attrs) and tag in BLOCKS and (up.article or up.main) and self.is_named(attrs, NOT_CONTENT - HEADERS)
+
     def excludes(self, tag: str, attrs: list[tuple[str, str | None]], up: Element) -> bool:
         inside = up.article or up.main
         if tag in NEVER:
@@ -140,8 +160,8 @@ class Collector(HTMLParser):
             return up.article and self.named  # a reader's comment or a teaser within the article
         if not self.named or not attrs:
             return False
-        known = NOT_CONTENT - HEADERS if inside else NOT_CONTENT | {"header"}
-        return self.is_named(attrs, known)
+        known = NOT_CONTENT - HEADERS if inside else NOT_CONTENT | {"header"} | MORE
+        return self.is_named(attrs, known, sure=inside)
 
     def close_to(self, at: int) -> None:
         del self.open[at:]
@@ -170,7 +190,10 @@ class Collector(HTMLParser):
         excluded = up.excluded or self.excludes(tag, attrs, up)
         teaser = up.teaser or tag == "article" and self.named and self.is_named(attrs, TEASERS)
         link = up.link or tag == "a"
-        self.open.append(Element(tag, number, excluded, up.article or tag == "article", up.main or tag == "main", teaser, link))
+        doubtful = up.doubtful
+        if not excluded and not doubtful and self.is_doubtful(tag, attrs, up):
+            self.n_doubtful = doubtful = self.n_doubtful + 1
+        self.open.append(Element(tag, number, excluded, up.article or tag == "article", up.main or tag == "main", teaser, link, doubtful))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -197,6 +220,7 @@ class Collector(HTMLParser):
             self.line.excluded, self.line.teaser = (up.excluded, up.teaser) if up else (False, False)
             self.line.path = tuple(dict.fromkeys(e.number for e in self.open if e.number >= 0))
             self.line.tag = next((e.tag for e in reversed(self.open) if e.tag in BLOCKS), "")
+            self.line.doubtful, self.line.article = (up.doubtful, up.article or up.main) if up else (0, False)
         if up is None or up.excluded == self.line.excluded:
             self.line.parts.append(data)
             if up is not None and up.link:
@@ -221,14 +245,35 @@ def content_lines(ratio: np.ndarray, share: float = SHARE) -> np.ndarray:
 
 
 def _menus(texts: list[str], lines: list[Line], usable: list[bool]) -> set[int]:
-    """Lines in runs that hold little but links, within one element's list of lines."""
-    found, run = set(), []
-    for i in [*(k for k, u in enumerate(usable) if u), None]:
-        if i is not None and len(texts[i]) - lines[i].linked <= MENU_SHARE * len(texts[i]):
+    """Lines in runs that hold little but links, within one element's list of lines.
+
+    In an article a run that has a heading of its own is no menu: a list of sources or of further steps is a part of the text.
+    """
+    found, run, before = set(), [], None
+    kept = [k for k, u in enumerate(usable) if u]
+    for n, i in enumerate([*kept, None]):
+        if i is not None and len(texts[i]) - lines[i].linked <= MENU_SHARE * len(texts[i]) and (not run or lines[run[-1]].article == lines[i].article):
+            before = before if run else kept[n - 1] if n else None
             run.append(i)
             continue
-        found.update(run if len(run) >= MENU_LINES else ())
+        if len(run) >= MENU_LINES:
+            headed = before is not None and lines[before].tag in HEADINGS - {"h1"} and lines[before].article
+            if not (headed and lines[run[0]].article):
+                found.update(run)
         run = []
+        if i is not None and len(texts[i]) - lines[i].linked <= MENU_SHARE * len(texts[i]):
+            before, run = kept[n - 1] if n else None, [i]
+    return found
+
+
+def _doubted(lines: list[Line], ratio: np.ndarray, texts: list[str], usable: list[bool], share: float) -> set[int]:
+    """Lines of the doubtful elements whose own smoothed ratio, weighted by their texts, is below the lines' threshold."""
+    least = share * smooth(ratio).std()
+    found: set[int] = set()
+    for n in {x.doubtful for x in lines} - {0}:
+        own = [i for i, x in enumerate(lines) if x.doubtful == n and usable[i]]
+        if own and np.average(smooth(ratio[own]), weights=[len(texts[i]) for i in own]) < least:
+            found.update(own)
     return found
 
 
@@ -243,6 +288,11 @@ def _select(lines: list[Line], regions: list[str], share: float) -> list[str]:
         return []
     plain = [max(0, len(t) - x.linked) if u else 0 for t, x, u in zip(texts, lines, usable, strict=True)]
     ratio = np.array([n / max(1, x.tags) for n, x in zip(plain, lines, strict=True)])
+    doubted = _doubted(lines, ratio, texts, usable, share)
+    if doubted and sum(usable) > len(doubted):
+        usable = [u and i not in doubted for i, u in enumerate(usable)]
+        plain = [n if u else 0 for n, u in zip(plain, usable, strict=True)]
+        ratio = np.where(usable, ratio, 0.0)
     content = [i for i in np.flatnonzero(content_lines(ratio, share)).tolist() if usable[i]]
     content = content or [int(np.argmax(np.where(usable, ratio, -1.0)))]
     # comments and teasers in elements of their own go where an article or main holds content beside them

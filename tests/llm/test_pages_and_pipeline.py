@@ -158,3 +158,44 @@ def test_stages(spark):
     assert whole.where("decoded_sha256 is null or n_tokens * 4 <> length(ids)").isEmpty()
     intact = {hashlib.sha256(r.text.encode()).hexdigest() for r in every.values()}
     assert {r.decoded_sha256 for r in whole.collect()} & intact
+
+
+DOUBTED = ("related-work", "search-history", "dialog", "notice-of-death", "social-history", "widget-theory", "menu-of-the-day", "recommended-reading", "comment-on-method")
+
+
+@pytest.mark.parametrize("name", DOUBTED)
+def test_names_in_articles_exclude_only_low_ratios(name, monkeypatch):
+    """A part of an article keeps its text whatever its class says; the same element full of links goes, by its ratio alone."""
+    page = "<body><nav><a href=/>Home</a></nav><article><h1>T</h1><p>{0}</p><p>{0}</p><section class='{1}'><h2>Head</h2>{2}</section><p>{0}</p></article></body>"
+    part, links = f"<p>{OTHER * 2}</p><p>{OTHER}</p>", "<ul><li><a href=/1>One story</a></li><li><a href=/2>Other story</a></li></ul>"
+    whole = f"T\n{LONG * 3}\n{LONG * 3}\nHead\n{OTHER * 2}\n{OTHER}\n{LONG * 3}"
+    less = f"T\n{LONG * 3}\n{LONG * 3}\n{LONG * 3}"
+    assert html_text.main_text(page.format(LONG * 3, name, part)) == whole
+    assert html_text.main_text(page.format(LONG * 3, name, links)) == less
+    # With noise instead of smoothed ratios some of both come out otherwise.
+    changed = 0
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        monkeypatch.setattr(html_text, "smooth", lambda ratio, *_, rng=rng: rng.random(len(ratio)))
+        changed += html_text.main_text(page.format(LONG * 3, name, part)) != whole
+        changed += html_text.main_text(page.format(LONG * 3, name, links)) != less
+    assert changed > 10
+
+
+def test_parts_of_other_kinds_go():
+    page = "<article><h1>T</h1><p>{0}</p><div class='{1}'>{2}</div><p>{0}</p></article>"
+    for name in ("ad", "ad-box", "comment-list", "comments", "cookie-notice", "newsletter-signup", "sidebar-left", "promo"):
+        assert html_text.main_text(page.format(LONG * 2, name, f"<p>{OTHER}</p>")) == f"T\n{LONG * 2}\n{LONG * 2}"
+
+
+def test_sources_stay_and_teasers_go():
+    sources = "<h2>Sources</h2><ul><li><a href=/1>One source</a></li><li><a href=/2>Two sources</a></li><li><a href=/3>Three</a></li></ul>"
+    teaser = f"<div class='more'><article><h2>Another</h2><p>{OTHER}</p></article></div>"
+    found = html_text.main_text(f"<body><article><h1>T</h1><p>{LONG * 2}</p><p>{LONG}</p>{sources}</article>{teaser}</body>")
+    assert found == f"T\n{LONG * 2}\n{LONG}\nSources\nOne source\nTwo sources\nThree"
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, f"<article><p>{LONG}</p></article>", "a", "b", 7), (None, None, None, None, None), (1, "", "a", "b", 7)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string, url string, n_chars int")).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.n_chars or 0, r.text) for r in found) == [(0, "", 0, ""), (1, "b", 7, ""), (1, "b", 7, LONG)]
