@@ -10,6 +10,7 @@ see. A prediction is confirmed by comparing all of the paragraph with the family
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -21,7 +22,7 @@ from .common import cut, let, text_of
 
 UNKNOWN = "unknown"
 #: Bounds: paragraphs of the corpus in the training sample, n-grams in the vocabulary.
-SAMPLE, VOCABULARY = 4000, 4096
+SAMPLE, VOCABULARY = 4000, 16384
 #: A word in so large a share of the sample's paragraphs is no feature by itself.
 COMMON_SHARE = 0.02
 #: Least calibrated probability of a licence, and least share of all of a paragraph's n-grams that the family's templates hold.
@@ -97,31 +98,52 @@ TEMPLATES = {
         "SPDX-License-Identifier: CC0-1.0",
     ),
 }
-# Names of licences, by family; those of no family here are examples of the class unknown.
+# Names of licences, by family, with and without versions, as SPDX has them, and in the corpus's languages; those of
+# no family here are examples of the class unknown.
 NAMES = {
-    "apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license"),
-    "bsd": ("BSD License", "3-Clause BSD License", "BSD 2-Clause License", "New BSD License"),
-    "cc-by": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0 license", "CC BY 3.0"),
-    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0 license", "CC BY-NC 3.0"),
-    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0 license", "CC BY-SA 3.0"),
-    "gpl": ("GNU General Public License, version 3", "GNU General Public License v2", "GNU GPL", "GPL v3"),
-    "lgpl": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v3", "LGPL v2.1"),
-    "mit": ("MIT License", "MIT/Expat license"),
-    "mpl": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
-    "public-domain": ("CC0 1.0 Universal", "CC0 1.0 public domain dedication", "Unlicense"),
+    "apache": (
+        "Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0", "Apache 2.0", "Apache-Lizenz", "Apache-Lizenz 2.0",
+        "licence Apache", "licence Apache 2.0", "licencia Apache 2.0",
+    ),
+    "bsd": ("BSD License", "3-Clause BSD License", "BSD 2-Clause License", "New BSD License", "BSD-3-Clause", "BSD-2-Clause", "BSD-Lizenz", "licence BSD", "licencia BSD"),
+    "cc-by": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0 license", "CC BY 3.0", "CC BY 4.0", "CC-BY-3.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0 license", "CC BY-NC 3.0", "CC BY-NC 4.0", "CC BY-NC"),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0 license", "CC BY-SA 3.0", "CC BY-SA 4.0", "CC BY-SA"),
+    "gpl": (
+        "GNU General Public License, version 3", "GNU General Public License v2", "GNU GPL", "GPL v3", "GPLv2", "GPLv3", "GPL", "GPL-3.0-or-later",
+        "GPL-2.0-only", "GPLv2 or later", "GPL version 2 or any later version", "GNU GPL version 3",
+    ),
+    "lgpl": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v3", "LGPL v2.1", "LGPL", "LGPLv3", "LGPL version 3", "LGPL-2.1-only"),
+    "mit": ("MIT License", "MIT/Expat license", "MIT", "MIT-Lizenz", "licence MIT", "licencia MIT"),
+    "mpl": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0", "MPL", "MPL, version 1.1"),
+    "public-domain": ("CC0 1.0 Universal", "CC0 1.0 public domain dedication", "Unlicense", "CC0", "CC0-1.0", "Creative Commons Zero", "public domain"),
     UNKNOWN: (
         "Eclipse Public License v 2.0", "Common Development and Distribution License, Version 1.1", "ISC License", "zlib License",
         "GNU Affero General Public License, version 3", "Artistic License 2.0", "Boost Software License 1.0", "SIL Open Font License 1.1",
         "Microsoft Public License", "European Union Public Licence v. 1.2", "PostgreSQL License", "Python Software Foundation License, version 2",
         "Creative Commons Attribution-NoDerivatives 4.0 International License", "commercial license", "driving license", "license of the city",
+        "AGPLv3", "AGPL-3.0-or-later", "EPL-2.0", "EUPL", "GFDL 1.3", "CDDL", "CC BY-ND 4.0", "Boost-Lizenz", "ISC", "zlib", "license", "Lizenz",
+        "licence de vente", "licencia de pesca", "general terms", "Stadt", "loi", "ley", "Academic Free License version 3.0", "Open Software License v. 3.0",
     ),
 }
-# Wordings around a name; the second part is kept for the calibration.
+# Names of one word that no other licence or thing has, whatever stands around them.
+OWN_NAMES = {
+    "gpl": ("gpl", "gplv1", "gplv2", "gplv3"), "lgpl": ("lgpl", "lgplv2", "lgplv3"), "mpl": ("mpl", "mplv2"), "public-domain": ("cc0", "unlicense"),
+    "bsd": ("bsd",),
+}
+# Wordings around a name in the corpus's languages; the second part is kept for the calibration.
 WORDINGS = (
     "{}", "licensed under the {}", "This software is released under the {}.", "distributed under the terms of the {}, see COPYING",
-    "Use of this source code is governed by the {}.", "License: {}",
+    "Use of this source code is governed by the {}.", "License: {}", "licensed {}", "{} licensed", "This file is part of a library, licensed {}",
+    "You may use and copy this under {}", "Copyright the authors, {}", "the code is under {}",
+    "Lizenziert unter der {}", "Das Programm steht unter der {}", "veröffentlicht unter {}", "Texte und Bilder: {}",
+    "sous licence {}", "Ce logiciel est sous {}", "distribué sous la {}",
+    "bajo licencia {}", "Este programa está bajo la {}", "con {}",
+)
+KEPT_WORDINGS = (
+    "This project is covered by the {}", "made available under the {}; see LICENSE for details", "It is subject to the {}", "Alles hier unter der {}",
+    "un module sous {}", "publicado bajo {}",
 )
-KEPT_WORDINGS = ("This project is covered by the {}", "made available under the {}; see LICENSE for details", "It is subject to the {}")
 FAMILIES = [UNKNOWN, *sorted(TEMPLATES)]
 
 
@@ -164,7 +186,7 @@ def training_templates(spark: SparkSession) -> DataFrame:
 
 @dataclass
 class Classifier:
-    """Weights of each n-gram by family, intercepts, slope and offset of the calibration, the words that any licence needs."""
+    """Weights of each n-gram by family, intercepts, slope and offset of the calibration, the words that any licence needs (none: no such words)."""
 
     weights: dict[str, list[float]]
     intercepts: list[float]
@@ -229,6 +251,10 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Clas
         VectorAssembler(inputCols=["margin"], outputCol="features").transform(cut(margins.coalesce(1)))
     )
     found.slope, found.offset = float(fitted.coefficients[0]), float(fitted.intercept)
+    # Without a key no n-gram lifts a licence over unknown, so the intercepts bound the probability; else all are scored.
+    bound = 1 / (1 + math.exp(-(found.slope * (max(found.intercepts[1:]) - found.intercepts[0]) + found.offset)))
+    if found.slope < 0 or bound > LEAST:
+        found.keys = []
     return found
 
 
@@ -237,7 +263,7 @@ def classify(paragraphs: DataFrame, by: Classifier) -> DataFrame:
 
     ``family`` is the best licence family, ``margin`` its logit over that of unknown, ``p`` the calibrated probability.
     ``shared`` is the share of all of the paragraph's n-grams of two and three words that the family's templates hold, and
-    ``named`` says whether one of them is that of no other family and of no other licence's name.
+    ``named`` says whether one of them is that of no other family and of no other licence's name, or one of its words such a name.
     """
     spark = paragraphs.sparkSession
     own: dict[str, set[str]] = {f: set() for f in FAMILIES}
@@ -245,8 +271,11 @@ def classify(paragraphs: DataFrame, by: Classifier) -> DataFrame:
         own[r.family].update(r.g)
     among = {g: [f for f in FAMILIES if g in own[f]] for g in set().union(*own.values())}
     none = [0.0] * len(FAMILIES)
+    alone = {w: f for f, ws in OWN_NAMES.items() for w in ws}
+    among |= {w: [f] for w, f in alone.items() if w not in among}
+    says = lambda g, fs: g in alone or " " in g and len(fs) == 1 and fs[0] != UNKNOWN
     table = [
-        {"g": g, "w": by.weights.get(g, none), "f": [f in fs for f in FAMILIES], "o": len(fs) == 1 and fs[0] != UNKNOWN}
+        {"g": g, "w": by.weights.get(g, none), "f": [f in fs if g not in alone else f == alone[g] for f in FAMILIES], "o": says(g, fs)}
         for g, fs in among.items()
     ]
     weights = literal_table(spark, table, "g string, w array<double>, f array<boolean>, o boolean")
@@ -256,7 +285,7 @@ def classify(paragraphs: DataFrame, by: Classifier) -> DataFrame:
     sums = met.groupBy("text").agg(
         F.array([F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) for i in range(n)]).alias("sums"),
         F.array([F.count_if(F.col("k") & F.col("f")[i]) for i in range(n)]).alias("shared"),
-        F.array([F.count_if(F.col("k") & F.col("o") & F.col("f")[i]) > 0 for i in range(n)]).alias("named"),
+        F.array([F.count_if(F.col("o") & F.col("f")[i]) > 0 for i in range(n)]).alias("named"),
         F.count_if("k").alias("grams"),
     )
     start = F.array([F.lit(x) for x in by.intercepts])
@@ -295,7 +324,7 @@ def license_scan(
     every = F.split(text_of(text_col), "\n")
     candidates = F.filter(
         F.transform(F.col("ls"), lambda x, i: F.struct(i.alias("i"), x.alias("text"))),
-        lambda x: said(x["text"]) & F.arrays_overlap(F.split(F.regexp_replace(F.lower(x["text"]), "licence", "license"), r"[^\p{L}\p{N}]+"), key),
+        lambda x: said(x["text"]) if not by.keys else said(x["text"]) & F.arrays_overlap(F.split(F.regexp_replace(F.lower(x["text"]), "licence", "license"), r"[^\p{L}\p{N}]+"), key),
     )
     rows = cut(
         docs.select(F.col(id_col).alias("id"), every.alias("ls")).select(
