@@ -1,7 +1,7 @@
 """Folds over one work's ordered parts whose steps depend on the steps before: each is linear in the parts.
 
-They see numbers only (lengths, times, levels), come as arrays in Arrow batches and give back group numbers, runs or flags;
-texts stay in Spark, which slices and joins them.
+They see numbers (lengths, times, levels), come as arrays in Arrow batches and give back group numbers, runs or flags; texts
+stay in Spark, which slices and joins them, but for chunks, whose texts are joined on the way.
 """
 
 from __future__ import annotations
@@ -114,6 +114,25 @@ def overlapping(target: int, overlap: int) -> Callable[[list[int], list[int]], l
     return step
 
 
+def overlapping_texts(target: int, overlap: int) -> Callable[[list[str], list[int]], list[dict]]:
+    """``overlapping`` of sentences and the numbers of their paragraphs, each chunk with its text.
+
+    Sentences of a paragraph are joined by a blank, paragraphs by a blank line.
+    """
+    runs_of = overlapping(target, overlap)
+
+    def step(texts: list[str], paragraphs: list[int]) -> list[dict]:
+        glue = [" " if a == b else "\n\n" for a, b in zip(paragraphs, paragraphs[1:], strict=False)]
+        glue = ["", *glue][: len(texts)]
+        runs = runs_of([len(t) for t in texts], [len(g) for g in glue])
+        glued = [g + t for g, t in zip(glue, texts, strict=True)]
+        for r in runs:
+            r["text"] = texts[r["first"]] + "".join(glued[r["first"] + 1 : r["last"] + 1])
+        return runs
+
+    return step
+
+
 def kept_sections(levels: list[int], titled: list[bool], long: list[bool]) -> list[bool]:
     """Which sections are left once rounds that drop short ones change nothing.
 

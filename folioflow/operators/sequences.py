@@ -127,23 +127,17 @@ def chunks(parts: DataFrame, sentence_col: str, target: int = 3000, overlap: int
     """
     if target < 1 or overlap < 0:
         raise ValueError("a chunk has at least one character, an overlap none or more")
-    parts = settled(parts, sentence_col, F.col(sentence_col))
-    s = F.col(sentence_col)
-    glue = F.transform(
-        s, lambda x, i: F.when(i == 0, "").when(x["paragraph"] == F.get(s, i - 1)["paragraph"], " ").otherwise("\n\n")
-    )
-    kind = "array<struct<first:int,last:int,overlap_before:int,overlap_after:int,chars:int>>"
-    rows = settled(parts, "__glue", glue)
-    runs = folds.fold(folds.overlapping(target, overlap), kind, F.transform(s, lambda x: F.length(x["text"])), F.transform("__glue", F.length))
-    rows = settled(rows, "__runs", runs)
+    rows = settled(parts, "__s", F.col(sentence_col))
+    kind = "array<struct<first:int,last:int,overlap_before:int,overlap_after:int,chars:int,text:string>>"
+    runs = folds.fold(folds.overlapping_texts(target, overlap), kind, F.transform("__s", lambda x: x["text"]), F.transform("__s", lambda x: x["paragraph"]))
+    times = settled(rows, "__t", F.transform("__s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    rows = settled(times, "__runs", runs)
 
     def chunk(r: Column, i: Column) -> Column:
-        n = r["last"] - r["first"] + 1
-        inside = F.slice(s, r["first"] + 1, n)
-        text = F.zip_with(F.slice("__glue", r["first"] + 2, n - 1), F.slice(inside, 2, n), lambda g, x: F.concat(g, x["text"]))
+        inside = F.slice("__t", r["first"] + 1, r["last"] - r["first"] + 1)
         return F.struct(
             (i + 1).alias("ordinal"),
-            F.concat(F.get(inside, F.lit(0))["text"], F.array_join(text, "")).alias("text"),
+            r["text"].alias("text"),
             F.array_min(F.transform(inside, lambda x: x["start"])).alias("start"),
             F.array_max(F.transform(inside, lambda x: x["end"])).alias("end"),
             r["chars"].alias("chars"),
@@ -151,7 +145,7 @@ def chunks(parts: DataFrame, sentence_col: str, target: int = 3000, overlap: int
             r["overlap_after"].alias("overlap_after"),
         )
 
-    return rows.withColumn("chunks", F.transform("__runs", chunk)).drop("__glue", "__runs")
+    return rows.withColumn("chunks", F.transform("__runs", chunk)).drop("__s", "__t", "__runs")
 
 
 def placed_paragraphs(text: Column, title: Column, start: Column) -> Column:
