@@ -162,6 +162,11 @@ def grams(ws: Column) -> Column:
     return let(ws, lambda w: F.array_distinct(F.concat(w, few(w, 2), few(w, 3))))
 
 
+def listed(texts: set[str]) -> Column:
+    """Texts without line feeds as one literal array, whatever their number; no texts are one empty text."""
+    return F.split(F.lit("\n".join(sorted(texts))), "\n")
+
+
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A bounded list of the driver's as a DataFrame, by way of one literal."""
     one = spark.range(1).select(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>").alias("rows"))
@@ -198,7 +203,7 @@ class Classifier:
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Classifier:
     """Fit on templates, worded names and about ``sample`` paragraphs of ``docs``, chosen by hash, of which a quarter is held out.
 
-    The sample's paragraphs count as unknown but for those that share three words in a row with a template. ``docs``
+    The sample's paragraphs count as unknown but for those that share three words in a row with a template or name. ``docs``
     without any paragraph leave the rest to train on.
     """
     spark = docs.sparkSession
@@ -209,12 +214,9 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Clas
     one_in = F.lit(max(1, n_lines // sample))
     picked = lines.withColumn("h", F.xxhash64("text")).where(F.pmod("h", one_in) == 0).distinct()
     ranked = picked.orderBy(F.xxhash64("h"), "text").limit(2 * sample)  # few more than ``sample`` by chance
-    triples = {
-        " ".join(r.ws[i : i + 3])
-        for r in templates.where(F.col("family") != UNKNOWN).select("ws").distinct().collect()  # this module's own
-        for i in range(len(r.ws) - 2)
-    }
-    known = F.array([F.lit(t) for t in sorted(triples)])
+    stated = [{"text": t} for f in TEMPLATES for t in TEMPLATES[f] + NAMES[f]]
+    stated_words = literal_table(spark, stated, "text string").select(words(F.col("text")).alias("ws")).collect()  # this module's own
+    known = listed({" ".join(r.ws[i : i + 3]) for r in stated_words for i in range(len(r.ws) - 2)})
     background = ranked.select("text", "h", words(F.col("text")).alias("ws")).where(
         (F.size("ws") > 0) & ~F.arrays_overlap(grams(F.col("ws")), known)
     )
@@ -226,7 +228,7 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Clas
         .agg((F.count(F.lit(1)) / F.lit(max(n, 1))).alias("share"))
     )
     shares = {r.w: r.share for r in common.where(F.col("share") >= COMMON_SHARE / 10).collect()}  # words of a bounded sample
-    often = F.array([F.lit(w) for w, s in sorted(shares.items()) if s >= COMMON_SHARE] or [F.lit("")])
+    often = listed({w for w, s in shares.items() if s >= COMMON_SHARE})
     rare = F.filter(grams(F.col("ws")), lambda g: F.size(F.array_except(F.split(g, " "), often)) > 0)
     label = F.array_position(F.array([F.lit(f) for f in FAMILIES]), F.col("family")) - 1
     trained = templates.select("family", "ws").union(background.where("not held").select(F.lit(UNKNOWN), "ws"))
@@ -319,7 +321,7 @@ def license_scan(
     paragraph that very many documents have.
     """
     by = by or train(docs, text_col)
-    key = F.array([F.lit(k) for k in by.keys])
+    key = listed(set(by.keys))
     said = lambda x: F.trim(x) != ""
     every = F.split(text_of(text_col), "\n")
     candidates = F.filter(
