@@ -62,6 +62,12 @@ def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (mod_embed, mod_rerank, mod_guard, search_context)}
 
 ORACLE = {
+    "mod_rerank": """
+WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+c AS (SELECT vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]), 6) AS score FROM embeddings e, q ORDER BY score DESC, vec_id LIMIT 32),
+r AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM c),
+j AS (SELECT vec_id, rank, len(list_intersect(['the', 'and', 'of'], list_distinct(string_split_regex(lower(coalesce(text, '')), '\\s+')))) / 3 AS judged FROM r LEFT JOIN documents ON doc_id = vec_id)
+SELECT vec_id AS chunk_id, round(judged, 6) AS judged, rank FROM j ORDER BY judged DESC, rank LIMIT 8""",
     "search_context": """
 WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
 c AS (SELECT vec_id, label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]), 6) AS score FROM embeddings e, q ORDER BY score DESC, vec_id LIMIT 32),

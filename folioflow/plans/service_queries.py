@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from html import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, remove_folder, shared_folder
+from ..shared import cut, remove_folder, shared_folder, store_of
 from ..sources import archive as a
 from ..sources import handover as h
 from ..sources import paged, ranges
-from ..sources.files import model_files, verified
+from ..sources.documents import read_epub
+from ..sources.files import endings, model_files, scan, verified
 from .tables import table
 
 #: Entries that a page has, and how many of them the page before had.
@@ -136,7 +143,84 @@ def snk_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_files(files, refs).select("rel")
 
 
-QUERIES = {f.__name__: f for f in (src_paged, snk_handover, src_archive, src_resumed, snk_models)}
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Rows (rel, content) as files below a folder; each task writes its own, again the same if it is repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rel, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, top = store_of(folder)  # names need not be parts of a URI
+                place = f"{top}/{rel}"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(place) as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["rel"])
+
+    rows.select("rel", "content").mapInArrow(run, "rel string").write.format("noop").mode("overwrite").save()
+
+
+def src_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC01, SRC02: parts' names by type and brand as files of several endings, some hidden; those of two endings, listed."""
+    folder = shared_folder(spark, "media")
+    part = table(spark, sf_dir, "part")
+    names = part.groupBy("p_type", "p_brand").agg(F.sort_array(F.collect_list(F.concat_ws(":", F.col("p_partkey").cast("string"), "p_name"))).alias("n"))
+    number = F.substring_index("p_brand", "#", -1).cast("int")
+    ending = F.element_at(F.array(*map(F.lit, ("mp4", "M4A", "txt", "tar.mp3"))), (number % 4 + 1).cast("int"))
+    hidden = F.when(number % 5 == 0, ".").otherwise("")
+    rel = F.concat(F.lower("p_type"), F.lit("/"), hidden, F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit("."), ending)
+    write_files(names.select(rel.alias("rel"), F.encode(F.array_join("n", "\n"), "utf-8").alias("content")), folder)
+    found = scan(spark, folder, endings(" .MP4, m4a,,mp3 "))
+    listed = cut(found.select("rel", "stem", "ending", "bytes"))
+    remove_folder(spark, folder)
+    return listed
+
+
+#: The frame of an EPUB file.
+CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>'
+OPF = (
+    '<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>{title}</dc:title><dc:creator>{creator}</dc:creator>'
+    '<dc:language>{language}</dc:language></metadata><manifest><item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>{items}</manifest><spine>{spine}</spine></package>'
+)
+
+
+def book(doc: int, lang: str, source: str, chapters: list[list[str]]) -> bytes:
+    """An EPUB of chapters of lines: titles in the contents alone, every third chapter below the one before."""
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        put = lambda name, text: z.writestr(zipfile.ZipInfo(name), text)
+        put("META-INF/container.xml", CONTAINER)
+        n = range(1, len(chapters) + 1)
+        items = "".join(f'<item id="c{i}" href="text/c%20{i}.xhtml" media-type="application/xhtml+xml"/>' for i in n)
+        put("OPS/book.opf", OPF.format(title=f"Book {doc}", creator=source, language=lang, items=items, spine="".join(f'<itemref idref="c{i}"/>' for i in n)))
+        entries = [f'<li><a href="text/c%20{i}.xhtml">Chapter {i}</a>' for i in n]
+        nested = "".join(f"<ol>{e}</li></ol></li>" if i % 3 == 0 else e + ("" if i % 3 == 2 and i < len(chapters) else "</li>") for i, e in zip(n, entries, strict=True))
+        put("OPS/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml"><body><nav><ol>{nested}</ol></nav></body></html>')
+        for i, lines in zip(n, chapters, strict=True):
+            body = "".join(f"<p>{escape(x)}</p>" for x in lines)
+            put(f"OPS/text/c {i}.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml"><head><style>p {{}}</style></head><body>{body}</body></html>')
+    return data.getvalue()
+
+
+def src_epub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC11, SRC13, SRC14: documents as EPUB files of chapters of four lines, read as sections; every seventh file is damaged."""
+
+    def bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, lang, source in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                lines = text.split("\n")
+                raw = book(doc, lang, source, [lines[i : i + 4] for i in range(0, len(lines), 4)])
+                yield pa.RecordBatch.from_arrays([pa.array([str(doc)]), pa.array([raw[: len(raw) // 2] if doc % 7 == 0 else raw], pa.binary())], ["path", "content"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    read = read_epub(docs.mapInArrow(bind, "path string, content binary"))
+    shown = F.transform("sections", lambda s: F.concat_ws("/", s["level"].cast("string"), s["title"], s["text"]))
+    return read.select(
+        F.col("path").cast("long").alias("doc_id"), "title", F.element_at("meta", "creator").alias("creator"), F.element_at("meta", "language").alias("language"),
+        F.size("sections").alias("n"), F.md5(F.array_join(shown, "|")).alias("sections"), F.col("error").isNotNull().alias("broken"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (src_paged, snk_handover, src_archive, src_resumed, snk_models, src_scan, src_epub)}
 
 ORACLE = {
     "src_paged": f"""
@@ -165,4 +249,18 @@ WITH p AS (SELECT p_partkey AS k, p_brand, 'hub/models--' || replace(p_brand, '#
 f AS (SELECT *, CASE k % 7 WHEN 0 THEN m || '/blobs/' WHEN 1 THEN m || '/refs/' WHEN 2 THEN 'plain/' || p_type || '/' ELSE m || '/snapshots/r' || k % 3 || '/' END || 'f' || k AS rel FROM p WHERE k % 7 > 0),
 n AS (SELECT m, CASE WHEN any_value(p_brand) < 'Brand#2' THEN 'r1' ELSE 'r' || arg_max(k, k) % 3 END AS r FROM f WHERE k % 7 > 2 GROUP BY m)
 SELECT rel FROM f LEFT JOIN n USING (m) WHERE k % 7 < 3 OR 'r' || k % 3 = r""",
+    "src_scan": """
+WITH n AS (SELECT p_type, p_brand, split_part(p_brand, '#', 2)::INT AS k, sum(length(p_partkey || ':' || p_name) + 1) - 1 AS bytes FROM part GROUP BY 1, 2)
+SELECT lower(p_type) || '/' || replace(p_brand, '#', ' ') || '.' || e AS rel, replace(p_brand, '#', ' ') || CASE k % 4 WHEN 3 THEN '.tar' ELSE '' END AS stem,
+  lower(split_part(e, '.', -1)) AS ending, bytes::BIGINT AS bytes
+FROM (SELECT *, ['mp4', 'M4A', 'txt', 'tar.mp3'][k % 4 + 1] AS e FROM n) WHERE k % 5 > 0 AND k % 4 <> 2""",
+    "src_epub": r"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, trim(regexp_replace(unnest(string_split(text, chr(10))), '[\s]+', ' ', 'g'), ' ') AS t FROM documents),
+c AS (SELECT doc_id, i // 4 + 1 AS c, string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> '') AS body FROM l GROUP BY 1, 2),
+s AS (SELECT doc_id, c, CASE WHEN c % 3 = 0 THEN 2 ELSE 1 END AS level, coalesce(body, '') AS body FROM c),
+k AS (SELECT *, lead(level) OVER (PARTITION BY doc_id ORDER BY c) > level AS opens FROM s),
+g AS (SELECT doc_id, count(*)::INT AS n, string_agg(level || '/Chapter ' || c || '/' || body, '|' ORDER BY c) AS s FROM k WHERE length(body) >= 20 OR coalesce(opens, false) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN NOT broken THEN 'Book ' || d.doc_id END AS title, CASE WHEN NOT broken THEN source END AS creator, CASE WHEN NOT broken THEN lang END AS language,
+  CASE WHEN broken THEN 0 ELSE coalesce(n, 0) END AS n, md5(CASE WHEN broken THEN '' ELSE coalesce(s, '') END) AS sections, broken
+FROM (SELECT *, doc_id % 7 = 0 AS broken FROM documents) d LEFT JOIN g ON g.doc_id = d.doc_id""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -149,11 +149,25 @@ def str_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", g["discarded"].alias("discarded"), g["reason"].alias("reason"), F.md5(g["text"]).alias("text"))
 
 
+def str_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR06: lines of documents with Markdown put around them, by their numbers, and taken off again."""
+    bare = F.transform(F.split("text", "\n"), lambda s: F.regexp_replace(F.translate(s, "*_`|#[]()<>+-~!", ""), "^[ 0-9.]+", "x"))
+
+    def marked(s: Column, i: Column) -> Column:
+        head, rest = F.substring_index(s, " ", 1), F.substring(s, F.instr(s, " "), F.length(s))
+        around = lambda a, b: F.concat(F.lit(a), head, F.lit(b), F.when(F.instr(s, " ") > 0, rest).otherwise(""))
+        kinds = (around("![", "](a.png)"), around("[", "](http://x/y_z)"), around("`", "`"), around("**", "**"), around("*", "*"), around("__", "__"), around("> ", ""), around("* ", ""), around("12. ", ""), around("**_", "_**"))
+        return F.concat(F.element_at(F.array(*kinds), i % len(kinds) + 1), F.when((i % 4 == 3) & ~(i % 10).isin(6, 7), F.lit("\n|---|:--:|")).otherwise(""))
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(bare, marked), "\n").alias("text"))
+    return docs.select("doc_id", F.md5(t.plain_markdown(F.col("text"))).alias("plain"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         str_clean, str_compare, str_paragraphs, str_titles, str_marks, str_heads, str_links, str_names, str_fill, str_overlap,
-        str_guard,
+        str_guard, str_markdown,
     )
 }
 
@@ -185,6 +199,9 @@ def _ahead(lines: str) -> str:
 
 
 ORACLE = {
+    "str_markdown": r"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, regexp_replace(translate(unnest(string_split(text, chr(10))), '*_`|#[]()<>+-~!', ''), '^[ 0-9.]+', 'x') AS t FROM documents)
+SELECT doc_id, md5(string_agg(CASE WHEN i % 10 IN (7, 8) THEN '- ' ELSE '' END || t || CASE WHEN i % 4 = 3 AND i % 10 NOT IN (6, 7) THEN chr(10) ELSE '' END, chr(10) ORDER BY i)) AS plain FROM l GROUP BY 1""",
     "str_guard": rf"""
 WITH a AS (SELECT doc_id, text AS raw, CASE doc_id % 6 WHEN 0 THEN '<think>hm</think>Hier ist der korrigierte Text:' || chr(10) || text WHEN 1 THEN '' WHEN 2 THEN 'Gerne!'
   WHEN 3 THEN '```text' || chr(10) || text || chr(10) || '```' WHEN 4 THEN substr(text, 1, length(text) // 2) ELSE text END AS x FROM documents),

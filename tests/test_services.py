@@ -201,3 +201,20 @@ def test_model_files(spark):
     ]
     found = files.model_files(spark.createDataFrame(rows, "rel string, modified int"), spark.createDataFrame([("m/models--a--b", "r1\n"), ("models--x", "r")], "folder string, revision string"))
     assert {r.rel for r in found.collect()} == {"m/models--a--b/refs/main", "m/models--a--b/snapshots/r1/x.bin", "models--c/snapshots/new/x", "other/w.gguf"}
+
+
+def test_damaged_books(spark):
+    """Whatever is wrong with a file, it has an error and no section, and the others are read."""
+    from folioflow.plans.service_queries import book
+    from folioflow.sources.documents import read_epub
+
+    good = book(1, "en", "s", [["A line of the first chapter."], ["A line of the second one."], ["And one of the third one."]])
+    flipped = bytearray(good)
+    flipped[good.index(b"META-INF") + 40] ^= 0xFF
+    encrypted = bytearray(good)
+    for at in (i for i in range(len(good)) if good[i : i + 4] in (b"PK\3\4", b"PK\1\2")):
+        encrypted[at + (6 if good[at + 2] == 3 else 8)] |= 1
+    rows = [("good", good), ("flipped", bytes(flipped)), ("encrypted", bytes(encrypted)), ("cut", good[:-30]), ("text", b"no zip"), ("none", None)]
+    found = {r.path: r for r in read_epub(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert found["good"].error is None and [(s.level, s.title) for s in found["good"].sections] == [(1, "Chapter 1"), (1, "Chapter 2"), (2, "Chapter 3")]
+    assert all(found[k].error and not found[k].sections for k, _ in rows[1:])
