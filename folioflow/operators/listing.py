@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import function_name
+
 # The stages of both kinds of work in their order, job states that are open.
 VIDEO_STAGES = ("discovered", "audio", "transcribed", "corrected", "chunked", "embedded")
 DOCUMENT_STAGES = ("imported", "chunked", "embedded")
@@ -205,3 +207,23 @@ def adopted(found: DataFrame, existing: DataFrame) -> DataFrame:
     match = (F.col("extern_id") == F.col("__x")) & (F.col("__s").isNull() | (F.col("__s") == F.col("source_id")))
     order = [F.asc_nulls_last("__s"), F.asc("id")]
     return first_per(found.join(e, match, "left"), ["source_id", "extern_id"], order).drop("__x", "__s")
+
+
+def usable_tools(servers: DataFrame) -> DataFrame:
+    """FLT15: the tools that may be called: those unlocked, with a name, of active servers, in the servers' order.
+
+    servers: (server_id, title, active, created, discovered), where ``discovered`` lists (name, title, active); a tool that
+    does not say whether it is unlocked is. Rows are (server_id, tool_id, name, title, created, place).
+    """
+    tools = servers.where("active").select("server_id", F.col("title").alias("__t"), "created", F.posexplode("discovered").alias("place", "e"))
+    open_ = tools.where(F.coalesce("e.active", F.lit(True)) & (F.coalesce("e.name", F.lit("")) != ""))
+    shown = F.coalesce(F.nullif("e.title", F.lit("")), "e.name")
+    return open_.select(
+        "server_id", F.concat("server_id", F.lit(":"), "e.name").alias("tool_id"), function_name(F.concat("__t", F.lit("_"), "e.name")).alias("name"),
+        F.concat("__t", F.lit(": "), shown).alias("title"), "created", "place",
+    )
+
+
+def toggleable(blocks: DataFrame, discarded: str = "discarded") -> DataFrame:
+    """FLT18: of compared blocks only those whose correction was discarded can be switched; an unknown one can't."""
+    return blocks.where(F.coalesce(F.col(discarded), F.lit(False)))

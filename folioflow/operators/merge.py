@@ -220,3 +220,20 @@ def answers(messages: DataFrame, hits: DataFrame, limit: int = 100) -> DataFrame
     joined = messages.join(top, "message_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<rank:int,chunk_id:bigint,score:double>>")))
     ids = F.transform("hits", lambda h: h["chunk_id"])
     return joined.withColumn("parameters", F.to_json(F.struct(ids.alias("chunk_ids"), F.size("hits").alias("n"))))
+
+
+# Ways to get at a work's sound.
+WAYS = ("stream", "source", "file")
+
+
+def acquired(audio: DataFrame, made: DataFrame, fields: list[str]) -> DataFrame:
+    """SRC28: the rows of works' sound after some were made: replaced or added by work, fields of ``made`` first.
+
+    Both have work_id, the fields and ``way``. A null way keeps the old row's; one that is not of ``WAYS`` is an error.
+    """
+    known = F.when(F.col("way").isNull() | F.col("way").isin(*WAYS), F.col("way")).otherwise(F.raise_error(F.concat(F.lit("unknown way "), "way")).cast("string"))
+    new = made.select("work_id", *[F.col(f).alias(f"__n_{f}") for f in fields], known.alias("__way"), F.lit(True).alias("__new"))
+    both = audio.join(new, "work_id", "full")
+    is_new = F.col("__new").isNotNull()
+    values = {f: F.when(is_new, F.col(f"__n_{f}")).otherwise(F.col(f)) for f in fields}
+    return both.withColumns(values | {"way": F.coalesce("__way", "way")}).select("work_id", *fields, "way")

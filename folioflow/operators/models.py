@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import comparable
+from ..functions.text import clean_answer, comparable, guard, length_deviation
+from ..functions.values import salvage_json
+from .sequences import repair_topics, share_out
 
 Embed = Callable[[list[str]], list[list[float]]]
 Judge = Callable[[list[str], list[str]], list[float]]
@@ -75,12 +77,53 @@ def shared_words(questions: list[str], texts: list[str]) -> list[float]:
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [
-            1.0 if not x and not y else 0.0 if not x or not y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+            1.0 if x == y else 0.0 if not x or not y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
             for x, y in zip(a.fillna(""), b.fillna(""), strict=True)
         ]
     )
 
 
 def similarity(raw: Column, answer: Column) -> Column:
-    """STR08: how much of two texts' letters and digits match in order, from 0 to 1. Quadratic, for blocks of some thousand characters."""
+    """STR08: how much of two texts' letters and digits match in order, from 0 to 1.
+
+    Equal texts are not compared; others are in a time that grows with the square of a block's some thousand characters.
+    """
     return _ratio(comparable(raw), comparable(answer))
+
+
+Correct = Callable[[list[str]], list[str]]
+
+
+def correct(blocks: DataFrame, function: Correct, least: float = 0.8, most_deviation: float = 0.35) -> DataFrame:
+    """MOD05: blocks (text, start, end, ...) with a model's correction behind the guard, and its topics.
+
+    The model answers with JSON of ``text`` and ``topics`` (title, start, end), maybe with words around it, or with plain text.
+    Adds corrected, similarity, discarded, reason, paragraphs (text, start, end; the block's time shared out by characters) and topics,
+    repaired so that they cover the block without a gap; a block without usable topics has none. The similarity is null where
+    the lengths alone discard an answer.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def ask(texts: pd.Series) -> pd.Series:
+        answers = function([t or "" for t in texts])
+        if len(answers) != len(texts):
+            raise ValueError("the model does not give one answer for each block")
+        return pd.Series(answers, dtype=object)
+
+    rows = blocks.withColumn("__a", ask(F.col("text")))
+    rows = rows.withColumn("__j", salvage_json(F.coalesce("__a", F.lit(""))))
+    plain = F.when(F.col("__j").isNull(), F.col("__a"))
+    rows = rows.withColumn("__t", clean_answer(F.coalesce(F.get_json_object("__j", "$.text"), plain, F.lit(""))))
+    long = length_deviation(F.col("text"), F.col("__t")) > most_deviation
+    alike = F.when(~long, similarity(F.when(~long, F.col("text")), F.when(~long, F.col("__t"))))
+    rows = rows.withColumn("__g", guard(F.col("text"), F.col("__t"), alike, least, most_deviation))
+    start, end = F.col("start").cast("double"), F.col("end").cast("double")
+    found = F.from_json(F.get_json_object("__j", "$.topics"), "array<struct<title:string,start:double,end:double>>")
+    usable = F.filter(F.coalesce(found, F.array().cast("array<struct<title:string,start:double,end:double>>")), lambda t: t["title"].isNotNull() & t["start"].isNotNull())
+    parts = F.filter(F.split(F.col("__g.text"), r"\n\s*\n"), lambda p: F.trim(p) != "")
+    return rows.withColumns(
+        {
+            "corrected": F.col("__g.text"), "similarity": F.col("__g.similarity"), "discarded": F.col("__g.discarded"), "reason": F.col("__g.reason"),
+            "paragraphs": share_out(parts, start, end), "topics": repair_topics(usable, start, end),
+        }
+    ).drop("__a", "__j", "__t", "__g")

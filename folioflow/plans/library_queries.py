@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import listing as o
+from ..operators import merge as m
 from .listing_queries import JOBS, jobs
 from .tables import table
 
@@ -94,14 +95,51 @@ def top_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.withColumn("place", place).orderBy(F.asc_nulls_last("place"), "topic")
 
 
+def flt_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT15: suppliers as servers of tools, their customers' segments as what was discovered there."""
+    made = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_set("c_mktsegment")).alias("segments"))
+    discovered = F.transform("segments", lambda s, i: F.struct(
+        F.when(i == 3, "").otherwise(F.lower(s)).alias("name"), F.when(i == 1, F.initcap(s)).alias("title"), F.when(i == 2, F.col("s_suppkey") % 2 == 0).alias("active")))
+    servers = table(spark, sf_dir, "supplier").join(made, F.col("s_nationkey") == F.col("c_nationkey")).select(
+        F.concat(F.lit("s"), "s_suppkey").alias("server_id"), F.col("s_name").alias("title"), (F.col("s_suppkey") % 3 > 0).alias("active"), F.col("s_suppkey").alias("created"), discovered.alias("discovered")
+    )
+    return o.usable_tools(servers).select("tool_id", "name", "title", "created", "place")
+
+
+def flt_discarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT18: line items as compared blocks, of which some are not known to be discarded."""
+    blocks = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linestatus") == "F", F.col("l_returnflag") == "R").alias("discarded"))
+    return o.toggleable(blocks).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("parts"))
+
+
+def mrg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC28: customers' sound, of every third made anew in a way that some of them don't say."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("work_id"), F.col("c_mktsegment").alias("format"), (F.col("c_custkey") % 50 + 0.5).alias("duration_s"))
+    way = lambda n: F.element_at(F.array(*map(F.lit, m.WAYS)), (F.col("work_id") % n % 3 + 1).cast("int"))
+    old = rows.where("work_id % 4 > 0").withColumn("way", way(7))
+    made = rows.where("work_id % 3 = 0").withColumns({"format": F.lit("opus"), "duration_s": F.col("duration_s") * 2, "way": F.when(F.col("work_id") % 2 == 0, way(5))})
+    return m.acquired(old, made, ["format", "duration_s"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+    flt_tools, flt_discarded, mrg_audio,
         flt_hits, flt_deselected, flt_duplicates, jon_titles, jon_selected, jon_known, jon_summaries, jon_open_works, agg_total, top_works, top_topics,
     )
 }
 
 ORACLE = {
+    "flt_tools": """
+WITH n AS (SELECT c_nationkey, list_sort(list_distinct(list(c_mktsegment))) AS g FROM customer GROUP BY 1),
+e AS (SELECT s_suppkey, s_name, unnest(g) AS seg, generate_subscripts(g, 1) - 1 AS i FROM supplier JOIN n ON c_nationkey = s_nationkey WHERE s_suppkey % 3 > 0)
+SELECT 's' || s_suppkey || ':' || lower(seg) AS tool_id, regexp_replace(trim(regexp_replace(lower(s_name || '_' || seg), '[^a-z0-9]+', '_', 'g'), '_'), '_+', '_', 'g') AS name,
+  s_name || ': ' || CASE WHEN i = 1 THEN upper(seg[1]) || lower(seg[2:]) ELSE lower(seg) END AS title, s_suppkey AS created, i::INT AS place FROM e WHERE i <> 3 AND (i <> 2 OR s_suppkey % 2 = 0)""",
+    "flt_discarded": "SELECT l_orderkey, count(*) AS n, sum(l_partkey)::BIGINT AS parts FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R' GROUP BY 1",
+    "mrg_audio": """
+WITH c AS (SELECT c_custkey AS k, c_mktsegment AS f, c_custkey % 50 + 0.5 AS d, CASE WHEN c_custkey % 4 > 0 THEN ['stream', 'source', 'file'][c_custkey % 7 % 3 + 1] END AS w FROM customer)
+SELECT k AS work_id, CASE WHEN k % 3 = 0 THEN 'opus' ELSE f END AS format, (CASE WHEN k % 3 = 0 THEN d * 2 ELSE d END)::DOUBLE AS duration_s,
+  CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN ['stream', 'source', 'file'][k % 5 % 3 + 1] ELSE w END AS way FROM c WHERE k % 3 = 0 OR k % 4 > 0""",
     "flt_hits": """
 WITH b AS (SELECT doc_id, lang, event_type, value, doc_id % 2 = 0 AND event_type IS NOT NULL AS v, CASE WHEN doc_id % 3 = 0 THEN coalesce(event_type, '') ELSE '' END AS t
   FROM documents LEFT JOIN events ON event_id = doc_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,33 @@ def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.stitch(anchors, near).select("chunk_id", "work_id", "rank", "first", "last", F.md5("text").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (mod_embed, mod_rerank, mod_guard, search_context)}
+def answers(texts: list[str]) -> list[str]:
+    """A stand-in for a correcting model: JSON of the text and two topics, with words around it for some texts, or no answer."""
+    out = []
+    for text in texts:
+        topics = [{"title": "later", "start": 60.0, "end": 70.0}, {"title": "first", "start": -5.0, "end": 10.0}, {"title": " ", "start": 1.0, "end": 2.0}]
+        whole = json.dumps({"text": text, "topics": topics}, ensure_ascii=False)
+        out.append((whole, f"Sure:\n```json\n{whole}\n```", text[: len(text) // 2], "")[len(text) % 4])
+    return out
+
+
+def mod_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MOD05: documents' first lines as blocks of a hundred seconds, corrected, guarded and with topics."""
+    line = F.regexp_replace(F.regexp_replace(F.split("text", "\n")[0], r"[^\p{L}., ]+", ""), " +", " ")
+    blocks = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Zum Text "), F.trim(line)).alias("text"), F.lit(0.0).alias("start"), F.lit(100.0).alias("end"))
+    found = m.correct(blocks, answers)
+    shown = F.transform("topics", lambda t: F.concat_ws("/", t["title"], t["start"].cast("int").cast("string"), t["end"].cast("int").cast("string")))
+    return found.select("doc_id", F.md5("corrected").alias("corrected"), "discarded", "reason", F.array_join(shown, ",").alias("topics"), F.size("paragraphs").alias("n"), F.get("paragraphs", F.lit(0))["end"].alias("end"))
+
+
+QUERIES = {f.__name__: f for f in (mod_embed, mod_rerank, mod_guard, mod_correct, search_context)}
 
 ORACLE = {
+    "mod_correct": r"""
+WITH b AS (SELECT doc_id, 'Zum Text ' || trim(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[^\p{L}., ]+', '', 'g'), ' +', ' ', 'g'), ' ') AS t FROM documents),
+k AS (SELECT doc_id, trim(t, ' ') AS t, length(t) % 4 AS k FROM b)
+SELECT doc_id, md5(t) AS corrected, k > 1 AS discarded, CASE k WHEN 2 THEN 'length' WHEN 3 THEN 'empty' ELSE '' END AS reason,
+  CASE WHEN k < 2 THEN 'first/0/60,later/60/100' ELSE '' END AS topics, 1 AS n, 100.0::DOUBLE AS end FROM k""",
     "mod_rerank": """
 WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
 c AS (SELECT vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]), 6) AS score FROM embeddings e, q ORDER BY score DESC, vec_id LIMIT 32),

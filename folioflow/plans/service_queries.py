@@ -16,7 +16,8 @@ from ..sources import archive as a
 from ..sources import handover as h
 from ..sources import paged, ranges
 from ..sources.documents import read_epub
-from ..sources.files import endings, model_files, scan, verified
+from ..sources.files import endings, model_files, scan, verified, with_artwork
+from ..sources.package import FORMAT
 from .tables import table
 
 #: Entries that a page has, and how many of them the page before had.
@@ -220,7 +221,43 @@ def src_epub(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (src_paged, snk_handover, src_archive, src_resumed, snk_models, src_scan, src_epub)}
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as media files (rel, duration_s)."""
+    rel = F.concat(F.lower("p_type"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("."), F.col("p_partkey").cast("string"), F.lit(".mp4"))
+    return table(spark, sf_dir, "part").select("p_partkey", rel.alias("rel"), F.when(F.col("p_partkey") % 7 > 0, F.col("p_size") * 9.0).alias("duration_s"))
+
+
+def src_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC07: the third page of a folder's files in the order of their paths."""
+    return paged.page_of(part_files(spark, sf_dir).select("rel"), [F.lower("rel"), F.col("rel")], 3, 20)
+
+
+def src_artwork(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC31: parts' pictures, of some two or of another kind, or the place of a frame."""
+    media = part_files(spark, sf_dir)
+    base, k = F.regexp_replace("rel", r"\.mp4$", ""), F.col("p_partkey") % 5
+    kinds = F.when(k == 0, F.array(F.lit(".webp"), F.lit(".jpeg"))).when(k == 1, F.array(F.lit(".gif"))).when(k == 2, F.array(F.lit(".png"))).otherwise(F.array().cast("array<string>"))
+    pictures = media.select(F.explode(F.transform(kinds, lambda e: F.concat(base, e))).alias("rel"))
+    return with_artwork(media, pictures).select("p_partkey", "artwork", F.round("frame_s", 3).alias("frame_s"))
+
+
+def top_handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP14: a handover for each nation, some manifests broken or of another format, newest first."""
+    folder = shared_folder(spark, "handovers")
+    nations = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first"))
+    created = F.date_format(F.timestamp_seconds(1_700_000_000 + F.col("n") * 86_400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    form = F.when(F.col("c_nationkey") % 6 == 5, "other").otherwise(FORMAT)
+    parts = F.transform(F.sequence(F.lit(1), F.col("n") % 3 + 1), lambda i: F.struct(F.concat(F.lit("part-"), i.cast("string")).alias("name")))
+    manifest = F.to_json(F.struct(form.alias("format"), F.lit(1).alias("version"), created.alias("created"), parts.alias("parts")))
+    content = F.when(F.col("c_nationkey") % 4 == 3, F.substring(manifest, 1, 30)).otherwise(manifest)
+    write_files(nations.select(F.concat(F.lit("h"), F.col("c_nationkey").cast("string"), F.lit("/manifest.json")).alias("rel"), F.encode(content, "utf-8").alias("content")), folder)
+    found = h.handovers(spark, folder).select(F.element_at(F.split("path", "/"), -2).alias("name"), F.unix_seconds("created").alias("created"), "version", "n_parts")
+    listed = cut(found)
+    remove_folder(spark, folder)
+    return listed
+
+
+QUERIES = {f.__name__: f for f in (src_paged, snk_handover, src_archive, src_resumed, snk_models, src_scan, src_epub, src_page, src_artwork, top_handovers)}
 
 ORACLE = {
     "src_paged": f"""
@@ -263,4 +300,12 @@ g AS (SELECT doc_id, count(*)::INT AS n, string_agg(level || '/Chapter ' || c ||
 SELECT d.doc_id, CASE WHEN NOT broken THEN 'Book ' || d.doc_id END AS title, CASE WHEN NOT broken THEN source END AS creator, CASE WHEN NOT broken THEN lang END AS language,
   CASE WHEN broken THEN 0 ELSE coalesce(n, 0) END AS n, md5(CASE WHEN broken THEN '' ELSE coalesce(s, '') END) AS sections, broken
 FROM (SELECT *, doc_id % 7 = 0 AS broken FROM documents) d LEFT JOIN g ON g.doc_id = d.doc_id""",
+    "src_page": """
+SELECT lower(p_type) || '/' || replace(p_name, ' ', '_') || '.' || p_partkey || '.mp4' AS rel FROM part ORDER BY lower(rel), rel LIMIT 20 OFFSET 40""",
+    "src_artwork": """
+WITH m AS (SELECT p_partkey, p_partkey % 5 AS k, lower(p_type) || '/' || replace(p_name, ' ', '_') || '.' || p_partkey AS b, CASE WHEN p_partkey % 7 > 0 THEN p_size * 9.0 END AS d FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN b || '.jpeg' WHEN 2 THEN b || '.png' END AS artwork, CASE WHEN k NOT IN (0, 2) THEN round(least(30, coalesce(d, 0) / 10), 3)::DOUBLE END AS frame_s FROM m""",
+    "top_handovers": """
+SELECT 'h' || c_nationkey AS name, 1700000000 + count(*) * 86400 AS created, 1 AS version, (count(*) % 3 + 1)::INT AS n_parts FROM customer
+WHERE c_nationkey % 6 <> 5 AND c_nationkey % 4 <> 3 GROUP BY c_nationkey""",
 }

@@ -63,6 +63,26 @@ def with_sidecars(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     return own.join(best, "__base", "left").withColumn("sidecar", F.coalesce(good, F.lit("{}"))).drop("__base", "json")
 
 
+# Endings of pictures beside media files, best first; where a frame is taken from a file without one.
+PICTURES = ("jpg", "jpeg", "png", "webp")
+FRAME_S, FRAME_SHARE = 30.0, 0.1
+
+
+def with_artwork(media: DataFrame, pictures: DataFrame, duration_col: str = "duration_s") -> DataFrame:
+    """SRC31: media rows (rel, duration) with ``artwork``, the picture of their name beside them, or else ``frame_s``.
+
+    pictures: (rel). Endings count as they are written, and of several pictures the first kind of ``PICTURES`` does; the
+    frame is at a tenth of the duration, half a minute at most, at the start where the duration is not known.
+    """
+    base = F.regexp_replace("rel", r"(?<=[^/])\.[^./]*$", "")
+    rank = F.array_position(F.array(*map(F.lit, PICTURES)), F.regexp_extract("rel", r"\.([^./]+)$", 1))
+    kinds = pictures.select(base.alias("__base"), F.col("rel").alias("artwork"), rank.alias("__rank")).where("__rank > 0")
+    best = first_per(kinds, ["__base"], [F.asc("__rank")]).drop("__rank")
+    found = media.withColumn("__base", base).join(best, "__base", "left").drop("__base")
+    frame = F.least(F.lit(FRAME_S), F.coalesce(F.col(duration_col), F.lit(0.0)) * FRAME_SHARE)
+    return found.withColumn("frame_s", F.when(F.col("artwork").isNull(), frame))
+
+
 def _first(j: Column, keys: tuple[str, ...]) -> Column:
     """The first key's value that is not empty, as text."""
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(j, f"$.{k}")), F.lit("")) for k in keys])

@@ -14,6 +14,7 @@ import tarfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -174,14 +175,14 @@ def write_handover(tables: list[Table], folder: str, dimension: int, part_bytes:
     """SNK02, SNK07: tables as a handover in ``folder``; its manifest.
 
     The parts are tar archives ``part-<n>.tar`` of the tables' files in the order given, ``part_bytes`` of files each; the
-    first one begins with the package's own manifest (format, version, dimension, rows by table). ``manifest.json`` lists
+    first one begins with the package's own manifest (format, version, time, dimension, rows by table). ``manifest.json`` lists
     parts and files with sizes and digests and is written last, beside the parts' digests in ``SHA256SUMS``. A part is
     written by one task from file to file; the driver holds the lists alone, an entry for each task that wrote.
     """
     spark = tables[0].rows.sparkSession
     files = {t.name: write_lines(t, folder) for t in tables}
     counts = {name: sum(f["rows"] for f in found) for name, found in files.items()}
-    package = {"format": FORMAT, "version": VERSION, "dimension": dimension, "rows": counts}
+    package = {"format": FORMAT, "version": VERSION, "created": datetime.now(UTC).isoformat(timespec="seconds"), "dimension": dimension, "rows": counts}
     packed = pack([f for t in tables for f in files[t.name]], part_bytes) or [[]]
     rows = [
         (n, f"part-{n:05d}.tar", json.dumps(package, indent=1).encode() if n == 1 else None, [(f["path"], f["bytes"]) for f in part])
@@ -211,3 +212,14 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     files = F.flatten(F.map_values(F.from_json("value", f"files map<string,array<{one}>>")["files"]))
     every = F.concat(F.transform(parts, lambda p: F.struct(p["name"].alias("path"), p["bytes"].alias("bytes"), p["sha256"].alias("sha256"))), files)
     return text.select(F.explode(every).alias("f")).select("f.*")
+
+
+def handovers(spark: SparkSession, folder: str) -> DataFrame:
+    """TOP14: (path, created, version, n_parts) of the handovers below a folder, newest first; unreadable manifests are left out.
+
+    A manifest is readable if it is JSON of this format with a time; a folder without one is no handover.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", MANIFEST).option("recursiveFileLookup", True).load(folder)
+    m = F.from_json(F.decode("content", "utf-8"), "format string, version int, created timestamp, parts array<struct<name:string>>")
+    rows = found.select("path", m.alias("m")).where((F.col("m.format") == FORMAT) & F.col("m.created").isNotNull())
+    return rows.select("path", "m.created", "m.version", F.coalesce(F.size("m.parts"), F.lit(0)).alias("n_parts")).orderBy(F.desc("created"), "path")

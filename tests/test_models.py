@@ -22,3 +22,22 @@ def test_judge(spark):
     assert by_rank(None) == {1: -1.0, 2: -2.0, 3: -3.0}
     assert by_rank(lambda q, t: [float("nan")] * len(t)) == {1: -1.0, 2: -2.0, 3: -3.0}
     assert by_rank(lambda q, t: [float("nan") if not x else 7.0 for x in t]) == {1: 7.0, 2: 7.0, 3: 0.0}
+
+
+def test_corrections_with_topics(spark):
+    import json
+
+    text = "Das ist ein ganzer Absatz, der etwas sagt.\n\nUnd das ist noch einer, der mehr sagt."
+    good = {"text": text.replace("ganzer", "guter"), "topics": [{"title": "B", "start": 60, "end": 61}, {"title": "A", "start": 5, "end": 7}, {"start": 3}]}
+    given = {
+        "json": json.dumps(good), "plain": text, "empty": "", "short": "Nur das.", "other": json.dumps({"text": text[::-1], "topics": "none"}), "null": None, "broken": '{"text": "x',
+    }
+    rows = spark.createDataFrame([(k, f"{text}" if k != "null" else None, 50.0, 150.0) for k in given], "k string, text string, start double, end double")
+    answers = list(given.values())  # seven rows are one batch
+    found = {r.k: r for r in models.correct(rows.coalesce(1), lambda texts: answers).collect()}
+    assert found["json"].corrected == good["text"] and not found["json"].discarded
+    assert [(t.title, t.start, t.end) for t in found["json"].topics] == [("A", 50, 60), ("B", 60, 150)]
+    assert [p.text for p in found["json"].paragraphs] == good["text"].split("\n\n") and found["json"].paragraphs[1].end == 150
+    assert found["plain"].corrected == text and found["plain"].topics == []
+    assert {k: found[k].reason for k in ("empty", "short", "other", "broken")} == {"empty": "empty", "short": "length", "other": "similarity", "broken": "length"}
+    assert found["short"].similarity is None and all(found[k].corrected == text for k in ("empty", "short", "other"))

@@ -218,3 +218,32 @@ def test_damaged_books(spark):
     found = {r.path: r for r in read_epub(spark.createDataFrame(rows, "path string, content binary")).collect()}
     assert found["good"].error is None and [(s.level, s.title) for s in found["good"].sections] == [(1, "Chapter 1"), (1, "Chapter 2"), (2, "Chapter 3")]
     assert all(found[k].error and not found[k].sections for k, _ in rows[1:])
+
+
+def test_artwork(spark):
+    media = spark.createDataFrame([("a/x.mp4", 100.0), ("a/y.1.mp4", 900.0), ("z.mp4", None), ("a/.q.mp4", 5.0)], "rel string, duration_s double")
+    pictures = spark.createDataFrame([("a/x.webp",), ("a/x.jpeg",), ("a/y.1.gif",), ("b/z.jpg",), ("a/x.JPG",)], "rel string")
+    found = {r.rel: (r.artwork, r.frame_s) for r in files.with_artwork(media, pictures).collect()}
+    assert found == {"a/x.mp4": ("a/x.jpeg", None), "a/y.1.mp4": (None, 30.0), "z.mp4": (None, 0.0), "a/.q.mp4": (None, 0.5)}
+
+
+def test_handovers_newest_first(spark, tmp_path):
+    for name, text in {"a": '{"format": "folioflow-library", "version": 1, "created": "2024-01-02T00:00:00Z", "parts": [{"name": "p"}]}', "b": "broken {", "c": '{"format": "folioflow-library", "created": "2024-03-01T00:00:00Z"}', "d": "[]"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "manifest.json").write_text(text)
+    (tmp_path / "e").mkdir()
+    assert [(r.path.split("/")[-2], r.n_parts) for r in handover.handovers(spark, f"file://{tmp_path}").collect()] == [("c", 0), ("a", 1)]
+
+
+def test_tools_and_sound(spark):
+    from folioflow.operators import listing, merge
+
+    tools = "array<struct<name:string,title:string,active:boolean>>"
+    servers = [("s1", "Haus Ä", True, 1, [("Suche", "", None), ("", "x", True), (None, "x", True), ("aus", "x", False), ("an", "An!", True)]), ("s2", "B", False, 0, [("q", "", True)]), ("s3", "C", True, 2, None)]
+    found = listing.usable_tools(spark.createDataFrame(servers, f"server_id string, title string, active boolean, created int, discovered {tools}")).orderBy("place").collect()
+    assert [(r.tool_id, r.name, r.title) for r in found] == [("s1:Suche", "haus_ae_suche", "Haus Ä: Suche"), ("s1:an", "haus_ae_an", "Haus Ä: An!")]
+    audio = spark.createDataFrame([(1, "mp3", "stream"), (2, "mp3", "file")], "work_id int, format string, way string")
+    made = spark.createDataFrame([(2, "opus", None), (3, None, "source")], "work_id int, format string, way string")
+    assert sorted(map(tuple, merge.acquired(audio, made, ["format"]).collect())) == [(1, "mp3", "stream"), (2, "opus", "file"), (3, None, "source")]
+    with pytest.raises(Exception, match="unknown way x"):
+        merge.acquired(audio, made.withColumn("way", F.lit("x")), ["format"]).collect()
