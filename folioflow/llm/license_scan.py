@@ -272,15 +272,25 @@ def classify(paragraphs: DataFrame, by: Classifier) -> DataFrame:
     for r in training_templates(spark).select("family", grams(F.col("ws")).alias("g")).collect():  # this module's own
         own[r.family].update(r.g)
     among = {g: [f for f in FAMILIES if g in own[f]] for g in set().union(*own.values())}
-    none = [0.0] * len(FAMILIES)
     alone = {w: f for f, ws in OWN_NAMES.items() for w in ws}
-    among |= {w: [f] for w, f in alone.items() if w not in among}
-    says = lambda g, fs: g in alone or " " in g and len(fs) == 1 and fs[0] != UNKNOWN
-    table = [
-        {"g": g, "w": by.weights.get(g, none), "f": [f in fs if g not in alone else f == alone[g] for f in FAMILIES], "o": says(g, fs)}
-        for g, fs in among.items()
-    ]
-    weights = literal_table(spark, table, "g string, w array<double>, f array<boolean>, o boolean")
+    among |= {w: [f] for w, f in alone.items()}
+    none = [0.0] * len(FAMILIES)
+
+    def entry(g: str, fs: list[str]) -> str:
+        says = g in alone or " " in g and len(fs) == 1 and fs[0] != UNKNOWN
+        held = "".join("01"[f in fs] for f in FAMILIES)
+        return "|".join((g, "01"[says], held, ",".join(f"{w:.4g}" for w in by.weights.get(g, none))))
+
+    # An n-gram of unknown things alone without a weight changes nothing.
+    table = [entry(g, fs) for g, fs in sorted(among.items()) if fs != [UNKNOWN] or any(by.weights.get(g, none))]
+    split = spark.range(1).select(F.explode(listed(set(table))).alias("r")).select(F.split("r", r"\|").alias("x"))
+    bits = F.transform(F.sequence(F.lit(1), F.lit(len(FAMILIES))), lambda i: F.substring(F.col("x")[2], i, F.lit(1)) == "1")
+    weights = cut(  # so that no later plan has the text in it
+        split.select(
+            F.col("x")[0].alias("g"), (F.col("x")[1] == "1").alias("o"), bits.alias("f"),
+            F.transform(F.split(F.col("x")[3], ","), lambda w: w.cast("double")).alias("w"),
+        )
+    )
     exploded = paragraphs.select("text", F.explode_outer(grams(words(F.col("text")))).alias("g"))
     met = exploded.join(F.broadcast(weights), "g", "left").withColumn("k", F.contains("g", F.lit(" ")))  # this module's own n-grams
     n = len(FAMILIES)
