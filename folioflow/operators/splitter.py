@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE
+
 # German abbreviations after whose full stop no sentence ends.
 ABBREVIATIONS = (
     "z. b.", "z.b.", "bzw.", "nr.", "dr.", "prof.", "usw.", "etc.", "ca.", "vgl.", "u. a.", "u.a.", "d. h.", "d.h.", "evtl.", "ggf.",
@@ -23,9 +25,6 @@ ABBREVIATIONS = (
 )
 CLOSERS, OPENERS = r"\"'»«“”’)\]", r"\"'„»«“‘(\["
 SENTENCE_END = rf"([.!?…]+[{CLOSERS}]*) (?=[{OPENERS}]?[A-ZÄÖÜ0-9])"
-#: White space of any script.
-WHITE = "\t\n\x0b\f\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
-
 _end, _known = re.compile(SENTENCE_END), frozenset(ABBREVIATIONS)
 _white, _uneven = re.compile(f"[{WHITE}]+"), re.compile(f"[{WHITE.replace(' ', '')}]|  ")
 _stopped = re.compile(rf"(.+?)\.[.!?…]*[{CLOSERS}]*\Z")
