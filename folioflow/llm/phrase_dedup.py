@@ -13,7 +13,8 @@ at once. Else each distinct phrase of a shared trigger is a row of its trigger's
 one mask a phrase. A trigger or phrase that very many documents hold is thus one row for each
 batch, never one for each document, and rows grow in proportion to the bytes. A trigger may stand in very many different phrases, as
 at the edges of a passage that a large part of the documents quote; such a trigger's strings go to buckets of their own
-hash, one by one, so no bucket has to hold them all.
+hash, one by one, and Spark's windows, which spill, find the first document of each. A task's Python holds the phrases of
+triggers with at most ``HOT`` occurrences, and passes the strings on batch by batch, however many batches of text have them.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 LENGTH, TRIGGER = 50, 16
-#: Occurrences of a trigger above which its strings are dealt one by one.
+#: Occurrences of a trigger above which its strings are dealt one by one: what a bucket has to hold of one trigger at most.
 HOT = 20_000
 #: Bytes of text in a batch, and positions whose hashes are in memory at a time.
 BATCH_BYTES, STRETCH = 8 << 20, 1 << 18
@@ -162,7 +163,7 @@ TRIGGERS = pa.schema(
     [("b", pa.int32()), ("h", pa.int64()), ("one", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("several", pa.bool_())]
 )
 PHRASES = pa.schema(
-    [("b", pa.int32()), ("k", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("hot", pa.int64()), ("raw", pa.binary())]
+    [("b", pa.int32()), ("k", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("hot", pa.int64()), ("raw", pa.binary()), ("string", pa.binary())]
 )
 MASKS = pa.schema([("b", pa.int32()), ("key", pa.int64()), ("mask", pa.int64()), ("hot", pa.int64()), ("raw", pa.binary())])
 #: Bits of the trigger in a row beyond those that number the corpus's bytes, and of a phrase's hash.
@@ -201,7 +202,7 @@ SEVERAL, VERY_MANY, EARLIER = 0, 1, 2
 def shared_triggers(triggers: DataFrame) -> DataFrame:
     """(b, h, kind) of the triggers that two documents of the corpus have, for the batches that need to know.
 
-    A trigger has one row a batch, so no key of the window is large beside a partition.
+    A trigger has one row of numbers a batch, which the window spills where very many batches have it.
     """
     w = Window.partitionBy("h")
     counted = triggers.select(
@@ -222,7 +223,7 @@ def shared_triggers(triggers: DataFrame) -> DataFrame:
 def send_phrases(table: pa.Table, shared: pa.Table, buckets: int, bits: int) -> pa.Table:
     """A batch's distinct phrases with one of these triggers, each with its first document in the batch.
 
-    Of a hot trigger each distinct string is sent by itself, as a phrase of one string in the bucket of its own hash. The
+    Of a hot trigger each distinct string is sent by itself, in ``string``, to the bucket of its own hash. The
     batch's triggers with an earlier document pass through as one row without a key.
     """
     if not len(table) or not len(shared):
@@ -249,7 +250,9 @@ def send_phrases(table: pa.Table, shared: pa.Table, buckets: int, bits: int) ->
         count.astype(np.int32),
         trigger,
     ]
-    phrases = pa.table([*map(pa.array, sent), _slices(p.data, first, count + LENGTH - 1)], schema=PHRASES)
+    raw, alone = _slices(p.data, first, count + LENGTH - 1), pa.array(trigger >= 0)
+    none = pa.nulls(len(raw), pa.binary())
+    phrases = pa.table([*map(pa.array, sent), pc.if_else(alone, none, raw), pc.if_else(alone, raw, none)], schema=PHRASES)
     passed = {"b": [b], "k": [b % buckets], "raw": [_packed_list(known)]} if len(known) else {}
     return pa.concat_tables([phrases, pa.table({f.name: pa.array(passed.get(f.name, [None] * len(passed.get("b", []))), f.type) for f in PHRASES})])
 
@@ -264,16 +267,28 @@ def _unpacked_lists(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.zeros(0, U), *(np.cumsum(np.frombuffer(unpack.decompress(x), U), dtype=U) for x in column.to_pylist())])
 
 
-def answer_phrases(table: pa.Table) -> pa.Table:
+def answer_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each batch's phrases, masks of the strings that occur in a document before the phrase's own.
 
-    Rows without a key come back as they are.
+    Strings of hot triggers come with their first document and are answered as they pass, always, since their batch compares
+    its own documents' strings as well. Rows without a key come back as they are.
     """
-    whole = table.column("key").is_null().combine_chunks()
-    passed, table = table.filter(whole), table.filter(pc.invert(whole))
-    passed = passed.append_column("mask", pa.nulls(len(passed), pa.int64())).select(MASKS.names).cast(MASKS)
+    held = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        phrase = pc.is_valid(table.column("raw"))
+        held.append(table.filter(pc.and_(phrase, pc.is_valid(table.column("key")))))
+        rest = table.filter(pc.or_(pc.invert(phrase), pc.is_null(table.column("key"))))
+        later = pc.cast(pc.greater(rest.column("doc"), rest.column("first")), pa.int64())
+        yield from rest.append_column("mask", later).select(MASKS.names).cast(MASKS).to_batches()
+    if held:
+        yield from _masks(pa.concat_tables(held)).to_batches()
+
+
+def _masks(table: pa.Table) -> pa.Table:
+    """Masks of a bucket's phrases, by its dictionary's suffix array."""
     if not len(table):
-        return passed
+        return MASKS.empty_table()
     key, doc, count = (_numbers(table.column(c)) for c in ("key", "doc", "n"))
     key, count = key.view(U), count.astype(np.int64)
     raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
@@ -301,10 +316,9 @@ def answer_phrases(table: pa.Table) -> pa.Table:
     at = np.searchsorted(uniq, key)
     full = (U(1) << count.astype(U)) - U(1)
     masks = np.where(doc > least[at], full, mask[at])
-    # strings of hot triggers always answer, since their batch compares its own documents' strings as well
-    on = pa.array(np.flatnonzero((masks > 0) | (_numbers(table.column("hot")) >= 0)))
+    on = pa.array(np.flatnonzero(masks > 0))
     columns = [table.column("b").take(on), table.column("key").take(on), pa.array(masks.view(np.int64)).take(on), table.column("hot").take(on)]
-    return pa.concat_tables([pa.table([*columns, pa.nulls(len(on), pa.binary())], schema=MASKS), passed])
+    return pa.table([*columns, pa.nulls(len(on), pa.binary())], schema=MASKS)
 
 
 SPANS = "array<struct<start:int,stop:int>>"
@@ -409,9 +423,11 @@ def phrase_dedup(
         lambda t: send_triggers(t, bits), "b int, h long, one long, doc long, n int, several boolean"
     )
     phrases = dealt.groupBy("b").cogroup(shared_triggers(triggers).groupBy("b")).applyInArrow(
-        lambda t, s: send_phrases(t, s, batches, bits), "b int, k int, key long, doc long, n int, hot long, raw binary"
+        lambda t, s: send_phrases(t, s, batches, bits), "b int, k int, key long, doc long, n int, hot long, raw binary, string binary"
     )
-    masks = phrases.groupBy("k").applyInArrow(answer_phrases, "b int, key long, mask long, hot long, raw binary")
+    # in the partitions that the groups need anyway; a bucket's phrases have no string and pass the window as one key
+    first = F.min(F.when(F.col("string").isNotNull(), F.col("doc"))).over(Window.partitionBy("k", "string"))
+    masks = phrases.repartition("k").withColumn("first", first).groupBy("k").applyInArrow(answer_phrases, "b int, key long, mask long, hot long, raw binary")
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.int64())
     cut_docs = dealt.groupBy("b").cogroup(masks.groupBy("b")).applyInArrow(
         lambda t, m: cut_batch(t, m, id_type, bits), f"id {kind}, n_bytes long, removed {SPANS}, kept binary"
