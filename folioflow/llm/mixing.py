@@ -14,11 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 BLOCK = 16
-#: Rows of one source above which its rows are numbered in ranges of ids; each such source is cut into so many ranges.
-LARGE, RANGES = 4_000, 1024
+#: Rows of one source above which its rows are numbered in ranges of ids. Each such source is cut into so many ranges, or
+#: twice as many, and so on, until none of the largest source's ranges has more than about FULL rows.
+LARGE, RANGES, FULL = 4_000, 1024, 100_000
+#: Leading bits of the row's hash by which rows of one id, or of none, are ranges of their own where they would fill one.
+SAME_BITS = 10
 #: A table with at most so many numbers in it is broadcast; a larger one is left to Spark's joins.
 BROADCAST = 1 << 18
 #: Leading digits of a hash by which the sources without a weight are numbered in many tasks.
@@ -66,12 +69,29 @@ def _small(rows: DataFrame, numbers: int) -> DataFrame:
     return F.broadcast(rows) if numbers <= BROADCAST else rows
 
 
-def _below(bounds: Column, value: Column) -> Column:
-    """How many of the ``RANGES`` - 1 sorted bounds are less than the value, by bisection."""
-    steps = F.array(*[F.lit(RANGES >> k) for k in range(1, RANGES.bit_length())])
+def _below(bounds: Column, value: Column, ranges: int) -> Column:
+    """How many of the ``ranges`` - 1 sorted bounds, a power of two less one, are less than the value, by bisection."""
+    steps = F.array(*[F.lit(ranges >> k) for k in range(1, ranges.bit_length())])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
 
 
+def _range(bounds: Column, value: Column, row: Column, ranges: int) -> Column:
+    """The range of a row, in the order of (value, row): its place among the bounds, and its place among rows of equal value.
+
+    A value that is two bounds fills a range, so its rows are dealt by the leading bits of their hash, behind the smaller
+    values of its first range; so are rows of a large source without a value. The rows of other values are one range.
+    """
+    part = F.shiftright(row, 64 - SAME_BITS) + F.lit(1 + (1 << SAME_BITS - 1))  # from 1, in the order of the signed hash
+
+    def place(at: Column) -> Column:
+        fills = (F.get(bounds, at) == value) & (F.get(bounds, at + 1) == value)
+        return F.struct(at.alias("at"), F.when(fills, part).otherwise(0).alias("part"))
+
+    none = F.struct(F.lit(-1).alias("at"), part.alias("part"))
+    one = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("part"))
+    return F.when(bounds.isNull(), one).when(value.isNull(), none).otherwise(let(_below(bounds, value, ranges), place))
+
+
 def _turns(others: DataFrame) -> DataFrame:
     """(__key, turn): sources without a weight numbered from 0 in order of the hash of their key.
 
@@ -93,6 +113,7 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     large: int = LARGE,
+    full: int = FULL,
 ) -> DataFrame:
     """The input's rows and columns with ``block``, ``release``, ``deadline`` and ``slot``; their order by slot is the mix.
 
@@ -104,7 +125,8 @@ def mix_sources(
     the row, equal rows anyhow. Input columns of the new names are replaced. An empty table gives an empty result.
 
     Documents of a source of over ``large`` rows are numbered within ranges of ids that hold about equally many, and counts of
-    the ranges are summed up, so a hot source's rows go to as many tasks as it has ranges, however its ids are spread.
+    the ranges are summed up, so a hot source's rows go to as many tasks as it has ranges, however its ids are spread. The number
+    of ranges grows with the largest source; rows without an id, and those of an id that fills a range, are dealt by their hash.
     """
     if other_parts < 1 or any(n < 1 for n in parts.values()):
         raise ValueError("weights are whole parts of at least 1")
@@ -112,16 +134,15 @@ def mix_sources(
     key = F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
     keyed = docs.select(*names, key.alias("__key"))
     sources = cut(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n")))
-    n_sources, n_large = sources.agg(F.count(F.lit(1)), F.count_if(F.col("n") > large)).first()  # two counts
+    n_sources, n_large, most = sources.agg(F.count(F.lit(1)), F.count_if(F.col("n") > large), F.max("n")).first()  # three numbers
+    ranges = RANGES
+    while (most or 0) > ranges * full:
+        ranges *= 2
     wide = keyed.join(_small(sources.where(F.col("n") > large).select("__key"), n_large), "__key")
-    at = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    bounds = wide.groupBy("__key").agg(F.percentile_approx(id_col, at, F.lit(4 * RANGES)).alias("__bounds"))
-    ranged = keyed.join(_small(cut(bounds), n_large * RANGES), "__key", "left").select(
-        *names,
-        "__key",
-        F.when(F.col("__bounds").isNull() | F.col(id_col).isNull(), 0).otherwise(_below(F.col("__bounds"), F.col(id_col))).alias("__range"),
-        F.xxhash64(*names).alias("__row"),
-    )
+    at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = wide.groupBy("__key").agg(F.percentile_approx(id_col, at, F.lit(4 * ranges)).alias("__bounds"))
+    hashed = keyed.withColumn("__row", F.xxhash64(*names)).join(_small(cut(bounds), n_large * ranges), "__key", "left")
+    ranged = hashed.withColumn("__range", _range(F.col("__bounds"), F.col(id_col), F.col("__row"), ranges)).drop("__bounds")
     counts = ranged.groupBy("__key", "__range").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("__key", "__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))

@@ -276,8 +276,8 @@ def test_mixing(spark):
     names = ["a"] * 2600 + ["b"] * 1500 + [None] * 1000 + ["c"] * 200 + ["d"] * 150 + ["e"] * 140
     rows = [(spread(n), s) for n, s in enumerate(names)] + [(None, "c"), (3, "c"), (3, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, source string").withColumn("slot", F.lit("clash"))
-    for large in (mixing.LARGE, 500):
-        found = mixing.mix_sources(docs, weights, block=4, large=large).collect()
+    for large, full in ((mixing.LARGE, mixing.FULL), (500, mixing.FULL), (500, 1)):
+        found = mixing.mix_sources(docs, weights, block=4, large=large, full=full).collect()
         same([(r.doc_id, r.source) for r in found], rows)
         slot_of = {(r.source, r.block): r.slot for r in found}
         assert len(set(slot_of.values())) == len(slot_of) and all(r.release <= r.slot < r.deadline for r in found)
@@ -292,6 +292,30 @@ def test_mixing(spark):
         mixing.mix_sources(docs, {"a": 0})
 
 
+def test_mixing_of_equal_and_missing_ids(spark):
+    ids = [None] * 900 + [7] * 1200 + list(range(700)) + [5] * 3
+    docs = spark.createDataFrame([(i, "a", str(n)) for n, i in enumerate(ids)], "doc_id long, source string, text string")
+    whole, dealt = (
+        sorted((r.slot, r.block, r.text) for r in mixing.mix_sources(docs, {"a": 2}, block=4, large=large, full=2).collect())
+        for large in (mixing.LARGE, 100)
+    )
+    assert dealt == whole and len(dealt) == len(ids)
+    order = [-1 if ids[int(t)] is None else ids[int(t)] for _, _, t in sorted(dealt, key=lambda r: (r[1], ids[int(r[2])] or -1))]
+    assert order == sorted(order)
+
+
+def test_mixing_ranges_split_equal_and_missing_ids(spark):
+    bounds = [10 if i < 6 else 10 * i for i in range(15)]  # the id 10 is six of sixteen bounds
+    rows = [(v, h) for v in (None, 3, 10, 65, 1000) for h in range(-(2**63), 2**63, 2**57 - 1)]
+    made = spark.createDataFrame(rows, "v long, h long").withColumn("bounds", F.array(*map(F.lit, bounds)))
+    found = made.withColumn("range", mixing._range(F.col("bounds"), F.col("v"), F.col("h"), 16)).collect()
+    ordered = sorted(found, key=lambda r: (r.v is not None, r.v or 0, r.h))
+    places = [tuple(r.range) for r in ordered]
+    assert places == sorted(places)
+    n = {v: len({tuple(r.range) for r in found if r.v == v}) for v in (None, 3, 10, 65, 1000)}
+    assert n[None] > 100 and n[10] > 100 and n[3] == n[65] == n[1000] == 1
+
+
 def test_mixing_of_very_many_sources(spark, monkeypatch):
     docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id") % 25_000).alias("source"))
     for most in (mixing.BROADCAST, 0):
