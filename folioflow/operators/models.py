@@ -5,7 +5,6 @@ A function runs in Arrow batches inside tasks; its surroundings (batches, checks
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_answer, comparable, guard, length_deviation
 from ..functions.values import salvage_json
+from .alike import ratios
 from .sequences import repair_topics, share_out
 
 Embed = Callable[[list[str]], list[list[float]]]
@@ -75,18 +75,14 @@ def shared_words(questions: list[str], texts: list[str]) -> list[float]:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            1.0 if x == y else 0.0 if not x or not y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
-            for x, y in zip(a.fillna(""), b.fillna(""), strict=True)
-        ]
-    )
+    return pd.Series(ratios(list(zip(a.fillna(""), b.fillna(""), strict=True))), dtype=float)
 
 
 def similarity(raw: Column, answer: Column) -> Column:
     """STR08: how much of two texts' letters and digits match in order, from 0 to 1.
 
-    Equal texts are not compared; others are in a time that grows with the square of a block's some thousand characters.
+    Equal texts are not compared; others are by the bigrams that they share, whose number grows with the square of a block's some
+    thousand characters.
     """
     return _ratio(comparable(raw), comparable(answer))
 

@@ -110,11 +110,12 @@ def sentences_of(paragraphs: Column, most: int) -> Column:
     """
     split = split_texts(F.transform(paragraphs, lambda p: p["text"]), most)
 
-    def placed(own: Column, n: Column) -> Column:
-        p = F.get(paragraphs, n)
-        return F.transform(own, lambda t: F.struct(t.alias("text"), n.alias("paragraph"), p["start"].alias("start"), p["end"].alias("end")))
+    def placed(x: Column, n: Column) -> Column:
+        p = x["p"]  # zipped, so that ``paragraphs`` is not computed again for each sentence
+        return F.transform(x["own"], lambda t: F.struct(t.alias("text"), n.alias("paragraph"), p["start"].alias("start"), p["end"].alias("end")))
 
-    return F.flatten(F.transform(split, placed))
+    zipped = F.arrays_zip(split.alias("own"), F.coalesce(paragraphs, F.array()).alias("p"))
+    return F.flatten(F.transform(zipped, placed))
 
 
 def chunks(parts: DataFrame, sentence_col: str, target: int = 3000, overlap: int = 400) -> DataFrame:

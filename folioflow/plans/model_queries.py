@@ -45,8 +45,8 @@ def mod_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(F.col("doc_id") % 3 == 0, F.upper("raw")).when(F.col("doc_id") % 3 == 1, F.reverse("raw")).otherwise(F.concat(F.lit("Hier ist der Text:\n"), "raw"))
     rows = docs.withColumn("answer", t.clean_answer(answer))
     rows = rows.withColumn("alike", m.similarity(F.col("raw"), F.col("answer")))
-    g = t.guard(F.col("raw"), F.col("answer"), F.col("alike"))
-    return rows.select("doc_id", "block", F.round("alike", 6).alias("alike"), g["discarded"].alias("discarded"), g["reason"].alias("reason"))
+    rows = q.settled(rows, "g", t.guard(F.col("raw"), F.col("answer"), F.col("alike")))
+    return rows.select("doc_id", "block", F.round("alike", 6).alias("alike"), "g.discarded", "g.reason")
 
 
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
