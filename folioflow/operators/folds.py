@@ -1,31 +1,58 @@
 """Folds over one work's ordered parts whose steps depend on the steps before: each is linear in the parts.
 
 They see numbers (lengths, times, levels), come as arrays in Arrow batches and give back group numbers, runs or flags; texts
-stay in Spark, which slices and joins them, but for chunks, whose texts are joined on the way.
+stay in Spark, which slices and joins them, but for chunks, whose texts are joined on the way. Of a batch only a few MB at a
+time are Python's objects, so a task's memory does not grow with its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 NEVER = 1 << 60
+#: Bytes of an Arrow batch that are Python's objects at a time; a larger row is by itself.
+PIECE_BYTES = 1 << 20
 #: Kinds of a Markdown file's lines; 1 to 3 are headings that open a section, DEEP ones do not.
 BLANK, DEEP, TEXT, FENCE = 0, 4, 5, 6
 
 
+def pieces(batch: pa.Array, most: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """A batch's rows in order, in slices of at most ``most`` bytes or one row."""
+    if len(batch) < 2 or batch.nbytes <= most:
+        yield batch
+        return
+    half = len(batch) // 2
+    yield from pieces(batch[:half], most)
+    yield from pieces(batch[half:], most)
+
+
+def lists(column: pa.Array) -> Iterator[list | None]:
+    """The rows of a column of arrays."""
+    values = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    at = 0
+    for n in column.value_lengths().to_pylist():
+        yield None if n is None else values[at : at + n]
+        at += n or 0
+
+
 def fold(step: Callable[..., Any], kind: str, *columns: Column) -> Column:
     """``step`` over each row's arrays; a row with a null array gives null."""
-
-    @F.pandas_udf(kind)
-    def run(values: pd.DataFrame) -> pd.Series:
-        rows = zip(*(values[c] for c in values), strict=True)
-        return pd.Series([None if any(x is None for x in row) else step(*(list(x) for x in row)) for row in rows], dtype=object)
+    made = to_arrow_type(T.DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for piece in pieces(batch):
+                rows = zip(*map(lists, piece.flatten()), strict=True)
+                yield pa.array([None if any(x is None for x in row) else step(*row) for row in rows], made)
 
     return run(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]))
 

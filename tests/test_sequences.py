@@ -102,3 +102,19 @@ def test_markdown_marks(spark):
     }
     found = spark.createDataFrame([(s,) for s in rows], "s string").select("s", t.plain_markdown(F.col("s")).alias("p")).collect()
     assert {r.s: r.p for r in found} == rows
+
+
+def test_batches_are_objects_a_few_megabytes_at_a_time(spark):
+    """Slices of a batch are bounded by bytes, whatever its rows; folds over many and null rows give the same as row by row."""
+    import pyarrow as pa
+
+    from folioflow.operators.folds import fold, lists, pieces, running_ends
+
+    texts = [["x" * n, None] if n % 5 else None for n in range(600)] + [["y" * 50_000]]
+    batch = pa.array(texts)
+    found = list(pieces(batch, 10_000))
+    assert [row for p in found for row in lists(p)] == texts
+    assert all(p.nbytes <= 10_000 or len(p) == 1 for p in found) and len(found) > 15
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "IF(id % 7 = 0, NULL, array_repeat(id, 60)) AS s")
+    ends = {r[0]: r[1] for r in rows.select("id", fold(running_ends(1), "array<long>", F.col("s"))).collect()}
+    assert ends == {i: None if i % 7 == 0 else [i * (k + 1) + k for k in range(60)] for i in range(3000)}
