@@ -64,3 +64,12 @@ def test_similarity_of_many_pairs_is_that_of_difflib():
     for x in long[:60]:
         SequenceMatcher(None, x, x[::-1], autojunk=False).ratio()
     assert mine / 300 < (time.perf_counter() - start) / 60 / 2
+
+
+def test_a_model_gets_a_bounded_number_of_bytes_at_a_time(spark):
+    def most(texts: list[str]) -> list[list[float]]:
+        return [[float(sum(map(len, texts)))]] * len(texts)
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('ab', 1000) AS t")
+    sums = models.embed(rows, "t", most, 1).selectExpr("max(vector[0])", "count(vector)").first()
+    assert sums[0] <= 1 << 20 and sums[1] == 3000
