@@ -21,6 +21,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 MOST, IDLE_S, FORGET_S = 500, 15, 7 * 24 * 3600
 #: What a subscriber says to get events of all kinds.
 ALL = "*"
+#: Kinds of a pool's events by their number, 0 for all others; rows of a frame that a pool gives out.
+KINDS, FRAME = ("other", "queued", "started", "progress", "finished"), 10_000
 
 
 def _in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> list[np.ndarray]:
@@ -146,7 +148,10 @@ def heartbeats(stream: DataFrame, idle_s: int = IDLE_S, late: str = "0 seconds")
 
 
 class Pool(StatefulProcessor):
-    """A pool's jobs that wait or run, each with its state, since when, progress and last event; and a timer to forget them."""
+    """A pool's jobs that wait or run, each with its state, since when, progress and last event; and a timer to forget them.
+
+    A batch's events of a pool are some 33 bytes each in plain arrays while they are put in order; rows go out as they are made.
+    """
 
     def __init__(self, forget_ms: int) -> None:
         self.forget_ms = forget_ms
@@ -155,6 +160,10 @@ class Pool(StatefulProcessor):
         self.handle = handle
         self.jobs = handle.getMapState("jobs", "job_id long", "state string, since long, progress double, heard long")
 
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["pool", "event_id", "job_id", "state", "position", "n_waiting", "n_running", "progress"])
+        return frame.astype({"position": "Int64", "progress": "Float64"})
+
     def _wait(self, heard: list[int]) -> None:
         """A timer for the job that would be forgotten first."""
         for timer in list(self.handle.listTimers()):
@@ -179,7 +188,8 @@ class Pool(StatefulProcessor):
         queue = sorted((v[1], k) for k, v in known.items() if v[0] == "waiting")
         running = sum(v[0] == "running" for v in known.values())
         out = []
-        for t, event, job, kind, value in zip(us.tolist(), ids.tolist(), jobs.tolist(), kinds.tolist(), values.tolist(), strict=True):
+        for n in range(len(us)):
+            t, event, job, kind, value = int(us[n]), int(ids[n]), int(jobs[n]), KINDS[kinds[n]], float(values[n])
             state, since, progress, heard = known.get(job, ("unknown", t, 0.0, t))
             after = state
             if kind == "queued" and state == "unknown":
@@ -200,14 +210,16 @@ class Pool(StatefulProcessor):
             changed.add(job)
             position = bisect_right(queue, (since, job)) if after == "waiting" else None
             out.append((key[0], event, job, after, position, len(queue), running, progress if after == "running" else None))
+            if len(out) == FRAME:
+                yield self._frame(out)
+                out = []
         for job in changed:
             if job in known:
                 self.jobs.updateValue((job,), known[job])
             else:
                 self.jobs.removeKey((job,))
         self._wait([v[3] for v in known.values()])
-        frame = pd.DataFrame(out, columns=["pool", "event_id", "job_id", "state", "position", "n_waiting", "n_running", "progress"])
-        return iter([frame.astype({"position": "Int64", "progress": "Float64"})])
+        yield self._frame(out)
 
 
 def pool_states(stream: DataFrame, forget_s: int = FORGET_S, late: str = "0 seconds") -> DataFrame:
@@ -217,6 +229,7 @@ def pool_states(stream: DataFrame, forget_s: int = FORGET_S, late: str = "0 seco
     first time it is queued, at a position counted from 1 by time, until it starts, and runs until it is finished. A pool's
     state is its jobs that wait or run; one is forgotten once the watermark is ``forget_s`` past its last event.
     """
-    timed = stream.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    kind = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS[1:])), F.col("kind")), F.lit(0)).cast("byte")
+    timed = stream.withWatermark("ts", late).select("ts", F.unix_micros("ts").alias("us"), "event_id", "pool", "job_id", kind.alias("kind"), F.col("value").cast("double"))
     schema = "pool long, event_id long, job_id long, state string, position long, n_waiting long, n_running long, progress double"
     return timed.groupBy("pool").transformWithStateInPandas(Pool(forget_s * 1000), schema, "append", "EventTime")

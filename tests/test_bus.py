@@ -123,3 +123,23 @@ def test_batch_of_unknown_ids(spark):
     found = {r.work_id: (r.selected, r.manual, r.action) for r in merge.select_batch(works, asked, True, seen).collect()}
     assert found == {1: (True, True, "unchanged"), 2: (True, True, "added"), 3: (True, False, "kept")}
     assert seen.get == {"asked": 3, "changed": 1, "unchanged": 1, "not_found": 1}
+
+
+def test_a_pool_gives_its_rows_out_in_frames():
+    """A batch of many events of one pool is neither rows nor a frame as a whole; its states follow each other through frames."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    n, jobs = 25_000, {}
+    state = SimpleNamespace(iterator=lambda: iter(()), updateValue=lambda k, v: jobs.update({k: v}), removeKey=lambda k: jobs.pop(k, None))
+    pool = bus.Pool(1000)
+    pool.init(SimpleNamespace(getMapState=lambda *_: state, listTimers=lambda: [], registerTimer=lambda at: None))
+    at = np.arange(n)[::-1]
+    rows = pd.DataFrame({"us": at, "event_id": at, "job_id": at % 50, "kind": np.where(at < 50, 1, 0).astype(np.int8), "value": 0.0})
+    frames = list(pool.handleInputRows((3,), iter([rows[:9000], rows[9000:]]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert max(map(len, frames)) <= 10_000 and sum(map(len, frames)) == n
+    whole = pd.concat(frames)
+    assert whole["event_id"].tolist() == list(range(n)) and (whole["position"][50:] == whole["job_id"][50:] + 1).all()
+    assert len(jobs) == 50 and whole["n_waiting"].iloc[-1] == 50
