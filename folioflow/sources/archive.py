@@ -21,6 +21,8 @@ from ..shared import store_of
 
 LINES, MEMBERS = "tar_lines", "tar_members"
 RANGE_BYTES, BLOCK = 32 << 20, 1 << 20
+#: Tasks that many small ranges or archives are dealt to.
+TASKS = 64
 
 
 def _packed(path: str) -> bool:
@@ -48,7 +50,12 @@ class Archive(InputPartition):
 
 
 @dataclass
-class Range(InputPartition):
+class Archives(InputPartition):
+    paths: list[str]
+
+
+@dataclass
+class Range:
     path: str
     number: int
     name: str
@@ -58,20 +65,40 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[Range]
+
+
+def _groups(ranges: list[Range]) -> list[Ranges]:
+    """Neighbouring ranges of ``RANGE_BYTES`` together, so that small ones are no tasks of their own; but ``TASKS`` tasks where there are as many."""
+    share = min(RANGE_BYTES, -(-sum(r.end - r.begin for r in ranges) // TASKS))
+    out, held = [], 0
+    for r in ranges:
+        if not out or held >= share:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += r.end - r.begin
+    return out
+
+
 class MemberReader(DataSourceReader):
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
 
     def partitions(self) -> list[InputPartition]:
-        return [Archive(p) for p in self.paths]
+        width = -(-len(self.paths) // TASKS) or 1
+        return [Archives(self.paths[i : i + width]) for i in range(0, len(self.paths), width)]
 
-    def read(self, partition: Archive) -> Iterator[tuple]:
-        if _packed(partition.path):
-            for i, m, _ in _stream(partition.path):
-                yield partition.path, i, m.name.removeprefix("./"), m.size
-        else:
-            for i, name, _, size in _headers(partition.path):
-                yield partition.path, i, name, size
+    def read(self, partition: Archives) -> Iterator[tuple]:
+        for path in partition.paths:
+            if _packed(path):
+                for i, m, _ in _stream(path):
+                    yield path, i, m.name.removeprefix("./"), m.size
+            else:
+                for i, name, _, size in _headers(path):
+                    yield path, i, name, size
 
 
 class LineReader(DataSourceReader):
@@ -89,10 +116,10 @@ class LineReader(DataSourceReader):
             if name.endswith(self.ending)
             for a in range(0, size, self.width)
         ]
-        return [*ranges, *(Archive(p) for p in self.paths if _packed(p))]
+        return [*_groups(ranges), *(Archive(p) for p in self.paths if _packed(p))]
 
-    def read(self, partition: Range | Archive) -> Iterator[tuple]:
-        """Lines that begin in the range, whole, with the place in their member that they begin at."""
+    def read(self, partition: Ranges | Archive) -> Iterator[tuple]:
+        """Lines that begin in the ranges, whole, with the place in their member that they begin at."""
         if isinstance(partition, Archive):
             for i, m, content in _stream(partition.path):
                 at = 0
@@ -100,7 +127,10 @@ class LineReader(DataSourceReader):
                     yield partition.path, m.name.removeprefix("./"), i, at, line.rstrip(b"\n").decode()
                     at += len(line)
             return
-        p = partition
+        for r in partition.ranges:
+            yield from self.lines(r)
+
+    def lines(self, p: Range) -> Iterator[tuple]:
         store, place = store_of(p.path)
         with store.open_input_file(place) as f:
             at = max(0, p.begin - 1)  # a line begins behind a line end, which may be the byte before the range
