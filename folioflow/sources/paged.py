@@ -1,4 +1,4 @@
-"""Paged listings of a service: a Python data source with one partition a page, and a drain that ends by distinct ids.
+"""Paged listings of a service: a Python data source whose partitions are ranges of pages, and a drain that ends by distinct ids.
 
 A page is a JSON object with its entries under one key and, under another, how many entries the service has in all. Services
 cap page sizes without a word, repeat entries when new ones push old ones on, and some answer the last page again and again, so
@@ -23,6 +23,8 @@ FORMAT = "paged_listing"
 SCHEMA = "page int, position int, total long, entry string"
 #: Most pages that one round reads; the driver gets one row a page of a round.
 AHEAD = 10_000
+#: Partitions that a round has at most, and how many times the pages of the round before one may read.
+TASKS, GROWTH = 128, 16
 
 
 class PagedError(ValueError):
@@ -56,8 +58,9 @@ def fetch(url: str) -> bytes | None:
 
 
 @dataclass
-class Page(InputPartition):
-    number: int
+class Pages(InputPartition):
+    first: int
+    last: int
 
 
 class PageReader(DataSourceReader):
@@ -66,11 +69,15 @@ class PageReader(DataSourceReader):
         self.first, self.last, self.size = int(options.get("first", "1")), int(options.get("last", "1")), options.get("size", "50")
 
     def partitions(self) -> list[InputPartition]:
-        return [Page(n) for n in range(self.first, self.last + 1)]
+        width = -(-(self.last - self.first + 1) // TASKS)
+        return [Pages(n, min(self.last, n + width - 1)) for n in range(self.first, self.last + 1, width)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        """The page's entries as JSON; a page without any is one row with a null entry."""
-        n = partition.number
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        """The pages' entries as JSON, page by page; a page without any is one row with a null entry."""
+        for n in range(partition.first, partition.last + 1):
+            yield from self.page(n)
+
+    def page(self, n: int) -> Iterator[tuple]:
         content = fetch(self.url.replace("{page}", str(n)).replace("{size}", self.size))
         try:
             page = json.loads(content) if content else {self.items: []}
@@ -101,7 +108,7 @@ class PagedListing(DataSource):
 
 
 def read_pages(spark: SparkSession, url: str, first: int, last: int, size: int = 50, items: str = "videos", total: str = "total") -> DataFrame:
-    """SRC08: (page, position, total, entry) of the pages from ``first`` to ``last``, each fetched by a task of its own.
+    """SRC08: (page, position, total, entry) of the pages from ``first`` to ``last``, fetched by ``TASKS`` tasks at most.
 
     ``{page}`` and ``{size}`` in ``url`` stand for the page's number, from 1, and the size asked for.
     """
@@ -116,13 +123,14 @@ def drain(spark: SparkSession, url: str, id_key: str, size: int = 50, ahead: int
 
     In the order of pages the listing ends at an empty page, or with the page that brings the distinct ids up to the total
     it names; a page before that with known ids alone is a ``PagedError``. Entries without an id don't count. The pages of a
-    round are read at once, as many as the total still needs (``ahead`` at most); the driver sees counts by page, and pages
-    beyond the end are dropped. The rows are (id, page, position, entry), kept as a checkpoint.
+    round are read at once, as many as the total still needs at the new ids that a page has brought so far, ``size`` at most (``ahead`` pages, and ``GROWTH`` times the round before, since a service may end early or repeat itself); the
+    driver sees counts by page, and pages beyond the end are dropped. The rows are (id, page, position, entry), kept as a checkpoint.
     """
-    seen, counted, known, total, following = None, [], 0, 1, 1
+    seen, counted, known, total, following, width = None, [], 0, 1, 1, 1
     while True:
-        want = -(-max(1, total - known) // size) if counted else 1
-        last = following + min(ahead, want) - 1
+        brought = min(size, max(1, known // len(counted))) if counted else size
+        width = min(ahead, width * GROWTH, -(-max(1, total - known) // brought)) if counted else 1
+        last = following + width - 1
         rows = read_pages(spark, url, following, last, size, **keys)
         rows = cut(rows.withColumn("id", F.nullif(F.trim(F.get_json_object("entry", f"$.{id_key}")), F.lit(""))))
         first = rows.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("page", "position", "entry")).alias("f")).select("id", "f.*")

@@ -247,3 +247,15 @@ def test_tools_and_sound(spark):
     assert sorted(map(tuple, merge.acquired(audio, made, ["format"]).collect())) == [(1, "mp3", "stream"), (2, "opus", "file"), (3, None, "source")]
     with pytest.raises(Exception, match="unknown way x"):
         merge.acquired(audio, made.withColumn("way", F.lit("x")), ["format"]).collect()
+
+
+def test_many_small_pages_and_ranges_are_few_tasks(spark, tmp_path):
+    url = put_pages(tmp_path, [[f"e{n}"] for n in range(700)], 700)
+    assert paged.read_pages(spark, url, 1, 700).rdd.getNumPartitions() <= paged.TASKS
+    assert [r.page for r in paged.read_pages(spark, url, 1, 700).select("page").collect()] == list(range(1, 701))
+    rows, pages = paged.drain(spark, url, "id", size=50)
+    assert rows.count() == len(pages) == 700
+    table = spark.range(3000).selectExpr("id", "repeat('z', 40) AS text")
+    parts = [f"file://{tmp_path}/h/{p['name']}" for p in handover.write_handover([handover.Table("all", table, ["id"])], f"file://{tmp_path}/h", 3)["parts"]]
+    lines = archive.lines(spark, parts, width=100)
+    assert lines.rdd.getNumPartitions() <= 2 * archive.TASKS and lines.select("line").distinct().count() == 3000
