@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from ..functions.text import function_name
 
@@ -38,12 +39,30 @@ def across_satellites(
     the satellite and makes its join an inner one. ``any_of`` are those over several sides, after the joins, where a missing
     satellite's columns are null. None is a predicate that the user did not give. A satellite has a row a key at most, and
     where the user asks about none of its columns it may be left out of the list: it neither adds nor drops rows.
+
+    Rows without a key stay in an outer join, and Spark would send all of them to one task; see ``_outer``.
     """
     found = where_all(rows, *own)
-    for table, key, predicates in satellites:
-        given = [p for p in predicates if p is not None]
-        found = found.join(where_all(table, *given), key, "inner" if given else "left")
-    return where_all(found, *any_of)
+    given = [[p for p in predicates if p is not None] for _, _, predicates in satellites]
+    if not all(given):
+        hashed = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+        found = found.withColumn("__apart", F.hash(*hashed))
+    for (table, key, _), g in zip(satellites, given, strict=True):
+        found = found.join(where_all(table, *g), key) if g else _outer(found, table, key)
+    return where_all(found.drop("__apart"), *any_of)
+
+
+def _outer(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join in which rows whose key is null are dealt by ``__apart``, a hash of the row, and meet nothing.
+
+    Only rows that are equal in all columns stay together. Keys that are neither numbers nor texts are joined as they are.
+    """
+    kind = rows.select(key).schema[0].dataType
+    if not isinstance(kind, (NumericType, StringType)):
+        return rows.join(table, key, "left")
+    apart = F.col("__apart").cast("string") if isinstance(kind, StringType) else F.col("__apart")
+    meets = (F.coalesce(F.col(key), apart) == F.col("__key")) & F.col(key).isNotNull()
+    return rows.join(table.withColumnRenamed(key, "__key"), meets, "left").drop("__key")
 
 
 def in_period(since: str, *dates: Column) -> Column:

@@ -99,6 +99,49 @@ def test_predicates_go_below_their_joins(spark, tmp_path):
     assert [r.video_id for r in free.collect()] == [2]
 
 
+@pytest.fixture
+def fixed_partitions(spark):
+    """Joins shuffle both sides to as many partitions as the session says."""
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    for k, v in fixed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "short", "double", "string", "date"])
+def test_rows_without_a_key(spark, fixed_partitions, kind):
+    """They are dealt over the tasks of an outer join, and meet nothing, even where a key is the number they are dealt by."""
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")) if kind == "date" else n.cast(kind)
+    chunks = spark.range(2000).select(F.col("id").alias("chunk_id"), F.when(F.col("id") < 200, day(F.col("id") % 50)).alias("video_id"), F.create_map("id", "id").alias("more"))
+    keys = spark.range(50).select(day(F.col("id")).alias("video_id"))
+    if kind in ("long", "int", "double", "string"):
+        keys = keys.union(chunks.where("chunk_id >= 200").select(F.hash("chunk_id", "video_id").cast(kind))).distinct()
+    videos = keys.select("video_id", F.concat(F.lit("v"), "video_id").alias("title"))
+    found = listing.across_satellites(chunks, [(videos, "video_id", [])], [], [])
+    assert set(found.columns) == {"chunk_id", "video_id", "more", "title"}
+    rows = found.select("chunk_id", "video_id", "title", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.chunk_id for r in rows) == list(range(2000))
+    assert all((r.title is None) == (r.chunk_id >= 200) == (r.video_id is None) for r in rows)
+    assert all(r.title == f"v{r.video_id}" for r in rows if r.chunk_id < 200)
+    if kind != "date":
+        lacking = [r.task for r in rows if r.video_id is None]
+        assert len(set(lacking)) == 8 and max(map(lacking.count, set(lacking))) < 400
+
+
+def test_key_of_an_earlier_satellite(spark, fixed_partitions):
+    chunks = spark.range(1000).select(F.col("id").alias("chunk_id"), F.when(F.col("id") % 4 == 0, F.col("id") % 40).alias("video_id"))
+    videos = spark.range(20).select(F.col("id").alias("video_id"), F.when(F.col("id") < 8, F.col("id")).alias("work_id"))
+    works = spark.range(5).select(F.col("id").alias("work_id"), F.lit("w").alias("work"))
+    rows = listing.across_satellites(chunks, [(videos, "video_id", []), (works, "work_id", [])], [], [None])
+    expected = {i: (v := i % 40 if i % 4 == 0 else None, w := v if v is not None and v < 8 else None, "w" if w is not None and w < 5 else None) for i in range(1000)}
+    assert {r.chunk_id: (r.video_id, r.work_id, r.work) for r in rows.collect()} == expected
+    held = listing.across_satellites(chunks, [(videos, "video_id", []), (works, "work_id", [F.col("work") == "w"])], [], [])
+    assert sorted(r.chunk_id for r in held.collect()) == [i for i, x in expected.items() if x[2]]
+
+
 def test_selection_in_one_scan(spark, tmp_path):
     works = [(1, True, False, "audio"), (2, False, False, "audio"), (3, False, True, "audio"), (4, True, False, "embedded"), (5, False, False, "embedded")]
     spark.createDataFrame(works, "work_id long, selected boolean, manual boolean, stage string").write.parquet(f"{tmp_path}/works")
