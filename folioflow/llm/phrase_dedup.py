@@ -4,8 +4,9 @@ A rolling hash over 16 bytes sets triggers: of the hashes inside a string of 50
 string's trigger, so equal strings have equal triggers wherever they stand. Neighbouring strings with one
 trigger form a phrase, which reaches 49 bytes into its successors in the parse; the suffixes of a phrase then
 order the corpus to a depth of 50 bytes without looking at the parse again, so the parse's own suffix array is not needed.
-The dictionary holds each distinct phrase whose trigger occurs in two documents, with the first document that has it; its
-suffixes are sorted, and a run of equal ones gives the first document of a string.
+The dictionary holds each distinct phrase whose trigger occurs in two documents, with the first document that has it. Strings
+are equal only if their triggers stand at one place in them, so the suffixes that begin with a trigger are sorted, and so is, backwards, what stands
+before it: a run of neighbours in both orders gives the first document of a string, and no string is sorted by itself.
 
 On Spark, documents are dealt into batches by a hash of their id. Each distinct trigger of a batch is a row, and Spark
 counts the batches of a trigger. Where all have the same one phrase, as inside a copied passage, its first document is known
@@ -32,37 +33,48 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 LENGTH, TRIGGER = 50, 16
+#: Where the words begin that cover a string.
+WORDS = (*range(0, LENGTH - 8, 8), LENGTH - 8)
 #: Occurrences of a trigger above which its strings are dealt one by one: what a bucket has to hold of one trigger at most.
 HOT = 20_000
-#: Bytes of text in a batch, and positions whose hashes are in memory at a time.
-BATCH_BYTES, STRETCH = 8 << 20, 1 << 18
+#: Bytes of text in a batch, and positions or phrases that are hashed at a time: as many as a core's cache holds.
+BATCH_BYTES, STRETCH = 8 << 20, 1 << 15
+#: Bits that number the positions of a stretch and of the strings that begin in it.
+PLACE = 16
 U = np.uint64
 # Odd multipliers that spread bits.
 SPREAD_A, SPREAD_B, SPREAD_C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(32))) * SPREAD_A
-    x = (x ^ (x >> U(29))) * SPREAD_B
-    return x ^ (x >> U(32))
+    y = x >> U(32)
+    y ^= x
+    y *= SPREAD_A
+    z = y >> U(29)
+    y ^= z
+    y *= SPREAD_B
+    y ^= np.right_shift(y, U(32), out=z)
+    return y
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """At each position, the eight bytes from there on as one integer."""
-    a = data.astype(U)
-    a = a[:-1] | a[1:] << U(8)
-    a = a[:-2] | a[2:] << U(16)
-    return a[:-4] | a[4:] << U(32)
+def _words(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """At each position, the eight bytes from there on as one integer: a view."""
+    return np.ndarray(max(len(data) - 7, 0), f"{order}u8", np.ascontiguousarray(data), strides=(1,))
 
 
 def _keys(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """64-bit hashes of phrases: of the first and the last string, which cover the phrase, and the number of strings."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = _mix(count.astype(U))
-    for start in (first, first + count - 1):
-        for offset in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-            key = _mix(key * SPREAD_C + padded[start[:, None] + np.arange(offset, offset + 8)].view("<u8")[:, 0])
-    return key
+    words, out = _words(data), np.empty(len(first), U)
+    for at in range(0, len(first), STRETCH):
+        f, n = first[at : at + STRETCH], count[at : at + STRETCH]
+        key = _mix(n.astype(U))
+        for start in (f, f + n - 1):
+            for offset in WORDS:
+                key *= SPREAD_C
+                key += words[start + offset]
+                key = _mix(key)
+        out[at : at + STRETCH] = key
+    return out
 
 
 def _strings(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,13 +86,14 @@ def _strings(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Parse:
-    """A batch's bytes and its phrases: first string, number of strings, trigger hash, document number."""
+    """A batch's bytes and its phrases: first string, number of strings, trigger hash, trigger's place in the phrase, document number."""
 
     data: np.ndarray
     ends: np.ndarray
     first: np.ndarray
     count: np.ndarray
     trigger: np.ndarray
+    lead: np.ndarray
     doc: np.ndarray
 
 
@@ -91,31 +104,39 @@ def parse(texts: list[bytes], use: list[bool]) -> Parse:
     none = np.zeros(len(data), bool)  # where no string starts
     for end, text, on in zip(ends.tolist(), texts, use, strict=True):
         none[max(end - len(text), end - LENGTH + 1) if on else end - len(text) : end] = True
-    window, starts, hashes, stops = LENGTH - TRIGGER + 1, [], [], []
+    window, starts, stops, hashes, places = LENGTH - TRIGGER + 1, [], [], [], []
+    number = np.arange(STRETCH + window, dtype=np.uint32)
     for at in range(0, len(data) - LENGTH + 1, STRETCH):
         n = min(STRETCH, len(data) - LENGTH + 1 - at)
-        w = _words(np.concatenate([data[at : at + n + LENGTH - 1], np.zeros(7, np.uint8)]))
-        h = _mix(w[: n + window - 1])
+        w = _words(data[at : at + n + LENGTH - 1]).copy()
+        h = w[: n + window - 1] * SPREAD_C
         for offset in (*range(8, TRIGGER - 8, 8), TRIGGER - 8):
-            h = _mix(h + w[offset : offset + n + window - 1] * SPREAD_C)
-        low = (h >> U(24) << U(24)) | np.arange(len(h), dtype=U)  # the leftmost of equal ones
+            h ^= h >> U(32)
+            h *= SPREAD_A
+            h += w[offset : offset + n + window - 1] * SPREAD_B
+        h ^= h >> U(29)
+        h *= SPREAD_C  # the upper bits are the ones that are used
+        low = (h >> U(32 + PLACE)).astype(np.uint32)
+        low <<= PLACE
+        low |= number[: len(h)]  # the leftmost of equal ones
         reach = 1
         while reach < window:
             step = min(reach, window - reach)
             low = np.minimum(low[:-step], low[step:])
             reach += step
-        place = (low & U((1 << 24) - 1)).astype(np.int64)
-        place[none[at : at + n]] = -1
-        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        off = none[at : at + n]
+        new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (off[1:] != off[:-1])]))
         end = np.append(new[1:], n)
-        real = place[new] >= 0
-        starts.append(new[real] + at)
+        real = ~off[new]
+        new = new[real]
+        place = (low[new] & ((1 << PLACE) - 1)).astype(np.int64)
+        starts.append(new + at)
         stops.append(end[real] + at)
-        hashes.append(h[place[new[real]]])
-    first = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    stop = np.concatenate(stops) if stops else first
+        hashes.append(h[place])
+        places.append(place - new)
+    first, stop, lead = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, stops, places))
     trigger = np.concatenate(hashes) if hashes else np.zeros(0, U)
-    return Parse(data, ends, first, stop - first, trigger, np.searchsorted(ends, first, "right"))
+    return Parse(data, ends, first, stop - first, trigger, lead, np.searchsorted(ends, first, "right"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +160,42 @@ def _batch(table: pa.Table, bits: int) -> tuple[list, list[bytes], np.ndarray, P
     return ids, texts, np.array([i or 0 for i in ids], np.int64), p
 
 
-def _firsts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each distinct key, in order: the key, its least and greatest document, and one place that has the least."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    ends = np.append(at[1:], len(key)) - 1
-    return key[at], doc[at], doc[ends[: len(at)]], order[at]
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys are neighbours, and where each distinct one begins in it."""
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+
+
+def _firsts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct key, in order: the key, its least document, and a place that has the key."""
+    order, at = _groups(key)
+    one = order[at]
+    return key[one], np.minimum.reduceat(doc[order], at) if len(at) else doc, one
+
+
+def _least(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each entry, the least document of all that have its key."""
+    order, at = _groups(key)
+    least = np.empty_like(doc)
+    if len(at):
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.append(at, len(key))))
+    return least
+
+
+def _met(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in x of entries that are known, and where they stand among the known ones, which are sorted.
+
+    Most others are told by their last 20 bits, without a search.
+    """
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    some, last = np.zeros(1 << 20, bool), U((1 << 20) - 1)
+    some[known & last] = True
+    here = np.flatnonzero(some[x & last])
+    at = np.minimum(np.searchsorted(known, x[here]), len(known) - 1)
+    found = known[at] == x[here]
+    return here[found], at[found]
 
 
 def _numbers(column: pa.ChunkedArray) -> np.ndarray:
@@ -163,7 +213,7 @@ TRIGGERS = pa.schema(
     [("b", pa.int32()), ("h", pa.int64()), ("one", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("several", pa.bool_())]
 )
 PHRASES = pa.schema(
-    [("b", pa.int32()), ("k", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("hot", pa.int64()), ("raw", pa.binary()), ("string", pa.binary())]
+    [("b", pa.int32()), ("k", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("lead", pa.int32()), ("hot", pa.int64()), ("raw", pa.binary()), ("string", pa.binary())]
 )
 MASKS = pa.schema([("b", pa.int32()), ("key", pa.int64()), ("mask", pa.int64()), ("hot", pa.int64()), ("raw", pa.binary())])
 #: Bits of the trigger in a row beyond those that number the corpus's bytes, and of a phrase's hash.
@@ -179,17 +229,15 @@ def send_triggers(table: pa.Table, bits: int) -> pa.Table:
     if not len(p.first):
         return TRIGGERS.empty_table()
     key, doc = _keys(p.data, p.first, p.count) >> U(64 - ONE) << U(64 - ONE), number[p.doc]  # zeros beside h's own pack well
-    order = np.lexsort((key, p.trigger))
-    h, key, doc = p.trigger[order], key[order].view(np.int64), doc[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    ends = np.append(at[1:], len(h))
-    least = np.minimum.reduceat(doc, at)
+    order, at = _groups(p.trigger)
+    key, doc = key[order].view(np.int64), doc[order]
+    one, least = np.minimum.reduceat(key, at), np.minimum.reduceat(doc, at)
     columns = [
         np.full(len(at), table.column("b")[0].as_py(), np.int32),
-        h[at].view(np.int64),
-        np.where(key[at] == key[ends - 1], key[at], -1),
+        p.trigger[order[at]].view(np.int64),
+        np.where(one == np.maximum.reduceat(key, at), one, -1),
         least,
-        (ends - at).astype(np.int32),
+        np.diff(np.append(at, len(key))).astype(np.int32),
         np.maximum.reduceat(doc, at) > least,
     ]
     return pa.table([pa.array(c) for c in columns], schema=TRIGGERS)
@@ -230,16 +278,17 @@ def send_phrases(table: pa.Table, shared: pa.Table, buckets: int, bits: int) ->
         return PHRASES.empty_table()
     _, _, number, p = _batch(table, bits)
     h, kind = _numbers(shared.column("h")).view(U), _numbers(shared.column("kind"))
-    here = np.flatnonzero(np.isin(p.trigger, h[kind == SEVERAL]))
-    key, doc, _, one = _firsts(_keys(p.data, p.first[here], p.count[here]), number[p.doc[here]])
+    here, _ = _met(p.trigger, np.sort(h[kind == SEVERAL]))
+    key, doc, one = _firsts(_keys(p.data, p.first[here], p.count[here]), number[p.doc[here]])
     one = here[one]
-    first, count, home, trigger = p.first[one], p.count[one], p.trigger[one], np.full(len(one), -1)
+    first, count, lead, home, trigger = p.first[one], p.count[one], p.lead[one], p.trigger[one], np.full(len(one), -1)
     if (kind == VERY_MANY).any():
-        here = np.flatnonzero(np.isin(p.trigger, h[kind == VERY_MANY]))
-        phrase, _, start = _strings(p.first[here], p.count[here])
+        here, _ = _met(p.trigger, np.sort(h[kind == VERY_MANY]))
+        phrase, offset, start = _strings(p.first[here], p.count[here])
         single = np.ones(len(start), np.int64)
-        own, least, _, one = _firsts(_keys(p.data, start, single), number[p.doc[here[phrase]]])
+        own, least, one = _firsts(_keys(p.data, start, single), number[p.doc[here[phrase]]])
         key, doc, first, count = (np.concatenate(x) for x in ((key, own), (doc, least), (first, start[one]), (count, single[one])))
+        lead = np.concatenate([lead, (p.lead[here[phrase]] - offset)[one]])
         home, trigger = np.concatenate([home, own]), np.concatenate([trigger, p.trigger[here[phrase[one]]].view(np.int64)])
     b, known = table.column("b")[0].as_py(), h[kind == EARLIER]
     sent = [
@@ -248,6 +297,7 @@ def send_phrases(table: pa.Table, shared: pa.Table, buckets: int, bits: int) ->
         key.view(np.int64),
         doc,
         count.astype(np.int32),
+        lead.astype(np.int32),
         trigger,
     ]
     raw, alone = _slices(p.data, first, count + LENGTH - 1), pa.array(trigger >= 0)
@@ -285,34 +335,60 @@ def answer_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from _masks(pa.concat_tables(held)).to_batches()
 
 
+def _agree(words: list[np.ndarray]) -> np.ndarray:
+    """How many leading bytes each entry of a sorted list shares with the one before it; the first none."""
+    shared, equal = np.zeros(len(words[0]), np.int64), np.ones(len(words[0]), bool)
+    equal[:1] = False
+    for k, w in enumerate(words):
+        differ = w[equal] ^ np.roll(w, 1)[equal]
+        shared[equal] = 8 * k + sum((differ < U(1) << U(8 * x)).astype(np.int64) for x in range(8))
+        equal[equal] = differ == 0
+    return shared
+
+
 def _masks(table: pa.Table) -> pa.Table:
-    """Masks of a bucket's phrases, by its dictionary's suffix array."""
+    """Masks of a bucket's phrases, by its dictionary's suffixes.
+
+    Equal strings have their trigger at one place, so the suffixes that begin with a trigger are sorted, and what stands
+    before the triggers is sorted backwards. Strings that begin r bytes before their triggers are equal where neighbours
+    in both orders agree, in one in 50 - r bytes, in the other in r.
+    """
     if not len(table):
         return MASKS.empty_table()
-    key, doc, count = (_numbers(table.column(c)) for c in ("key", "doc", "n"))
-    key, count = key.view(U), count.astype(np.int64)
-    raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
-    place = np.cumsum(count + LENGTH - 1) - count - LENGTH + 1
-    uniq, least, _, one = _firsts(key, doc)
-    n = count[one]
-    phrase, offset, start = _strings(place[one], n)
-    # the dictionary's suffix array, to the depth of the strings: big-endian words order as bytes do
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    words = [
-        padded[start[:, None] + np.arange(o, o + 8)].view(">u8")[:, 0].astype(U)
-        for o in (*range(0, LENGTH - 8, 8), LENGTH - 8)
-    ]
-    order = np.lexsort((least[phrase], *reversed(words)))
-    differs = np.zeros(len(order), bool)
-    differs[:1] = True
-    for w in words:
-        w = w[order]
-        differs[1:] |= w[1:] != w[:-1]
-    head = np.maximum.accumulate(np.where(differs, np.arange(len(order)), 0))
-    first_doc = np.empty(len(order), np.int64)
-    first_doc[order] = least[phrase][order][head]
-    earlier = (first_doc < least[phrase]).astype(U) << offset.astype(U)
-    mask = np.bitwise_or.reduceat(earlier, np.cumsum(n) - n)
+    key, doc, count, lead = (_numbers(table.column(c)) for c in ("key", "doc", "n", "lead"))
+    key, count, lead = key.view(U), count.astype(np.int64), lead.astype(np.int64)
+    margin = 8 * len(WORDS)  # before the first phrase and after the last one, as words may reach there
+    raw = np.frombuffer(b"".join([bytes(margin), *table.column("raw").to_pylist(), bytes(margin)]), np.uint8)
+    place = margin + np.cumsum(count + LENGTH - 1) - count - LENGTH + 1
+    uniq, least, one = _firsts(key, doc)
+    forward, backward = _words(raw, ">"), _words(raw)
+
+    def sorted_words(words: np.ndarray, starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        columns = [words[x].astype(U) for x in starts]
+        order = np.lexsort(columns[::-1])
+        return order, _agree([c[order] for c in columns])
+
+    trigger = place[one] + lead[one]
+    suffixes, after = sorted_words(forward, [trigger + o for o in range(0, margin, 8)])
+    # from here on phrases stand in the order of their suffixes
+    n, most, own, trigger = count[one][suffixes], lead[one][suffixes], least[suffixes], trigger[suffixes]
+    prefixes, before = sorted_words(backward, [trigger - 8 - o for o in range(0, LENGTH - TRIGGER + 1, 8)])
+    most_after = np.maximum(after, np.append(after[1:], 0))
+    most_before = np.empty_like(before)
+    most_before[prefixes] = np.maximum(before, np.append(before[1:], 0))
+    low, high = np.maximum(most - n + 1, LENGTH - most_after), np.minimum(most, most_before)
+    found = np.zeros(len(n), U)
+    behind = np.empty(len(n), np.int64)
+    for r in range(LENGTH - TRIGGER + 1):
+        here = np.flatnonzero((low <= r) & (r <= high))
+        if not len(here):
+            continue
+        behind[prefixes] = np.cumsum(before < r)
+        same = np.cumsum(after < LENGTH - r)[here] << 32 | behind[here]
+        earlier = own[here] > _least(same, own[here])
+        found[here] |= earlier.astype(U) << (most[here] - r).astype(U)
+    mask = np.empty(len(n), U)
+    mask[suffixes] = found
     at = np.searchsorted(uniq, key)
     full = (U(1) << count.astype(U)) - U(1)
     masks = np.where(doc > least[at], full, mask[at])
@@ -327,10 +403,10 @@ SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
 
 def _looked_up(key: np.ndarray, known: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The bits of each key among sorted known ones, 0 for others."""
-    if not len(known):
-        return np.zeros(len(key), U)
-    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-    return np.where(known[at] == key, bits[at], U(0))
+    here, at = _met(key, known)
+    found = np.zeros(len(key), U)
+    found[here] = bits[at]
+    return found
 
 
 def cut_batch(table: pa.Table, masks: pa.Table, id_type: pa.DataType, bits: int) -> pa.Table:
@@ -347,50 +423,45 @@ def cut_batch(table: pa.Table, masks: pa.Table, id_type: pa.DataType, bits: int)
     sent, bits_of, hot = sent[order].view(U), bits_of[order].view(U), hot[order]
     cold = len(hot) - np.count_nonzero(hot >= 0)
     mask = _looked_up(key, sent[:cold], bits_of[:cold])
-    every = np.isin(p.trigger, earlier)
-    mask[every] = (U(1) << p.count[every].astype(U)) - U(1)
+    full = (U(1) << p.count.astype(U)) - U(1)
+    every, _ = _met(p.trigger, np.sort(earlier))
+    mask[every] = full[every]
     if cold < len(hot):  # strings of hot triggers have masks of their own
-        here = np.flatnonzero(np.isin(p.trigger, hot[cold:].view(U)))
+        here, _ = _met(p.trigger, np.unique(hot[cold:].view(U)))
         phrase, offset, start = _strings(p.first[here], p.count[here])
         own = _keys(p.data, start, np.ones(len(start), np.int64))
         doc = number[p.doc[here[phrase]]]
-        uniq, least, _, _ = _firsts(own, doc)
-        gone = (_looked_up(own, sent[cold:], bits_of[cold:]) > 0) | (doc > least[np.searchsorted(uniq, own)])
+        gone = (_looked_up(own, sent[cold:], bits_of[cold:]) > 0) | (doc > _least(own, doc))
         np.bitwise_or.at(mask, here[phrase], gone.astype(U) << offset.astype(U))
-    uniq, least, _, _ = _firsts(key, number[p.doc])
-    if len(key):
-        later = number[p.doc] > least[np.searchsorted(uniq, key)]
-        mask[later] = (U(1) << p.count[later].astype(U)) - U(1)
-    on = np.flatnonzero(mask)
-    cover = np.zeros(len(p.data) + 1, np.int32)
-    for o in range(LENGTH - TRIGGER + 1):
-        start = p.first[on[(mask[on] >> U(o)) & U(1) > 0]] + o  # distinct, as each string is in one phrase
-        cover[start] += 1
-        cover[start + LENGTH] -= 1
-    gone = np.cumsum(cover[:-1]) > 0
-    sizes = np.array([len(t) for t in texts], np.int64)
-    edge = np.zeros(len(gone) + 1, bool)
-    edge[p.ends] = True  # a span ends with its document
-    edge[:1] = True
-    edge[1:-1] |= gone[1:] != gone[:-1]
-    at = np.flatnonzero(edge)
-    starts, stops = at[:-1][gone[at[:-1]]], at[1:][gone[at[:-1]]]
+    later = number[p.doc] > _least(key, number[p.doc])
+    mask[later] = full[later]
+    on, whole = np.flatnonzero((mask > 0) & (mask < full)), np.flatnonzero(mask == full)
+    # each string is in one phrase, so starts are distinct, and a later one's end is later
+    first = [p.first[whole], *(p.first[on[(mask[on] >> U(o)) & U(1) > 0]] + o for o in range(LENGTH - TRIGGER + 1))]
+    stop = [p.first[whole] + p.count[whole] + LENGTH - 1, *(x + LENGTH for x in first[1:])]
+    starts, stops = np.concatenate(first), np.concatenate(stop)
+    order = np.argsort(starts)
+    starts, stops = starts[order], stops[order]
     owner = np.searchsorted(p.ends, starts, "right")
-    base = p.ends - sizes
-    spans = pa.StructArray.from_arrays(
-        [pa.array((x - base[owner]).astype(np.int32)) for x in (starts, stops)], fields=list(SPAN)
-    )
-    rest = np.concatenate([[0], np.cumsum(~gone)])
-    kept = p.data[~gone].tobytes()
-    offsets = np.concatenate([[0], rest[p.ends]]).tolist()
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (starts[1:] > stops[:-1]) | (owner[1:] != owner[:-1])  # a span ends with its document
+    at = np.flatnonzero(fresh)
+    starts, stops, owner = starts[at], stops[np.append(at[1:], len(stops))[: len(at)] - 1], owner[at]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    base = (p.ends - sizes)[owner]
+    starts, stops = starts - base, stops - base
+    spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (starts, stops)], fields=list(SPAN))
+    bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
+    kept = list(texts)
+    for i in np.unique(owner).tolist():
+        a, b = starts[bounds[i] : bounds[i + 1]].tolist(), stops[bounds[i] : bounds[i + 1]].tolist()
+        kept[i] = b"".join(texts[i][x:y] for x, y in zip([0, *b], [*a, len(texts[i])], strict=True))
     return pa.table(
         {
             "id": pa.array(ids, id_type),
             "n_bytes": pa.array(sizes),
-            "removed": pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(owner, np.arange(len(ids) + 1)).astype(np.int32)), spans
-            ),
-            "kept": pa.array([kept[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
+            "removed": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans),
+            "kept": pa.array(kept, pa.binary()),
         }
     )
 
@@ -423,7 +494,7 @@ def phrase_dedup(
         lambda t: send_triggers(t, bits), "b int, h long, one long, doc long, n int, several boolean"
     )
     phrases = dealt.groupBy("b").cogroup(shared_triggers(triggers).groupBy("b")).applyInArrow(
-        lambda t, s: send_phrases(t, s, batches, bits), "b int, k int, key long, doc long, n int, hot long, raw binary, string binary"
+        lambda t, s: send_phrases(t, s, batches, bits), "b int, k int, key long, doc long, n int, lead int, hot long, raw binary, string binary"
     )
     # in the partitions that the groups need anyway; a bucket's phrases have no string and pass the window as one key
     first = F.min(F.when(F.col("string").isNotNull(), F.col("doc"))).over(Window.partitionBy("k", "string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -75,6 +76,45 @@ def test_phrase_dedup(docs, rows, monkeypatch):
     assert phrase_dedup.phrase_dedup(docs.limit(0)).count() == 0
 
 
+def test_phrase_dedup_sorts_a_bucket_by_phrase():
+    """Masks of a bucket are those of brute force, for less than it takes to sort the bucket's strings one by one."""
+    rng = np.random.default_rng(3)
+    texts = [rng.choice(np.frombuffer(b"ab cd", np.uint8), 1200).tobytes() for _ in range(400)]
+    for i in range(100, 400):  # passages of earlier documents, next to other bytes each time
+        a, n = int(rng.integers(0, 600)), int(rng.integers(20, 300))
+        texts[i] = texts[i][:a] + texts[int(rng.integers(0, 100))][a : a + n] + texts[i][a + n :]
+    texts[399], bits = texts[7], 40
+    sent = []
+    for b in range(2):
+        ids = list(range(b, len(texts), 2))
+        packed = [zstandard.compress(texts[i]) for i in ids]
+        batch = pa.table({"b": pa.array([b] * len(ids), pa.int32()), "id": ids, "z": pa.array(packed, pa.binary())})
+        triggers = phrase_dedup.send_triggers(batch, bits)
+        shared = pa.table({"h": triggers["h"], "kind": pa.array([phrase_dedup.SEVERAL] * len(triggers), pa.int32())})
+        sent.append(phrase_dedup.send_phrases(batch, shared, 1, bits))
+    bucket = pa.concat_tables(sent)
+    first: dict[bytes, int] = {}
+    held = bucket.select(["b", "key", "doc", "n", "raw"]).to_pylist()
+    for r in held:
+        for o in range(r["n"]):
+            string = r["raw"][o : o + 50]
+            first[string] = min(r["doc"], first.get(string, r["doc"]))
+    expected = {(r["b"], r["key"]): sum((first[r["raw"][o : o + 50]] < r["doc"]) << o for o in range(r["n"])) for r in held}
+    assert len({m for m in expected.values() if m}) > 100
+    spent = []
+    for _ in range(3):
+        began = time.thread_time()
+        masks = phrase_dedup._masks(bucket)
+        spent.append(time.thread_time() - began)
+    got = {(r["b"], r["key"]): r["mask"] for r in masks.to_pylist()}
+    assert got == {k: m for k, m in expected.items() if m}
+    strings = np.frombuffer(b"".join(r["raw"][o : o + 50] + bytes(6) for r in held for o in range(r["n"])), ">u8").reshape(-1, 7)
+    columns = strings.astype(np.uint64).T[::-1].copy()
+    began = time.thread_time()
+    np.lexsort(columns)
+    assert min(spent) < time.thread_time() - began
+
+
 def shingle_counts(text):
     w = WORDS.findall(text or "")
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
