@@ -14,8 +14,8 @@ at once. Else each distinct phrase of a shared trigger is a row of its trigger's
 one mask a phrase. A trigger or phrase that very many documents hold is thus one row for each
 batch, never one for each document, and rows grow in proportion to the bytes. A trigger may stand in very many different phrases, as
 at the edges of a passage that a large part of the documents quote; such a trigger's strings go to buckets of their own
-hash, one by one, and Spark's windows, which spill, find the first document of each. A task's Python holds the phrases of
-triggers with at most ``HOT`` occurrences, and passes the strings on batch by batch, however many batches of text have them.
+hash, one by one, and Spark's windows, which spill, find the first document of each. A task's Python holds at most ``HOT``
+phrases of one trigger, each once for a batch that has it, and passes the strings on batch by batch, however many batches of text have them.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from .common import text_of
 LENGTH, TRIGGER = 50, 16
 #: Where the words begin that cover a string.
 WORDS = (*range(0, LENGTH - 8, 8), LENGTH - 8)
-#: Occurrences of a trigger above which its strings are dealt one by one: what a bucket has to hold of one trigger at most.
+#: Phrases of a trigger, counted in each batch, above which its strings are dealt one by one: what a bucket has to hold of one trigger at most.
 HOT = 20_000
 #: Bytes of text in a batch, and positions or phrases that are hashed at a time: as many as a core's cache holds.
 BATCH_BYTES, STRETCH = 8 << 20, 1 << 15
@@ -221,7 +221,7 @@ SPARE, ONE = 7, 48
 
 
 def send_triggers(table: pa.Table, bits: int) -> pa.Table:
-    """A batch's distinct triggers (b, h): how often they occur in it (n), their first document, whether another has them too.
+    """A batch's distinct triggers (b, h): how many phrases they have in it (n), their first document, whether another has them too.
 
     ``one`` is a hash of the trigger's phrase, -1 if the batch has several phrases of it.
     """
@@ -232,18 +232,26 @@ def send_triggers(table: pa.Table, bits: int) -> pa.Table:
     order, at = _groups(p.trigger)
     key, doc = key[order].view(np.int64), doc[order]
     one, least = np.minimum.reduceat(key, at), np.minimum.reduceat(doc, at)
+    size, most = np.diff(np.append(at, len(key))), np.maximum.reduceat(key, at)
+    n = np.ones(len(at), np.int64)
+    several = np.repeat((size > 1) & (one < most), size)  # the others have one phrase
+    if several.any():
+        home, key = np.repeat(np.arange(len(at)), size)[several], key[several]
+        inner = np.lexsort((key, home))
+        fresh = np.concatenate([[True], key[inner][1:] != key[inner][:-1]]) | np.concatenate([[True], home[inner][1:] != home[inner][:-1]])
+        n = np.maximum(n, np.bincount(home[inner][fresh], minlength=len(at)))
     columns = [
         np.full(len(at), table.column("b")[0].as_py(), np.int32),
         p.trigger[order[at]].view(np.int64),
-        np.where(one == np.maximum.reduceat(key, at), one, -1),
+        np.where(one == most, one, -1),
         least,
-        np.diff(np.append(at, len(key))).astype(np.int32),
+        n.astype(np.int32),
         np.maximum.reduceat(doc, at) > least,
     ]
     return pa.table([pa.array(c) for c in columns], schema=TRIGGERS)
 
 
-#: What is known of a shared trigger: it has several phrases, very many occurrences besides, or one phrase with an earlier document.
+#: What is known of a shared trigger: it has several phrases, or very many of them, or one phrase with an earlier document.
 SEVERAL, VERY_MANY, EARLIER = 0, 1, 2
 
 

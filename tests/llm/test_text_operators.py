@@ -115,6 +115,21 @@ def test_phrase_dedup_sorts_a_bucket_by_phrase():
     assert min(spent) < time.thread_time() - began
 
 
+def test_phrase_dedup_counts_phrases_of_a_trigger():
+    """What a bucket holds of a trigger are its phrases, however often a batch has each."""
+    rng = np.random.default_rng(5)
+    passage, *others = (rng.choice(np.frombuffer(b"ab cd", np.uint8), 90).tobytes() for _ in range(61))
+    texts = [passage] * 30 + [x + passage for x in others[:30]] + others
+    batch = pa.table({"b": pa.array([0] * len(texts), pa.int32()), "id": list(range(len(texts))), "z": [zstandard.compress(t) for t in texts]})
+    p = phrase_dedup.parse(texts, [True] * len(texts))
+    phrases = defaultdict(Counter)
+    for first, n, trigger in zip(p.first.tolist(), p.count.tolist(), p.trigger.tolist(), strict=True):
+        phrases[trigger >> 24][p.data[first : first + n + 49].tobytes()] += 1
+    triggers = phrase_dedup.send_triggers(batch, 40).to_pylist()
+    assert {r["h"]: r["n"] for r in triggers} == {h: len(x) for h, x in phrases.items()}
+    assert max(max(x.values()) for x in phrases.values()) >= 60 and max(map(len, phrases.values())) > 10
+
+
 def shingle_counts(text):
     w = WORDS.findall(text or "")
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
